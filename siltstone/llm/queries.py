@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from siltstone.llm.bpe import op9_bpe_encode_decode
 from siltstone.llm.idstore import op6_token_id_store
+from siltstone.llm.rules import ORACLE as RULES_SQL
+from siltstone.llm.rules import op2_quality_rules
 
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
     "op6_token_id_store": op6_token_id_store,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_quality_rules": RULES_SQL}
