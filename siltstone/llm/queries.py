@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from siltstone.llm import neardup, rules
 from siltstone.llm.bpe import op9_bpe_encode_decode
 from siltstone.llm.idstore import op6_token_id_store
-from siltstone.llm.rules import ORACLE as RULES_SQL
+from siltstone.llm.jpeg import op10_jpeg_media
+from siltstone.llm.neardup import op4_minhash_lsh_forest
+from siltstone.llm.quality import op5_quality_classifier
 from siltstone.llm.rules import op2_quality_rules
+from siltstone.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_minhash_lsh_forest": op4_minhash_lsh_forest,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_token_id_store": op6_token_id_store,
+    "op8_toxicity": op8_toxicity,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
+    "op10_jpeg_media": op10_jpeg_media,
 }
 
-ORACLE: dict[str, str] = {"op2_quality_rules": RULES_SQL}
+ORACLE: dict[str, str] = {
+    "op2_quality_rules": rules.ORACLE,
+    "op4_minhash_lsh_forest": neardup.ORACLE,
+}

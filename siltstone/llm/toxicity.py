@@ -25,7 +25,7 @@ BUCKETS = 1 << 18
 SAMPLE = 8_000
 FEATURES = 4_096
 SMOOTHING = 1.0
-RIDGE = 1e-4
+RIDGE = 2e-3
 STEPS = 300
 THRESHOLD = 0.5
 
