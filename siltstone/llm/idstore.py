@@ -28,12 +28,12 @@ from pyspark.sql.window import Window
 
 from siltstone.llm.arrowtext import mix
 from siltstone.llm.bpe import tokenizer_bytes
-from siltstone.llm.pretokens import PATTERN, Memo, Vocabulary, unit_reader
+from siltstone.llm.pretokens import Memo, Vocabulary, cut_units, unit_reader
 
 #: The id that ends each document.
 END_ID = 2
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 128, 4096
-MEMO_UNITS = 300_000
+MEMO_UNITS = 350_000
 SEEN_CHUNKS = 50_000
 
 
@@ -58,28 +58,41 @@ class LibraryEncoder:
         ids = lambda text: np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32).tobytes()
         self._units, self._limit = Memo(lambda u: ids(" " + u), 2 * memo_units), memo_units
         opening = Memo(ids, memo_units // 8)
+        self._marks = {m: ids(m) for m in ".,;:!?"}
         self.encode = unit_reader(self._units, opening, vocabulary.special)
 
-    def learn(self, texts: list[str]) -> None:
-        """Encodes the units of these texts that are new, many at once: their ids divide where a token opens with a space."""
-        units = self._units
+    def learn(self, cut: list[list[str]]) -> None:
+        """Encodes the units that are new, many at once: their ids divide where a token opens with a space."""
+        units, older = self._units, self._units.older
         if len(units) >= self._limit:
-            units.clear()
-        new = set()
-        for text in texts:
-            new.update(text.split(" "))
-        new = [u for u in new - units.keys() if u and not u[0].isspace() and not u[-1].isspace() and "<|" not in u and len(u) < 500]
+            units.turn()
+            older = units.older
+        new = set().union(*cut)
+        new.difference_update(units)
+        again = new & older.keys()
+        for u in again:
+            units[u] = older[u]
+        new -= again
+        # a word and the mark after it are two pre-tokens: the word is looked up, or learnt, by itself
+        marked = [u for u in new if u[-1:] in self._marks and u[:-1].isalpha()]
+        new.difference_update(marked)
+        for u in marked:
+            if u[:-1] not in units:
+                new.add(u[:-1])
+        new = [u for u in new if u and not u[0].isspace() and not u[-1].isspace() and "<|" not in u and len(u) < 500]
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
             ids = np.array(self._library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.flatnonzero(self._opens[ids])
-            if len(cut) != len(some):
+            ends = np.flatnonzero(self._opens[ids])
+            if len(ends) != len(some):
                 continue  # left to one at a time
-            raw, ends = ids.tobytes(), [*(cut[1:] * 4).tolist(), len(ids) * 4]
+            raw = ids.tobytes()
             start = 0
-            for u, end in zip(some, ends, strict=True):
+            for u, end in zip(some, [*(ends[1:] * 4).tolist(), len(raw)], strict=True):
                 units[u] = raw[start:end]
                 start = end
+        for u in marked:
+            units[u] = units[u[:-1]] + self._marks[u[-1]]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -134,10 +147,11 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                encoder.learn(texts)
+                units = [cut_units(x) for x in texts]
+                encoder.learn(units)
                 kind, key, doc, n, address, body = [], [], [], [], [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    ids = np.frombuffer(encoder.encode(text) + end, "<u4")
+                for doc_id, text, cut in zip(part.column(0).to_pylist(), texts, units, strict=True):
+                    ids = np.frombuffer(encoder.encode(text, cut) + end, "<u4")
                     start, recipe = 0, []
                     for stop in cuts(ids):
                         packed = pack(ids[start:stop])

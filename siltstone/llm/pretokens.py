@@ -7,6 +7,7 @@ them, except in runs of white space; a text with such a run is cut by the whole
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 
 import regex
@@ -17,19 +18,27 @@ PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
 _RUN = regex.compile(rf"[{WHITE}] [{WHITE}]|  ")
+_MAYBE = re.compile(f" [{WHITE}]")
 
 
 class Memo(dict):
-    """Unit -> result of ``make(unit)``; emptied when it holds ``limit`` units, so memory is bounded."""
+    """Unit -> result of ``make(unit)``.  It holds two generations of ``limit`` units: those used since the last turn, and those before."""
 
     def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
+
+    def turn(self) -> None:
+        self.older = dict(self)
+        self.clear()
 
     def __missing__(self, unit):
+        out = self.older.get(unit)
+        if out is None:
+            out = self.make(unit)
         if len(self) >= self.limit:
-            self.clear()
-        self[unit] = out = self.make(unit)
+            self.turn()
+        self[unit] = out
         return out
 
 
@@ -68,30 +77,37 @@ def segments(text: str, special: dict[str, int]) -> list[str | int]:
     """The text cut at special tokens, which stand as their ids."""
     found = [s for s in special if s in text]
     if not found:
-        return [text]
+        return [text]  # also where it is empty
     cut = regex.split("(" + "|".join(map(regex.escape, sorted(found, key=len, reverse=True))) + ")", text)
     return [special.get(x, x) if k % 2 else x for k, x in enumerate(cut) if x]
 
 
 def has_run(text: str) -> bool:
     """Whether white space beside white space would make units depend on each other."""
-    return _RUN.search(text) is not None
+    return _MAYBE.search(text) is not None and _RUN.search(text) is not None
+
+
+def cut_units(text: str) -> list[str]:
+    """The opening unit (it may be empty) and the units after each space, each without its space."""
+    return text.split(" ")
 
 
-def unit_reader(units: Memo, opening: Memo, special: dict[str, int]) -> Callable[[str], bytes]:
-    """text -> ids as little-endian uint32.  ``units`` encodes the text of a unit without its space, ``opening`` any text as it is."""
+def unit_reader(units: Memo, opening: Memo, special: dict[str, int]) -> Callable[..., bytes]:
+    """(text, its units or None) -> ids as little-endian uint32.  ``units`` encodes a unit given without its space, ``opening`` any text as it is."""
     get, join = units.__getitem__, b"".join
 
-    def whole(text: str) -> bytes:
+    def whole(text: str, cut: list[str] | None = None) -> bytes:
         if has_run(text):
             return join(map(opening.__getitem__, PATTERN.findall(text)))
-        head, *rest = text.split(" ")
+        cut = cut or cut_units(text)
+        rest = iter(cut)
+        head = next(rest)
         return (opening[head] if head else b"") + join(map(get, rest))
 
-    def read(text: str) -> bytes:
+    def read(text: str, cut: list[str] | None = None) -> bytes:
         parts = segments(text, special)
         if len(parts) == 1 and isinstance(parts[0], str):
-            return whole(text)
+            return whole(text, cut)
         return join(p.to_bytes(4, "little") if isinstance(p, int) else whole(p) for p in parts)
 
     return read
