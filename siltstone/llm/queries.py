@@ -9,6 +9,7 @@ from siltstone.llm.jpeg import op10_jpeg_media
 from siltstone.llm.neardup import op4_minhash_lsh_forest
 from siltstone.llm.quality import op5_quality_classifier
 from siltstone.llm.rules import op2_quality_rules
+from siltstone.llm.substrings import op7_suffix_bucket_dedup
 from siltstone.llm.toxicity import op8_toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_minhash_lsh_forest": op4_minhash_lsh_forest,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_id_store": op6_token_id_store,
+    "op7_suffix_bucket_dedup": op7_suffix_bucket_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_bpe_encode_decode": op9_bpe_encode_decode,
     "op10_jpeg_media": op10_jpeg_media,
