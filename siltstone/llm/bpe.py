@@ -15,7 +15,7 @@ from siltstone.llm.pretokens import PATTERN, Memo, Vocabulary, unit_reader
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Units and pre-tokens remembered by each worker.
-MEMO_UNITS = 250_000
+MEMO_UNITS = 400_000
 #: Special tokens decode as their text.  Unused truncation and padding have no settings here.
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
