@@ -3,16 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.llm.bpe import bpe_encode
 from siltstone.llm.idstore import shared_dir
+from siltstone.llm.mixing import mixed
+from siltstone.llm.neardup import near_duplicates
+from siltstone.llm.rules import apply_policy, ledger
+from siltstone.llm.substrings import repeated_substrings
+
+
+def _by_id(spark: SparkSession, docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among the decided ones."""
+    return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality policy keeps."""
+    return _by_id(spark, docs, apply_policy(ledger(docs)).where("kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8)."""
+    return _by_id(spark, docs, near_duplicates(spark, docs).where("kept"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of repeated 400-byte strings; a document of which nothing is left goes."""
+    left = repeated_substrings(spark, docs, keep_text=True).where("length(text) > 0 or n_bytes = 0").select("doc_id", F.col("text").alias("__text"))
+    return docs.drop("text").join(left, "doc_id").withColumn("text", F.col("__text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the rates say that bring the domains to their target weights; clean text keeps its size."""
+    return mixed(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep="1")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe_encode(spark, docs)
+    """Ids of each document, and digests of ids and decoded text."""
+    return bpe_encode(spark, docs, keep_ids=True).drop("decoded")
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("rules", rules), ("near_dedup", near_dedup), ("substrings", substrings), ("mixing", mixing), ("bpe", encode)]
 ORACLE_SQL = None
 
 

@@ -6,14 +6,18 @@ from siltstone.llm import neardup, rules
 from siltstone.llm.bpe import op9_bpe_encode_decode
 from siltstone.llm.idstore import op6_token_id_store
 from siltstone.llm.jpeg import op10_jpeg_media
+from siltstone.llm.mixing import op3_source_mixing
 from siltstone.llm.neardup import op4_minhash_lsh_forest
 from siltstone.llm.quality import op5_quality_classifier
 from siltstone.llm.rules import op2_quality_rules
 from siltstone.llm.substrings import op7_suffix_bucket_dedup
 from siltstone.llm.toxicity import op8_toxicity
+from siltstone.llm.unigram import op1_token_counts
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op3_source_mixing": op3_source_mixing,
     "op4_minhash_lsh_forest": op4_minhash_lsh_forest,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_token_id_store": op6_token_id_store,
