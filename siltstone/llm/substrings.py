@@ -31,8 +31,8 @@ from siltstone.llm import arrowtext as at
 from siltstone.llm.idstore import shared_dir
 
 LENGTH, GRAM = 400, 32
-#: Contexts in a bucket up to which one task refines it.
-SMALL = 512
+#: Contexts in a bucket up to which one task refines it (some 6 MB of text, 150 MB of arrays).
+SMALL = 8192
 _STEP = 1 << 20
 _POS_BITS = 22
 _SALT = np.uint64(0x9FB21C651E98DF25)
