@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.plans import scalars
+from siltstone.plans import retrieve, scalars
 
-_PARTS = (scalars,)
+_PARTS = (scalars, retrieve)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
