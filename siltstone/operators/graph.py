@@ -52,5 +52,5 @@ def collapse_aliases(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     parts = components(inside.select(key("a").alias("a"), key("b").alias("b"))).select("id.query_id", F.col("id.id").alias("canonical_id"), F.col("component.id").alias("component"))
     placed = candidates.join(parts, ["query_id", "canonical_id"], "left").withColumn("component", F.coalesce("component", "canonical_id"))
     grouped = placed.groupBy("query_id", "component").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "canonical_id", "alias_canonicals"))).alias("m"))
-    others = F.transform(F.slice("m", 2, 2**31 - 1), lambda x: x["canonical_id"])
+    others = F.transform(F.slice("m", 2, F.size("m")), lambda x: x["canonical_id"])
     return grouped.select("query_id", F.col("m")[0]["canonical_id"].alias("canonical_id"), (-F.col("m")[0]["neg"]).alias("score"), F.array_union(F.col("m")[0]["alias_canonicals"], others).alias("alias_canonicals"))
