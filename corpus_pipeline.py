@@ -15,7 +15,7 @@ from siltstone.llm.substrings import repeated_substrings
 
 def _by_id(spark: SparkSession, docs: DataFrame, decided: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is among the decided ones."""
-    return docs.join(decided.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(decided.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
