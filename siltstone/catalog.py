@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siltstone.plans import corpus, retrieve, scalars
+from siltstone.plans import corpus, retrieve, scalars, stages
 
-_PARTS = (scalars, retrieve, corpus)
+_PARTS = (scalars, retrieve, corpus, stages)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
