@@ -1,4 +1,10 @@
-"""Corpus pipeline: stages over the documents table, each written and read again as the next one's input."""
+"""Corpus pipeline: stages over the documents table, each written and read again as the next one's input.
+
+Every stage takes and returns the columns of its input, whatever they are (the last returns ids and digests).
+Repeated rows: the rules, the substrings and the mixing treat each row by itself; of rows that repeat a doc_id
+near-dedup keeps one.  Rows with a null doc_id have no identity and end at near-dedup.  Empty tables give
+empty tables.
+"""
 
 from __future__ import annotations
 
@@ -9,29 +15,26 @@ from siltstone.llm.bpe import bpe_encode
 from siltstone.llm.idstore import shared_dir
 from siltstone.llm.mixing import mixed
 from siltstone.llm.neardup import near_duplicates
-from siltstone.llm.rules import apply_policy, ledger
+from siltstone.llm.rules import kept_documents
 from siltstone.llm.substrings import repeated_substrings
 
 
-def _by_id(spark: SparkSession, docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among the decided ones."""
-    return docs.join(decided.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-
-
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy keeps."""
-    return _by_id(spark, docs, apply_policy(ledger(docs)).where("kept"))
+    return kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8)."""
-    return _by_id(spark, docs, near_duplicates(spark, docs).where("kept"))
+    kept = near_duplicates(spark, docs).where("kept").select("doc_id").distinct()
+    # always by a shuffle: the ids grow with the documents
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated 400-byte strings; a document of which nothing is left goes."""
-    left = repeated_substrings(spark, docs, keep_text=True).where("length(text) > 0 or n_bytes = 0").select("doc_id", F.col("text").alias("__text"))
-    return docs.drop("text").join(left, "doc_id").withColumn("text", F.col("__text")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Texts without the bytes of repeated 400-byte strings; a document of which nothing is left goes.  n_chars follows the text."""
+    left = repeated_substrings(spark, docs, keep_rows=True).where("n_bytes = 0 or n_removed < n_bytes").select("row.*")
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +48,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("rules", rules), ("near_dedup", near_dedup), ("substrings", substrings), ("mixing", mixing), ("bpe", encode)]
+#: The stages of hashing, rates and BPE have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 

@@ -185,7 +185,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
             root = [hashlib.sha256(b"".join(r[i : i + 32] for i in range(0, len(r), 36))).digest() for r in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(root, pa.binary())], ["doc_id", "n", "body", "root"])
 
-    recipes = spark.read.schema(_OBJECT.replace("kind string, ", "")).parquet(f"{path}/objects/kind=recipe")
+    recipes = spark.read.schema(_OBJECT).parquet(f"{path}/objects").where("kind = 'recipe'")
     recipes = recipes.select("doc_id", "n", "body").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body").mapInArrow(roots, "doc_id long, n long, body binary, root binary")
     recipes.withColumn("shard", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()).write.parquet(f"{path}/recipes")
     stored = spark.read.parquet(f"{path}/recipes")
@@ -247,7 +247,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                 good.append(hashlib.sha256(body).digest() == address)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc, pa.int64()), pa.array(n, pa.int64()), pa.array(good, pa.bool_())], ["address", "crc", "n_ids", "good"])
 
-    chunks = spark.read.schema(_OBJECT.replace("kind string, ", "")).parquet(f"{path}/objects/kind=chunk")
+    chunks = spark.read.schema(_OBJECT).parquet(f"{path}/objects").where("kind = 'chunk'")
     chunks = chunks.select("address", "body").mapInArrow(digest, "address binary, crc long, n_ids long, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
 

@@ -122,11 +122,12 @@ def mixing_rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, target
 
 def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and once more by a hash of doc_id for the rest."""
-    rates = mixing_rates(spark, docs, labels, targets, keep).groupBy("doc_id").agg(F.max("rate").alias("rate"))
-    joined = docs.join(rates.withColumnsRenamed({"doc_id": "__id", "rate": "__rate"}), F.col("doc_id").eqNullSafe(F.col("__id")))
-    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    copies = (F.floor("__rate") + F.when(chance < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)).cast("int")
-    return joined.withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
+    rates = mixing_rates(spark, docs, labels, targets, keep).groupBy(F.col("doc_id").alias("id")).agg(F.max("rate").alias("rate"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = rows.join(rates.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("id")))
+    chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)
+    copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    return joined.withColumn("copies", copies).where("copies > 0").select("row", F.explode(F.expr("sequence(1, copies)"))).select("row.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

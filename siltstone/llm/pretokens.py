@@ -17,8 +17,8 @@ WHITE = r"\t-\r\x20\x85\xa0  -     　"
 PATTERN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
-_RUN = regex.compile(rf"[{WHITE}] [{WHITE}]|  ")
-_MAYBE = re.compile(f" [{WHITE}]")
+_RUN = regex.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)|  ")
+_MAYBE = re.compile(rf" (?:[{WHITE}]|\Z)")
 
 
 class Memo(dict):

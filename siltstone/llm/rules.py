@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm import arrowtext as at
 
@@ -110,6 +111,22 @@ def measure_documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def measured_rows(docs: DataFrame) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, and MEASURES beside it.  Map only."""
+    kind = docs.select(F.struct(*docs.columns).alias("row")).schema["row"]
+    schema = T.StructType([kind, *(T.StructField(m, T.LongType()) for m in MEASURES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0)
+            texts = pa.RecordBatch.from_arrays([rows, rows.field("text")], ["row", "text"])
+            for part, data, offsets in at.slices(texts):
+                m = measure(data, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m[k], pa.int64()) for k in MEASURES)], ["row", *MEASURES])
+
+    return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, schema)
+
+
 def failure_bits() -> Column:
     bits = F.lit(0).cast("long")
     for r in RULES:
@@ -132,6 +149,12 @@ def apply_policy(rows: DataFrame, policy: str = POLICY) -> DataFrame:
     return rows.withColumn("base_failed", hit("base")).withColumn("kept", ~(hit("base") | hit(policy)))
 
 
+def kept_documents(docs: DataFrame, policy: str = POLICY) -> DataFrame:
+    """The rows of ``docs``, with their columns, that the policy keeps."""
+    rows = measured_rows(docs).withColumn("failures", failure_bits())
+    return apply_policy(rows, policy).where("kept").select("row.*")
+
+
 def ablations(rows: DataFrame, policy: str = POLICY) -> DataFrame:
     """For each rule of a policy: documents that fail it, and that only it rejects.  At most 2**rules rows meet after partial counts."""
     mask = policy_mask(policy)

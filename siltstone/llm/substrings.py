@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm import arrowtext as at
 from siltstone.llm.idstore import shared_dir
@@ -39,10 +40,11 @@ _SALT = np.uint64(0x9FB21C651E98DF25)
 KEYS = ["did", "th"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, its null-free form, a hash of the text (equal ids with different texts stay apart), text."""
+def _keyed(docs: DataFrame, keep_rows: bool) -> DataFrame:
+    """doc_id, its null-free form, a hash of the text (equal ids with different texts stay apart), text; and ``row``, all columns."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
+    row = [F.struct(*docs.columns).alias("row")] if keep_rows else []
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"), *row)
 
 
 def anchored(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -107,7 +109,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["did", "th", "h", "k", "lo", "off", "body"])
 
-    joined = docs.join(wanted, KEYS).select("did", "th", "text", "items")
+    joined = docs.join(wanted.hint("merge"), KEYS).select("did", "th", "text", "items")
     return joined.mapInArrow(run, "did long, th long, h long, k long, lo int, off int, body binary")
 
 
@@ -201,7 +203,7 @@ def refine_large(rows: DataFrame, length: int) -> DataFrame:
     return windows.join(twice, ["h", "w"]).select("did", "th", "lo", F.col("lo").alias("hi"))
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+_RESULT = {"doc_id": T.LongType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
 
 
 def covered(n: int, intervals: list, length: int) -> np.ndarray:
@@ -213,12 +215,16 @@ def covered(n: int, intervals: list, length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove(docs: DataFrame, intervals: DataFrame, length: int, keep_text: bool) -> DataFrame:
+def remove(docs: DataFrame, intervals: DataFrame, length: int) -> DataFrame:
+    """The digests of _RESULT and, where ``docs`` has it, ``row`` with the text that is left."""
+    carried = [f for f in docs.schema if f.name == "row"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at_ in range(0, batch.num_rows, 256):
                 part = batch.slice(at_, 256)
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in _RESULT]
+                texts = []
                 for doc_id, text, items in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     raw = text.encode("utf-8", "replace")
                     kept, removed, spans = raw, 0, 0
@@ -227,24 +233,31 @@ def remove(docs: DataFrame, intervals: DataFrame, length: int, keep_text: bool)
                         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                         removed = len(raw) - len(kept)
                         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    row = (doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None)
-                    for col, v in zip(out, row, strict=True):
+                    for col, v in zip(out, (doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest()), strict=True):
                         col.append(v)
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+                    if carried:
+                        texts.append(kept.decode("utf-8", "ignore"))
+                arrays = [pa.array(c, t) for c, t in zip(out, [*[pa.int64()] * 4, pa.string()], strict=True)]
+                if carried:
+                    row = part.column(3)
+                    fields = [row.type.field(i) for i in range(row.type.num_fields)]
+                    arrays.append(pa.StructArray.from_arrays([pa.array(texts, f.type) if f.name == "text" else row.field(i) for i, f in enumerate(fields)], fields=fields))
+                yield pa.RecordBatch.from_arrays(arrays, [*_RESULT, *(f.name for f in carried)])
 
     lists = intervals.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
-    return docs.join(lists, KEYS, "left").select("doc_id", "text", "items").mapInArrow(run, _RESULT)
+    schema = T.StructType([*(T.StructField(k, t) for k, t in _RESULT.items()), *carried])
+    return docs.join(lists.hint("merge"), KEYS, "left").select("doc_id", "text", "items", *(f.name for f in carried)).mapInArrow(run, schema)
 
 
-def repeated_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with ``keep_text`` also text.
+def repeated_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep_rows: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with ``keep_rows`` also
+    ``row``, a struct of the columns of ``docs`` in which ``text`` is what is left.
 
     Null texts are empty; texts under ``length`` bytes keep all.  Strings are judged on the input, overlaps
     count, copies of a row remove each other.  Removal may cut a character's bytes: the hash is over the bytes
-    left, ``text`` drops such incomplete characters.  Other columns are ignored; an empty table gives none.
+    left, the text in ``row`` drops such incomplete characters.  Other columns are ignored; an empty table gives none.
     """
-    docs = _keyed(docs)
+    docs = _keyed(docs, keep_rows)
     root = shared_dir(spark, "substrings")
 
     def put(df: DataFrame, name: str, gone: str | None = None) -> DataFrame:
@@ -267,8 +280,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, length: int = LENG
     rows = put(contexts(docs, wanted, length), "contexts")
     small, large = refine_small(rows.where(F.col("k") <= SMALL), length), refine_large(rows.where(F.col("k") > SMALL), length)
     parts = put(small.unionByName(large), "intervals", gone="contexts").unionByName(settled.where("whole").select("did", "th", "lo", "hi"))
-    out = remove(docs, parts, length, keep_text)
-    return out if keep_text else out.drop("text")
+    return remove(docs, parts, length)
 
 
 def op7_suffix_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

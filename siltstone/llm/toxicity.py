@@ -137,6 +137,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array([ids[cut[i] : cut[i + 1]].tobytes() for i in range(part.num_rows)], pa.binary())], ["y", "features"])
 
     rows = sample.mapInArrow(describe, "y int, features binary").toPandas()  # 2 * SAMPLE rows of at most 2 * FEATURES bytes
+    if rows.empty:  # no labelled row is among the documents
+        return Model(np.zeros(BUCKETS), float(np.log(totals[1] / totals[0])))
     lists = [np.frombuffer(f, np.uint16) for f in rows["features"]]
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     feature = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
