@@ -33,7 +33,7 @@ from siltstone.llm.pretokens import Memo, Vocabulary, cut_units, unit_reader
 #: The id that ends each document.
 END_ID = 2
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 128, 4096
-MEMO_UNITS = 350_000
+MEMO_UNITS = 700_000
 SEEN_CHUNKS = 50_000
 
 
@@ -67,9 +67,8 @@ class LibraryEncoder:
         if len(units) >= self._limit:
             units.turn()
             older = units.older
-        new = set().union(*cut)
-        new.difference_update(units)
-        again = new & older.keys()
+        new = {u for u in set().union(*cut) if u not in units}
+        again = {u for u in new if u in older}
         for u in again:
             units[u] = older[u]
         new -= again
