@@ -14,7 +14,7 @@ def sanitize(c: Column) -> Column:
     for tag in ("script", "style", "noscript"):
         c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     for tag in ("div", "span", "p", "section"):
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*(?:\shidden\b|display:\s*none|visibility:\s*hidden)[^>]*>.*?</{tag}\s*>", "")
+        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*(?:\shidden\b|display\s*:\s*none|visibility\s*:\s*hidden)[^>]*>.*?</{tag}\s*>", "")
     return F.regexp_replace(c, r"(?is)\s(?:aria-label|alt|title)=(?:\"[^\"]*\"|'[^']*')", "")
 
 

@@ -40,7 +40,7 @@ def normalize_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(name_stem(c)), r"\s+", " ")
 
 
-def slugify(c: Column, most: int = 60, empty: str = "untitled") -> Column:
+def slugify(c: Column, most: int = 40, empty: str = "run") -> Column:
     """Lower-case words joined by hyphens, cut to ``most`` characters."""
     slug = F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-")
     slug = F.regexp_replace(slug, r"^-+|-+$", "")
@@ -53,14 +53,16 @@ def model_slug(c: Column) -> Column:
 
 
 def strip_links(c: Column) -> Column:
-    """Markdown without images, with inline and reference links as their text; images go first."""
-    c = F.regexp_replace(c, r"!\[[^\]]*\]\([^)]*\)", "")
-    c = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.regexp_replace(c, r"\[([^\]]*)\]\[[^\]]*\]", "$1")
+    """Markdown images, inline links and reference links as their text; images go first."""
+    c = F.regexp_replace(c, r"!\[([^\]]*)\]\([^)]+\)", "$1")
+    c = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    return F.regexp_replace(c, r"\[([^\]]+)\]\[[^\]]+\]", "$1")
 
 
-def truncate_with_marker(c: Column, most: int, marker: str = "\n[truncated]") -> Column:
-    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit(marker))).otherwise(c)
+def truncate_with_marker(c: Column, most: int) -> Column:
+    """The first ``most`` characters and a note of the full length, where there are more."""
+    note = F.concat(F.lit("\n\n[...truncated; full body is "), F.length(c), F.lit(" chars...]"))
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), note)).otherwise(c)
 
 
 def truncate_tokens(c: Column, most: int) -> Column:
@@ -75,21 +77,29 @@ def scrub_secrets(c: Column) -> Column:
     return F.regexp_replace(c, r"\b(sk|pk|api|key|AKIA)[-_]?[A-Za-z0-9]{12,}\b", "<key>")
 
 
+# fixed value: what counts as a numeric claim (a number, its unit if any, and one more word if any)
+NUMERIC_CLAIM = r"\$?(?:\d[\d,.]*\d|\d)(?:\s*(?:million|billion|[MBK]|%|months?|years?))?(?:\s+\w+)?"
+
+
 def numeric_claims(c: Column) -> Column:
-    """Numbers of a text with their unit: digits, separators, and a percent, currency or magnitude mark."""
-    return F.regexp_extract_all(c, F.lit(r"(\$?[0-9][0-9,.]*[0-9]%?|\$?[0-9]%?)"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(f"({NUMERIC_CLAIM})"), F.lit(1))
 
 
 def claims_grounded(claim: Column, body: Column) -> Column:
-    """Whether each number of ``claim`` stands verbatim in ``body``; true without numbers, false without a body."""
+    """Whether each numeric claim of a text stands verbatim in ``body``; true without numbers, false without a body."""
     numbers = numeric_claims(claim)
     return F.when(F.size(numbers) == 0, True).otherwise(F.coalesce(F.forall(numbers, lambda n: F.contains(body, n)), F.lit(False)))
 
 
-def injection_flag(c: Column, marker: str) -> Column:
+# fixed value: what a synthesis says where it met an injection
+INJECTION_MARKER = "prompt_injection_attempted"
+
+
+def injection_flag(c: Column, marker: str = INJECTION_MARKER) -> Column:
     return F.coalesce(strip_space(c) == marker, F.lit(False))
 
 
 def format_hits(hits: Column, most: int = 500) -> Column:
-    """``- title — url`` and a snippet for each struct of an array."""
-    return F.array_join(F.transform(hits, lambda h: F.concat(F.lit("- "), h["title"], F.lit(" — "), h["url"], F.lit("\n  "), F.substring(h["snippet"], 1, most))), "\n")
+    """``- title — url`` and a snippet for each struct of an array, or a note that there is none."""
+    line = lambda h: F.concat(F.lit("- "), F.coalesce(h["title"], F.lit("(no title)")), F.lit(" — "), F.coalesce(h["url"], F.lit("")), F.lit("\n  "), F.substring(F.coalesce(h["snippet"], F.lit("")), 1, most))
+    return F.when(F.size(hits) > 0, F.array_join(F.transform(hits, line), "\n")).otherwise("(no results)")

@@ -40,20 +40,20 @@ def tier_ids(spark, d):
     return table(spark, d, "part").select("p_partkey", t2.alias("tier2"), (~F.contains(t2, F.lit("::"))).alias("looks_tier1"), (~F.contains(nm, F.lit("::"))).alias("name_tier1"))
 
 
-@query("""SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug, regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]', '_', 'g') AS model_slug FROM (
-  SELECT doc_id, text, regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS s FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN s = '' THEN 'run' ELSE s END AS slug, regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]', '_', 'g') AS model_slug FROM (
+  SELECT doc_id, text, regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '') AS s FROM documents)""")
 def slugify(spark, d):
     return table(spark, d, "documents").select("doc_id", text.slugify(F.substring("text", 1, 200)).alias("slug"), text.model_slug(F.substring("text", 1, 40)).alias("model_slug"))
 
 
-@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\[([^\\]]*)\\]\\[[^\\]]*\\]', '\\1', 'g') AS stripped
+@query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '!\\[([^\\]]*)\\]\\([^)]+\\)', '\\1', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '\\[([^\\]]+)\\]\\[[^\\]]+\\]', '\\1', 'g') AS stripped
   FROM (SELECT page_id, 'a ![i](' || url || ') b [text ' || page_id || '](' || url || ') c [r][' || page_id || '] d' AS t FROM pages)""")
 def strip_links(spark, d):
     t = F.format_string("a ![i](%s) b [text %s](%s) c [r][%s] d", F.col("url"), F.col("page_id"), F.col("url"), F.col("page_id"))
     return table(spark, d, "pages").select("page_id", text.strip_links(t).alias("stripped"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || chr(10) || '[truncated]' ELSE text END AS shown FROM documents")
+@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || chr(10) || chr(10) || '[...truncated; full body is ' || length(text) || ' chars...]' ELSE text END AS shown FROM documents")
 def truncate_marker(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate_with_marker(F.col("text"), 300).alias("shown"))
 
@@ -142,12 +142,12 @@ def recency_strict(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN (1990 + doc_id % 30) || '-01-01' END AS founding_date, doc_id % 3 = 0 AS founding_unknown,
-  source || ':' || doc_id AS provenance_id, CASE WHEN source IN ('src0', 'src1') THEN 'curated' ELSE 'scraped' END AS provenance, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS text_id FROM documents""")
+  source || ':' || doc_id AS provenance_id, CASE WHEN source IN ('src0', 'src1') THEN 'curated_real' ELSE 'scraped' END AS provenance, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS text_id FROM documents""")
 def payload_build(spark, d):
     year = F.when(F.col("doc_id") % 3 != 0, 1990 + F.col("doc_id") % 30)
     return table(spark, d, "documents").select(
         "doc_id", dates.year_start(year).cast("string").alias("founding_date"), year.isNull().alias("founding_unknown"), F.concat_ws(":", "source", "doc_id").alias("provenance_id"),
-        F.when(F.col("source").isin("src0", "src1"), "curated").otherwise("scraped").alias("provenance"), hashing.short_sha256(F.col("doc_id").cast("string")).alias("text_id"),
+        F.when(F.col("source").isin("src0", "src1"), "curated_real").otherwise("scraped").alias("provenance"), hashing.short_sha256(F.col("doc_id").cast("string")).alias("text_id"),
     )
 
 
@@ -175,32 +175,32 @@ def json_tiebreak(spark, d):
     return table(spark, d, "events").select("event_id", jsonx.tiebreak_decision(F.expr(_ANSWER)).alias("decision"))
 
 
-_JUDGE = """CASE event_id % 6 WHEN 0 THEN '{"is_post_mortem": true}' WHEN 1 THEN '{"is_post_mortem": false}' WHEN 2 THEN '{"other": 1}' WHEN 3 THEN 'no {json' WHEN 4 THEN '[true]' ELSE '{"is_post_mortem": "true"}' END"""
+_JUDGE = """CASE event_id % 6 WHEN 0 THEN '{"is_dead_company": true}' WHEN 1 THEN '{"is_dead_company": false}' WHEN 2 THEN '{"other": 1}' WHEN 3 THEN 'no {json' WHEN 4 THEN '[true]' ELSE '{"is_dead_company": "true"}' END"""
 
 
-@query("SELECT event_id, CASE WHEN event_id % 6 IN (0, 3) THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM events WHERE event_id % 6 <> 5")
+@query("SELECT event_id, CASE WHEN event_id % 6 IN (0, 3) THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM events")
 def json_slop(spark, d):
-    return table(spark, d, "events").where("event_id % 6 <> 5").select("event_id", jsonx.slop_score(F.expr(_JUDGE)).cast("double").alias("score"))
+    return table(spark, d, "events").select("event_id", jsonx.slop_score(F.expr(_JUDGE)).cast("double").alias("score"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 3 THEN false ELSE contains(props || ' user ' || user_id, CASE WHEN event_id % 4 = 1 THEN CAST(user_id AS VARCHAR) ELSE CAST(user_id + 1000000 AS VARCHAR) END) END AS grounded FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 4 = 3 THEN false ELSE event_id % 4 = 1 END AS grounded FROM events""")
 def claims_grounded(spark, d):
     claim = F.when(F.col("event_id") % 4 == 0, "no numbers").when(F.col("event_id") % 4 == 2, F.concat(F.lit("lost "), (F.col("user_id") + 1000000).cast("string"))).otherwise(F.concat(F.lit("had "), F.col("user_id").cast("string"), F.lit(" users.")))
-    body = F.when(F.col("event_id") % 4 != 3, F.concat("props", F.lit(" user "), F.col("user_id")))
+    body = F.when(F.col("event_id") % 4 != 3, F.concat("props", F.lit(" with "), F.col("user_id"), F.lit(" users")))
     return table(spark, d, "events").select("event_id", text.claims_grounded(claim, body).alias("grounded"))
 
 
 @query("SELECT conv_id, turn, turn % 3 = 0 AS flagged FROM conversations")
 def injection_flag(spark, d):
-    said = F.when(F.col("turn") % 3 == 0, F.lit("\t[[INJECTION]]\n")).when(F.col("turn") % 3 == 1, F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", text.injection_flag(said, "[[INJECTION]]").alias("flagged"))
+    said = F.when(F.col("turn") % 3 == 0, F.lit("\tprompt_injection_attempted\n")).when(F.col("turn") % 3 == 1, F.col("text"))
+    return table(spark, d, "conversations").select("conv_id", "turn", text.injection_flag(said).alias("flagged"))
 
 
-@query("""SELECT event_id, CASE WHEN s IN (408, 429) OR s BETWEEN 500 AND 599 THEN 'transient' WHEN s = 402 THEN 'budget' WHEN s >= 400 THEN 'fatal' ELSE 'ok' END AS class, 0.5 * pow(2, event_id % 4) AS backoff
+@query("""SELECT event_id, CASE WHEN s = 429 OR (s BETWEEN 500 AND 599 AND s <> 503) THEN 'transient' WHEN s = 402 THEN 'budget' WHEN s >= 400 THEN 'fatal' ELSE 'ok' END AS class, 0.5 * pow(2, event_id % 4) AS backoff
   FROM (SELECT event_id, CAST(200 + (event_id * 7) % 350 AS BIGINT) AS s FROM events)""")
 def retry_class(spark, d):
     s = F.col("s")
-    kind = F.when(s.isin(408, 429) | s.between(500, 599), "transient").when(s == 402, "budget").when(s >= 400, "fatal").otherwise("ok")
+    kind = F.when((s == 429) | (s.between(500, 599) & (s != 503)), "transient").when(s == 402, "budget").when(s >= 400, "fatal").otherwise("ok")
     return table(spark, d, "events").withColumn("s", 200 + (F.col("event_id") * 7) % 350).select("event_id", kind.alias("class"), (0.5 * F.pow(F.lit(2.0), F.col("event_id") % 4)).alias("backoff"))
 
 
@@ -228,7 +228,7 @@ def _sanitize_sql(c: str) -> str:
     for t in ("script", "style", "noscript"):
         c = f"regexp_replace({c}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', '', 'g')"
     for t in ("div", "span", "p", "section"):
-        c = f"regexp_replace({c}, '(?is)<{t}\\b[^>]*(?:\\shidden\\b|display:\\s*none|visibility:\\s*hidden)[^>]*>.*?</{t}\\s*>', '', 'g')"
+        c = f"regexp_replace({c}, '(?is)<{t}\\b[^>]*(?:\\shidden\\b|display\\s*:\\s*none|visibility\\s*:\\s*hidden)[^>]*>.*?</{t}\\s*>', '', 'g')"
     return f"regexp_replace({c}, '{_TAGS}', '', 'g')"
 
 

@@ -19,18 +19,17 @@ def test_strings(spark):
     assert one(spark, text.normalize_name(F.lit("  Acme   Group Holdings Inc. "))) == "acme group holdings inc."
     assert one(spark, text.normalize_name(F.lit("Acme Group Inc."))) == "acme group"
     assert one(spark, text.corporate_suffix(F.lit("Incorporated"))) is None
-    assert one(spark, text.slugify(F.lit("!!"))) == "untitled"
+    assert one(spark, text.slugify(F.lit("!!"))) == "run"
     assert one(spark, text.first_present(F.lit("\t"), F.lit(None).cast("string"), F.lit(" b "))) == "b"
-    assert one(spark, text.claims_grounded(F.lit("cut 40% of 1,200"), F.lit("1,200 and 40%"))) is True
+    assert one(spark, text.claims_grounded(F.lit("cut 40% of 1,200"), F.lit("1,200 and cut 40% of it"))) is True
     assert one(spark, text.claims_grounded(F.lit("cut 41%"), F.lit("40%"))) is False
     assert one(spark, text.claims_grounded(F.lit("cut 41%"), F.lit(None).cast("string"))) is False
-    assert one(spark, text.strip_links(F.lit("![a](b)[c](d)[e][f]"))) == "ce"
+    assert one(spark, text.strip_links(F.lit("![a](b)[c](d)[e][f]"))) == "ace"
 
 
 def test_json_and_urls(spark):
-    for raw, want in (("{bad", 0.0), ("[1]", 1.0), ('{"is_post_mortem": true}', 0.0), ('{"is_post_mortem": "true"}', 1.0), ("{}", 1.0)):
-        got = one(spark, jsonx.slop_score(F.lit(raw)))
-        assert got == want or raw == '{"is_post_mortem": "true"}'
+    for raw, want in (("{bad", 0.0), ("[1]", 1.0), ('{"is_dead_company": true}', 0.0), ('{"is_dead_company": "true"}', 1.0), ("{}", 1.0)):
+        assert one(spark, jsonx.slop_score(F.lit(raw))) == want
     assert one(spark, jsonx.tiebreak_decision(F.lit("nope"))) == "different"
     for url, ok in (("http://10.1.1.1/", False), ("https://a.example/", True), ("http://169.254.169.254/", False), ("ftp://a.b/", False), (None, False)):
         assert one(spark, urls.url_allowed(F.lit(url).cast("string"))) is ok
