@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,13 +46,36 @@ def collapse_aliases(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """Components over edges with both ends among a query's candidates; the best candidate stays and lists the others.
 
     ``candidates``: query_id, canonical_id, score, alias_canonicals (array); ``edges``: canonical_id, target.
+    A query has its k candidates only, so one row holds a query and its components are found in place.
     """
-    ends = candidates.select("query_id", F.col("canonical_id").alias("a"))
-    inside = ends.join(edges.select(F.col("canonical_id").alias("a"), F.col("target").alias("b")), "a")
-    inside = inside.join(candidates.select("query_id", F.col("canonical_id").alias("b")), ["query_id", "b"])
-    key = lambda c: F.struct("query_id", F.col(c).alias("id"))
-    parts = components(inside.select(key("a").alias("a"), key("b").alias("b"))).select("id.query_id", F.col("id.id").alias("canonical_id"), F.col("component.id").alias("component"))
-    placed = candidates.join(parts, ["query_id", "canonical_id"], "left").withColumn("component", F.coalesce("component", "canonical_id"))
-    grouped = placed.groupBy("query_id", "component").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "canonical_id", "alias_canonicals"))).alias("m"))
-    others = F.transform(F.slice("m", 2, F.size("m")), lambda x: x["canonical_id"])
-    return grouped.select("query_id", F.col("m")[0]["canonical_id"].alias("canonical_id"), (-F.col("m")[0]["neg"]).alias("score"), F.array_union(F.col("m")[0]["alias_canonicals"], others).alias("alias_canonicals"))
+    rows = candidates.join(edges.distinct(), "canonical_id", "left")
+    item = F.struct("canonical_id", "score", "alias_canonicals", "target")
+    grouped = rows.groupBy("query_id").agg(F.collect_list(item).alias("items"))
+    kinds = dict(candidates.dtypes)
+    schema = f"query_id {kinds['query_id']}, canonical_id {kinds['canonical_id']}, score double, alias_canonicals {kinds['alias_canonicals']}"
+
+    def collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for query, items in zip(batch["query_id"], batch["items"], strict=True):
+                best = {x["canonical_id"]: (-x["score"], x["canonical_id"], list(x["alias_canonicals"])) for x in items}
+                root = {c: c for c in best}
+
+                def find(c, root=root):
+                    while root[c] != c:
+                        root[c] = root[root[c]]
+                        c = root[c]
+                    return c
+
+                for x in items:
+                    if x["target"] in root:
+                        root[find(x["target"])] = find(x["canonical_id"])
+                parts: dict = {}
+                for c in sorted(best.values(), key=lambda b: b[:2]):
+                    parts.setdefault(find(c[1]), []).append(c)
+                for members in parts.values():
+                    lead = members[0]
+                    out.append((query, lead[1], -lead[0], list(dict.fromkeys([*lead[2], *(m[1] for m in members[1:])]))))
+            yield pd.DataFrame(out, columns=["query_id", "canonical_id", "score", "alias_canonicals"])
+
+    return grouped.mapInPandas(collapse, schema)
