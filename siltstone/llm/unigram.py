@@ -86,11 +86,11 @@ class Counter:
             self.counts, self.logs = {}, {}
         if len(self.words) >= self.limit:
             self.words = {}
-        new = {u: PATTERN.findall(" " + u) for u in set().union(*(c[1:] for c in cut)) - self.counts.keys()}
+        new = {u: PATTERN.findall(" " + u) for u in set().union(*(c[1:] for c in cut)) if u not in self.counts}
         wanted = {w for words in new.values() for w in words}
         for text, c in zip(texts, cut, strict=True):
             wanted.update(PATTERN.findall(c[0] if c else text))
-        fresh = sorted((w.encode("utf-8", "replace"), w) for w in wanted - self.words.keys())
+        fresh = sorted((w.encode("utf-8", "replace"), w) for w in wanted if w not in self.words)
         words, visit = self.words, self.forward.visit
         for raw, w in fresh:
             words[w] = visit(raw)
