@@ -3,7 +3,8 @@
 A naive Bayes classifier with Gaussian statistics is fitted on the labelled table and gives each document a
 posterior over the labelled domains.  Nonnegative rates per document are then fitted so that the expected
 domain totals of tokens, sum(rate * tokens * posterior), meet the targets: projected gradient steps on the
-squared misses, in the metric of the domains' Gram matrix, starting from rate 1.  A step needs the domains'
+squared misses, in the metric of the domains' Gram matrix, starting from rate 1.  STEPS steps bring domains with
+clear members to their targets; for others they stop early rather than follow noise in small posteriors.  A step needs the domains'
 totals only, so what reaches the driver has the number of domains, and a rate is a fold over the steps so far.
 """
 
@@ -18,7 +19,9 @@ from siltstone.llm.components import written
 #: The label column whose values are the domains, and the domains' target weights; those of values without labels are left out.
 DOMAIN = "quality"
 TARGETS = {"1": 0.97, "0": 0.03}
-STEPS, TOLERANCE = 40, 1e-7
+STEPS, TOLERANCE = 12, 1e-7
+#: Added to the Gram matrix, as a share of all tokens: a domain that no document clearly belongs to moves rates little.
+RIDGE = 1e-3
 FEATURES = ("log_words", "word_length", "symbols", "capitals", "wide")
 #: Posteriors are tempered: the statistics are not independent.
 TEMPER = 0.5
@@ -96,7 +99,6 @@ def mixing_rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, target
     w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
     gram = table.agg(*(F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
     g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-    g += np.eye(k) * max(np.trace(g), 1.0) * 1e-9
 
     def totals(steps: list[list[float]]) -> np.ndarray:
         rated = table.select("n_tokens", "p", _rate(steps, k).alias("r"))
@@ -106,6 +108,7 @@ def mixing_rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, target
     steps: list[list[float]] = []
     have = totals(steps)
     total = have.sum()
+    g += np.eye(k) * max(total * RIDGE, 1e-9)
     if keep in names and w[names.index(keep)] > 0:
         total = have[names.index(keep)] / w[names.index(keep)]
     want = w * total

@@ -119,7 +119,7 @@ def test_mixing_meets_targets(spark, sf):
     assert np.allclose(total / tokens, [want[n] for n in names], atol=1e-4) and min(r.rate for r in rows) >= 0
     # the same projected steps in numpy
     n, a = np.array([r.n_tokens for r in rows], float), np.stack([p[r.doc_id] for r in rows])
-    g, r, t = (a * n[:, None]).T @ a, np.ones(len(rows)), np.array([want[x] for x in names]) * tokens
+    g, r, t = (a * n[:, None]).T @ a + np.eye(2) * tokens * mixing.RIDGE, np.ones(len(rows)), np.array([want[x] for x in names]) * tokens
     for _ in range(mixing.STEPS):
         r = np.maximum(0, r - a @ np.linalg.solve(g, (a * (n * r)[:, None]).sum(0) - t))
     assert np.allclose(r, [x.rate for x in rows], atol=1e-5)
