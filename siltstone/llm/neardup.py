@@ -5,15 +5,18 @@ DEPTH min-hashes.  For each tree the classes are sorted by label; a class's cand
 that order with the longest common prefix, LEAST_DEPTH values at least.  Where a prefix region is small, all of
 it lies in the window; where it is large, the window narrows to the next few, which share more values: the
 depth adapts to the region.  Candidates that pass a bound from a two-bit sketch are confirmed on full sets.
-Classes of large regions get a second round once components are known: what is not yet in its region's main
-component looks at a wide window, at the most similar classes of other components by their sketches.
+Classes of large regions are joined once more once components are known, exactly: each class lists its rarest
+shingles, as many as any similar class must share one of, and classes of other components that meet on one,
+early enough in both lists for their sizes, are candidates.  Nothing is cut: lists of a frequent shingle are
+split by a salt, and cells of all pairs of salts are compared.
 
 A pair of similarity 0.8 shares LEAST_DEPTH values in one tree or more with probability 1 - (1 - 0.8**3)**16,
-over 0.99998; components lose less, as their members have other links.
+over 0.99998; then it is in a window, or both are classes of large regions and are joined.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +29,12 @@ from siltstone.llm.components import components, written
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 3
 N_HASHES = TREES * DEPTH
-#: Neighbours looked at in regions of up to WINDOW + 1 classes, and in larger ones; and, in the second round,
-#: how far a class looks either way, and at how many of each tree.
+#: Neighbours looked at in regions of up to WINDOW + 1 classes, and in larger ones.
 WINDOW, NARROW = 16, 3
-WIDE, NEAREST = 512, 8
+#: Shingles are ordered by how often their bucket of 2**BUCKET_BITS is met; a list of more than CELL classes is split.
+BUCKET_BITS, CELL = 20, 8192
+#: Lists up to this length are compared at all distances at once, longer ones in blocks.
+SHORT = 64
 SKETCH_BYTES = N_HASHES // 4
 #: A sketch of a linked pair falls this far below the threshold once in some 10**6 pairs.
 SKETCH_MARGIN = 0.2
@@ -161,66 +166,167 @@ class Sorted:
             a.append(i[ok]), b.append(j[ok])
         return np.concatenate(a), np.concatenate(b)
 
-    def strays(self, fresh: int, threshold: float, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Second round: for each class outside its region's main component the NEAREST of other components in a wide window."""
-        m = len(self.ids)
-        order = np.lexsort((self.component, self.region))
-        r, c = self.region[order], self.component[order]
-        first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])]))
-        count = np.diff(np.append(first, m))
-        rank = np.lexsort((-count, r[first]))
-        main = np.full(int(self.region[-1]) + 1, -1, np.int64)
-        lead, at_ = np.unique(r[first][rank], return_index=True)
-        main[lead] = c[first][rank][at_]
-        stray = self.component != main[self.region]
-        a, b, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s in range(1, min(WIDE, m - 1) + 1):
-            i = np.flatnonzero((self.region[s:] == self.region[:-s]) & (self.component[s:] != self.component[:-s]) & (stray[s:] | stray[:-s]))
-            i, j = self.possible(i[i + s >= fresh], threshold, s)
-            match = self.agreement(i, j)
-            ok = match >= least
-            i, j, match = i[ok], j[ok], match[ok]
-            for x, y in ((i, j), (j, i)):
-                own = stray[x]
-                a.append(x[own]), b.append(y[own]), near.append(match[own])
-        x, y, match = np.concatenate(a), np.concatenate(b), np.concatenate(near)
-        order = np.lexsort((y, -match, x))
-        x, y = x[order], y[order]
-        place = np.arange(len(x)) - np.searchsorted(x, x)
-        return x[place < NEAREST], y[place < NEAREST]
-
-
-def neighbours(rows: DataFrame, threshold: float, second: bool = False) -> DataFrame:
-    """Candidate pairs a < b from rows sorted by (tree, label); in the first round also (class, null) for classes of large regions."""
+
+def neighbours(rows: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs a < b from rows sorted by (tree, label), and (class, null) for classes of large or divided regions."""
     least = max(threshold - SKETCH_MARGIN, 0.0)
     least = (least + (1 - least) / 4) * N_HASHES  # two bits agree by chance in a quarter of the cases
-    carry = WIDE if second else WINDOW
+    carry = WINDOW + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Sorted | None = None
+
+        def found(a: np.ndarray, b: np.ndarray, crowd: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, crowd])), pa.concat_arrays([pa.array(b), pa.nulls(len(crowd), pa.int64())])], ["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             label = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             now = (np.asarray(batch.column(0)), label, *(np.asarray(batch.column(i)) for i in (2, 3, 4)))
-            fresh = 0
+            first, fresh = held is None, 0
             if held is not None:
                 last = [x[-carry:] for x in held.columns]
                 fresh = len(last[0])
                 now = tuple(np.concatenate([x, y]) for x, y in zip(last, now, strict=True))
             held = Sorted(*now)
-            i, j = held.strays(fresh, threshold, least) if second else held.window(fresh, threshold, least)
+            i, j = held.window(fresh, threshold, least)
             a, b = np.minimum(held.ids[i], held.ids[j]), np.maximum(held.ids[i], held.ids[j])
-            if second:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            else:
-                crowd = np.unique(held.ids[held.size > WINDOW + 1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, crowd])), pa.concat_arrays([pa.array(b), pa.nulls(len(crowd), pa.int64())])], ["a", "b"])
+            # the first and last region of a partition may go on in another one
+            crowd = (held.size > WINDOW + 1) | (first & (held.region == 0))
+            yield found(a, b, np.unique(held.ids[crowd]))
+        if held is not None:
+            none = np.zeros(0, np.int64)
+            yield found(none, none, np.unique(held.ids[held.region == held.region[-1]]))
 
     ordered = rows.repartitionByRange("tree", "label", "class_id").sortWithinPartitions("tree", "label", "class_id")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
+def frequencies(docs: DataFrame, size: int) -> np.ndarray:
+    """How often each bucket of shingles is met, saturating within a partition.  Any counts give a right order; good ones a fast one."""
+    block = 1 << 14
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for batch in batches:
+            for _, data, offsets in at.slices(batch):
+                for s in sets(data, offsets, size):
+                    total[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] += 1
+        if total.any():
+            raw = [zlib.compress(total[i : i + block].astype("<u4").tobytes(), 1) for i in range(0, len(total), block)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(raw), dtype=np.int32)), pa.array(raw, pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
+
+    schema = "block int, counts binary"
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    for row in docs.select("doc_id", "text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect():
+        out[row.block * block : (row.block + 1) * block] = np.frombuffer(row.counts, np.int64)
+    return out
+
+
+_LISTED = "cell long, class_id long, component long, n int, top int, side int"
+
+
+def listed(crowded: DataFrame, counts: np.ndarray, size: int, threshold: float) -> DataFrame:
+    """A row for each of the rarest shingles of each class (class_id, text, component): a class of the similarity shares one of them.
+
+    ``top`` is the size of the largest class that may have the similarity if this is the first shared shingle.
+    A frequent shingle has one cell for each two salts; ``side`` tells the salts of a cell apart, -1 if they are equal.
+    """
+    whole = max(round(threshold * 100), 1)
+    shared = crowded.sparkSession.sparkContext.broadcast((counts, int(2 * counts.mean())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, usual = shared.value
+        for batch in batches:
+            for part, data, offsets in at.slices(batch):
+                out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+                ids, component = np.asarray(part.column(0)), np.asarray(part.column(2))
+                salt = at.mix(ids.astype(np.uint64)) >> np.uint64(32)
+                for k, s in enumerate(sets(data, offsets, size)):
+                    n = len(s)
+                    much = counts[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                    top = (n - np.arange(n)) * (100 + whole) // whole - n
+                    some = int((100 * top >= whole * n).sum())  # top falls along the list
+                    order = np.lexsort((s, much))[:some]
+                    token, top = s[order], top[:some]
+                    salts = 1 + np.maximum(much[order] - usual, 0) // CELL
+                    rep = np.repeat(np.arange(some), salts)
+                    other = np.arange(len(rep)) - np.repeat(np.cumsum(salts) - salts, salts)
+                    own = (salt[k] % salts[rep].astype(np.uint64)).astype(np.int64)
+                    low, high = np.minimum(own, other), np.maximum(own, other)
+                    cell = at.mix(token[rep] + at.mix((low << 32 | high).astype(np.uint64)))
+                    side = np.where(low == high, -1, (own == high).astype(np.int64))
+                    for column, x in zip(out, (cell.view(np.int64), np.full(len(rep), ids[k]), np.full(len(rep), component[k]), np.full(len(rep), n), top[rep], side), strict=True):
+                        column.append(x)
+                columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64 if i < 3 else np.int32)) for i, x in enumerate(columns)], ["cell", "class_id", "component", "n", "top", "side"])
+
+    return crowded.select("class_id", "text", "component").mapInArrow(run, _LISTED)
+
+
+def met(cell: np.ndarray, ids: np.ndarray, component: np.ndarray, n: np.ndarray, top: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of classes of different components, from whole cells in order, whose sizes and places in the lists admit the similarity."""
+    if not len(cell):
+        return
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    length = np.diff(np.append(first, len(cell)))
+    mixed = np.minimum.reduceat(component, first) != np.maximum.reduceat(component, first)
+
+    def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (component[i] != component[j]) & (n[i] <= top[j]) & (n[j] <= top[i]) & ((side[i] < 0) | (side[i] != side[j]))
+
+    short = np.repeat(mixed & (length <= SHORT), length)
+    i, s = np.flatnonzero(short), 0
+    while len(i):
+        s += 1
+        i = i[i + s < len(cell)]
+        i = i[cell[i + s] == cell[i]]
+        ok = i[fits(i, i + s)]
+        yield ids[ok], ids[ok + s]
+    for g in np.flatnonzero(mixed & (length > SHORT)):
+        rows = np.arange(first[g], first[g] + length[g])
+        names, count = np.unique(component[rows], return_counts=True)
+        light = rows[component[rows] != names[count.argmax()]]  # of two different components one is not the largest
+        for k in range(0, len(light), 256):
+            x = light[k : k + 256]
+            a, b = np.nonzero(fits(x[:, None], rows[None, :]))
+            yield ids[x[a]], ids[rows[b]]
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """Candidate pairs a < b from the rows of ``listed``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for x, y in met(*columns):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        held: list[list[np.ndarray]] = []  # rows of the last cell, which may go on
+        for batch in batches:
+            now = [np.asarray(c) for c in batch.columns]
+            if not len(now[0]):
+                continue
+            last = np.searchsorted(now[0], now[0][-1])  # sorted by cell
+            if last == 0 and held and held[0][0][0] == now[0][-1]:
+                held.append(now)
+                continue
+            yield from pairs([np.concatenate(x) for x in zip(*held, [c[:last] for c in now], strict=True)])
+            held = [[c[last:] for c in now]]
+        if held:
+            yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").where("a < b").distinct()
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
     """The pairs whose full sets have the similarity; ``docs`` has one row for each id of a pair at least."""
 
@@ -264,7 +370,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, size: int = 5, thresho
     parts = components(spark, confirmed(docs, found.where("b is not null"), size, threshold))
     crowd = found.where("b is null").select(F.col("a").alias("class_id"))
     crowded = classes.join(crowd, "class_id").join(parts.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    more = written(spark, neighbours(forest_rows(crowded), threshold, second=True), "candidates")
+    texts = docs.select(F.col("doc_id").alias("class_id"), "text").join(crowded.select("class_id", "component").hint("merge"), "class_id")
+    more = written(spark, meetings(listed(texts, frequencies(docs, size), size, threshold)), "candidates")
     # the stars of the first round take few more rounds to settle with the new links
     parts = components(spark, parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed(docs, more, size, threshold)))
     placed = classes.select("low", "high", F.col("n").alias("n_shingles"), "class_id").join(parts.withColumnRenamed("id", "class_id"), "class_id", "left")
