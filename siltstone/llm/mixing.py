@@ -3,13 +3,18 @@
 A naive Bayes classifier with Gaussian statistics is fitted on the labelled table and gives each document a
 posterior over the labelled domains.  Nonnegative rates per document are then fitted so that the expected
 domain totals of tokens, sum(rate * tokens * posterior), meet the targets: projected gradient steps on the
-squared misses, in the metric of the domains' Gram matrix, starting from rate 1.  STEPS steps bring domains with
-clear members to their targets; for others they stop early rather than follow noise in small posteriors.  A step needs the domains'
-totals only, so what reaches the driver has the number of domains, and a rate is a fold over the steps so far.
+squared misses, in the metric of the domains' Gram matrix, starting from rate 1.  At most STEPS steps are
+shortened by a ridge; steps without it follow until every domain is within TOLERANCE of its target.  A nearly empty
+domain is a domain like any other: its target holds, so what little there is of it is repeated as often as that takes.
+A target is given up only where no step lowers the misses any more, as for a domain that no document belongs to; the
+log says so, and ``misses`` gives the domains' targets and totals.  A step needs sums over domains and
+pairs of domains only, so that is what reaches the driver, and a rate is a fold over the steps so far.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +25,7 @@ from siltstone.llm.components import written
 DOMAIN = "quality"
 TARGETS = {"1": 0.97, "0": 0.03}
 STEPS, TOLERANCE = 12, 1e-7
-#: Added to the Gram matrix, as a share of all tokens: a domain that no document clearly belongs to moves rates little.
+#: Added to the Gram matrix in the first STEPS steps, as a share of all tokens: rates do not fall to 0 at once for a rare domain's sake.
 RIDGE = 1e-3
 FEATURES = ("log_words", "word_length", "symbols", "capitals", "wide")
 #: Posteriors are tempered: the statistics are not independent.
@@ -84,43 +89,73 @@ def _rate(steps: list[list[float]], k: int) -> Column:
     return F.aggregate(history, F.lit(1.0), next_rate)
 
 
-def mixing_rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_tokens, domain (likeliest), posterior (its share), rate (9 digits).
-
-    The targets are shares of the documents' own total of tokens; with ``keep`` of that total at which the
-    domain ``keep`` holds what it has.  Empty texts have no tokens and follow their posterior.  Repeated rows
-    count each; other columns are ignored; an empty table gives none.
-    """
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, keep: str | None) -> tuple[DataFrame, list[str], list[list[float]], np.ndarray, np.ndarray]:
+    """Documents with posteriors, the domains, the steps, and the domains' totals of tokens after them: reached and wanted."""
     targets = targets or TARGETS
     stats, names = posteriors(written(spark, statistics(docs), "statistics"), labels)
     table = written(spark, stats.select("doc_id", "n_tokens", "p"), "posteriors")
     k = len(names)
     w = np.array([targets.get(n, 0.0) for n in names])
     w = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
-    gram = table.agg(*(F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    g = np.array([[gram[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
 
-    def totals(steps: list[list[float]]) -> np.ndarray:
+    def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """The domains' totals, and the Gram matrix of the documents with a rate."""
         rated = table.select("n_tokens", "p", _rate(steps, k).alias("r"))
-        row = rated.agg(*(F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k))).first()
-        return np.array([row[f"s{i}"] or 0.0 for i in range(k)])
+        tokens = F.when(F.col("r") > 0, F.col("n_tokens")).otherwise(0)
+        sums = [F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]
+        row = rated.agg(*sums, *(F.sum(tokens * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
+        return np.array([row[f"s{i}"] or 0.0 for i in range(k)]), np.array([[row[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
 
     steps: list[list[float]] = []
-    have = totals(steps)
+    have, gram = totals(steps)
     total = have.sum()
-    g += np.eye(k) * max(total * RIDGE, 1e-9)
+    ridged = gram + np.eye(k) * max(total * RIDGE, 1e-9)
     if keep in names and w[names.index(keep)] > 0:
         total = have[names.index(keep)] / w[names.index(keep)]
     want = w * total
+    least = TOLERANCE * max(total, 1.0)
+    far = lambda x: np.abs(x - want).max(initial=0.0)
     for _ in range(STEPS):
-        miss = have - want
-        if np.abs(miss).max(initial=0.0) <= TOLERANCE * max(total, 1.0):
+        if far(have) <= least:
             break
-        steps.append(np.linalg.solve(g, miss).tolist())
-        have = totals(steps)
+        steps.append(np.linalg.solve(ridged, have - want).tolist())
+        have, active = totals(steps)
+    inverse = np.linalg.pinv(gram)
+    size = lambda x: float((x - want) @ inverse @ (x - want))
+    while far(have) > least:
+        # Newton's step on the documents that have a rate; where it does not help, the plain one, which never raises the misses
+        for metric, worth in ((active, 0.25), (gram, 1.0)):
+            step = np.linalg.lstsq(metric, have - want, rcond=None)[0].tolist()
+            after, left = totals([*steps, step])
+            if size(after) < worth * size(have):
+                break
+        if size(after) >= size(have) or np.abs(after - have).max() <= least * 1e-3:
+            break
+        steps.append(step)
+        have, active = after, left
+    for n, x, y in zip(names, have, want, strict=True):
+        if abs(x - y) > least:
+            logging.getLogger(__name__).warning("domain %s: %.1f tokens, target %.1f", n, x, y)
+    return table, names, steps, have, want
+
+
+def mixing_rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_tokens, domain (likeliest), posterior (its share), rate (9 digits).
+
+    The targets are shares of the documents' own total of tokens; with ``keep`` of that total at which the
+    domain ``keep`` holds what it has.  Empty texts have no tokens and follow their posterior.  Repeated rows
+    count each; other columns are ignored; an empty table gives none.
+    """
+    table, names, steps, _, _ = fit(spark, docs, labels, targets, keep)
     best = F.array_max("p")
     domain = F.element_at(F.array(*(F.lit(n) for n in names)), F.array_position("p", best).cast("int"))
-    return table.select("doc_id", "n_tokens", domain.alias("domain"), F.round(best, 9).alias("posterior"), F.round(_rate(steps, k), 9).alias("rate"))
+    return table.select("doc_id", "n_tokens", domain.alias("domain"), F.round(best, 9).alias("posterior"), F.round(_rate(steps, len(names)), 9).alias("rate"))
+
+
+def misses(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
+    """(domain, want, have): the tokens that each domain should hold, and those that it holds at the rates."""
+    _, names, _, have, want = fit(spark, docs, labels, targets, keep)
+    return spark.createDataFrame([(n, float(x), float(y)) for n, x, y in zip(names, want, have, strict=True)], "domain string, want double, have double")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:

@@ -125,6 +125,23 @@ def test_mixing_meets_targets(spark, sf):
     assert np.allclose(r, [x.rate for x in rows], atol=1e-5)
 
 
+def test_mixing_rare_domain(spark):
+    """A domain of two short documents in 2,000 gets its whole target; one without labelled documents is left out."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    rows = [(i, " ".join("###$$$" if i < 2 else word() for _ in range(5 if i < 2 else rng.randrange(30, 90)))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i >= 2)) for i in range(200)], "doc_id long, quality int")
+    for keep in (None, "1"):
+        for r in mixing.misses(spark, docs, lab, keep=keep).collect():
+            assert abs(r.have - r.want) <= 1e-5 * r.want
+    rates = mixing.mixing_rates(spark, docs, lab, keep="1").collect()
+    dirty = sum(r.rate * r.n_tokens * (r.posterior if r.domain == "0" else 1 - r.posterior) for r in rates)
+    assert abs(dirty / sum(r.rate * r.n_tokens for r in rates) - 0.03) < 1e-5
+    got = {r.domain: r for r in mixing.misses(spark, docs.where("doc_id >= 2"), lab, {"1": 0.5, "0": 0.5}).collect()}
+    assert set(got) == {"1"} and abs(got["1"].have - got["1"].want) <= 1e-5 * got["1"].want
+
+
 def test_mixing_odd(spark, odd, empty, labels):
     rates = mixing.mixing_rates(spark, odd, labels)
     assert rates.count() == odd.count() and rates.where("rate is null or rate < 0").count() == 0
