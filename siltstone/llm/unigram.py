@@ -1,6 +1,6 @@
 """Token counts under a unigram model, by dynamic programming over a trie of distinct pre-tokens.
 
-Pieces are the byte strings of a public vocabulary (MOST_BYTES at most).  No unigram model comes with it and
+Pieces are the byte strings of a public vocabulary, all of them.  No unigram model comes with it and
 tokenizers are not trained, so a piece's log-probability follows Zipf's law over the vocabulary's order.
 The pre-tokens that a block of texts adds are visited in sorted order, which is a depth-first walk of their
 trie: each shared prefix's forward score (over all segmentations) and best segmentation are computed once.
@@ -10,6 +10,7 @@ A pre-token's occurrences are counted at its terminal node, and texts sum over t
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,14 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.llm.bpe import tokenizer_bytes
 from siltstone.llm.pretokens import PATTERN, Vocabulary, cut_units, has_run
 
-MOST_BYTES = 16
+#: No bound: the longest piece is the vocabulary's.
+MOST_BYTES = sys.maxsize
 MEMO_UNITS = 300_000
 SCHEMA = "doc_id long, n_pretokens long, n_tokens long, log_forward double"
 
 
 def piece_scores(vocabulary: Vocabulary) -> dict[bytes, float]:
     """Log-probability of each piece; the 256 single bytes are among them, so every text has a segmentation."""
-    pieces = [s for i, s in enumerate(vocabulary.strings) if s and len(s) <= MOST_BYTES and i not in vocabulary.special.values()]
+    pieces = [s for i, s in enumerate(vocabulary.strings) if s and i not in vocabulary.special.values()]
     total = math.log(sum(1 / (k + 2.7) for k in range(len(pieces))))
     return {s: -math.log(k + 2.7) - total for k, s in enumerate(pieces)}
 
@@ -35,6 +37,7 @@ class Forward:
 
     def __init__(self, scores: dict[bytes, float]):
         self.scores = scores
+        self.longest = max(map(len, scores))
         endings: dict[bytes, None] = {}
         for s in scores:
             for i in range(len(s)):
@@ -49,10 +52,10 @@ class Forward:
         while same < most and path[same] == word[same]:
             same += 1
         del alpha[same + 1 :], best[same + 1 :], count[same + 1 :]
-        scores, endings = self.scores, self.endings
+        scores, endings, longest = self.scores, self.endings, self.longest
         for j in range(same + 1, len(word) + 1):
             terms, top, n = [], -math.inf, 0
-            for i in range(j - 1, max(j - MOST_BYTES, 0) - 1, -1):
+            for i in range(j - 1, max(j - longest, 0) - 1, -1):
                 piece = word[i:j]
                 s = scores.get(piece)
                 if s is not None:

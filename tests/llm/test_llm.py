@@ -75,6 +75,28 @@ def test_unigram_brute_force():
         assert n == count[-1] and abs(log - alpha[-1]) < 1e-9 * abs(alpha[-1]) + 1e-9
 
 
+def test_unigram_long_pieces():
+    """Every piece of the vocabulary is in the model, however long; the search is over all starts."""
+    vocabulary = unigram.Vocabulary(bpe.tokenizer_bytes())
+    scores = unigram.piece_scores(vocabulary)
+    assert set(scores) == {s for i, s in enumerate(vocabulary.strings) if s and i not in vocabulary.special.values()}
+    long = sorted(s for s in scores if len(s) > 16)
+    assert b" responsibilities" in long and b"-" * 64 in long
+    forward = unigram.Forward(scores)
+    for w in sorted([*long, *(s + b"s" for s in long)]):
+        alpha, best, count = [0.0], [0.0], [0]
+        for j in range(1, len(w) + 1):
+            found = [(i, scores[w[i:j]]) for i in range(j) if w[i:j] in scores]
+            high = max(alpha[i] + s for i, s in found)
+            alpha.append(high + math.log(sum(math.exp(alpha[i] + s - high) for i, s in found)))
+            top = max(best[i] + s for i, s in found)
+            count.append(min(count[i] + 1 for i, s in found if best[i] + s == top))
+            best.append(top)
+        n, log = forward.visit(w)
+        assert n == count[-1] and abs(log - alpha[-1]) < 1e-9 * abs(alpha[-1])
+    assert forward.visit(b" responsibilities")[0] == 1 and forward.visit(b"-" * 64)[0] == 1
+
+
 def test_token_counts_odd(spark, odd, empty):
     got = by_id(unigram.token_counts(spark, odd))
     assert unigram.token_counts(spark, odd).count() == odd.count() and unigram.token_counts(spark, empty).count() == 0
