@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -129,6 +129,16 @@ def unpack(stored: bytes) -> np.ndarray:
     return np.frombuffer(stored, "<u2" if stored[0] == 2 else "<u4", offset=1).astype("<u4")
 
 
+def recipe_root(recipe: bytes) -> bytes:
+    """A document's root: over the addresses of its chunks in order."""
+    return hashlib.sha256(b"".join(recipe[i : i + 32] for i in range(0, len(recipe), 36))).digest()
+
+
+def shard_leaf() -> Column:
+    """What a document adds to its shard's root, a sum of 31-bit hashes of (position, root), so that it needs no gathering."""
+    return F.pmod(F.xxhash64("pos", "root"), F.lit(2**31 - 1))
+
+
 _OBJECT = "kind string, key long, doc_id long, n long, address binary, body binary"
 
 
@@ -181,15 +191,14 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            root = [hashlib.sha256(b"".join(r[i : i + 32] for i in range(0, len(r), 36))).digest() for r in batch.column(2).to_pylist()]
+            root = [recipe_root(r) for r in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(root, pa.binary())], ["doc_id", "n", "body", "root"])
 
     recipes = spark.read.schema(_OBJECT).parquet(f"{path}/objects").where("kind = 'recipe'")
     recipes = recipes.select("doc_id", "n", "body").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body").mapInArrow(roots, "doc_id long, n long, body binary, root binary")
     recipes.withColumn("shard", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()).write.parquet(f"{path}/recipes")
     stored = spark.read.parquet(f"{path}/recipes")
-    # a shard's root: the sum modulo 2**61-1 of its documents' (position, root) hashes, so that it needs no gathering
-    leaf = F.pmod(F.xxhash64("pos", "root"), F.lit(2**31 - 1))
+    leaf = shard_leaf()
     manifest = stored.groupBy("shard").agg(F.sum("n").alias("n_ids"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum(leaf).alias("root"))
     manifest.coalesce(1).write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
@@ -232,7 +241,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     """One row per document from the stored files: doc_id, start, n_tokens, ids_crc32, verified, n_chunks, in no order.
 
     Each stored chunk is read once and checked against its address; documents join the chunks' lengths and
-    CRC-32s, not their bytes, and their CRC-32 is combined from those.
+    CRC-32s, not their bytes, and their CRC-32 is combined from those.  A document is verified if its chunks are,
+    its recipe has its root, and its shard's documents have the manifest's root, number and ids.
     """
     tables = _shift_tables()
 
@@ -269,15 +279,28 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     refs = recipes.select("pos", "body").mapInArrow(spread, "pos long, address binary, after long")
     parts = refs.join(chunks, "address").select("pos", "crc", "after", "n_ids", "good").mapInArrow(combine, "pos long, part long, n_ids long, good boolean")
     docs = parts.groupBy("pos").agg(F.bit_xor("part").alias("ids_crc32"), F.sum("n_ids").alias("n_tokens"), F.bool_and("good").alias("good"), F.count("*").alias("n_chunks"))
-    starts = spark.read.parquet(f"{path}/manifest").select("shard", "n_ids").orderBy("shard").collect()  # one row per file
+    starts = spark.read.parquet(f"{path}/manifest").select("shard", "n_ids", "n_docs", "root").orderBy("shard").collect()  # one row per file
     offsets, total = [], 0
     for row in starts:
-        offsets.append((row.shard, total))
+        offsets.append((row.shard, total, row.n_ids, row.n_docs, row.root))
         total += row.n_ids
-    before = F.broadcast(spark.createDataFrame(offsets or [(0, 0)], "shard int, shard_start long"))
-    order = Window.partitionBy("shard").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    placed = recipes.select("doc_id", "pos", "n", "shard").withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0))).join(before, "shard")
-    return placed.join(docs, "pos").select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", (F.col("good") & (F.col("n") == F.col("n_tokens"))).alias("verified"), "n_chunks")
+    before = F.broadcast(spark.createDataFrame(offsets, "shard int, shard_start long, shard_ids long, shard_docs long, shard_root long"))
+
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root = [recipe_root(r) for r in batch.column(4).to_pylist()]
+            same = [x == y for x, y in zip(root, batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(root, pa.binary()), pa.array(same, pa.bool_())], ["doc_id", "pos", "n", "shard", "root", "same"])
+
+    found = recipes.select("doc_id", "pos", "n", "shard", "body", "root").mapInArrow(rooted, "doc_id long, pos long, n long, shard int, root binary, same boolean")
+    shard = Window.partitionBy("shard").orderBy("pos")
+    every, order = shard.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), shard.rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("leaf", shard_leaf()).drop("root").withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    found = found.withColumn("all_leaves", F.sum("leaf").over(every)).withColumn("all_ids", F.sum("n").over(every)).withColumn("all_docs", F.count("*").over(every))
+    placed = found.join(before, "shard", "left").join(docs, "pos", "left")
+    whole = (F.col("all_leaves") == F.col("shard_root")) & (F.col("all_ids") == F.col("shard_ids")) & (F.col("all_docs") == F.col("shard_docs"))
+    verified = F.coalesce(F.col("good") & F.col("same") & whole & (F.col("n") == F.col("n_tokens")), F.lit(False))
+    return placed.select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", verified.alias("verified"), "n_chunks")
 
 
 def op6_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import shutil
 import struct
 import zlib
 from collections import Counter
@@ -293,6 +294,20 @@ def test_store_round_trip(spark, odd, empty, library, tmp_path):
     assert idstore.read_store(spark, f"{path}-empty").count() == 0
 
 
+def test_store_roots(spark, odd, tmp_path):
+    """Chunks in another order, and another root in the manifest, are not verified."""
+    path = f"{tmp_path}/store"
+    idstore.write_store(spark, odd, f"file://{path}")
+    swapped = spark.read.parquet(f"file://{path}/recipes").withColumn("body", F.expr("if(doc_id = 9, concat(substring(body, 37, 36), substring(body, 1, 36), substring(body, 73)), body)"))
+    shutil.copytree(path, f"{path}-swapped")
+    swapped.write.mode("overwrite").parquet(f"file://{path}-swapped/recipes")
+    assert not by_id(idstore.read_store(spark, f"file://{path}-swapped"))[9].verified
+    shutil.copytree(path, f"{path}-root")
+    spark.read.parquet(f"file://{path}/manifest").withColumn("root", F.col("root") + 1).write.mode("overwrite").parquet(f"file://{path}-root/manifest")
+    rows = idstore.read_store(spark, f"file://{path}-root").collect()
+    assert len(rows) == len(odd_rows()) and not any(r.verified for r in rows)
+
+
 def test_chunks_and_crc():
     rng = np.random.default_rng(1)
     a, b, c = rng.integers(0, 50_000, 20_000), rng.integers(0, 50_000, 777), rng.integers(0, 50_000, 333)
