@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
+BYTE_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * _MULT)
 _INVERSE = pow(_ODD, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -87,7 +87,7 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Running sums from which span_hash gets the hash of any span."""
     up, _ = _powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_TABLE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(BYTE_TABLE[data] * up[: len(data)], out=out[1:])
     return out
 
 
