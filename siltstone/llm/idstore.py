@@ -28,12 +28,14 @@ from pyspark.sql.window import Window
 
 from siltstone.llm.arrowtext import mix
 from siltstone.llm.bpe import tokenizer_bytes
-from siltstone.llm.pretokens import Memo, Vocabulary, cut_units, unit_reader
+from siltstone.llm.pretokens import Vocabulary, byte_chars
+from siltstone.llm.units import Ids, blocks, held
 
 #: The id that ends each document.
 END_ID = 2
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 128, 4096
-MEMO_UNITS = 700_000
+#: Pre-tokens and units that a worker remembers.
+MEMO_ENTRIES = 1_500_000
 SEEN_CHUNKS = 50_000
 
 
@@ -45,53 +47,35 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-class LibraryEncoder:
-    """text -> little-endian uint32 ids by the tokenizers library; units met before come from a bounded memo."""
+class LibraryIds(Ids):
+    """Ids by the tokenizers library.  Its BPE model is given pre-tokens, many at once: in the characters that stand
+    for their bytes there is no white space, so spaces part them, and the ids divide by the bytes they stand for."""
 
-    def __init__(self, tokenizer_json: bytes, memo_units: int = MEMO_UNITS):
+    def __init__(self, tokenizer_json: bytes, limit: int = MEMO_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._library = library = Tokenizer.from_str(tokenizer_json.decode())
         vocabulary = Vocabulary(tokenizer_json)
-        self._opens = np.array(vocabulary.opens_with_space)
-        ids = lambda text: np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32).tobytes()
-        self._units, self._limit = Memo(lambda u: ids(" " + u), 2 * memo_units), memo_units
-        opening = Memo(ids, memo_units // 8)
-        self._marks = {m: ids(m) for m in ".,;:!?"}
-        self.encode = unit_reader(self._units, opening, vocabulary.special)
-
-    def learn(self, cut: list[list[str]]) -> None:
-        """Encodes the units that are new, many at once: their ids divide where a token opens with a space."""
-        units, older = self._units, self._units.older
-        if len(units) >= self._limit:
-            units.turn()
-            older = units.older
-        new = {u for u in set().union(*cut) if u not in units}
-        again = {u for u in new if u in older}
-        for u in again:
-            units[u] = older[u]
-        new -= again
-        # a word and the mark after it are two pre-tokens: the word is looked up, or learnt, by itself
-        marked = [u for u in new if u[-1:] in self._marks and u[:-1].isalpha()]
-        new.difference_update(marked)
-        for u in marked:
-            if u[:-1] not in units:
-                new.add(u[:-1])
-        new = [u for u in new if u and not u[0].isspace() and not u[-1].isspace() and "<|" not in u and len(u) < 500]
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            ids = np.array(self._library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self._opens[ids])
-            if len(ends) != len(some):
-                continue  # left to one at a time
-            raw = ids.tobytes()
-            start = 0
-            for u, end in zip(some, [*(ends[1:] * 4).tolist(), len(raw)], strict=True):
-                units[u] = raw[start:end]
-                start = end
-        for u in marked:
-            units[u] = units[u[:-1]] + self._marks[u[-1]]
+        self._library = Tokenizer(Tokenizer.from_str(tokenizer_json.decode()).model)
+        self._library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self._bytes = np.array([len(s) for s in vocabulary.strings], np.int64)
+        self._chars = str.maketrans(dict(enumerate(byte_chars())))
+        super().__init__(limit, vocabulary.special)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), 2000):
+            raw = [w.encode("utf-8", "replace") for w in words[at : at + 2000]]
+            text = " ".join([r.decode("latin-1").translate(self._chars) for r in raw])
+            found = np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self._bytes[found]), np.cumsum([len(r) for r in raw])) + 1
+            ids.append(found)
+            lengths.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+
+def library_of(tokenizer_json: bytes) -> LibraryIds:
+    return held("library", tokenizer_json, LibraryIds)
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -151,16 +135,13 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     shared = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, seen = LibraryEncoder(shared.value), end_id.to_bytes(4, "little"), set()
+        encoder, end, seen = library_of(shared.value), np.array([end_id], np.uint32), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                units = [cut_units(x) for x in texts]
-                encoder.learn(units)
+            for part, texts in blocks(batch):
+                flat, ends = encoder.encode(texts)
                 kind, key, doc, n, address, body = [], [], [], [], [], []
-                for doc_id, text, cut in zip(part.column(0).to_pylist(), texts, units, strict=True):
-                    ids = np.frombuffer(encoder.encode(text, cut) + end, "<u4")
+                for row, (doc_id, first, last) in enumerate(zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+                    ids = np.concatenate([flat[first:last], end])
                     start, recipe = 0, []
                     for stop in cuts(ids):
                         packed = pack(ids[start:stop])
@@ -173,7 +154,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
                             kind.append("chunk"), key.append(int.from_bytes(sha[:8], "little", signed=True)), doc.append(None)
                             n.append(stop - start), address.append(sha), body.append(packed)
                         start = stop
-                    kind.append("recipe"), key.append(hash((doc_id, at)) & 0x7FFFFFFFFFFFFFFF), doc.append(doc_id)
+                    kind.append("recipe"), key.append(hash((doc_id, row)) & 0x7FFFFFFFFFFFFFFF), doc.append(doc_id)
                     n.append(len(ids)), address.append(None), body.append(b"".join(recipe))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(kind, pa.string()), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(address, pa.binary()), pa.array(body, pa.binary())],
