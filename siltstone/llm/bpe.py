@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm.pretokens import PATTERN, Memo, Vocabulary, unit_reader
+from siltstone.llm.pretokens import Vocabulary
+from siltstone.llm.units import Ids, blocks, held
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Units and pre-tokens remembered by each worker.
-MEMO_UNITS = 400_000
+#: Pre-tokens and units that a worker remembers.
+MEMO_ENTRIES = 1_500_000
 #: Special tokens decode as their text.  Unused truncation and padding have no settings here.
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -64,20 +65,24 @@ def merge_word(word: bytes, vocabulary: Vocabulary) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-class Codec:
-    """encode: text -> ids as little-endian uint32 bytes.  decode: those bytes -> text."""
+class Codec(Ids):
+    """encode: texts -> ids.  decode: ids -> text."""
 
-    def __init__(self, tokenizer_json: bytes | str, memo_units: int = MEMO_UNITS):
-        self.vocabulary = v = Vocabulary(tokenizer_json)
-        word = Memo(lambda w: array("I", merge_word(w.encode("utf-8", "replace"), v)).tobytes(), memo_units)
-        words = word.__getitem__
-        opening = Memo(lambda u: b"".join(map(words, PATTERN.findall(u))), memo_units // 8)
-        units = Memo(lambda u: b"".join(map(words, PATTERN.findall(" " + u))), memo_units)
-        self.encode = unit_reader(units, opening, v.special)
-        self._string = v.strings.__getitem__
+    def __init__(self, tokenizer_json: bytes | str, limit: int = MEMO_ENTRIES):
+        self.vocabulary = Vocabulary(tokenizer_json)
+        self._string = self.vocabulary.strings.__getitem__
+        super().__init__(limit, self.vocabulary.special)
 
-    def decode(self, ids: bytes) -> str:
-        return b"".join(map(self._string, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [merge_word(w.encode("utf-8", "replace"), self.vocabulary) for w in words]
+        return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each], np.int64)
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self._string, ids)).decode("utf-8", "replace")
+
+
+def codec_of(tokenizer_json: bytes) -> Codec:
+    return held("codec", tokenizer_json, Codec)
 
 
 def tokenizer_bytes(path: str | None = None) -> bytes:
@@ -90,27 +95,29 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, path: str | None = None, ke
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, with ``keep_ids`` also ids (array<int>) and decoded.
 
     Null and empty texts have no ids and decode to the empty text.  Repeated rows give repeated rows; an empty
-    table gives none; other columns of ``docs`` are ignored.  No shuffle; memory does not grow with the table.
+    table gives none; other columns of ``docs`` are ignored.  No shuffle; a worker holds a block of text and a bounded memo.
     """
     shared = spark.sparkContext.broadcast(tokenizer_bytes(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for batch in batches:
-            n, ids_sha, text_sha, kept, texts = [], [], [], [], []
-            for text in batch.column(1):
-                ids = codec.encode(text.as_py() or "")
-                decoded = codec.decode(ids)
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(decoded.encode("utf-8", "replace")).hexdigest())
+            for part, texts in blocks(batch):
+                flat, ends = codec.encode(texts)
+                ids_sha, text_sha, kept, decoded = [], [], [], []
+                for first, last in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    ids = flat[first:last].astype("<u4")
+                    numbers = ids.tolist()
+                    text = codec.decode(numbers)
+                    ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                    text_sha.append(hashlib.sha256(text.encode("utf-8", "replace")).hexdigest())
+                    if keep_ids:
+                        kept.append(numbers)
+                        decoded.append(text)
+                out = {"doc_id": part.column(0), "n_tokens": pa.array(np.diff(ends)), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
                 if keep_ids:
-                    kept.append(memoryview(ids).cast("I").tolist())
-                    texts.append(decoded)
-            out = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-            if keep_ids:
-                out |= {"ids": pa.array(kept, pa.list_(pa.int32())), "decoded": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_pydict(out)
+                    out |= {"ids": pa.array(kept, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.string())}
+                yield pa.RecordBatch.from_pydict(out)
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + (", ids array<int>, decoded string" if keep_ids else ""))
 

@@ -1,14 +1,9 @@
-"""Cutting texts into units that a byte-level BPE tokenizer encodes independently of what stands around them.
-
-A unit is what stands between two spaces, with the space before it.  The pre-tokenizer never joins two of
-them, except in runs of white space; a text with such a run is cut by the whole pattern instead.
-"""
+"""The pre-tokens of a byte-level BPE tokenizer, and its vocabulary file."""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
 
 import regex
 
@@ -21,27 +16,6 @@ _RUN = regex.compile(rf"[{WHITE}] (?:[{WHITE}]|\Z)|  ")
 _MAYBE = re.compile(rf" (?:[{WHITE}]|\Z)")
 
 
-class Memo(dict):
-    """Unit -> result of ``make(unit)``.  It holds two generations of ``limit`` units: those used since the last turn, and those before."""
-
-    def __init__(self, make: Callable[[str], bytes], limit: int):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def turn(self) -> None:
-        self.older = dict(self)
-        self.clear()
-
-    def __missing__(self, unit):
-        out = self.older.get(unit)
-        if out is None:
-            out = self.make(unit)
-        if len(self) >= self.limit:
-            self.turn()
-        self[unit] = out
-        return out
-
-
 def byte_chars() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the rest from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -70,7 +44,6 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[left] << 20 | vocab[right]] = rank << 20 | vocab[left + right]
-        self.opens_with_space = [s[:1] == b" " for s in self.strings]
 
 
 def segments(text: str, special: dict[str, int]) -> list[str | int]:
@@ -85,29 +58,3 @@ def segments(text: str, special: dict[str, int]) -> list[str | int]:
 def has_run(text: str) -> bool:
     """Whether white space beside white space would make units depend on each other."""
     return _MAYBE.search(text) is not None and _RUN.search(text) is not None
-
-
-def cut_units(text: str) -> list[str]:
-    """The opening unit (it may be empty) and the units after each space, each without its space."""
-    return text.split(" ")
-
-
-def unit_reader(units: Memo, opening: Memo, special: dict[str, int]) -> Callable[..., bytes]:
-    """(text, its units or None) -> ids as little-endian uint32.  ``units`` encodes a unit given without its space, ``opening`` any text as it is."""
-    get, join = units.__getitem__, b"".join
-
-    def whole(text: str, cut: list[str] | None = None) -> bytes:
-        if has_run(text):
-            return join(map(opening.__getitem__, PATTERN.findall(text)))
-        cut = cut or cut_units(text)
-        rest = iter(cut)
-        head = next(rest)
-        return (opening[head] if head else b"") + join(map(get, rest))
-
-    def read(text: str, cut: list[str] | None = None) -> bytes:
-        parts = segments(text, special)
-        if len(parts) == 1 and isinstance(parts[0], str):
-            return whole(text, cut)
-        return join(p.to_bytes(4, "little") if isinstance(p, int) else whole(p) for p in parts)
-
-    return read

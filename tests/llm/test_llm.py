@@ -62,18 +62,20 @@ def by_id(df):
 
 def test_unigram_brute_force():
     scores = unigram.piece_scores(unigram.Vocabulary(bpe.tokenizer_bytes()))
-    forward = unigram.Forward(scores)
+    forward, trie = unigram.Forward(scores), unigram.Trie(scores)
     words = sorted({w.encode() for w in ["the", " there", " therefore", "zzzz", " naïve", "日本", "a" * 40, " international", " internationally"]})
     for w in words:
         alpha, best, count = [0.0], [0.0], [0]
         for j in range(1, len(w) + 1):
-            found = [(i, scores[w[i:j]]) for i in range(max(0, j - unigram.MOST_BYTES), j) if w[i:j] in scores]
+            found = [(i, scores[w[i:j]]) for i in range(j) if w[i:j] in scores]
             alpha.append(math.log(sum(math.exp(alpha[i] + s) for i, s in found)))
             top = max(best[i] + s for i, s in found)
             count.append(min(count[i] + 1 for i, s in found if best[i] + s == top))
             best.append(top)
-        n, log = forward.visit(w)
-        assert n == count[-1] and abs(log - alpha[-1]) < 1e-9 * abs(alpha[-1]) + 1e-9
+        for n, log in (forward.visit(w), next(zip(*trie.walk([w]), strict=True))):
+            assert n == count[-1] and abs(log - alpha[-1]) < 1e-9 * abs(alpha[-1]) + 1e-9
+    tokens, logs = trie.walk(words)  # all in one trie: the same as alone
+    assert [(n, x) for n, x in zip(tokens, logs, strict=True)] == [next(zip(*trie.walk([w]), strict=True)) for w in words]
 
 
 def test_unigram_long_pieces():
@@ -83,7 +85,7 @@ def test_unigram_long_pieces():
     assert set(scores) == {s for i, s in enumerate(vocabulary.strings) if s and i not in vocabulary.special.values()}
     long = sorted(s for s in scores if len(s) > 16)
     assert b" responsibilities" in long and b"-" * 64 in long
-    forward = unigram.Forward(scores)
+    forward, trie = unigram.Forward(scores), unigram.Trie(scores)
     for w in sorted([*long, *(s + b"s" for s in long)]):
         alpha, best, count = [0.0], [0.0], [0]
         for j in range(1, len(w) + 1):
@@ -93,8 +95,8 @@ def test_unigram_long_pieces():
             top = max(best[i] + s for i, s in found)
             count.append(min(count[i] + 1 for i, s in found if best[i] + s == top))
             best.append(top)
-        n, log = forward.visit(w)
-        assert n == count[-1] and abs(log - alpha[-1]) < 1e-9 * abs(alpha[-1])
+        for n, log in (forward.visit(w), next(zip(*trie.walk([w]), strict=True))):
+            assert n == count[-1] and abs(log - alpha[-1]) < 1e-9 * abs(alpha[-1])
     assert forward.visit(b" responsibilities")[0] == 1 and forward.visit(b"-" * 64)[0] == 1
 
 
@@ -103,10 +105,22 @@ def test_token_counts_odd(spark, odd, empty):
     assert unigram.token_counts(spark, odd).count() == odd.count() and unigram.token_counts(spark, empty).count() == 0
     assert (got[0].n_tokens, got[0].log_forward) == (0, 0.0) and got[1].n_pretokens == 0
     assert got[10] == got[12].__class__(10, *got[12][1:])
-    counter = unigram.Counter(bpe.tokenizer_bytes(), memo_units=5)  # a memo that turns over all the time changes nothing
+    scores = unigram.Scores(unigram.tokenizer_bytes(), limit=5)  # a memo that is emptied all the time changes nothing
+    walk = unigram.Forward(unigram.piece_scores(unigram.Vocabulary(unigram.tokenizer_bytes())))
     for doc_id, text, *_ in odd_rows()[:-1]:
-        assert counter.totals([text or ""])[0] == (got[doc_id].n_pretokens, got[doc_id].n_tokens, got[doc_id].log_forward)
-        assert got[doc_id].n_pretokens == len(unigram.PATTERN.findall(text or ""))
+        [pretokens], [tokens], [log] = scores.totals([text or ""])
+        assert (pretokens, tokens) == (got[doc_id].n_pretokens, got[doc_id].n_tokens) and math.isclose(log, got[doc_id].log_forward, rel_tol=1e-12)
+        words = unigram.PATTERN.findall(text or "")
+        each = {w: walk.visit(w.encode()) for w in sorted(set(words))}
+        assert pretokens == len(words) and tokens == sum(each[w][0] for w in words) and math.isclose(log, sum(each[w][1] for w in words), rel_tol=1e-9)
+
+
+def test_terminal_counts(spark, odd, empty):
+    rows = unigram.terminal_counts(spark, odd).collect()
+    want = Counter(w for _, t, *_ in odd_rows() for w in unigram.PATTERN.findall(t or ""))
+    assert {r.pretoken: r.occurrences for r in rows} == want and unigram.terminal_counts(spark, empty).count() == 0
+    totals = unigram.token_counts(spark, odd).agg(F.sum("n_tokens"), F.sum("log_forward")).first()
+    assert totals[0] == sum(r.occurrences * r.n_tokens for r in rows) and math.isclose(totals[1], sum(r.occurrences * r.log_forward for r in rows), rel_tol=1e-9)
 
 
 # 2
@@ -376,15 +390,15 @@ def test_bpe_is_the_library(spark, odd, empty, library):
 
 
 def test_bpe_random(library):
-    codec, rng = bpe.Codec(bpe.tokenizer_bytes(), memo_units=50), random.Random(2)
-    encoder = idstore.LibraryEncoder(bpe.tokenizer_bytes(), memo_units=50)
-    for _ in range(1500):
-        text = "".join(rng.choice(" \n\t ab'sé1.!$　 日<|​XY") for _ in range(rng.randrange(50)))
-        ids = library.encode(text, add_special_tokens=False).ids
-        units = idstore.cut_units(text)
-        encoder.learn([units])
-        assert np.frombuffer(codec.encode(text), "<u4").tolist() == ids == np.frombuffer(encoder.encode(text, units), "<u4").tolist()
-        assert codec.decode(codec.encode(text)) == library.decode(ids, skip_special_tokens=False)
+    codec, encoder, rng = bpe.Codec(bpe.tokenizer_bytes(), limit=50), idstore.LibraryIds(bpe.tokenizer_bytes(), limit=50), random.Random(2)
+    for _ in range(150):
+        texts = ["".join(rng.choice(" \n\t ab'sé1.!$　 日<|​XY") for _ in range(rng.randrange(50))) for _ in range(10)]
+        texts[3] += "<|endoftext|> x"
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        for maker in (codec, encoder):
+            flat, ends = maker.encode(texts)
+            assert [flat[i:j].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)] == want
+        assert [codec.decode(ids) for ids in want] == [library.decode(ids, skip_special_tokens=False) for ids in want]
 
 
 # 10
