@@ -1,19 +1,24 @@
-"""Exact repeated substrings by bucket refinement over anchored windows.
-
-A byte is removed if a LENGTH-byte string that covers it starts at two places or more, in one document or two.
-
-1. Every window of LENGTH bytes has an anchor: the q-gram in it with the smallest hash (the leftmost of equal
-   ones), a function of the window's bytes alone.  Neighbouring windows share anchors, so a document has one
-   anchor, with the interval of window starts that belong to it, for some 190 bytes.  The anchor's hash is the
-   initial q-gram bucket of its windows: equal windows are in one bucket.
-2. Buckets are refined by the identifier of an interval's whole context (the bytes of all its windows), counted
-   with partial sums.  A context that occurs twice settles all its windows; a bucket of one occurrence too.
-3. What is left, contexts that share a bucket but not all their bytes, is refined window by window: by the
-   bucket of the first bytes, then by the bucket at the window's end, then by that of the bytes between;
-   windows alone in a bucket drop out before the next step.  Small buckets are refined in one task each;
-   in large ones every window's identifier is counted by itself, so that no task holds a large bucket.
-
-Buckets are told apart by 64-bit hashes of their bytes (128 bits in all for a window).
+"""Exact repeated substrings by bucket-pointer refinement of suffixes.
+
+A byte is removed if a string of LENGTH bytes that covers it starts at two places or more, in one document or two.
+So suffixes need to be told apart by their first LENGTH bytes only, and those alone in a bucket are done with.
+
+1. Initial buckets.  The anchor of a suffix is the q-gram in its first LENGTH bytes with the smallest hash (the
+   leftmost of equal ones), a function of those bytes alone.  Neighbouring suffixes share anchors, so a document
+   has one anchor, with the interval of suffixes that belong to it, for some LENGTH / 2 bytes.  The bucket of an
+   interval is its anchor's q-gram: equal strings are in one bucket.  ``settled`` counts the intervals of a bucket
+   with partial sums: one that is alone is dropped, those of equal context (the bytes of all their strings)
+   are repeated whole and one of them stands for them from then on.
+2. Buckets of more than SMALL contexts are split (``divided``): an interval is halved at fixed distances from the
+   anchor, and a half's bucket is made of all bytes that its strings have in common, which are more than those of
+   the whole.  Halves are settled as before, and split again where they are still many; an interval of one suffix
+   has no more to split.  No task holds a large bucket, and no row is made for each suffix.
+3. Buckets of up to SMALL contexts are refined in one task each (``refined``): suffixes get identifiers of their
+   q-gram buckets, and sorting pairs of identifiers, a suffix's own and that of the suffix h bytes later, gives
+   those of the buckets for twice the length, until LENGTH is reached.  A suffix alone in its bucket has no
+   identifier, so that all that point to it drop out in the next step.
+
+q-grams and contexts are told apart by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +38,10 @@ from siltstone.llm import arrowtext as at
 from siltstone.llm.idstore import shared_dir
 
 LENGTH, GRAM = 400, 32
-#: Contexts in a bucket up to which one task refines it (some 6 MB of text, 150 MB of arrays).
-SMALL = 8192
+#: A passage of 50 words, of four letters and a space.
+PASSAGE = 250
+#: Contexts in a bucket up to which it is not split (some 600 kB of text).
+SMALL = 1024
 _STEP = 1 << 20
 _POS_BITS = 22
 _SALT = np.uint64(0x9FB21C651E98DF25)
@@ -94,7 +102,7 @@ _ITEM = "struct<h:long,a:int,lo:int,hi:int,k:long>"
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of each wanted interval's windows.  ``wanted`` has for each document its list of intervals."""
+    """The bytes of each wanted interval's strings.  ``wanted`` has for each document its list of intervals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,27 +121,39 @@ def contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(run, "did long, th long, h long, k long, lo int, off int, body binary")
 
 
-def refined(bodies: list[bytes], off: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, start in it) of each window that occurs twice among these contexts; ``off`` is the anchor's place."""
+def same_buckets(keys: np.ndarray) -> np.ndarray:
+    """The identifier of each key's bucket, -1 where it is alone."""
+    order = np.argsort(keys)
+    same = np.concatenate([[False], keys[order[1:]] == keys[order[:-1]]]) if len(keys) else np.zeros(0, bool)
+    bucket = np.cumsum(~same) - 1
+    many = np.bincount(bucket)[bucket] > 1 if len(keys) else same
+    out = np.full(len(keys), -1, np.int64)
+    out[order[many]] = bucket[many]
+    return out
+
+
+def refined(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, start in it) of the suffixes whose first ``length`` bytes occur twice among these contexts."""
     data = np.frombuffer(b"".join(bodies), np.uint8)
-    size = np.array([len(b) for b in bodies])
-    base = np.concatenate([[0], np.cumsum(size)[:-1]])
-    count = size - length + 1
-    owner = np.repeat(np.arange(len(bodies)), count)
-    inner = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    start = base[owner] + inner
-    running = at.prefix_hash(data)
-    q = min(16, length)
-    bucket = group[owner].view(np.uint64) ^ at.mix((off[owner] - inner).astype(np.uint64))
-    for first, last in ((0, q), (length - q, length), (0, length)):
-        bucket = at.mix(bucket + at.span_hash(running, start + first, start + last) * _SALT)
-        order = np.argsort(bucket, kind="stable")
-        same = bucket[order[1:]] == bucket[order[:-1]]
-        twice = np.zeros(len(bucket), bool)
-        twice[order[1:]] = same
-        twice[order[:-1]] |= same
-        owner, inner, start, bucket = owner[twice], inner[twice], start[twice], bucket[twice]
-    return owner, inner
+    size = np.array([len(b) for b in bodies], np.int64)
+    ends = np.repeat(np.cumsum(size), size)
+    h = min(GRAM, length)
+    at_ = np.flatnonzero(np.arange(len(data)) + h <= ends)
+    bucket = np.full(len(data), -1, np.int64)
+    bucket[at_] = same_buckets(at.span_hash(at.prefix_hash(data), at_, at_ + h))
+    while h < length:
+        step = min(h, length - h)
+        at_ = at_[(at_ + h + step <= ends[at_]) & (bucket[at_] >= 0)]
+        later = bucket[np.minimum(at_ + step, len(data) - 1)]
+        at_, later = at_[later >= 0], later[later >= 0]
+        finer = same_buckets(bucket[at_] * np.int64(len(data)) + later)
+        bucket = np.full(len(data), -1, np.int64)
+        bucket[at_] = finer
+        h += step
+    found = np.flatnonzero(bucket >= 0)
+    first = np.cumsum(size) - size
+    owner = np.searchsorted(first, found, side="right") - 1
+    return owner, found - first[owner]
 
 
 def _runs(owner: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,11 +168,11 @@ _INTERVALS = "did long, th long, lo int, hi int"
 
 
 def refine_small(rows: DataFrame, length: int) -> DataFrame:
-    """Intervals of repeated windows; each bucket is refined by one task, several at once."""
+    """Intervals of repeated suffixes; each bucket is refined by one task, several at once."""
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        owner, inner = refined(t["body"].to_pylist(), np.asarray(t["off"]).astype(np.int64), np.asarray(t["h"]).copy(), length)
+        owner, inner = refined(t["body"].to_pylist(), length)
         o, first, last = _runs(owner, inner)
         lo = np.asarray(t["lo"])[o]
         return pa.RecordBatch.from_arrays([t["did"].combine_chunks().take(pa.array(o)), t["th"].combine_chunks().take(pa.array(o)), pa.array((lo + first).astype(np.int32)), pa.array((lo + last).astype(np.int32))], ["did", "th", "lo", "hi"])
@@ -177,30 +197,47 @@ def refine_small(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return rows.select("did", "th", "h", "lo", "off", "body").repartition("h").sortWithinPartitions("h").mapInArrow(run, _INTERVALS)
+    return rows.select("did", "th", "h", "lo", "body").repartition("h").sortWithinPartitions("h").mapInArrow(run, _INTERVALS)
+
 
+_PARTS = "did long, th long, h long, c long, lo int, off int, body binary"
 
-def refine_large(rows: DataFrame, length: int) -> DataFrame:
-    """The same for large buckets: window identifiers are counted, with partial sums, and joined back."""
+
+def divided(rows: DataFrame, length: int, block: int) -> DataFrame:
+    """The intervals cut at multiples of ``block`` of a suffix's distance to its anchor; ``off`` is that of the first suffix.
+
+    A part's bucket is the bytes that strings at all distances of its block have in common; ``c`` is its context.
+    """
+    most = length - min(GRAM, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at_ in range(0, batch.num_rows, 500):
-                part = batch.slice(at_, 500)
-                bodies = part.column(3).to_pylist()
-                size = np.array([len(b) for b in bodies])
-                count = size - length + 1
-                owner = np.repeat(np.arange(len(bodies)), count)
-                inner = np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-                running = at.prefix_hash(np.frombuffer(b"".join(bodies), np.uint8))
-                start = np.concatenate([[0], np.cumsum(size)[:-1]])[owner] + inner
-                w = at.span_hash(running, start, start + length)
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(4).take(take), pa.array(w.view(np.int64)), pa.array((np.asarray(part.column(2))[owner] + inner).astype(np.int32))], ["did", "th", "h", "w", "lo"])
-
-    windows = rows.select("did", "th", "lo", "body", "h").mapInArrow(run, "did long, th long, h long, w long, lo int")
-    twice = windows.groupBy("h", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "w")
-    return windows.join(twice, ["h", "w"]).select("did", "th", "lo", F.col("lo").alias("hi"))
+            out: list[list] = [[] for _ in range(7)]
+            for did, th, lo, off, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                near = off - (len(body) - length)  # the distance of the last suffix
+                for part in range(near // block, off // block + 1):
+                    first, last = max(near, part * block), min(off, (part + 1) * block - 1)
+                    own = body[off - last : off - first + length]
+                    low, high = part * block, min((part + 1) * block - 1, most)
+                    core = body[off - low : off + length - high]
+                    tag = b"%d %d " % (block, part)
+                    keys = (int.from_bytes(hashlib.blake2b(tag + x, digest_size=8).digest(), "little", signed=True) for x in (core, b"%d " % last + own))
+                    for column, x in zip(out, (did, th, *keys, lo + off - last, last, own), strict=True):
+                        column.append(x)
+            kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["did", "th", "h", "c", "lo", "off", "body"])
+
+    return rows.select("did", "th", "lo", "off", "body").mapInArrow(run, _PARTS)
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """The intervals of buckets that hold two or more, with ``k``, their bucket's contexts; ``whole`` if their context occurs twice;
+    ``open`` where a bucket has other contexts, for one interval of each context."""
+    mine = F.xxhash64("did", "th", "lo")
+    each = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(mine).alias("one"))
+    bucket = each.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("total > 1").select("h", "k")
+    known = found.join(each.join(bucket, "h"), ["h", "c"])
+    return known.withColumn("whole", F.col("n") > 1).withColumn("open", (F.col("k") > 1) & ((F.col("n") == 1) | (mine == F.col("one")))).drop("n", "one", "c")
 
 
 _RESULT = {"doc_id": T.LongType(), "n_bytes": T.LongType(), "n_removed": T.LongType(), "n_spans": T.LongType(), "kept_sha256": T.StringType()}
@@ -215,17 +252,18 @@ def covered(n: int, intervals: list, length: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def remove(docs: DataFrame, intervals: DataFrame, length: int) -> DataFrame:
-    """The digests of _RESULT and, where ``docs`` has it, ``row`` with the text that is left."""
+def remove(docs: DataFrame, intervals: DataFrame, length: int, passages: DataFrame | None, passage: int) -> DataFrame:
+    """The digests of _RESULT, with ``passages`` also n_passage_bytes and, where ``docs`` has it, ``row`` with the text that is left."""
     carried = [f for f in docs.schema if f.name == "row"]
+    extra = [T.StructField("n_passage_bytes", T.LongType())] if passages is not None else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at_ in range(0, batch.num_rows, 256):
                 part = batch.slice(at_, 256)
                 out: list[list] = [[] for _ in _RESULT]
-                texts = []
-                for doc_id, text, items in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                texts, inside = [], []
+                for doc_id, text, items, more in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     raw = text.encode("utf-8", "replace")
                     kept, removed, spans = raw, 0, 0
                     if items:
@@ -235,53 +273,76 @@ def remove(docs: DataFrame, intervals: DataFrame, length: int) -> DataFrame:
                         spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     for col, v in zip(out, (doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest()), strict=True):
                         col.append(v)
+                    inside.append(int(covered(len(raw), more, passage).sum()) if more else 0)
                     if carried:
                         texts.append(kept.decode("utf-8", "ignore"))
                 arrays = [pa.array(c, t) for c, t in zip(out, [*[pa.int64()] * 4, pa.string()], strict=True)]
+                if extra:
+                    arrays.append(pa.array(inside, pa.int64()))
                 if carried:
-                    row = part.column(3)
+                    row = part.column(4)
                     fields = [row.type.field(i) for i in range(row.type.num_fields)]
                     arrays.append(pa.StructArray.from_arrays([pa.array(texts, f.type) if f.name == "text" else row.field(i) for i, f in enumerate(fields)], fields=fields))
-                yield pa.RecordBatch.from_arrays(arrays, [*_RESULT, *(f.name for f in carried)])
+                yield pa.RecordBatch.from_arrays(arrays, [*_RESULT, *(f.name for f in [*extra, *carried])])
 
-    lists = intervals.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
-    schema = T.StructType([*(T.StructField(k, t) for k, t in _RESULT.items()), *carried])
-    return docs.join(lists.hint("merge"), KEYS, "left").select("doc_id", "text", "items", *(f.name for f in carried)).mapInArrow(run, schema)
+    def lists(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*KEYS).agg(F.collect_list(F.struct("lo", "hi")).alias(name)).hint("merge")
 
+    joined = docs.join(lists(intervals, "items"), KEYS, "left")
+    joined = joined.withColumn("more", F.lit(None).cast("array<struct<lo:int,hi:int>>")) if passages is None else joined.join(lists(passages, "more"), KEYS, "left")
+    schema = T.StructType([*(T.StructField(k, t) for k, t in _RESULT.items()), *extra, *carried])
+    return joined.select("doc_id", "text", "items", "more", *(f.name for f in carried)).mapInArrow(run, schema)
 
-def repeated_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep_rows: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with ``keep_rows`` also
-    ``row``, a struct of the columns of ``docs`` in which ``text`` is what is left.
 
-    Null texts are empty; texts under ``length`` bytes keep all.  Strings are judged on the input, overlaps
-    count, copies of a row remove each other.  Removal may cut a character's bytes: the hash is over the bytes
-    left, the text in ``row`` drops such incomplete characters.  Other columns are ignored; an empty table gives none.
-    """
-    docs = _keyed(docs, keep_rows)
+def intervals(spark: SparkSession, docs: DataFrame, length: int) -> DataFrame:
+    """(did, th, lo, hi): the starts of strings of ``length`` bytes that start at two places or more."""
     root = shared_dir(spark, "substrings")
 
+    def drop(name: str) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def put(df: DataFrame, name: str, gone: str | None = None) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{root}/{name}")
         if gone:
-            jvm, path = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{gone}")
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            drop(gone)
         gc.collect()
         spark.sparkContext._jvm.System.gc()  # lets Spark remove shuffle files of the step before
         return spark.read.parquet(f"{root}/{name}")
 
-    found = put(anchors(docs, length), "anchors")
-    mine = F.xxhash64("did", "th", "lo")
-    each = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(mine).alias("one"))
-    bucket = each.groupBy("h").agg(F.count("*").alias("k"), F.sum("n").alias("total")).where("total > 1").select("h", "k")
-    known = each.join(bucket, "h")
-    settled = found.join(known, ["h", "c"]).select("did", "th", "h", "a", "lo", "hi", "k", (F.col("n") > 1).alias("whole"), ((F.col("k") > 1) & ((F.col("n") == 1) | (mine == F.col("one")))).alias("open"))
-    settled = put(settled, "settled", gone="anchors")
-    wanted = settled.where("open").groupBy(*KEYS).agg(F.collect_list(F.struct("h", "a", "lo", "hi", "k")).alias("items"))
+    first = put(settled(put(anchors(docs, length), "anchors")), "settled", gone="anchors")
+    found = [first.where("whole").select("did", "th", "lo", "hi")]
+    wanted = first.where("open").groupBy(*KEYS).agg(F.collect_list(F.struct("h", "a", "lo", "hi", "k")).alias("items"))
     rows = put(contexts(docs, wanted, length), "contexts")
-    small, large = refine_small(rows.where(F.col("k") <= SMALL), length), refine_large(rows.where(F.col("k") > SMALL), length)
-    parts = put(small.unionByName(large), "intervals", gone="contexts").unionByName(settled.where("whole").select("did", "th", "lo", "hi"))
-    return remove(docs, parts, length)
+    used = ["contexts"]
+    small = rows.where(F.col("k") <= SMALL)
+    block = 1 << (length - 1).bit_length()
+    while block > 1 and not (large := rows.where(F.col("k") > SMALL)).isEmpty():
+        block //= 2
+        parts = put(settled(put(divided(large, length, block), f"parts{block}")), f"halves{block}", gone=f"parts{block}")
+        found.append(parts.where("whole").select("did", "th", "lo", (F.col("lo") + F.length("body") - length).alias("hi")))
+        rows = parts.where("open")
+        used.append(f"halves{block}")
+        small = small.unionByName(rows.where(F.col("k") <= SMALL), allowMissingColumns=True)
+    every = put(reduce(DataFrame.unionByName, [refine_small(small, length), *found]), "intervals")
+    for name in ["settled", *used]:
+        drop(name)
+    return every
+
+
+def repeated_substrings(spark: SparkSession, docs: DataFrame, length: int = LENGTH, keep_rows: bool = False, passage: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; with ``passage`` also
+    n_passage_bytes, the bytes (removed or not) that a repeated string of ``passage`` bytes covers; with ``keep_rows`` also
+    ``row``, a struct of the columns of ``docs`` in which ``text`` is what is left.
+
+    Null texts are empty; texts under ``length`` bytes keep all.  Strings are judged on the input, overlaps
+    count, copies of a row remove each other.  Removal may cut a character's bytes: the hash is over the bytes
+    left, the text in ``row`` drops such incomplete characters.  Other columns are ignored; an empty table gives none.
+    """
+    docs = _keyed(docs, keep_rows)
+    passages = intervals(spark, docs, passage) if passage else None
+    return remove(docs, intervals(spark, docs, length), length, passages, passage or length)
 
 
 def op7_suffix_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_substrings(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repeated_substrings(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE)

@@ -351,7 +351,7 @@ def brute_substrings(texts, length):
     return out
 
 
-@pytest.mark.parametrize("small", [8192, 2])
+@pytest.mark.parametrize("small", [8192, 8, 1])
 def test_substrings(spark, monkeypatch, small):
     monkeypatch.setattr(substrings, "SMALL", small)
     rng = random.Random(small)
@@ -362,9 +362,20 @@ def test_substrings(spark, monkeypatch, small):
         texts.append(parts[0] + rng.choice(passages) + parts[1] + rng.choice(passages)[: rng.randrange(120)] + parts[2])
     texts += ["a" * 300, "ab" * 90, "", texts[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = by_id(substrings.repeated_substrings(spark, df, length=50))
+    got = by_id(substrings.repeated_substrings(spark, df, length=50, passage=37))
     want = brute_substrings([t.encode() for t in texts], 50)
-    assert [tuple(got[i])[1:] for i in range(len(texts))] == want
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == want
+    assert [got[i].n_passage_bytes for i in range(len(texts))] == [x[1] for x in brute_substrings([t.encode() for t in texts], 37)]
+
+
+def test_refined_is_a_suffix_sort():
+    rng = random.Random(5)
+    bodies = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 90))) for _ in range(60)] + [b"a" * 70, b"a" * 45]
+    for length in (1, 7, 32, 40):
+        seen = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
+        owner, inner = substrings.refined(bodies, length)
+        want = {(k, i) for k, b in enumerate(bodies) for i in range(len(b) - length + 1) if seen[b[i : i + length]] > 1}
+        assert set(zip(owner.tolist(), inner.tolist(), strict=True)) == want
 
 
 def test_substrings_odd(spark, odd, empty):
