@@ -456,6 +456,22 @@ def test_pipeline_odd(spark, odd, empty, labels, tmp_path):
     assert len(deduped) == len(set(deduped)) and 10 in deduped and 12 not in deduped
 
 
+def test_pipeline_substrings(spark):
+    """Passages of 51 to 60 words that documents share go; what is between them, and other documents, stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    run = lambda n: " ".join(word() for _ in range(n))
+    passages = [run(51 + k) for k in range(10)]
+    shared = [f"{run(80)} {passages[i % 10]} {run(70)}" for i in range(30)]
+    clean = [run(rng.randrange(20, 200)) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(shared + clean)], "doc_id long, text string, n_chars long")
+    got = by_id(corpus_pipeline.substrings(spark, docs, ""))
+    for i, t in enumerate(shared + clean):
+        left = got[i].text
+        assert got[i].n_chars == len(left)
+        assert left == t if i >= 30 else len(t) - len(left) >= len(passages[i % 10]) and not any(p[20:-20] in left for p in passages) and left[:300] == t[:300]
+
+
 def test_pipeline_runs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.rules(spark, docs, sf).collect()}
