@@ -16,7 +16,7 @@ from siltstone.llm.idstore import shared_dir
 from siltstone.llm.mixing import mixed
 from siltstone.llm.neardup import near_duplicates
 from siltstone.llm.rules import kept_documents
-from siltstone.llm.substrings import repeated_substrings
+from siltstone.llm.substrings import PASSAGE, repeated_substrings
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +32,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated 400-byte strings; a document of which nothing is left goes.  n_chars follows the text."""
-    left = repeated_substrings(spark, docs, keep_rows=True).where("n_bytes = 0 or n_removed < n_bytes").select("row.*")
+    """Texts without the bytes of repeated strings of a passage's length; a document of which nothing is left goes.  n_chars follows the text."""
+    left = repeated_substrings(spark, docs, length=PASSAGE, keep_rows=True).where("n_bytes = 0 or n_removed < n_bytes").select("row.*")
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
