@@ -16,7 +16,7 @@ from siltstone.llm.units import Ids, blocks, held
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Pre-tokens and units that a worker remembers.
-MEMO_ENTRIES = 1_500_000
+MEMO_ENTRIES = 600_000
 #: Special tokens decode as their text.  Unused truncation and padding have no settings here.
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

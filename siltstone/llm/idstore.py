@@ -35,7 +35,7 @@ from siltstone.llm.units import Ids, blocks, held
 END_ID = 2
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 128, 4096
 #: Pre-tokens and units that a worker remembers.
-MEMO_ENTRIES = 1_500_000
+MEMO_ENTRIES = 600_000
 SEEN_CHUNKS = 50_000
 
 

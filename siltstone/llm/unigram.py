@@ -24,7 +24,7 @@ from siltstone.llm.pretokens import PATTERN, Vocabulary
 from siltstone.llm.units import Entries, blocks, held
 
 #: Pre-tokens and units that a worker remembers.
-MEMO_ENTRIES = 1_500_000
+MEMO_ENTRIES = 600_000
 #: Depth of the trie up to which it is walked level by level.
 LEVELS = 64
 _BASE = 0x5851F42D4C957F2D

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from siltstone.llm.pretokens import PATTERN, has_run, segments
 
 #: Bytes of text in a block (a longer text is a block by itself).
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 _HELD: dict[str, tuple[bytes, object]] = {}
 
 
