@@ -1,33 +1,134 @@
-"""Visible text of HTML, as chains of patterns that stay in the JVM."""
+"""Visible text of HTML.
+
+Hidden elements nest, which patterns cannot follow, so pages are parsed: one pass of the standard library's
+parser in an Arrow-fed function.  Pages need not be well formed.
+"""
 
 from __future__ import annotations
 
+import re
+from html import unescape
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST_CHARACTERS = 500
+# fixed values: elements and attributes that are taken out
+REMOVED = ("script", "style", "noscript")
+STRIPPED = ("aria-label", "alt", "title")
+#: Elements around the main text.
+AROUND = ("nav", "header", "footer", "aside")
+_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_ATTRIBUTE = re.compile(rf"""\s(?:{"|".join(STRIPPED)})(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']*))?(?=[\s/>])""", re.IGNORECASE)
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: Elements that such a start tag ends.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {b: {"p"} for b in _BLOCKS}
+
+
+class _Page(HTMLParser):
+    """Collects what is shown: markup in ``kept``, text in ``said``."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.open: list[tuple[str, bool, bool]] = []  # tag, hidden, around the main text
+        self.kept: list[str] = []
+        self.said: list[str] = []
+
+    def _state(self) -> tuple[bool, bool]:
+        return self.open[-1][1:] if self.open else (False, False)
+
+    def handle_starttag(self, tag, attrs):
+        while self.open and self.open[-1][0] in _ENDS.get(tag, ()):
+            self.open.pop()
+        hidden, around = self._state()
+        given = dict(attrs)
+        hidden = hidden or tag in REMOVED or "hidden" in given or bool(_HIDING.search(given.get("style") or ""))
+        around = around or tag in AROUND
+        if tag not in _VOID:
+            self.open.append((tag, hidden, around))
+        if not hidden:
+            self.kept.append(_ATTRIBUTE.sub("", self.get_starttag_text()))
+        self.said.append(" ")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.open.pop()
+
+    def handle_endtag(self, tag):
+        self.said.append(" ")
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
+        if at is None:
+            return
+        hidden = self.open[at][1]
+        del self.open[at:]
+        if not hidden:
+            self.kept.append(f"</{tag}>")
+
+    def handle_data(self, data):
+        hidden, around = self._state()
+        if not hidden:
+            self.kept.append(data)
+            if not around:
+                self.said.append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+    def handle_decl(self, decl):
+        self.kept.append(f"<!{decl}>")
+
+
+def parsed(page: str | None) -> _Page:
+    out = _Page()
+    out.feed(page or "")
+    out.close()
+    return out
+
+
+def sanitize_page(page: str | None) -> str:
+    """Without comments, scripts, styles and noscript, hidden elements with all they hold, and the attributes STRIPPED."""
+    return "".join(parsed(page).kept)
+
+
+def page_text(page: str | None) -> str:
+    """What a page shows outside AROUND: no tags, entities decoded, white space single."""
+    return re.sub(r"[ \t\n\r\xa0]+", " ", unescape("".join(parsed(page).said))).strip(" ")
+
+
+@F.pandas_udf(T.StringType())
+def _sanitized(pages: pd.Series) -> pd.Series:
+    return pages.map(sanitize_page)
+
+
+@F.pandas_udf(T.StringType())
+def _texts(pages: pd.Series) -> pd.Series:
+    return pages.map(page_text)
 
 
 def sanitize(c: Column) -> Column:
-    """Without comments, scripts, styles and noscript, hidden elements, and the attributes aria-label, alt and title."""
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    for tag in ("script", "style", "noscript"):
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    for tag in ("div", "span", "p", "section"):
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*(?:\shidden\b|display\s*:\s*none|visibility\s*:\s*hidden)[^>]*>.*?</{tag}\s*>", "")
-    return F.regexp_replace(c, r"(?is)\s(?:aria-label|alt|title)=(?:\"[^\"]*\"|'[^']*')", "")
+    """``sanitize_page`` of a column; null is empty."""
+    return _sanitized(c)
 
 
 def visible_text(c: Column) -> Column:
-    """The sanitized text without tags, basic entities decoded, white space single."""
-    c = F.regexp_replace(sanitize(c), r"(?is)<(nav|header|footer|aside)\b[^>]*>.*?</\1\s*>", " ")
-    c = F.regexp_replace(c, r"<[^>]*>", " ")
-    for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(mark))
-    return F.regexp_replace(F.regexp_replace(c, r"[ \t\n\r]+", " "), r"^ | $", "")
+    """``page_text`` of a column; null is empty."""
+    return _texts(c)
 
 
 def extract(c: Column, least: int = LEAST_CHARACTERS) -> Column:
     """The visible text, empty where it has fewer than ``least`` characters."""
-    text = F.coalesce(visible_text(c), F.lit(""))
+    text = visible_text(c)
     return F.when(F.length(text) < least, "").otherwise(text)
+
+
+def body_of(markdown: Column, page: Column, least: int = LEAST_CHARACTERS) -> Column:
+    """The markdown where there is some, else what the page shows, else empty."""
+    return F.coalesce(F.nullif(markdown, F.lit("")), extract(page, least), F.lit(""))

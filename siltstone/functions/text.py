@@ -53,7 +53,7 @@ def model_slug(c: Column) -> Column:
 
 
 def strip_links(c: Column) -> Column:
-    """Markdown images, inline links and reference links as their text; images go first."""
+    """Markdown images, inline links and reference links as their text; images go first (fixed patterns)."""
     c = F.regexp_replace(c, r"!\[([^\]]*)\]\([^)]+\)", "$1")
     c = F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")
     return F.regexp_replace(c, r"\[([^\]]+)\]\[[^\]]+\]", "$1")
@@ -70,11 +70,23 @@ def truncate_tokens(c: Column, most: int) -> Column:
     return c if most <= 0 else F.array_join(F.slice(F.split(c, " "), 1, most), " ")
 
 
-def scrub_secrets(c: Column) -> Column:
-    """Addresses, bearer tokens and keys behind a mark."""
-    c = F.regexp_replace(c, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>")
-    c = F.regexp_replace(c, r"(?i)bearer [A-Za-z0-9._-]+", "Bearer <token>")
-    return F.regexp_replace(c, r"\b(sk|pk|api|key|AKIA)[-_]?[A-Za-z0-9]{12,}\b", "<key>")
+# fixed values: the families of secret keys
+SECRET_PATTERNS = (
+    r"(?i)sk-(?:ant-(?:admin\d+-|api\d+-)?|proj-|svcacct-|or-v1-)?[A-Za-z0-9_\-]{20,}",
+    r"tvly-[A-Za-z0-9]{20,}",
+    r"lmnr_[A-Za-z0-9]{20,}",
+    r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}",
+    r"ya29\.[A-Za-z0-9_\-]+",
+    r"ghp_[A-Za-z0-9]{36}",
+)
+
+
+def scrub_secrets(c: Column, mark: str = "SCRUBBED") -> Column:
+    """Keys of the known families behind a mark."""
+    for pattern in SECRET_PATTERNS:
+        c = F.regexp_replace(c, pattern, mark)
+    return c
 
 
 # fixed value: what counts as a numeric claim (a number, its unit if any, and one more word if any)

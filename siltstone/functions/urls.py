@@ -2,46 +2,83 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "github.io")
-#: Hosts on which many organisations publish.
-PLATFORMS = ("medium.com", "substack.com", "github.com", "wordpress.com", "blogspot.com", "github.io", "example.com")
-#: Names of instance metadata services.
-METADATA_HOSTS = ("metadata.google.internal", "metadata", "instance-data")
+TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in")
+# fixed values: hosts on which many organisations publish
+PLATFORMS = (
+    "medium.com", "substack.com", "ghost.io", "wordpress.com", "blogspot.com", "notion.site", "dev.to", "github.io", "hashnode.com", "mirror.xyz",
+    "beehiiv.com", "buttondown.email", "linkedin.com", "twitter.com", "x.com", "posthaven.com", "bearblog.dev", "write.as", "wikipedia.org",
+)
+# fixed values: names of instance metadata services
+METADATA_HOSTS = ("metadata.google.internal", "metadata", "instance-data", "metadata.azure.com")
+#: Shared address space of carriers, which counts as private.
+CARRIER = ipaddress.ip_network("100.64.0.0/10")
 
 
 def host(url: Column) -> Column:
-    """Lower-case host, empty where there is none."""
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    """Lower-case host without port, user and final dot, an IPv6 address without its brackets; empty where there is none."""
+    found = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
+    return F.coalesce(F.regexp_replace(found, r"^\[|\]$|\.$", ""), F.lit(""))
 
 
-def registrable_domain(url: Column) -> Column:
+def registrable_domain(url: Column, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> Column:
     """The registered name: two labels, three under a suffix of two; an address or a single label is itself."""
     h = host(url)
     last2 = F.substring_index(h, ".", -2)
-    plain = F.when(last2.isin(*TWO_LABEL_SUFFIXES), F.substring_index(h, ".", -3)).otherwise(last2)
-    return F.when(F.regexp_like(h, F.lit(r"^[0-9.]+$")), h).otherwise(plain)
+    plain = F.when(last2.isin(*suffixes), F.substring_index(h, ".", -3)).otherwise(last2)
+    return F.when(F.regexp_like(h, F.lit(r"^[0-9.]+$|:")), h).otherwise(plain)
+
 
+def is_platform(domain: Column, platforms: tuple[str, ...] = PLATFORMS) -> Column:
+    return domain.isin(*platforms)
 
-def is_platform(domain: Column) -> Column:
-    return domain.isin(*PLATFORMS)
 
+def address_is_public(address: str) -> bool:
+    """Whether this is the text of a public IP address; anything that is no plain address is not."""
+    try:
+        ip = ipaddress.ip_address(address)
+    except ValueError:
+        return False
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    inside = ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified
+    return not inside and not (ip.version == 4 and ip in CARRIER)
 
-def _octets(h: Column) -> list[Column]:
-    return [F.nullif(F.regexp_extract(h, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i), F.lit("")).cast("int") for i in (1, 2, 3, 4)]
+
+@F.pandas_udf(T.BooleanType())
+def _literal_is_public(hosts: pd.Series) -> pd.Series:
+    return hosts.map(lambda h: h is not None and address_is_public(h))
 
 
 def url_allowed(url: Column) -> Column:
-    """http or https, with a host that is no metadata service and no private, loopback or link-local IPv4 literal."""
+    """http or https, with a host that is no metadata service; an address must be public and plainly written.
+
+    A host counts as an address if it has a colon or its last label is a number (decimal, octal or hexadecimal).
+    Names still have to be resolved, and their addresses checked with ``address_is_public``, by whoever fetches.
+    """
     h = host(url)
-    a, b, _, _ = _octets(h)
-    private = (a == 10) | (a == 127) | (a == 0) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | (a >= 224)
-    return F.coalesce(F.regexp_like(url, F.lit("^https?://")), F.lit(False)) & (h != "") & ~h.isin("localhost", *METADATA_HOSTS) & ~F.coalesce(private, F.lit(False))
+    literal = F.regexp_like(h, F.lit(r":|(?:^|\.)(?:0x[0-9a-f]*|[0-9]+)$"))
+    good = F.coalesce(F.regexp_like(url, F.lit("^https?://")), F.lit(False)) & (h != "")
+    return good & ~h.isin("localhost", *METADATA_HOSTS) & ~F.regexp_like(h, F.lit(r"\.localhost$")) & (~literal | _literal_is_public(h))
 
 
 def hosts_allowed(urls: Column, allowed: Column) -> Column:
     """Whether every URL's host is allowed: true without URLs, false where one has no host."""
     return F.forall(urls, lambda u: (host(u) != "") & F.array_contains(allowed, host(u)))
+
+
+def robots_allowed(robots: str | None, url: str, agent: str) -> bool:
+    """Whether a site's robots.txt lets ``agent`` read the URL; without a file (or with an unreadable one) it may."""
+    from urllib.robotparser import RobotFileParser
+
+    if not robots:
+        return True
+    rules = RobotFileParser()
+    rules.parse(robots.splitlines())
+    return rules.can_fetch(agent, url)

@@ -40,10 +40,10 @@ def tier_ids(spark, d):
     return table(spark, d, "part").select("p_partkey", t2.alias("tier2"), (~F.contains(t2, F.lit("::"))).alias("looks_tier1"), (~F.contains(nm, F.lit("::"))).alias("name_tier1"))
 
 
-@query("""SELECT doc_id, CASE WHEN s = '' THEN 'run' ELSE s END AS slug, regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9._-]', '_', 'g') AS model_slug FROM (
-  SELECT doc_id, text, regexp_replace(substr(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '') AS s FROM documents)""")
+@query("""SELECT doc_id, CASE WHEN s = '' THEN 'run' ELSE s END AS slug, sha256(regexp_replace(text, '[^A-Za-z0-9._-]', '_', 'g')) AS model_slug_sha FROM (
+  SELECT doc_id, text, regexp_replace(substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40), '-+$', '') AS s FROM documents)""")
 def slugify(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.slugify(F.substring("text", 1, 200)).alias("slug"), text.model_slug(F.substring("text", 1, 40)).alias("model_slug"))
+    return table(spark, d, "documents").select("doc_id", text.slugify(F.col("text")).alias("slug"), hashing.sha256(text.model_slug(F.col("text"))).alias("model_slug_sha"))
 
 
 @query("""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '!\\[([^\\]]*)\\]\\([^)]+\\)', '\\1', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '\\[([^\\]]+)\\]\\[[^\\]]+\\]', '\\1', 'g') AS stripped
@@ -63,23 +63,35 @@ def truncate_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", text.truncate_tokens(F.col("text"), 50).alias("head"))
 
 
-@query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g'), '(?i)bearer [A-Za-z0-9._-]+', 'Bearer <token>', 'g'),
-  '\\b(sk|pk|api|key|AKIA)[-_]?[A-Za-z0-9]{12,}\\b', '<key>', 'g')) AS scrubbed_sha FROM documents WHERE lang = 'en'""")
+def _scrub_sql(c: str) -> str:
+    for pattern in text.SECRET_PATTERNS:
+        c = f"regexp_replace({c}, '{pattern}', 'SCRUBBED', 'g')"
+    return c
+
+
+@query(f"SELECT doc_id, sha256({_scrub_sql('text')}) AS scrubbed_sha FROM documents")
 def secret_scrub(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", hashing.sha256(text.scrub_secrets(F.col("text"))).alias("scrubbed_sha"))
+    return table(spark, d, "documents").select("doc_id", hashing.sha256(text.scrub_secrets(F.col("text"))).alias("scrubbed_sha"))
+
+
+_SUFFIXES = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+_PLATFORMS = ", ".join(f"'{x}'" for x in urls.PLATFORMS)
 
 
-@query("""SELECT page_id, host, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host
-  WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in', 'github.io') THEN array_to_string(string_split(host, '.')[-3:], '.')
-  ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages)""")
+@query(f"""SELECT *, domain IN ({_PLATFORMS}) AS platform FROM (SELECT page_id, host, CASE WHEN regexp_matches(host, '^[0-9.]+$') THEN host
+  WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({_SUFFIXES}) THEN array_to_string(string_split(host, '.')[-3:], '.')
+  ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain FROM (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages))""")
 def registrable_domain(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.registrable_domain(F.col("url")).alias("domain"))
+    rows = table(spark, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.registrable_domain(F.col("url")).alias("domain"))
+    return rows.withColumn("platform", urls.is_platform(F.col("domain")))
 
 
-_URL = "CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'ftp://x.example.com/a' WHEN 2 THEN 'http://10.0.0.' || (page_id % 255) || '/a' WHEN 3 THEN 'http://172.' || (page_id % 40) || '.1.1/' WHEN 4 THEN 'http://169.254.169.254/latest' WHEN 5 THEN 'http://8.8.' || (page_id % 9) || '.8/x' ELSE 'https://localhost:8080/' END"
+_URL = """CASE page_id % 13 WHEN 0 THEN url WHEN 1 THEN 'ftp://x.example.com/a' WHEN 2 THEN 'http://10.0.0.' || (page_id % 255) || '/a' WHEN 3 THEN 'http://172.' || (page_id % 40) || '.1.1/'
+  WHEN 4 THEN 'http://169.254.169.254/latest' WHEN 5 THEN 'http://8.8.' || (page_id % 9) || '.8/x' WHEN 6 THEN 'http://[fe80::' || page_id || ']/x' WHEN 7 THEN 'http://100.' || (page_id % 130) || '.1.1/'
+  WHEN 8 THEN 'http://2130706433/' WHEN 9 THEN 'http://[2606:4700::' || (page_id % 9) || ']:8080/' WHEN 10 THEN 'https://metadata.azure.com/x' WHEN 11 THEN 'http://u:p@127.0.0.1/' ELSE 'https://localhost:8080/' END"""
 
 
-@query(f"""SELECT page_id, u AS url FROM (SELECT page_id, {_URL} AS u FROM pages) WHERE page_id % 7 IN (0, 5) OR (page_id % 7 = 3 AND page_id % 40 NOT BETWEEN 16 AND 31)""")
+@query(f"""SELECT page_id, u AS url FROM (SELECT page_id, {_URL} AS u FROM pages) WHERE page_id % 13 IN (0, 5, 9) OR (page_id % 13 = 3 AND page_id % 40 NOT BETWEEN 16 AND 31) OR (page_id % 13 = 7 AND page_id % 130 NOT BETWEEN 64 AND 127)""")
 def url_policy_filter(spark, d):
     return table(spark, d, "pages").select("page_id", F.expr(_URL).alias("url")).where(urls.url_allowed(F.col("url")))
 
@@ -152,11 +164,11 @@ def payload_build(spark, d):
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id % 100 = 0""")
+  FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id % 100 = 0""")
 def cosine_pairs(spark, d):
+    """Every query vector (ids divisible by 100) against every other row, in blocks of queries."""
     e = table(spark, d, "embeddings")
-    a, b = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label"), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
+    return vectors.cosines(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding").select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query("""SELECT vec_id, round(list_sum(u), 6) AS total, round(u[1], 6) AS first FROM (

@@ -97,10 +97,11 @@ def rerank_length(spark, d):
     return ranked.length_errors(c.where("l_tax > 0.01"), c, 4)
 
 
-@query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(substr(text, 1, 3))) ORDER BY turn) AS rn FROM conversations) WHERE rn = 1")
+@query("""SELECT conv_id, turn, sha256(text) AS text_sha FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(regexp_replace(CASE WHEN turn % 3 = 2 THEN role ELSE text END, '^\\s+|\\s+$', '', 'g')) ORDER BY turn) AS rn FROM conversations) WHERE rn = 1""")
 def lesson_dedup(spark, d):
-    rows = table(spark, d, "conversations").withColumn("lesson", F.concat(F.lit(" "), F.substring("text", 1, 3), F.lit("\t")))
-    return ranked.distinct_lessons(rows, ["conv_id"], "lesson", "turn").select("conv_id", "turn", "text")
+    """Whole texts as lessons; every third one is the role alone, so that there are equal ones."""
+    lesson = F.concat(F.lit(" "), F.when(F.col("turn") % 3 == 2, F.upper("role")).otherwise(F.col("text")), F.lit("\t"))
+    return ranked.distinct_lessons(table(spark, d, "conversations").withColumn("lesson", lesson), ["conv_id"], "lesson", "turn").select("conv_id", "turn", hashing.sha256(F.col("text")).alias("text_sha"))
 
 
 _RISKS = """risks AS (SELECT o_custkey AS query_id, o_orderkey AS pos, o_orderpriority AS summary, CASE WHEN o_totalprice > 100000 THEN 'high' WHEN o_totalprice > 50000 THEN 'medium' ELSE 'low' END AS severity, o_orderkey % 4 AS n_raised FROM orders)"""
