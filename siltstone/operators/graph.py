@@ -16,29 +16,43 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of an id points to the smallest id around it."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every smaller neighbour of an id, and the id itself, point to the smallest of them."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that each end of an edge (a, b) reaches; directions do not matter.
 
-    Each round gives an id the smallest label of its neighbours, then the label of its label; every round is
-    written to the shared folder, which cuts the lineage and survives a lost executor.
+    Large and small stars in turn: after each, an id has an edge to a smaller one only, and rounds grow with the
+    logarithm of the ids.  Minima are partial sums and no row is keyed by a component's label, so no task holds
+    a component.  Every round is written to the shared folder, which survives a lost executor.
     """
     spark = edges.sparkSession
 
-    def cut(df: DataFrame) -> DataFrame:
+    def cut(df: DataFrame) -> tuple[DataFrame, tuple]:
         path = shared_dir(spark, "components")
         df.write.parquet(path)
-        return spark.read.parquet(path)
+        rows = spark.read.parquet(path)
+        return rows, tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    label = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")))
+    now, before = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
-        near = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("n"))
-        step = label.join(near, "a").select("a", F.least("c", "n").alias("c"))
-        jump = step.select(F.col("a").alias("c"), F.col("c").alias("cc"))
-        new = cut(step.join(jump, "c").select("a", F.col("cc").alias("c")))
-        if new.join(label.withColumnRenamed("c", "old"), "a").where("c <> old").isEmpty():
-            return new.select(F.col("a").alias("id"), F.col("c").alias("component"))
-        label = new
+        new, after = cut(_small_star(_large_star(now)))
+        if after == before:
+            linked = edges.where("a <> b")
+            ends = linked.select(F.col("a").alias("id")).unionByName(linked.select(F.col("b").alias("id"))).distinct()
+            return ends.join(new.select(F.col("u").alias("id"), F.col("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+        now, before = new, after
     raise RuntimeError("components did not settle")
 
 
@@ -48,7 +62,9 @@ def collapse_aliases(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     ``candidates``: query_id, canonical_id, score, alias_canonicals (array); ``edges``: canonical_id, target.
     A query has its k candidates only, so one row holds a query and its components are found in place.
     """
-    rows = candidates.join(edges.distinct(), "canonical_id", "left")
+    ends = candidates.select("query_id", F.col("canonical_id").alias("target")).distinct()
+    within = candidates.select("query_id", "canonical_id").join(edges.distinct(), "canonical_id").join(ends, ["query_id", "target"], "left_semi")
+    rows = candidates.join(within, ["query_id", "canonical_id"], "left")
     item = F.struct("canonical_id", "score", "alias_canonicals", "target")
     grouped = rows.groupBy("query_id").agg(F.collect_list(item).alias("items"))
     kinds = dict(candidates.dtypes)

@@ -34,9 +34,9 @@ DATED_SQL = """
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks: four to a parent, with vector, text, facets and dates."""
+    """Chunks: four to a parent, with vector (null for some), text, facets and dates."""
     docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
-    rows = docs.join(vectors, docs.doc_id == vectors.vec_id)
+    rows = docs.join(vectors, docs.doc_id == vectors.vec_id, "left")
     sector = F.when(F.col("source") == "src19", "other").otherwise(F.col("source"))
     return dated(rows).select(
         F.col("doc_id").alias("chunk_id"), F.floor(F.col("doc_id") / 4).alias("canonical_id"), (F.col("doc_id") % 4).alias("chunk_idx"),
@@ -47,19 +47,19 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 POINTS_SQL = f"""points AS (
   SELECT doc_id AS chunk_id, doc_id // 4 AS canonical_id, doc_id % 4 AS chunk_idx, text, embedding::DOUBLE[] AS embedding,
     CASE WHEN source = 'src19' THEN 'other' ELSE source END AS sector, lang AS geography, {DATED_SQL}
-  FROM documents JOIN embeddings ON doc_id = vec_id)"""
+  FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"""
 
 
-def pitches(spark: SparkSession, d: str, n: int = 10, cutoff: bool = False) -> DataFrame:
-    """A batch of ``n`` queries: the chunks of the smallest ids, asked again; every third one asks for recent ones."""
-    rows = points(spark, d).where(F.col("chunk_id") < n)
+def pitches(spark: SparkSession, d: str, cutoff: bool = False) -> DataFrame:
+    """The query set: every chunk whose id is divisible by 100, asked again; some ask for recent ones only."""
+    rows = points(spark, d).where("chunk_id % 100 = 0")
     out = rows.select(F.col("chunk_id").alias("query_id"), "text", "embedding", "sector", "geography")
     if cutoff:
-        years = F.when(F.col("query_id") % 3 == 0, 5 + F.col("query_id"))
+        years = F.when(F.col("query_id") % 3 == 0, 5 + F.floor(F.col("query_id") / 100) % 10)
         out = out.withColumn("cutoff", cutoff_date(F.lit(AS_OF).cast("date"), years))
     return out
 
 
-def pitches_sql(n: int = 10, cutoff: bool = False) -> str:
-    years = f", CASE WHEN chunk_id % 3 = 0 THEN CAST(DATE '{AS_OF}' - to_years(CAST(5 + chunk_id AS INTEGER)) AS DATE) END AS cutoff" if cutoff else ""
-    return f"pitches AS (SELECT chunk_id AS query_id, text, embedding, sector, geography{years} FROM points WHERE chunk_id < {n})"
+def pitches_sql(cutoff: bool = False) -> str:
+    years = f", CASE WHEN chunk_id % 3 = 0 THEN CAST(DATE '{AS_OF}' - to_years(CAST(5 + chunk_id // 100 % 10 AS INTEGER)) AS DATE) END AS cutoff" if cutoff else ""
+    return f"pitches AS (SELECT chunk_id AS query_id, text, embedding, sector, geography{years} FROM points WHERE chunk_id % 100 = 0)"

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 _DENSE_ALL = """dense AS (
   SELECT query_id, chunk_id, round(list_dot_product(p.embedding, q.embedding) / (sqrt(list_dot_product(p.embedding, p.embedding)) * sqrt(list_dot_product(q.embedding, q.embedding))), 9) AS score
-  FROM points p, pitches q{where})"""
+  FROM points p, pitches q WHERE p.embedding IS NOT NULL AND q.embedding IS NOT NULL{where})"""
 _RANKED = "{to} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM {of}) WHERE rank <= {k})"
 _SPARSE = """tok AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM points) GROUP BY 1, 2),
 len AS (SELECT chunk_id, sum(tf) AS dl FROM tok GROUP BY 1),
@@ -62,19 +62,20 @@ def rrf_fusion(spark, d):
 _MATCH = "((q.sector <> 'other' OR q.geography <> 'other') AND (q.sector = 'other' OR q.sector = p.sector) AND (q.geography = 'other' OR q.geography = p.geography))"
 
 
-@query(f"{_HEAD} SELECT query_id, chunk_id, CASE WHEN {_MATCH} THEN 0.01 ELSE 0.0 END::DOUBLE AS boost FROM pitches q, points p")
+@query(f"""{_HEAD}, {_DENSE_ALL.format(where='')}, {_RANKED.format(to='r', of='dense', k=2 * K)}
+SELECT r.query_id, chunk_id, CASE WHEN {_MATCH} THEN 0.01 ELSE 0.0 END::DOUBLE AS boost FROM r JOIN points p USING (chunk_id) JOIN pitches q ON q.query_id = r.query_id""")
 def facet_boost(spark, d):
-    q = pitches(spark, d).select("query_id", F.col("sector").alias("q_sector"), F.col("geography").alias("q_geography"))
-    match = retrieval.facet_match({"sector": "q_sector", "geography": "q_geography"}, {"sector": "sector", "geography": "geography"})
-    return points(spark, d).crossJoin(F.broadcast(q)).select("query_id", "chunk_id", F.when(match, 0.01).otherwise(0.0).alias("boost"))
+    """The boost of each hit of the dense leg: all of the query's facets, or nothing."""
+    p, q = points(spark, d), pitches(spark, d)
+    return retrieval.boosted(retrieval.dense_leg(p, q, 2 * K), p, q).select("query_id", "chunk_id", "boost")
 
 
 def _hybrid_sql(cutoff: bool) -> str:
     head = f"WITH RECURSIVE {POINTS_SQL}, {pitches_sql(cutoff=cutoff)}"
-    where = f" WHERE {_RECENT}" if cutoff else ""
+    where = f" AND {_RECENT}" if cutoff else ""
     sparse = _SPARSE
     if cutoff:
-        sparse = sparse.replace("sparse AS (", "sparse_all AS (", 1) + f", sparse AS (SELECT s.query_id, s.chunk_id, s.score FROM sparse_all s JOIN points USING (chunk_id) JOIN pitches q ON q.query_id = s.query_id{where})"
+        sparse = sparse.replace("sparse AS (", "sparse_all AS (", 1) + f", sparse AS (SELECT s.query_id, s.chunk_id, s.score FROM sparse_all s JOIN points USING (chunk_id) JOIN pitches q ON q.query_id = s.query_id WHERE {_RECENT})"
     return f"""{head}, {_DENSE_ALL.format(where=where)}, {sparse}, {_FUSED},
 hits AS (SELECT f.query_id, canonical_id, chunk_idx, round(f.score + CASE WHEN {_MATCH} THEN 0.01 ELSE 0 END, 9) AS score FROM fr f JOIN points p USING (chunk_id) JOIN pitches q ON q.query_id = f.query_id),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, canonical_id ORDER BY score DESC, chunk_idx) AS rn FROM hits) WHERE rn = 1),
