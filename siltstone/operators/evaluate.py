@@ -37,7 +37,7 @@ def all_grounded(claims: list[Column], body: Column) -> Column:
 
 def assertions(syntheses: DataFrame, bodies: DataFrame, allowed: Column) -> DataFrame:
     """(row_id, candidate_id, the four ASSERTIONS, all_ok) of syntheses with where_diverged, why_similar, rationales (array), lifespan_months, sources."""
-    rows = syntheses.join(bodies.select("candidate_id", "body"), "candidate_id", "left")
+    rows = syntheses.drop("body").join(bodies.select("candidate_id", "body"), "candidate_id", "left")
     texts = [F.col("why_similar"), *(F.get("rationales", F.lit(i)) for i in range(len(PERSPECTIVES)))]
     checks = {
         "where_diverged_nonempty": diverges(F.col("where_diverged")), "sources_allowed": F.coalesce(hosts_allowed(F.col("sources"), allowed), F.lit(True)),

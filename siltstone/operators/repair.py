@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 
 def drift(journal: DataFrame, tree: DataFrame, raw: DataFrame, chunks: DataFrame, leftovers: DataFrame | None = None) -> DataFrame:
-    """Findings (drift, id).
+    """Findings (drift, id); ``journal``: id, merge_state, content_hash, seq (its order, if it has one; the first hash that is not null counts).
 
     a: canonical document without chunks; b: journal row still pending; c: canonical whose merged text is not
     what the journal last hashed; d: raw document without a journal row, or without its canonical; e: leftover
     temporary file; f: row of a flipped resolution.  All joins are on ids.
     """
     say = lambda df, k: df.select(F.lit(k).alias("drift"), "id")
-    hashed = journal.groupBy("id").agg(F.max("content_hash").alias("content_hash"))
+    journal = journal if "seq" in journal.columns else journal.withColumn("seq", F.lit(0))
+    hashed = journal.where("content_hash is not null").groupBy("id").agg(F.min_by("content_hash", "seq").alias("content_hash"))
     known = raw.join(journal.select("id").distinct(), "id", "left_semi")
     parts = [
         say(tree.join(chunks.select("id").distinct(), "id", "left_anti"), "a"),

@@ -69,8 +69,8 @@ def consolidate(syntheses: DataFrame, pitches: DataFrame, completer: Completer,
     rows = asked(rows, "consolidate_risks", {"description": F.coalesce("description", F.lit("")), "lessons": F.col("lessons")}, RISKS, completer, config.models["consolidate"])
     risks = rows.where("error is null").select("query_id", F.posexplode("answer.risks").alias("pos", "r")).select("query_id", F.col("pos").cast("long"), "r.*")
     valid = syntheses.groupBy("query_id").agg(F.collect_set("candidate_id").alias("ids"))
-    injected = syntheses.where("injection").select("query_id").unionByName(rows.where("answer.injection").select("query_id"))
-    return rank.consolidate(risks, valid, injected)
+    risks = risks.join(rows.where("answer.injection").select("query_id"), "query_id", "left_anti")
+    return rank.consolidate(risks, valid, syntheses.where("injection"))
 
 
 def _lines(*parts) -> Column:

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.hashing import pair_key
+from siltstone.operators.corpus import tier2_id
+from siltstone.operators.graph import shared_dir
+
 RECYCLED_YEARS = 10
 LOW, HIGH = 0.65, 0.85
 
@@ -76,3 +80,57 @@ def outcomes(resolved: DataFrame, prior: DataFrame) -> DataFrame:
     flip = F.coalesce(F.col("prior_canonical_id") != F.col("canonical_id"), F.lit(False))
     merge = F.coalesce("known", F.lit(False)) | (F.col("seq") > F.col("first_seq"))
     return rows.select("seq", "canonical_id", F.when(flip, "flip").when(merge, "merge").otherwise("create").alias("action"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that what reads it several times does not compute it again."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def entity_ids(entries: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """``entries`` with tier, reason and canonical_id: an alias hint, else the domain, else normalized name and sector.
+
+    ``entries``: seq, domain, platform, year, suffixed, name, sector, alias_hint (null for most); hinted rows take
+    no part in the domains' presence.
+    """
+    hinted = F.col("alias_hint").isNotNull() & (F.col("alias_hint") != "")
+    rows = by_domain(entries.where(F.coalesce(~hinted, F.lit(True))), overrides)
+    hints = entries.where(F.coalesce(hinted, F.lit(False))).withColumn("tier", F.lit(0).cast("long")).withColumn("reason", F.lit("alias_hint"))
+    every = rows.unionByName(hints)
+    return every.withColumn("canonical_id", F.when(F.col("tier") == 0, F.col("alias_hint")).when(F.col("tier") == 1, F.col("domain")).otherwise(tier2_id(F.col("name"), F.col("sector"))))
+
+
+def decided_pairs(pairs: DataFrame, memo: DataFrame, answers: DataFrame | None = None, low: float = LOW, high: float = HIGH) -> tuple[DataFrame, DataFrame]:
+    """(decisions, review): ``pairs`` (a, b, similarity) by band, memo (pair_key, decision) and answers (pair_key, decision).
+
+    The memo goes before the answers, and without either a pair in the band is different; every pair in the band is
+    mirrored to the review list.
+    """
+    rows = pairs.withColumn("pair_key", pair_key(F.col("a"), F.col("b"))).join(memo.select("pair_key", F.col("decision").alias("_m")), "pair_key", "left")
+    rows = rows.join(answers.select("pair_key", F.col("decision").alias("_a")), "pair_key", "left") if answers is not None else rows.withColumn("_a", F.lit(None).cast("string"))
+    within = (F.col("similarity") > low) & (F.col("similarity") < high)
+    out = rows.withColumn("decision", band(F.col("similarity"), F.coalesce("_m", "_a"), low, high)).withColumn("reviewed", within).drop("_m", "_a")
+    return out.drop("reviewed"), out.where("reviewed").drop("reviewed").select("pair_key", "similarity", "decision")
+
+
+def resolve_entities(entries: DataFrame, prior: DataFrame, memo: DataFrame, similarity, answers: DataFrame | None = None, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, review) of a batch: ids, tier-3 collapse of tier-2 ids onto a sibling of their sector, flips, create or merge.
+
+    ``similarity(pairs)`` adds a similarity to (a, b), pairs of ids of one sector; the ids of a sector that are in the
+    batch or in ``prior`` are compared with their smallest two, so pairs grow with the ids and not with their square.
+    """
+    ids = written(entity_ids(entries, overrides), "resolution")
+    tier2 = ids.where("tier = 2").select(F.lower("sector").alias("sector"), F.col("canonical_id").alias("id"))
+    known = prior.where(F.contains("canonical_id", F.lit("::"))).select(F.element_at(F.split("canonical_id", "::"), -1).alias("sector"), F.col("canonical_id").alias("id"))
+    present = written(tier2.unionByName(known).distinct(), "present")
+    first = present.groupBy("sector").agg(F.min("id").alias("m1"))
+    second = present.join(first, "sector").where("id <> m1").groupBy("sector").agg(F.min("id").alias("m2"))
+    low = first.join(second, "sector", "left").select("sector", F.explode(F.array("m1", "m2")).alias("b")).where("b is not null")
+    pairs = present.withColumnRenamed("id", "a").join(low, "sector").where("a <> b").select("a", "b")
+    decisions, review = decided_pairs(similarity(pairs), memo, answers)
+    taken = decisions.where("decision = 'same' and b < a").groupBy("a").agg(F.min("b").alias("sibling"))
+    out = ids.join(taken.withColumnRenamed("a", "canonical_id"), "canonical_id", "left").withColumn("canonical_id", F.coalesce("sibling", "canonical_id")).drop("sibling")
+    out = written(out, "resolved")
+    return outcomes(out, prior).join(out.select("seq", "reason"), "seq"), review

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import hashing
-from siltstone.operators import tables
+from siltstone.operators import corpus as ops
+from siltstone.operators import ingest, tables
 from siltstone.plans.bindings import table
+from siltstone.plans.scalars import visible_sql
 
 QUERIES, ORACLE = {}, {}
 
@@ -27,14 +26,15 @@ def query(sql: str | None = None):
 # sources
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS source_id, '# ' || role || chr(10) || chr(10) || text AS markdown_text FROM conversations WHERE turn % 5 <> 4")
+@query("SELECT CAST(conv_id AS VARCHAR) || '-' || turn AS source_id, '# ' || role || chr(10) || chr(10) || text AS markdown_text FROM conversations WHERE turn % 5 <> 4 AND conv_id >= 5 AND conv_id % 10 <> 9")
 def src_json_hits(spark, d):
-    """Saved result pages of hits; hits without a string id are dropped."""
-    hit = F.struct(F.when(F.col("turn") % 5 != 4, F.concat_ws("-", "conv_id", "turn")).alias("objectID"), F.col("role").alias("title"), F.col("text").alias("story_text"), F.lit(None).cast("string").alias("comment_text"))
-    pages = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(hit).alias("hits"))).alias("page"))
+    """Saved result pages of hits; hits without a string id are dropped, and those before the epoch, and pages past the last."""
     from siltstone.sources.readers import hits_to_entries
 
-    return hits_to_entries(pages, "page").select("source_id", "markdown_text")
+    hit = F.struct(F.when(F.col("turn") % 5 != 4, F.concat_ws("-", "conv_id", "turn")).alias("objectID"), F.col("role").alias("title"), F.col("text").alias("story_text"), F.lit(None).cast("string").alias("comment_text"), F.col("conv_id").alias("created_at_i"))
+    page = F.struct((F.col("conv_id") % 10).alias("page"), F.lit(9).alias("nbPages"), F.collect_list(hit).alias("hits"))
+    pages = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(page).alias("page"))
+    return hits_to_entries(pages, "page", since_epoch=5).select("source_id", "markdown_text")
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS source_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'https://a.example/' || c_custkey WHEN c_custkey % 3 = 1 THEN 'https://b.example' END AS url FROM customer WHERE c_custkey % 7 <> 0 UNION ALL SELECT c_name, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'https://a.example/' || c_custkey WHEN c_custkey % 3 = 1 THEN 'https://b.example' END FROM customer WHERE c_custkey % 7 = 0")
@@ -56,8 +56,7 @@ def filter_eq(spark, d):
 @query("SELECT src_ord, id FROM (SELECT *, row_number() OVER (ORDER BY src_ord, id) AS rn FROM (SELECT 0 AS src_ord, s_suppkey AS id FROM supplier UNION ALL SELECT 1, c_custkey FROM customer UNION ALL SELECT 2, p_partkey FROM part)) WHERE rn <= 500")
 def union_limit(spark, d):
     """Sources in order, up to a global limit: a top-k, so later sources are read only as far as it needs."""
-    parts = [table(spark, d, t).select(F.lit(i).alias("src_ord"), F.col(c).alias("id")) for i, (t, c) in enumerate((("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey")))]
-    return reduce(DataFrame.unionByName, parts).orderBy("src_ord", "id").limit(500)
+    return ops.gathered([table(spark, d, t).select(F.col(c).alias("id")) for t, c in (("supplier", "s_suppkey"), ("customer", "c_custkey"), ("part", "p_partkey"))], "id", 500)
 
 
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'own' WHEN page_id % 4 = 1 THEN 'archive ' || page_id WHEN page_id % 4 = 2 THEN 'extract ' || page_id ELSE '' END AS body FROM pages")
@@ -67,25 +66,16 @@ def enrich_coalesce(spark, d):
     archive = pages.select("page_id", F.when(F.col("page_id") % 4 <= 1, F.format_string('{"archived_snapshots": {"closest": {"available": true, "url": "archive %s"}}}', F.col("page_id").cast("string"))).otherwise('{"archived_snapshots": {}}').alias("answer"))
     extract = pages.select("page_id", F.when(F.col("page_id") % 4 == 2, F.format_string('{"results": [{"raw_content": "extract %s"}]}', F.col("page_id").cast("string"))).otherwise('{"results": []}').alias("answer"))
 
-    def enricher(answers: DataFrame, value: F.Column):
-        found = answers.select("page_id", value.alias("_found"))
-        return lambda df: df.join(found, "page_id", "left").withColumn("body", F.coalesce(F.nullif("body", F.lit("")), "_found")).drop("_found")
-
-    chain = [
-        enricher(archive, F.when(F.get_json_object("answer", "$.archived_snapshots.closest.available") == "true", F.get_json_object("answer", "$.archived_snapshots.closest.url"))),
-        enricher(extract, F.get_json_object("answer", "$.results[0].raw_content")),
-    ]
-    return reduce(DataFrame.transform, chain, pages).select("page_id", F.coalesce("body", F.lit("")).alias("body"))
+    chain = [ops.enricher(archive, "page_id", ops.archived_page(F.col("answer"))), ops.enricher(extract, "page_id", ops.extracted_page(F.col("answer")))]
+    return ops.enriched(pages, chain).select("page_id", F.coalesce("body", F.lit("")).alias("body"))
 
 
 @query("""SELECT event_id, CAST(2000000 * rn + max(arrival - 2000000 * rn) OVER (PARTITION BY user_id ORDER BY rn) AS BIGINT) AS at_us FROM (
   SELECT event_id, user_id, epoch_us(ts) AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)""")
 def throttle_schedule(spark, d):
     """Requests of a host at least 2 s apart: next = max(arrival, previous + gap), in closed form."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").withColumn("rn", F.row_number().over(w)).withColumn("arrival", F.unix_micros(F.col("ts").cast("timestamp")))
-    late = F.max(F.col("arrival") - 2000000 * F.col("rn")).over(Window.partitionBy("user_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("event_id", (2000000 * F.col("rn") + late).cast("long").alias("at_us"))
+    rows = table(spark, d, "events").withColumn("arrival", F.unix_micros(F.col("ts").cast("timestamp")))
+    return ops.throttled(rows, "user_id", "arrival", 2000000, "event_id").select("event_id", F.col("at").alias("at_us"))
 
 
 @query("SELECT role, substr(sha256(text), 1, 16) AS text_hash, count(*)::BIGINT AS n FROM conversations GROUP BY ALL HAVING count(*) > 1")
@@ -130,9 +120,9 @@ def memo_join(spark, d):
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderkey) AS rn FROM orders) WHERE rn = 1""")
 def reverse_lookup(spark, d):
     """The canonical of a source row: complete before pending before the rest."""
-    order = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
-    w = Window.partitionBy("o_custkey").orderBy(order, "o_orderkey")
-    return table(spark, d, "orders").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("o_custkey", "o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "pending").otherwise("resolver_flipped")
+    journal = table(spark, d, "orders").select(F.lit("orders").alias("source"), F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("canonical_id"), state.alias("merge_state"))
+    return ops.owners(journal).select(F.col("source_id").alias("o_custkey"), F.col("canonical_id").alias("o_orderkey"))
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'")
@@ -147,53 +137,49 @@ def journal_pending(spark, d):
   CASE WHEN text = '' THEN 'skipped_empty' WHEN source NOT IN ('src0', 'src1') AND 1.0 - quality > 0.7 THEN 'quarantined' ELSE 'kept' END AS outcome FROM documents LEFT JOIN labels USING (doc_id)""")
 def slop_split(spark, d):
     """Vetted sources and failed classifiers score 0; over the threshold goes to quarantine."""
-    rows = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", (1.0 - F.col("quality")).alias("judged")), "doc_id", "left")
-    score = F.when(F.col("source").isin("src0", "src1"), 0.0).otherwise(F.coalesce("judged", F.lit(0.0)))
-    return rows.select("doc_id", score.cast("double").alias("score"), F.when(F.coalesce("text", F.lit("")) == "", "skipped_empty").when(score > 0.7, "quarantined").otherwise("kept").alias("outcome"))
+    judged = table(spark, d, "labels").select("doc_id", (1.0 - F.col("quality")).alias("judged"))
+    return ops.slop_scores(table(spark, d, "documents"), judged, "doc_id", ["src0", "src1"]).select("doc_id", "score", "outcome")
 
 
 @query("""SELECT count(*)::BIGINT AS total, count(*) FILTER (quality IS NULL)::BIGINT AS errors, count(*) FILTER (1 - quality >= 1)::BIGINT AS still_slop, count(*) FILTER (1 - quality < 1)::BIGINT AS declassified FROM documents LEFT JOIN labels USING (doc_id)""")
 def reclassify_counts(spark, d):
     """Quarantined rows judged again: the threshold itself still counts as slop."""
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").withColumn("s", 1 - F.col("quality"))
-    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("s").isNull()).alias("errors"), F.count_if(F.col("s") >= 1).alias("still_slop"), F.count_if(F.col("s") < 1).alias("declassified"))
+    judged = table(spark, d, "labels").select("doc_id", (1.0 - F.col("quality")).alias("judged"))
+    rows = ops.reclassified(table(spark, d, "documents"), judged, "doc_id", 1.0)
+    return ops.counters(rows, "decision", {"errors": "error", "still_slop": "still_slop", "declassified": "declassified"}).withColumnRenamed("seen", "total")
 
 
 @query("SELECT count(*)::BIGINT AS seen, count(*) FILTER (event_type = 'error')::BIGINT AS errors, count(*) FILTER (event_type = 'purchase')::BIGINT AS processed, count(*) FILTER (event_type = 'view')::BIGINT AS skipped FROM events")
 def ingest_counters(spark, d):
-    of = lambda k: F.count_if(F.col("event_type") == k)
-    return table(spark, d, "events").agg(F.count("*").alias("seen"), of("error").alias("errors"), of("purchase").alias("processed"), of("view").alias("skipped"))
+    return ops.counters(table(spark, d, "events"), "event_type", {"errors": "error", "processed": "purchase", "skipped": "view"})
 
 
 @query("SELECT event_id, p->>'k' AS k FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{\"k\": \"v' || event_id || '\"}' END AS p FROM events) WHERE p IS NOT NULL")
 def malformed_drop(spark, d):
     """Payloads that do not parse are dropped."""
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": "v'), "event_id", F.lit('"}'))).when(F.col("event_id") % 3 == 1, '{"k": ').otherwise("")
-    return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json(raw), "$.k", "string").alias("k")).where("k is not null")
+    return ops.payloads(table(spark, d, "events").withColumn("raw", raw), "raw", "k string").select("event_id", F.col("payload.k").alias("k"))
 
 
 @query("SELECT DISTINCT o_orderpriority AS value FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
 def enum_violations(spark, d):
-    allowed = spark.createDataFrame([(x,) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM")], "value string")
-    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("value")).distinct().join(F.broadcast(allowed), "value", "left_anti")
+    taxonomy = spark.createDataFrame([("o_orderpriority", x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM")], "facet string, value string")
+    return ops.not_in_taxonomy(table(spark, d, "orders"), "o_orderpriority", taxonomy)
 
 
 @query("""SELECT conv_id, m, substr(sha256(m), 1, 16) AS combined_hash FROM (
   SELECT conv_id, string_agg('## ' || role || ':' || conv_id || '-' || turn || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 9 END, conv_id || '-' || turn) AS m FROM conversations GROUP BY 1)""")
 def section_merge(spark, d):
     """Sections of one entity in a fixed order: reliability of the source, then source id."""
-    rank = F.coalesce(F.element_at(F.create_map(F.lit("system"), F.lit(0), F.lit("user"), F.lit(1)), F.col("role")), F.lit(9))
-    section = F.struct(rank.alias("rank"), F.concat_ws("-", "conv_id", "turn").alias("source_id"), F.col("role").alias("source"), "text")
-    head = lambda s: F.concat(F.lit("## "), s["source"], F.lit(":"), s["source_id"], F.lit("\n\n"), s["text"])
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(section)), head), "\n\n---\n\n").alias("m"))
-    return rows.withColumn("combined_hash", hashing.short_sha256(F.col("m")))
+    sections = table(spark, d, "conversations").select("conv_id", F.col("role").alias("source"), F.concat_ws("-", "conv_id", "turn").alias("source_id"), "text")
+    return ops.merged_sections(sections, "conv_id", {"system": 0, "user": 1}).select("conv_id", F.col("merged").alias("m"), F.col("content_hash").alias("combined_hash"))
 
 
 @query("SELECT user_id, event_id, first_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS anchor FROM (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN value END AS value FROM events)")
 def first_value_domain(spark, d):
     """The first known value of a key before each row."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "events").select("user_id", "event_id", F.first(F.when(F.col("event_id") % 3 == 0, F.col("value")), ignorenulls=True).over(w).alias("anchor"))
+    rows = table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 3 == 0, F.col("value")))
+    return ops.first_known(rows, "user_id", "event_id", "value", "anchor").select("user_id", "event_id", "anchor")
 
 
 _RECONCILE = """WITH j AS (SELECT o_orderkey AS id, o_orderstatus AS st, o_totalprice > 200000 AS changed FROM orders), chunks AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_orderkey % 11 <> 0), tree AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 13 <> 0), raw AS (SELECT o_orderkey + CASE WHEN o_orderkey % 17 = 0 THEN 100000000 ELSE 0 END AS id FROM orders)"""
@@ -202,33 +188,38 @@ _RECONCILE = """WITH j AS (SELECT o_orderkey AS id, o_orderstatus AS st, o_total
 @query(f"""{_RECONCILE} SELECT 'a' AS drift, t.id FROM tree t WHERE t.id NOT IN (SELECT id FROM chunks)
 UNION ALL SELECT 'b', id FROM j WHERE st = 'P' UNION ALL SELECT 'c', t.id FROM tree t JOIN j USING (id) WHERE changed
 UNION ALL SELECT 'd', id FROM raw WHERE id NOT IN (SELECT id FROM j) UNION ALL SELECT 'd', r.id FROM raw r JOIN j USING (id) WHERE r.id NOT IN (SELECT id FROM tree)
-UNION ALL SELECT 'f', id FROM j WHERE st = 'O' AND id % 19 = 0""")
+UNION ALL SELECT 'e', id FROM raw WHERE id % 23 = 0 UNION ALL SELECT 'f', id FROM j WHERE st = 'O' AND id % 19 = 0""")
 def reconcile_drift(spark, d):
     from siltstone.operators.repair import drift
 
     orders = table(spark, d, "orders")
-    journal = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "pending").when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 19 == 0), "resolver_flipped").otherwise("complete").alias("merge_state"), F.when(F.col("o_totalprice") > 200000, "new").otherwise("old").alias("content_hash"))
+    journal = orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", "pending").when((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 19 == 0), "resolver_flipped").otherwise("complete").alias("merge_state"), F.when(F.col("o_totalprice") > 200000, "new").otherwise("old").alias("content_hash"), F.lit(1).alias("seq"))
+    journal = journal.unionByName(journal.where("id % 3 = 0").withColumn("seq", F.lit(0)).withColumn("content_hash", F.lit(None).cast("string")).withColumn("merge_state", F.lit("complete")))
+    journal = journal.unionByName(journal.where("id % 5 = 0 and seq = 1").withColumn("seq", F.lit(2)).withColumn("content_hash", F.lit("later")).withColumn("merge_state", F.lit("complete")))
     chunks = table(spark, d, "lineitem").where("l_orderkey % 11 <> 0").select(F.col("l_orderkey").alias("id")).distinct()
     tree = orders.where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("id"), F.lit("old").alias("combined_hash"))
     raw = orders.select((F.col("o_orderkey") + F.when(F.col("o_orderkey") % 17 == 0, 100000000).otherwise(0)).alias("id"))
-    return drift(journal, tree, raw, chunks)
+    return drift(journal, tree, raw, chunks, raw.where("id % 23 = 0"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 10 <> 3 THEN 100.0 / (event_id % 10 - 3) END::DOUBLE AS value, event_id % 10 = 3 AS failed FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 10 <> 3 THEN CAST(event_id % 10 - 3 AS VARCHAR) END AS value, event_id % 10 = 3 AS failed FROM events")
 def error_isolation(spark, d):
-    """A failing row keeps its error beside it and does not end the others."""
-    v = F.try_divide(F.lit(100.0), (F.col("event_id") % 10 - 3).cast("double"))
-    return table(spark, d, "events").select("event_id", v.alias("value"), v.isNull().alias("failed"))
+    """A fan-out whose failing calls keep their errors beside their rows and do not end the others."""
+
+    def call(text: str) -> str:
+        n = int(text) % 10 - 3
+        return str(n * (100 // n) // (100 // n)) if n else str(100 // n)
+
+    rows = ingest.summarized(table(spark, d, "events").withColumn("id", F.col("event_id").cast("string")), call, "id", "value")
+    return rows.select("event_id", "value", F.col("error").startswith("ZeroDivisionError").alias("failed")).fillna(False, ["failed"])
 
 
 @query("""SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) FILTER (rn <= 50) AS shown, greatest(count(*) - 50, 0)::BIGINT AS more FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events WHERE event_type IN ('error', 'view', 'click')) GROUP BY 1""")
 def error_cap(spark, d):
     """The first 50 events of a kind, and how many more there are."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, d, "events").where(F.col("event_type").isin("error", "view", "click")).withColumn("rn", F.row_number().over(w))
-    shown = F.array_sort(F.collect_list(F.when(F.col("rn") <= 50, F.col("event_id"))))
-    return rows.groupBy("user_id").agg(F.array_join(shown.cast("array<string>"), ",").alias("shown"), F.greatest(F.count("*") - 50, F.lit(0)).alias("more"))
+    rows = table(spark, d, "events").where(F.col("event_type").isin("error", "view", "click"))
+    return ops.first_events(rows, "user_id", "event_id").select("user_id", F.array_join(F.col("shown").cast("array<string>"), ",").alias("shown"), "more")
 
 
 @query()
@@ -239,13 +230,15 @@ def stream_ingest(spark, d):
     return ingest_documents(spark, d)
 
 
-@query()
+@query(f"""SELECT CASE WHEN page_id % 3 = 0 THEN 'N' || page_id ELSE u END AS source_id, u AS url FROM (SELECT page_id, 'https://h' || (page_id % 7) || '.example/' || page_id AS u, {visible_sql()} AS t FROM pages)
+WHERE length(t) >= 500 AND page_id % 4 <> 3 AND page_id % 11 <> 0 AND page_id % 7 <> 1""")
 def src_curated(spark, d):
-    from siltstone.sources.readers import curated_entries
-
-    rows = [{"url": "https://a.example/x", "startup_name": "Alpha"}, "noise", {"url": "https://b.example/y"}, {"startup_name": "no url"}]
-    fetched = table(spark, d, "pages").select("url", "html").unionByName(spark.createDataFrame([("https://a.example/x", "<p>" + "word " * 200 + "</p>"), ("https://b.example/y", "<p>short</p>")], "url string, html string"))
-    return curated_entries(spark, rows, fetched)
-
-
-
+    """Every page as a curated item; one site forbids reading, some answers fail, some items have no URL."""
+    from siltstone.sources.readers import curated_rows
+
+    url = F.format_string("https://h%d.example/%d", F.col("page_id") % 7, "page_id")
+    pages = table(spark, d, "pages").withColumn("url", url)
+    items = pages.where("page_id % 4 <> 3").select(F.col("page_id").alias("pos"), "url", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("N"), "page_id")).otherwise(" ").alias("startup_name"))
+    robots = F.when(F.col("page_id") % 7 == 1, "User-agent: *\nDisallow: /").when(F.col("page_id") % 7 == 2, "User-agent: other\nDisallow: /")
+    fetched = pages.select("url", "html", F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status"), robots.alias("robots"))
+    return curated_rows(items, fetched).select("source_id", "url")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from siltstone.operators import graph, retrieval
+from siltstone.config import Config
+from siltstone.operators import corpus, graph, models, reports, retrieval
 from siltstone.plans.bindings import POINTS_SQL, pitches, pitches_sql, points, table
 
 QUERIES, ORACLE = {}, {}
@@ -129,21 +130,46 @@ def alias_collapse(spark, d):
 @query("""SELECT doc_id, substr(text, 1, 500) AS snippet FROM (
   SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE lang = 'en' AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'of')) WHERE rn <= 10""")
 def text_search(spark, d):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9]+)"), F.lit(1))
-    hit = F.forall(F.array(F.lit("the"), F.lit("of")), lambda w: F.array_contains(words, w))
-    return table(spark, d, "documents").where((F.col("lang") == "en") & hit).orderBy("doc_id").limit(10).select("doc_id", F.substring("text", 1, 500).alias("snippet"))
+    return corpus.text_hits(table(spark, d, "documents"), "doc_id", ["the", "of"], F.col("lang") == "en").select("doc_id", "snippet")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def semi_exists(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return corpus.having(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
-@query(f"{_HEAD}, {_DENSE_ALL.format(where='')}, {_SPARSE}, {_FUSED} SELECT query_id, string_agg(chunk_id || '=' || printf('%.6f', score), ';' ORDER BY rank) AS listing, count(*)::BIGINT AS n FROM fr WHERE rank <= 5 GROUP BY 1")
+@query(_hybrid_sql(True) + f""", sc AS (SELECT query_id, canonical_id AS id, rank, ((canonical_id % 11) + (canonical_id % 7) + (canonical_id % 5) + 4) / 4.0 AS mean FROM ranked WHERE rank <= {K}),
+ch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM sc WHERE mean >= 4.0),
+n AS (SELECT query_id, count(*) AS chosen, count(*) FILTER (mean - id % 2 >= 4.0) AS kept, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (mean - id % 2 >= 4.0) AS candidates FROM ch WHERE rn <= 5 GROUP BY 1)
+SELECT q.query_id, coalesce(candidates, '') AS candidates, 5 - coalesce(chosen, 0)::BIGINT AS filtered_pre, coalesce(chosen - kept, 0)::BIGINT AS filtered_post, coalesce(kept, 0)::BIGINT AS n_raised,
+  (coalesce(kept, 0) + CASE WHEN kept > 0 THEN 1 ELSE 0 END)::BIGINT AS sections, coalesce(kept, 0) = 0 AS banner FROM pitches q LEFT JOIN n USING (query_id)""")
 def query_pipeline(spark, d):
-    fused = rrf_fusion(spark, d).where("rank <= 5")
-    item = F.struct("rank", F.format_string("%d=%.6f", "chunk_id", "score").alias("s"))
-    return fused.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["s"]), ";").alias("listing"), F.count("*").alias("n"))
+    """Pitches to reports; the answers of the models are column expressions over the prompts, as a stand-in for recorded ones."""
+    p = points(spark, d)
+    asked = pitches(spark, d, cutoff=True).withColumn("name", F.concat(F.lit("p"), "query_id")).withColumn("description", F.lit("a pitch"))
+    entity = F.concat(F.lit("c"), "canonical_id")
+    documents = p.select("canonical_id").distinct().select("canonical_id", entity.alias("name"), F.lit("s").alias("summary"), F.lit("b").alias("body"), F.lit("2010-01-01").cast("date").alias("founding_date"), F.lit(None).cast("date").alias("failure_date"), F.array(F.lit("https://a.example")).alias("sources"))
+
+    def scores(i, less=0):
+        n = i.cast("long")
+        value = {"business_model": n % 11 - less * 4 * (n % 2), "market": n % 7, "gtm": n % 5, "stage_scale": F.lit(4)}
+        return [F.struct(v.cast("double").alias("score"), F.lit("r").alias("rationale")).alias(k) for k, v in value.items()]
+
+    ids = F.regexp_extract_all("prompt", F.lit(r"(?m)^(\d+): "), F.lit(1))
+    one = F.regexp_extract("prompt", r"Company (\d+),", 1)
+    ranking = F.to_json(F.struct(F.transform(ids, lambda i: F.struct(i.alias("candidate_id"), *scores(i))).alias("ranked")))
+    texts = [F.lit(x).alias(k) for k, x in (("one_liner", "o"), ("why_similar", "w"), ("where_diverged", "d"))]
+    lists = [F.array(F.lit(x)).alias(k) for k, x in (("failure_causes", "f"), ("lessons", "l"))]
+    synthesis = F.to_json(F.struct(F.concat(F.lit("c"), one).alias("name"), F.struct(*scores(one, 1)).alias("similarity"), *texts, *lists))
+    risk = F.struct(F.lit("s").alias("summary"), F.lit("a").alias("applies_because"), F.concat(ids, F.array(F.lit("-1"))).alias("raised_by"), F.lit("high").alias("severity"))
+    risks = F.to_json(F.struct(F.array(risk).alias("risks"), F.lit(False).alias("injection")))
+    answer = F.when(F.col("stage") == "llm_rerank", ranking).when(F.col("stage") == "synthesize", synthesis).otherwise(risks)
+    out = reports.run_queries(asked, p, documents, models.Heuristic(lambda: answer), Config(k_retrieve=K, n_synthesize=5, min_similarity=4.0), "2024-01-01", extracted=True)
+    item = F.struct("pos", "candidate_id")
+    kept = out["syntheses"].groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["candidate_id"]), ",").alias("candidates"))
+    rows = out["counts"].join(kept, "query_id", "left").join(out["risks"].select("query_id", "n_raised"), "query_id", "left").join(out["reports"], "query_id")
+    sections, banner = F.size(F.split("report", "\n## ")) - 1, F.contains("report", F.lit("No comparables passed similarity threshold 4.0."))
+    return rows.select("query_id", F.coalesce("candidates", F.lit("")).alias("candidates"), F.col("filtered_pre").cast("long"), F.col("filtered_post").cast("long"), F.coalesce("n_raised", F.lit(0)).cast("long").alias("n_raised"), sections.cast("long").alias("sections"), banner.alias("banner"))
 
 
 @query("SELECT vec_id FROM embeddings WHERE len(embedding) <> 64 OR embedding IS NULL")

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import dates, hashing, html, jsonx, text, urls, vectors
+from siltstone.operators import budget
+from siltstone.operators import corpus as ops
 from siltstone.operators.chunks import heading_windows, windows
 from siltstone.plans.bindings import AS_OF, DATED_SQL, dated, table
+from siltstone.sources import files
 
 QUERIES, ORACLE = {}, {}
 
@@ -36,8 +39,8 @@ def normalize_name(spark, d):
   FROM (SELECT *, lower(regexp_replace(p_name, '\\s+', ' ', 'g')) AS nm FROM part)""")
 def tier_ids(spark, d):
     nm = text.normalize_name(F.col("p_name"))
-    t2 = F.concat(nm, F.lit("::"), F.lower("p_brand"))
-    return table(spark, d, "part").select("p_partkey", t2.alias("tier2"), (~F.contains(t2, F.lit("::"))).alias("looks_tier1"), (~F.contains(nm, F.lit("::"))).alias("name_tier1"))
+    t2 = ops.tier2_id(F.col("p_name"), F.col("p_brand"))
+    return table(spark, d, "part").select("p_partkey", t2.alias("tier2"), ops.looks_tier1(t2).alias("looks_tier1"), ops.looks_tier1(nm).alias("name_tier1"))
 
 
 @query("""SELECT doc_id, CASE WHEN s = '' THEN 'run' ELSE s END AS slug, sha256(regexp_replace(text, '[^A-Za-z0-9._-]', '_', 'g')) AS model_slug_sha FROM (
@@ -157,10 +160,7 @@ def recency_strict(spark, d):
   source || ':' || doc_id AS provenance_id, CASE WHEN source IN ('src0', 'src1') THEN 'curated_real' ELSE 'scraped' END AS provenance, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16) AS text_id FROM documents""")
 def payload_build(spark, d):
     year = F.when(F.col("doc_id") % 3 != 0, 1990 + F.col("doc_id") % 30)
-    return table(spark, d, "documents").select(
-        "doc_id", dates.year_start(year).cast("string").alias("founding_date"), year.isNull().alias("founding_unknown"), F.concat_ws(":", "source", "doc_id").alias("provenance_id"),
-        F.when(F.col("source").isin("src0", "src1"), "curated_real").otherwise("scraped").alias("provenance"), hashing.short_sha256(F.col("doc_id").cast("string")).alias("text_id"),
-    )
+    return table(spark, d, "documents").select("doc_id", *ops.payload_columns(year, F.col("source"), F.col("doc_id"), ["src0", "src1"]))
 
 
 @query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS cosine
@@ -211,9 +211,8 @@ def injection_flag(spark, d):
 @query("""SELECT event_id, CASE WHEN s = 429 OR (s BETWEEN 500 AND 599 AND s <> 503) THEN 'transient' WHEN s = 402 THEN 'budget' WHEN s >= 400 THEN 'fatal' ELSE 'ok' END AS class, 0.5 * pow(2, event_id % 4) AS backoff
   FROM (SELECT event_id, CAST(200 + (event_id * 7) % 350 AS BIGINT) AS s FROM events)""")
 def retry_class(spark, d):
-    s = F.col("s")
-    kind = F.when((s == 429) | (s.between(500, 599) & (s != 503)), "transient").when(s == 402, "budget").when(s >= 400, "fatal").otherwise("ok")
-    return table(spark, d, "events").withColumn("s", 200 + (F.col("event_id") * 7) % 350).select("event_id", kind.alias("class"), (0.5 * F.pow(F.lit(2.0), F.col("event_id") % 4)).alias("backoff"))
+    rows = table(spark, d, "events").withColumn("s", 200 + (F.col("event_id") * 7) % 350)
+    return rows.select("event_id", budget.retry_class(F.col("s")).alias("class"), budget.backoff(F.col("event_id") % 4, 0.5).alias("backoff"))
 
 
 @query("""SELECT conv_id, string_agg('- turn ' || turn || ' — https://x.example/' || conv_id || chr(10) || '  ' || substr(text, 1, 500), chr(10) ORDER BY turn) AS listing FROM conversations GROUP BY 1""")
@@ -228,8 +227,7 @@ _PATH = "CASE WHEN doc_id % 5 = 0 THEN '../etc' WHEN doc_id % 5 = 1 THEN upper(s
 @query("SELECT doc_id, 'raw/' || source || '/' || substr(sha256(text), 1, 16) || '.md' AS path FROM documents WHERE doc_id % 5 > 1 OR (doc_id % 5 = 1 AND NOT regexp_matches(substr(sha256(text), 1, 16), '[a-f]'))")
 def path_validate(spark, d):
     rows = table(spark, d, "documents").withColumn("text_id", F.expr(_PATH.replace("sha256(text)", "sha2(text, 256)")))
-    good = F.regexp_like("text_id", F.lit("^[0-9a-f]{16}$")) & F.regexp_like("source", F.lit("^[a-z0-9_]{1,32}$"))
-    return rows.where(good).select("doc_id", F.concat(F.lit("raw/"), "source", F.lit("/"), "text_id", F.lit(".md")).alias("path"))
+    return rows.select("doc_id", files.path_column("raw", F.col("text_id"), F.col("source")).alias("path")).where("path is not null")
 
 
 _TAGS = "(?is)\\s(?:aria-label|alt|title)=(?:\"[^\"]*\"|''[^'']*'')"
@@ -249,7 +247,7 @@ def html_sanitize(spark, d):
     return table(spark, d, "pages").select("page_id", hashing.sha256(html.sanitize(F.col("html"))).alias("clean_sha"))
 
 
-def _visible_sql() -> str:
+def visible_sql() -> str:
     c = _sanitize_sql("html")
     for t in ("nav", "header", "footer", "aside"):
         c = f"regexp_replace({c}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', ' ', 'g')"
@@ -259,7 +257,7 @@ def _visible_sql() -> str:
     return f"regexp_replace(regexp_replace({c}, '[ \\t\\n\\r]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-@query(f"SELECT page_id, CASE WHEN length(t) < 500 THEN '' ELSE t END AS body FROM (SELECT page_id, {_visible_sql()} AS t FROM pages)")
+@query(f"SELECT page_id, CASE WHEN length(t) < 500 THEN '' ELSE t END AS body FROM (SELECT page_id, {visible_sql()} AS t FROM pages)")
 def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", html.extract(F.col("html")).alias("body"))
 
@@ -270,7 +268,11 @@ def chunk_windows(spark, d):
     return windows(table(spark, d, "documents"), "doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE tok AS (SELECT doc_id, string_split(regexp_replace(text, '\\n', chr(10) || '# ', 'g'), ' ') AS t FROM documents WHERE text <> ''),
+n AS (SELECT doc_id, len(t)::BIGINT AS n, [i // 32 * 32 FOR i IN range(0, len(t)) IF contains(t[i + 1], chr(10) || '#')] AS heads FROM tok),
+w AS (SELECT doc_id, n, heads, 0::BIGINT AS chunk_idx, 0::BIGINT AS start FROM n
+  UNION ALL SELECT doc_id, n, heads, chunk_idx + 1, coalesce(list_min([h FOR h IN heads IF h > start + 640 AND h <= start + 736 AND h < n]), start + 640) FROM w WHERE start + 768 < n)
+SELECT doc_id, chunk_idx, start, least(start + 768, n) AS stop FROM w""")
 def chunk_headings(spark, d):
     docs = table(spark, d, "documents")
     return heading_windows(docs.withColumn("text", F.regexp_replace("text", "\n", "\n# ")), "doc_id")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import hashing, text, urls
-from siltstone.operators import ranked, resolve
+from siltstone.functions import hashing, prompts, text, urls
+from siltstone.operators import budget, corpus, evaluate, models, ranked, reports, resolve
 from siltstone.plans.bindings import table
 
 QUERIES, ORACLE = {}, {}
@@ -25,7 +24,8 @@ def query(sql: str | None = None):
 # resolution
 
 _ENTRIES = """entries AS (SELECT event_id AS seq, user_id, CASE WHEN user_id % 9 = 0 THEN 'medium.com' WHEN user_id % 11 = 0 THEN '' ELSE 'd' || user_id || '.example' END AS domain,
-  user_id % 9 = 0 AS platform, CASE WHEN event_id % 4 <> 0 THEN 1995 + event_id * 7 % 25 END AS year, event_id % 3 = 0 AS suffixed FROM events)"""
+  user_id % 9 = 0 AS platform, CASE WHEN event_id % 4 <> 0 THEN 1995 + event_id * 7 % 25 END AS year, event_id % 3 = 0 AS suffixed FROM events),
+every AS (SELECT * FROM entries)"""
 
 
 def _entries(spark, d):
@@ -37,25 +37,26 @@ def _entries(spark, d):
 
 
 @query(f"""WITH {_ENTRIES},
-f AS (SELECT domain, min(seq) AS first_seq FROM entries WHERE NOT platform AND domain <> '' GROUP BY 1),
-a AS (SELECT domain, min(seq) AS aseq, arg_min(year, seq) AS ayear FROM entries JOIN f USING (domain) WHERE NOT platform AND year IS NOT NULL AND (seq = first_seq OR NOT suffixed) GROUP BY 1),
-t AS (SELECT seq, user_id, domain, CASE WHEN platform OR domain = '' THEN 'platform' WHEN aseq < seq AND abs(year - ayear) > 10 THEN 'recycled' WHEN suffixed AND seq > first_seq THEN 'subsidiary' ELSE 'domain' END AS reason FROM entries LEFT JOIN f USING (domain) LEFT JOIN a USING (domain)),
-c AS (SELECT *, CASE WHEN reason = 'domain' THEN domain ELSE 'acme::s' || user_id % 5 END AS canonical_id FROM t)
-SELECT seq, canonical_id, reason, CASE WHEN seq > min(seq) OVER (PARTITION BY canonical_id) THEN 'merge' ELSE 'create' END AS action FROM c""")
+f AS (SELECT domain, min(seq) AS first_seq FROM entries WHERE NOT platform AND domain <> '' AND seq % 17 <> 0 GROUP BY 1),
+a AS (SELECT domain, min(seq) AS aseq, arg_min(year, seq) AS ayear FROM entries JOIN f USING (domain) WHERE NOT platform AND year IS NOT NULL AND seq % 17 <> 0 AND (seq = first_seq OR NOT suffixed) GROUP BY 1),
+t AS (SELECT seq, user_id, domain, CASE WHEN platform OR domain = '' THEN 'platform' WHEN aseq < seq AND abs(year - ayear) > 10 THEN 'recycled' WHEN suffixed AND seq > first_seq THEN 'subsidiary' ELSE 'domain' END AS reason FROM every LEFT JOIN f USING (domain) LEFT JOIN a USING (domain)),
+c AS (SELECT seq, user_id, CASE WHEN seq % 17 = 0 THEN 'hint' || seq % 2 WHEN reason = 'domain' THEN domain ELSE 'acme::s' || user_id % 5 END AS canonical_id, CASE WHEN seq % 17 = 0 THEN 'alias_hint' ELSE reason END AS reason FROM t),
+p AS (SELECT seq, CASE WHEN seq % 14 = 0 THEN 'other' ELSE canonical_id END AS prior FROM c WHERE seq % 7 = 0)
+SELECT seq, canonical_id, reason, CASE WHEN prior <> canonical_id THEN 'flip' WHEN canonical_id IN (SELECT prior FROM p) OR seq > min(seq) OVER (PARTITION BY canonical_id) THEN 'merge' ELSE 'create' END AS action FROM c LEFT JOIN p USING (seq)""")
 def resolve_entities(spark, d):
-    tiers = resolve.by_domain(_entries(spark, d))
-    ids = tiers.withColumn("canonical_id", F.when(F.col("tier") == 1, F.col("domain")).otherwise(F.concat(F.lit("acme::s"), F.col("user_id") % 5))).withColumn("source", F.lit("events")).withColumn("source_id", F.col("seq").cast("string"))
-    prior = spark.createDataFrame([], "source string, source_id string, canonical_id string")
+    """Hints, domains, demotions and tier-2 ids of all events, against a journal that knows some of them, some under other ids."""
+    entries = _entries(spark, d).withColumn("name", F.lit("Acme")).withColumn("sector", F.concat(F.lit("s"), F.col("user_id") % 5))
+    entries = entries.withColumn("alias_hint", F.when(F.col("seq") % 17 == 0, F.concat(F.lit("hint"), F.col("seq") % 2))).withColumn("source", F.lit("events")).withColumn("source_id", F.col("seq").cast("string"))
+    ids = resolve.written(resolve.entity_ids(entries), "resolution")
+    known = ids.where("seq % 7 = 0")
+    prior = known.select("source", "source_id", F.when(F.col("seq") % 14 == 0, "other").otherwise(F.col("canonical_id")).alias("canonical_id"))
     return resolve.outcomes(ids, prior).join(ids.select("seq", "reason"), "seq")
 
 
 @query("""SELECT s_suppkey, (SELECT min(x.s_name) FROM supplier x WHERE x.s_nationkey = s.s_nationkey AND x.s_name <> s.s_name) AS sibling FROM supplier s""")
 def sibling_min(spark, d):
-    """The smallest other id of the sector: the group's two smallest, without a self join of its rows."""
-    s = table(spark, d, "supplier")
-    low = s.groupBy("s_nationkey").agg(F.min("s_name").alias("m1"))
-    second = s.join(low, "s_nationkey").where("s_name <> m1").groupBy("s_nationkey").agg(F.min("s_name").alias("m2"))
-    return s.join(low, "s_nationkey").join(second, "s_nationkey", "left").select("s_suppkey", F.when(F.col("s_name") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("sibling"))
+    """The smallest other id of the sector."""
+    return corpus.siblings_of(table(spark, d, "supplier"), "s_nationkey", "s_name").select("s_suppkey", "sibling")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN s >= 0.85 THEN 'same' WHEN s <= 0.65 THEN 'different' WHEN l_orderkey % 2 = 0 THEN 'same' ELSE 'different' END AS decision FROM (SELECT *, l_quantity / 50.0 AS s FROM lineitem)""")
@@ -88,7 +89,7 @@ def min_similarity_drop(spark, d):
 def join_rank_order(spark, d):
     """A ranking joined with what was retrieved: unknown ids drop out, positions stay."""
     have = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    return table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("pos")).join(have, "l_orderkey")
+    return corpus.in_ranked_order(table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("pos")), have, "l_orderkey")
 
 
 @query("SELECT * FROM (SELECT l_orderkey AS query_id, count(*) FILTER (l_tax > 0.01)::BIGINT AS have, least(count(*), 4)::BIGINT AS want FROM lineitem GROUP BY 1) WHERE have <> want")
@@ -134,18 +135,28 @@ def risk_consolidate(spark, d):
 # responses, prompts and reports
 
 
-@query("SELECT conv_id, turn, length(text)::BIGINT AS answer FROM conversations WHERE role = 'user'")
+@query("SELECT conv_id, turn, 'answer to ' || substr(sha256(role || chr(31) || text), 1, 16) AS answer FROM conversations WHERE role = 'user'")
 def response_join(spark, d):
-    """Stage calls as an equi-join with recorded answers on the call's key; a miss would be an error."""
-    calls = table(spark, d, "conversations").where("role = 'user'").withColumn("key", hashing.response_key(F.col("role"), F.concat_ws(":", "conv_id", "turn", "text")))
-    answers = calls.select("key", F.length("text").cast("long").alias("answer"))
-    return calls.join(answers, "key").select("conv_id", "turn", "answer")
+    """Calls joined with recorded answers (of all turns, keyed by system and prompt); a call without one ends the query with an error."""
+    turns = table(spark, d, "conversations")
+    key = hashing.response_key(F.col("role"), F.col("text"))
+    answers = turns.select(key.alias("key")).distinct().withColumn("text", F.concat(F.lit("answer to "), "key"))
+    calls = turns.where("role = 'user'").withColumn("key", key)
+    return calls.join(models.Recorded(answers).complete(calls.select("key")).select("key", F.col("text").alias("answer")), "key").select("conv_id", "turn", "answer")
 
 
-@query("""SELECT p_partkey, 'Company: ' || p_name || chr(10) || 'Brand: ' || CASE WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE p_brand END || chr(10) || 'Size: ' || p_size AS prompt FROM part""")
+_PROMPT = prompts.TEMPLATES["synthesize"][1].replace("'", "''").replace("\n", "' || chr(10) || '")
+for _name, _sql in (("pitch", "p_name"), ("description", "p_brand"), ("candidate_id", "p_partkey"), ("founding_date", "CASE WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE '2001-02-0' || (1 + p_partkey % 9) END"), ("failure_date", "'unknown'"), ("body", "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_type END")):
+    _PROMPT = _PROMPT.replace("{{ " + _name + " }}", f"' || ({_sql}) || '")
+
+
+@query(f"SELECT p_partkey, '{_PROMPT}' AS prompt FROM part")
 def prompt_render(spark, d):
-    brand = F.coalesce(F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")), F.lit("unknown"))
-    return table(spark, d, "part").select("p_partkey", F.format_string("Company: %s\nBrand: %s\nSize: %s", "p_name", brand, F.col("p_size").cast("string")).alias("prompt"))
+    """The synthesis prompt of each row; unknown dates and bodies have their defaults."""
+    founded = F.when(F.col("p_partkey") % 5 != 0, F.make_date(F.lit(2001), F.lit(2), (1 + F.col("p_partkey") % 9).cast("int")))
+    body = F.when(F.col("p_partkey") % 4 != 0, F.col("p_type"))
+    values = prompts.synthesis_values(F.col("p_name"), F.col("p_brand"), F.col("p_partkey"), founded, F.lit(None).cast("date"), body)
+    return table(spark, d, "part").select("p_partkey", prompts.rendered(prompts.TEMPLATES["synthesize"][1], values).alias("prompt"))
 
 
 @query("SELECT o_orderkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE CAST(o_custkey AS VARCHAR) END AS shown FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -155,11 +166,22 @@ def render_join(spark, d):
     return table(spark, d, "orders").join(names, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.col("o_custkey").cast("string")).alias("shown"))
 
 
-@query("""SELECT o_custkey, '# Report ' || o_custkey || chr(10) || chr(10) || string_agg('- order ' || o_orderkey || ' (' || o_orderstatus || ')', chr(10) ORDER BY o_orderkey) || chr(10) || chr(10) || '_' || count(*) || ' candidates_' AS report FROM orders GROUP BY 1""")
+_TABLE = "'| Perspective | Score | Rationale |' || chr(10) || '| --- | --- | --- |'" + "".join(f" || chr(10) || '| {p} | 5.0 | see r |'" for p in reports.PERSPECTIVES)
+_NL = " || chr(10) || chr(10) || "
+_SECTION = _NL.join(["'## O' || o_orderkey", "'a text'", "'Failure date: ' || CASE WHEN o_orderkey % 2 = 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) ELSE 'unknown' END || chr(10) || 'Lifespan: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'unknown' ELSE '7 months' END",
+                     "'Similarity:'", _TABLE, "'Why similar:'", "'w'", "'Where diverged:'", "'d'", "'Failure causes:'", "'- c1' || chr(10) || '- c2'", "'Lessons:'", "'- l'", "'Sources:'", "'https://a.example/' || o_orderkey"])
+
+
+@query(f"SELECT o_orderkey, {_SECTION} AS section FROM orders")
 def render_report(spark, d):
-    line = F.struct("o_orderkey", F.format_string("- order %d (%s)", "o_orderkey", "o_orderstatus").alias("s"))
-    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(line)).alias("l"))
-    return rows.select("o_custkey", F.concat(F.lit("# Report "), "o_custkey", F.lit("\n\n"), F.array_join(F.transform("l", lambda x: x["s"]), "\n"), F.lit("\n\n_"), F.size("l"), F.lit(" candidates_")).alias("report"))
+    """The section of each candidate; links keep their text only.  (Whole reports: ``query_pipeline``.)"""
+    score = F.struct(F.lit(5.0).alias("score"), F.lit("see [r](https://x.example)").alias("rationale"))
+    answer = F.struct(
+        F.concat(F.lit("O"), "o_orderkey").alias("name"), F.lit("a ![text](y)").alias("one_liner"), F.struct(*(score.alias(p) for p in reports.PERSPECTIVES)).alias("similarity"),
+        F.lit("w").alias("why_similar"), F.lit("[d][1]").alias("where_diverged"), F.array(F.lit("c1"), F.lit("[c2](u)")).alias("failure_causes"), F.array(F.lit("l")).alias("lessons"),
+    )
+    rows = table(spark, d, "orders").select("o_orderkey", answer.alias("answer"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderdate").cast("date")).alias("failure_date"), F.when(F.col("o_orderkey") % 3 != 0, 7).alias("lifespan_months"), F.array(F.concat(F.lit("https://a.example/"), "o_orderkey")).alias("sources"))
+    return rows.select("o_orderkey", reports.candidate_section().alias("section"))
 
 
 # budgets and counters
@@ -173,17 +195,27 @@ def budget_running(spark, d):
 @query("SELECT event_type, round(sum(value) / 1e6 * CASE event_type WHEN 'click' THEN 0.8 WHEN 'purchase' THEN 4.0 ELSE 0.02 END, 9) AS cost, count(*)::BIGINT AS calls FROM events GROUP BY 1")
 def cost_rollup(spark, d):
     prices = spark.createDataFrame([("click", 0.8), ("purchase", 4.0)], "event_type string, rate double")
-    sums = table(spark, d, "events").groupBy("event_type").agg(F.sum("value").alias("tokens"), F.count("*").alias("calls"))
-    return sums.join(F.broadcast(prices), "event_type", "left").select("event_type", F.round(F.col("tokens") / 1e6 * F.coalesce("rate", F.lit(0.02)), 9).alias("cost"), "calls")
+    return budget.costs(table(spark, d, "events"), prices, "event_type", "value")
 
 
 @query("""SELECT user_id, round(sum(r) / nullif(sum(r) + sum(c), 0), 9) AS ratio FROM (SELECT user_id, CASE WHEN event_type = 'view' THEN value ELSE 0 END AS r, CASE WHEN event_type = 'click' THEN value ELSE 0 END AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= 5 GROUP BY 1""")
 def cache_ratio(spark, d):
     """Cache reads among reads and creations of the first five calls; null where there are neither."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, d, "events").withColumn("rn", F.row_number().over(w)).where("rn <= 5")
-    of = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("value")).otherwise(0.0))
-    return rows.groupBy("user_id").agg(F.round(of("view") / F.nullif(of("view") + of("click"), F.lit(0.0)), 9).alias("ratio"))
+    of = lambda k: F.when(F.col("event_type") == k, F.col("value")).otherwise(0.0)
+    rows = table(spark, d, "events").select("user_id", "event_id", of("view").alias("read"), of("click").alias("created"))
+    return budget.cache_ratio(rows, "user_id", "event_id", "read", "created", 5)
+
+
+@query("""WITH e AS (SELECT user_id, event_id AS seq, CASE WHEN event_type = 'click' THEN 'reserve' ELSE 'settle' END AS kind, CASE WHEN event_type = 'click' THEN event_id ELSE event_id - 1 END AS number, value AS amount FROM events),
+o AS (SELECT user_id, number, amount AS opened FROM e WHERE kind = 'reserve'),
+r AS (SELECT e.*, coalesce(opened, 0) AS opened FROM e LEFT JOIN o USING (user_id, number)),
+s AS (SELECT user_id, seq, kind, round(sum(CASE WHEN kind = 'settle' THEN amount ELSE 0 END) OVER w, 6) AS spent, round(sum(CASE WHEN kind = 'reserve' THEN amount ELSE -opened END) OVER w, 6) AS reserved FROM r WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT user_id, seq, spent, reserved, CASE WHEN kind = 'reserve' THEN round(500 - spent - reserved, 6) >= 0 ELSE spent <= 500 END AS ok FROM s""")
+def budget_ledger(spark, d):
+    """Reservations and settlements of each user in order; a settlement is recorded even where it goes over the cap."""
+    kind = F.when(F.col("event_type") == "click", "reserve").otherwise("settle")
+    rows = table(spark, d, "events").select("user_id", F.col("event_id").alias("seq"), kind.alias("kind"), F.when(kind == "reserve", F.col("event_id")).otherwise(F.col("event_id") - 1).alias("number"), F.col("value").alias("amount"))
+    return budget.ledger(rows, "user_id", "seq", 500.0).select("user_id", "seq", "spent", "reserved", "ok")
 
 
 # evaluation
@@ -192,13 +224,21 @@ def cache_ratio(spark, d):
 @query("SELECT row_id, count(*)::BIGINT AS n FROM (SELECT CASE WHEN item_id % 2 = 0 THEN CAST(item_id // 4 AS VARCHAR) ELSE substr(sha1(text), 1, 8) END AS row_id FROM benchmark) GROUP BY 1 HAVING count(*) > 1")
 def dup_ids(spark, d):
     name = F.when(F.col("item_id") % 2 == 0, F.floor(F.col("item_id") / 4).cast("string")).otherwise("")
-    return table(spark, d, "benchmark").groupBy(hashing.row_id(name, F.col("text")).alias("row_id")).agg(F.count("*").alias("n")).where("n > 1")
+    return corpus.duplicate_ids(table(spark, d, "benchmark").withColumn("row_id", hashing.row_id(name, F.col("text"))), "row_id")
 
 
-@query("SELECT l_orderkey, bool_and(l_quantity > 2) AS grounded, bool_and(l_tax IS NULL OR l_tax >= 0) AS lifespan_ok, bool_and(l_quantity > 2 AND l_discount < 0.1) AS all_ok FROM lineitem GROUP BY 1")
+@query("""SELECT *, where_diverged_nonempty AND sources_allowed AND lifespan_positive AND claims_grounded AS all_ok FROM (SELECT l_orderkey AS row_id, CAST(l_linenumber AS VARCHAR) AS candidate_id, l_tax > 0.01 AS where_diverged_nonempty, l_returnflag <> 'A' AS sources_allowed,
+  l_linenumber % 3 = 0 OR l_discount > 0.02 AS lifespan_positive, l_suppkey % 4 <> 1 OR l_partkey % 3 <> 0 AS claims_grounded FROM lineitem)""")
 def eval_assertions(spark, d):
-    q, t, c = F.col("l_quantity") > 2, F.col("l_tax").isNull() | (F.col("l_tax") >= 0), F.col("l_discount") < 0.1
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_and(q).alias("grounded"), F.bool_and(t).alias("lifespan_ok"), F.bool_and(q & c).alias("all_ok"))
+    """The four assertions on syntheses, with numbers, hosts and lifespans from the test rows."""
+    li = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("row_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("candidate_id"), F.col("l_linenumber").cast("string").alias("line"), F.when(F.col("l_tax") > 0.01, "there").otherwise("\t ").alias("where_diverged"),
+        F.array(F.concat(F.lit("https://"), F.lower("l_returnflag"), F.lit(".example/x"))).alias("sources"), F.when(F.col("l_linenumber") % 3 != 0, F.when(F.col("l_discount") > 0.02, 4).otherwise(0)).alias("lifespan_months"),
+        F.when(F.col("l_suppkey") % 4 != 1, "no numbers").otherwise("had 12 million users").alias("why_similar"), F.array(F.lit("plain"), F.lit(None).cast("string")).alias("rationales"), F.when(F.col("l_partkey") % 3 != 0, "they had 12 million users").otherwise("they had 12 users").alias("body"),
+    )
+    hosts = table(spark, d, "lineitem").select("l_returnflag").distinct().where("l_returnflag <> 'A'").agg(F.collect_set(F.concat(F.lower("l_returnflag"), F.lit(".example"))).alias("h")).first().h
+    checked = evaluate.assertions(li, li.select("candidate_id", "body"), F.array(*(F.lit(h) for h in hosts)))
+    return checked.withColumn("candidate_id", F.element_at(F.split("candidate_id", "-"), -1))
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity > 10 AS was FROM lineitem WHERE l_orderkey % 5 <> 0), c AS (SELECT l_orderkey, l_linenumber, l_quantity > 12 OR l_tax > 0.06 AS now FROM lineitem WHERE l_orderkey % 7 <> 0)
