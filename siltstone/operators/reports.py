@@ -10,6 +10,7 @@ from siltstone.functions.dates import whole_months
 from siltstone.functions.prompts import synthesis_values
 from siltstone.functions.text import injection_flag, strip_links
 from siltstone.operators import ranked as rank
+from siltstone.operators.graph import written as put
 from siltstone.operators.models import Completer, asked
 from siltstone.operators.retrieval import hybrid
 
@@ -143,20 +144,21 @@ def debug_text(hits: DataFrame) -> DataFrame:
 def run_queries(pitches: DataFrame, points: DataFrame, documents: DataFrame, completer: Completer, config: Config, generated_at: str, facets: tuple[str, ...] = ("sector", "geography"), extracted: bool = False) -> dict[str, DataFrame]:
     """The whole batch: ``syntheses``, ``risks``, ``counts`` and ``reports``.
 
-    ``pitches``: query_id, name, description, text, embedding, cutoff if wanted, and the facets if ``extracted``;
+    Hits, rankings, syntheses and risks are written once to the shared folder: several of the results read them, and
+    a lost executor does not cost the calls again.  ``pitches``: query_id, name, description, text, embedding, cutoff if wanted, and the facets if ``extracted``;
     ``points``: see ``retrieval.hybrid``; ``documents``: canonical_id, name, summary, body, founding_date,
     failure_date, sources.  Facets, retrieval, reranking, threshold, synthesis, second threshold, risks, report.
     """
-    queries = pitches if extracted else extract_facets(pitches, facets, completer, config)
-    hits = hybrid(points, queries, config.k_retrieve, facets, config.facet_boost, config.rrf_k)
+    queries = pitches if extracted else put(extract_facets(pitches, facets, completer, config), "queries")
+    hits = put(hybrid(points, queries, config.k_retrieve, facets, config.facet_boost, config.rrf_k), "hits")
     known = hits.join(documents.select("canonical_id", "summary"), "canonical_id").select("query_id", F.col("canonical_id").cast("string").alias("candidate_id"), F.col("rank").alias("pos"), "summary")
-    order = rerank(known, queries, completer, config)
+    order = put(rerank(known, queries, completer, config), "ranking")
     chosen = rank.top_by_similarity(order, config.min_similarity, config.n_synthesize)
     about = documents.withColumn("candidate_id", F.col("canonical_id").cast("string")).select("candidate_id", "body", "founding_date", "failure_date", "sources")
     asked_for = chosen.select("query_id", "candidate_id", "pos").join(queries.select("query_id", "name", "description"), "query_id").join(about, "candidate_id")
-    written = synthesize(asked_for, completer, config)
+    written = put(synthesize(asked_for, completer, config), "syntheses")
     kept = written.where(F.col("mean") >= config.min_similarity)
-    risks = consolidate(kept, queries, completer, config)
+    risks = put(consolidate(kept, queries, completer, config), "risks")
     pre = order.groupBy("query_id").agg(F.max("rerank_cost").alias("_rc")).join(chosen.groupBy("query_id").agg(F.count("*").alias("_c")), "query_id", "left")
     post = written.groupBy("query_id").agg(F.count_if(F.col("mean") < config.min_similarity).alias("_p"), F.sum("synthesis_cost").alias("_sc"))
     counts = queries.select("query_id").join(pre, "query_id", "left").join(post, "query_id", "left")

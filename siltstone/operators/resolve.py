@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.hashing import pair_key
 from siltstone.operators.corpus import tier2_id
-from siltstone.operators.graph import shared_dir
+from siltstone.operators.graph import written
 
 RECYCLED_YEARS = 10
 LOW, HIGH = 0.65, 0.85
@@ -82,13 +82,6 @@ def outcomes(resolved: DataFrame, prior: DataFrame) -> DataFrame:
     return rows.select("seq", "canonical_id", F.when(flip, "flip").when(merge, "merge").otherwise("create").alias("action"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, so that what reads it several times does not compute it again."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def entity_ids(entries: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """``entries`` with tier, reason and canonical_id: an alias hint, else the domain, else normalized name and sector.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import hashing, prompts, text, urls
-from siltstone.operators import budget, corpus, evaluate, models, ranked, reports, resolve
+from siltstone.operators import budget, corpus, evaluate, graph, models, ranked, reports, resolve
 from siltstone.plans.bindings import table
 
 QUERIES, ORACLE = {}, {}
@@ -47,7 +47,7 @@ def resolve_entities(spark, d):
     """Hints, domains, demotions and tier-2 ids of all events, against a journal that knows some of them, some under other ids."""
     entries = _entries(spark, d).withColumn("name", F.lit("Acme")).withColumn("sector", F.concat(F.lit("s"), F.col("user_id") % 5))
     entries = entries.withColumn("alias_hint", F.when(F.col("seq") % 17 == 0, F.concat(F.lit("hint"), F.col("seq") % 2))).withColumn("source", F.lit("events")).withColumn("source_id", F.col("seq").cast("string"))
-    ids = resolve.written(resolve.entity_ids(entries), "resolution")
+    ids = graph.written(resolve.entity_ids(entries), "resolution")
     known = ids.where("seq % 7 = 0")
     prior = known.select("source", "source_id", F.when(F.col("seq") % 14 == 0, "other").otherwise(F.col("canonical_id")).alias("canonical_id"))
     return resolve.outcomes(ids, prior).join(ids.select("seq", "reason"), "seq")
@@ -227,18 +227,18 @@ def dup_ids(spark, d):
     return corpus.duplicate_ids(table(spark, d, "benchmark").withColumn("row_id", hashing.row_id(name, F.col("text"))), "row_id")
 
 
-@query("""SELECT *, where_diverged_nonempty AND sources_allowed AND lifespan_positive AND claims_grounded AS all_ok FROM (SELECT l_orderkey AS row_id, CAST(l_linenumber AS VARCHAR) AS candidate_id, l_tax > 0.01 AS where_diverged_nonempty, l_returnflag <> 'A' AS sources_allowed,
-  l_linenumber % 3 = 0 OR l_discount > 0.02 AS lifespan_positive, l_suppkey % 4 <> 1 OR l_partkey % 3 <> 0 AS claims_grounded FROM lineitem)""")
+@query("""SELECT *, where_diverged_nonempty AND sources_allowed AND lifespan_positive AND claims_grounded AS all_ok FROM (SELECT o_custkey AS row_id, CAST(o_orderkey AS VARCHAR) AS candidate_id, o_totalprice > 50000 AS where_diverged_nonempty, o_orderstatus <> 'P' AS sources_allowed,
+  o_orderkey % 3 = 0 OR o_orderkey % 5 > 0 AS lifespan_positive, o_custkey % 4 <> 1 OR o_orderkey % 7 <> 0 AS claims_grounded FROM orders)""")
 def eval_assertions(spark, d):
-    """The four assertions on syntheses, with numbers, hosts and lifespans from the test rows."""
-    li = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("row_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("candidate_id"), F.col("l_linenumber").cast("string").alias("line"), F.when(F.col("l_tax") > 0.01, "there").otherwise("\t ").alias("where_diverged"),
-        F.array(F.concat(F.lit("https://"), F.lower("l_returnflag"), F.lit(".example/x"))).alias("sources"), F.when(F.col("l_linenumber") % 3 != 0, F.when(F.col("l_discount") > 0.02, 4).otherwise(0)).alias("lifespan_months"),
-        F.when(F.col("l_suppkey") % 4 != 1, "no numbers").otherwise("had 12 million users").alias("why_similar"), F.array(F.lit("plain"), F.lit(None).cast("string")).alias("rationales"), F.when(F.col("l_partkey") % 3 != 0, "they had 12 million users").otherwise("they had 12 users").alias("body"),
+    """The four assertions on syntheses, with texts, hosts and lifespans from the test rows."""
+    orders = table(spark, d, "orders")
+    syntheses = orders.select(
+        F.col("o_custkey").alias("row_id"), F.col("o_orderkey").cast("string").alias("candidate_id"), F.when(F.col("o_totalprice") > 50000, "there").otherwise("\t ").alias("where_diverged"),
+        F.array(F.concat(F.lit("https://"), F.lower("o_orderstatus"), F.lit(".example/x"))).alias("sources"), F.when(F.col("o_orderkey") % 3 != 0, F.when(F.col("o_orderkey") % 5 > 0, 4).otherwise(0)).alias("lifespan_months"),
+        F.when(F.col("o_custkey") % 4 != 1, "no numbers").otherwise("had 12 million users").alias("why_similar"), F.array(F.lit("plain"), F.lit(None).cast("string")).alias("rationales"),
     )
-    hosts = table(spark, d, "lineitem").select("l_returnflag").distinct().where("l_returnflag <> 'A'").agg(F.collect_set(F.concat(F.lower("l_returnflag"), F.lit(".example"))).alias("h")).first().h
-    checked = evaluate.assertions(li, li.select("candidate_id", "body"), F.array(*(F.lit(h) for h in hosts)))
-    return checked.withColumn("candidate_id", F.element_at(F.split("candidate_id", "-"), -1))
+    bodies = orders.select(F.col("o_orderkey").cast("string").alias("candidate_id"), F.when(F.col("o_orderkey") % 7 != 0, "they had 12 million users").otherwise("they had 12 users").alias("body"))
+    return evaluate.assertions(syntheses, bodies, F.array(F.lit("f.example"), F.lit("o.example")))
 
 
 @query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity > 10 AS was FROM lineitem WHERE l_orderkey % 5 <> 0), c AS (SELECT l_orderkey, l_linenumber, l_quantity > 12 OR l_tax > 0.06 AS now FROM lineitem WHERE l_orderkey % 7 <> 0)
