@@ -6,7 +6,8 @@ Layout of a store directory:
   uint32 where an id needs it);
 - ``objects/kind=recipe``: one row per document with the addresses of its chunks in order (unsorted staging);
 - ``recipes``: the same rows in ascending doc_id order, each with its file's number (``shard``) and the
-  document's Merkle root; ``manifest``: one row per shard (root over its documents' roots, rows, ids).
+  document's root over its chunks' addresses; ``manifest``: one row per shard (a sum of hashes of its documents'
+  places and roots, which no task has to gather; its rows; its ids).
 
 A chunk ends where a rolling hash of the last ids meets a mask, so equal runs of ids in different documents
 make equal chunks.  Reading checks every chunk against its address and every document against its root.
@@ -131,6 +132,8 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
 
     One pass encodes; each task sends a chunk that it meets again as an address only, so a chunk that many
     documents share travels once per task.  Null texts are empty; each document ends with ``end_id``.
+    Repeated rows are documents of their own; a null doc_id comes first; other columns are ignored; an empty table
+    makes an empty store.
     """
     shared = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer))
 
@@ -224,6 +227,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     Each stored chunk is read once and checked against its address; documents join the chunks' lengths and
     CRC-32s, not their bytes, and their CRC-32 is combined from those.  A document is verified if its chunks are,
     its recipe has its root, and its shard's documents have the manifest's root, number and ids.
+    Repeated documents stay apart by their place; an empty store gives no rows.
     """
     tables = _shift_tables()
 

@@ -250,7 +250,8 @@ def pad(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     """One row per document: the digests of SCHEMA, all from the decoded file; with ``keep_media`` the file and the thumbnail too.
 
-    Null texts count as empty (one block of zeros).  Equal texts give equal values; repeated rows stay.  Map only.
+    Null texts count as empty (one block of zeros).  Equal texts give equal values; repeated rows stay;
+    other columns are ignored; an empty table gives none.  Map only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

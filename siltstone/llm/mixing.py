@@ -159,7 +159,11 @@ def misses(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dic
 
 
 def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
-    """``docs`` with each row as often as its rate says: the whole part, and once more by a hash of doc_id for the rest."""
+    """``docs`` with each row as often as its rate says: the whole part, and once more by a hash of doc_id for the rest.
+
+    Rows that repeat a doc_id (null is one) take its largest rate each; empty texts follow their posterior; all columns
+    are kept; an empty table gives none.
+    """
     rates = mixing_rates(spark, docs, labels, targets, keep).groupBy(F.col("doc_id").alias("id")).agg(F.max("rate").alias("rate"))
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     joined = rows.join(rates.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("id")))

@@ -148,7 +148,12 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
 
 
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per row of ``docs``.  Texts are read once: their statistics are written to the shared folder."""
+    """One row per row of ``docs``: doc_id, held_out, score, predicted.  Texts are read once: their statistics are written to the shared folder.
+
+    Null and empty texts have statistics of 0; repeated rows stay, each with the same score; a null doc_id is not
+    held out and takes no label; without labels every score is 0.5, with labels of one class that class; other
+    columns are ignored; an empty table gives none.
+    """
     path = shared_dir(spark, "quality")
     measured(docs).write.parquet(path)
     stats = spark.read.parquet(path)

@@ -139,7 +139,11 @@ def policy_mask(policy: str) -> int:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """The measurements of every document and ``failures``, a bit for each rule that it fails."""
+    """The measurements of every document and ``failures``, a bit for each rule that it fails.
+
+    Null and empty texts measure 0 and fail the rules on too few words; repeated rows stay; other columns are
+    ignored; an empty table gives none.
+    """
     return measure_documents(docs).withColumn("failures", failure_bits())
 
 

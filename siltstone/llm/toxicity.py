@@ -165,6 +165,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted.
+
+    Null and empty texts get the intercept's score; repeated rows stay, each with the same score; a null doc_id is
+    not held out and takes no label; other columns are ignored; an empty table gives none.
+    """
     return score(docs, fit(spark, docs, labels))
 
 

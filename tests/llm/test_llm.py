@@ -284,6 +284,57 @@ def test_scores_odd(spark, odd, empty, labels, score):
     assert score(spark, empty, labels).count() == 0
 
 
+def test_quality_brute_force(spark, sf):
+    """The fitted map, weights, steps and scores against one dense solve over the training rows."""
+    docs, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    y = {r.doc_id: r.quality for r in lab.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    stats = {i: quality.statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for i, t in texts.items()}
+    ids = sorted(set(y) & set(texts))
+    x, want = np.stack([stats[i] for i in ids]), np.array([float(y[i]) for i in ids])
+    model = quality.Model(x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0))
+    f = model.features(x)
+    model.weights = np.linalg.solve(f.T @ f + quality.RIDGE * len(ids) * np.eye(f.shape[1]) / f.shape[1], f.T @ want)
+    raw = model.raw(x)
+    bins = np.minimum(((raw + 0.5) / 2 * quality.BINS).astype(int), quality.BINS - 1)
+    groups = [np.flatnonzero(bins == b) for b in sorted(set(bins.tolist()))]
+    model.knots, model.levels = quality.isotonic(np.array([raw[g].mean() for g in groups]), np.array([(want[g].sum() + want.mean() * 0.02) / (len(g) + 0.02) for g in groups]), np.array([float(len(g)) for g in groups]))
+    got = by_id(quality.quality_scores(spark, docs, lab))
+    assert max(abs(got[i].score - float(model.score(stats[i][None, :])[0])) for i in texts) < 1e-6
+
+
+def test_toxicity_brute_force(spark):
+    """Counts, ratios, features and scores against dictionaries of n-grams and a dense matrix; held-out labels have no effect."""
+    rng = random.Random(6)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randrange(3, 7)))
+    rows = [(i, " ".join([word("abcde") for _ in range(12)] + [rng.choice(["vile grub", "nasty worm"])] * (3 * (i % 3 == 0))).title()) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    grams = {i: [t.lower().encode()[k : k + n] for n in toxicity.SIZES for k in range(len(t) - n + 1)] for i, t in rows}
+
+    def bucket(g):
+        return int([b for b, _ in toxicity.buckets(np.frombuffer(g, np.uint8), np.array([0, len(g)]))][-1][0])
+
+    number = {g: bucket(g) for g in {g for x in grams.values() for g in x}}
+    train = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    count = np.zeros((2, toxicity.BUCKETS))
+    for i in train:
+        for g in grams[i]:
+            count[int(i % 3 == 0), number[g]] += 1
+    r, kept = toxicity.ratios(count[1], count[0])
+    p, q = count[1] + 1, count[0] + 1
+    assert len(kept) > 5 and np.allclose(r, np.log(p / p.sum()) - np.log(q / q.sum()))
+    dense = np.array([[float(k in {number[g] for g in grams[i]}) for k in kept] for i, _ in rows]) * r[kept]
+    y = np.array([float(i % 3 == 0) for i in train])
+    at_, feature = np.nonzero(dense[train])
+    w, b = toxicity.logistic(at_, feature, dense[train][at_, feature], y, np.ones(len(train)), len(kept))
+    want = 1 / (1 + np.exp(-(dense @ w + b)))
+    flipped = lab.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    for labels in (lab, flipped):
+        got = by_id(toxicity.toxicity_scores(spark, docs, labels))
+        assert max(abs(got[i].score - want[i]) for i, _ in rows) < 1e-6
+
+
 def test_isotonic():
     knots, levels = quality.isotonic(np.arange(6.0), np.array([0.1, 0.4, 0.2, 0.2, 0.9, 0.8]), np.ones(6))
     assert (np.diff(levels) > 0).all() and np.allclose(levels, [0.1, 0.8 / 3, 0.85]) and np.allclose(knots, [0, 2, 4.5])
