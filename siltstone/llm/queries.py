@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import neardup, rules
+from siltstone.llm import neardup, rules, substrings
 from siltstone.llm.bpe import op9_bpe_encode_decode
 from siltstone.llm.idstore import op6_token_id_store
 from siltstone.llm.jpeg import op10_jpeg_media
@@ -30,4 +30,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_quality_rules": rules.ORACLE,
     "op4_minhash_lsh_forest": neardup.ORACLE,
+    "op7_suffix_bucket_dedup": substrings.ORACLE,
 }

@@ -346,3 +346,28 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, length: int = LENG
 
 def op7_suffix_bucket_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), passage=PASSAGE)
+
+
+def _covered_sql(name: str, length: int) -> str:
+    """CTEs that end in {name}_span: the maximal runs of bytes that repeated strings of ``length`` bytes cover."""
+    return f"""
+  {name}_start AS (SELECT r, b, unnest(range(1, n - {length} + 2)) AS s FROM docs),
+  {name}_hash AS (SELECT r, s, md5(array_slice(b, s, s + {length} - 1)) AS h FROM {name}_start),
+  {name}_hit AS (SELECT r, s FROM {name}_hash WHERE h IN (SELECT h FROM {name}_hash GROUP BY h HAVING count(*) > 1)),
+  {name}_edge AS (SELECT r, s, coalesce(s - lag(s) OVER (PARTITION BY r ORDER BY s) > {length}, true) AS opens FROM {name}_hit),
+  {name}_run AS (SELECT r, s, sum(opens::INT) OVER (PARTITION BY r ORDER BY s) AS k FROM {name}_edge),
+  {name}_span AS (SELECT r, min(s) AS first, max(s) + {length} - 1 AS last FROM {name}_run GROUP BY r, k)"""
+
+
+#: Every string of every text; some 3 seconds a megabyte.
+ORACLE = f"""
+WITH docs AS (SELECT r, doc_id, b, octet_length(b) AS n FROM (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents)),{_covered_sql("cut", LENGTH)},{_covered_sql("passage", PASSAGE)},
+  piece AS (
+    SELECT r, last + 1 AS first, coalesce(lead(first) OVER (PARTITION BY r ORDER BY first) - 1, n) AS last
+    FROM (SELECT r, first, last FROM cut_span UNION ALL SELECT r, 0, 0 FROM docs) JOIN docs USING (r)),
+  kept AS (SELECT r, string_agg(hex(array_slice(b, first, last)), '' ORDER BY first) AS x FROM piece JOIN docs USING (r) WHERE first <= last GROUP BY r),
+  removed AS (SELECT r, sum(last - first + 1) AS n_removed, count(*) AS n_spans FROM cut_span GROUP BY r),
+  passages AS (SELECT r, sum(last - first + 1) AS n_passage FROM passage_span GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(x, ''))) AS kept_sha256, coalesce(n_passage, 0)::BIGINT AS n_passage_bytes
+FROM docs LEFT JOIN removed USING (r) LEFT JOIN passages USING (r) LEFT JOIN kept USING (r)"""
