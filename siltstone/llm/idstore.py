@@ -6,11 +6,12 @@ Layout of a store directory:
   uint32 where an id needs it);
 - ``objects/kind=recipe``: one row per document with the addresses of its chunks in order (unsorted staging);
 - ``recipes``: the same rows in ascending doc_id order, each with its file's number (``shard``) and the
-  document's root over its chunks' addresses; ``manifest``: one row per shard (a sum of hashes of its documents'
-  places and roots, which no task has to gather; its rows; its ids).
+  document's root over its chunks' addresses; ``manifest``: one row per shard (the Merkle root over its documents'
+  roots in order; its rows; its ids).
 
 A chunk ends where a rolling hash of the last ids meets a mask, so equal runs of ids in different documents
-make equal chunks.  Reading checks every chunk against its address and every document against its root.
+make equal chunks.  Reading checks every chunk against its address, every document against its root and every
+shard against the manifest's.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +39,8 @@ WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 128, 4096
 #: Pre-tokens and units that a worker remembers.
 MEMO_ENTRIES = 600_000
 SEEN_CHUNKS = 50_000
+#: Children of a node of a shard's tree (a power of two) and its levels: places have 33 bits.
+FAN_BITS, LEVELS = 9, 4
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -119,9 +122,17 @@ def recipe_root(recipe: bytes) -> bytes:
     return hashlib.sha256(b"".join(recipe[i : i + 32] for i in range(0, len(recipe), 36))).digest()
 
 
-def shard_leaf() -> Column:
-    """What a document adds to its shard's root, a sum of 31-bit hashes of (position, root), so that it needs no gathering."""
-    return F.pmod(F.xxhash64("pos", "root"), F.lit(2**31 - 1))
+def shard_roots(recipes: DataFrame) -> DataFrame:
+    """(shard, tree) of (shard, pos, root): a Merkle tree of SHA-256 over the roots in order of ``pos``.
+
+    Every node has at most 2**FAN_BITS children, by place in the shard, so no group grows with the table, and
+    LEVELS levels take every place that a position can name.
+    """
+    level = recipes.select("shard", F.col("pos").bitwiseAND(F.lit(2**33 - 1)).alias("place"), F.hex("root").alias("tree"))
+    for _ in range(LEVELS):
+        children = F.array_sort(F.collect_list(F.struct("place", "tree")))["tree"]
+        level = level.groupBy("shard", F.shiftrightunsigned("place", FAN_BITS).alias("above")).agg(F.sha2(F.concat_ws("", children), 256).alias("tree")).withColumnRenamed("above", "place")
+    return level.select("shard", "tree")
 
 
 _OBJECT = "kind string, key long, doc_id long, n long, address binary, body binary"
@@ -182,9 +193,8 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     recipes = recipes.select("doc_id", "n", "body").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "body").mapInArrow(roots, "doc_id long, n long, body binary, root binary")
     recipes.withColumn("shard", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()).write.parquet(f"{path}/recipes")
     stored = spark.read.parquet(f"{path}/recipes")
-    leaf = shard_leaf()
-    manifest = stored.groupBy("shard").agg(F.sum("n").alias("n_ids"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum(leaf).alias("root"))
-    manifest.coalesce(1).write.parquet(f"{path}/manifest")
+    manifest = stored.groupBy("shard").agg(F.sum("n").alias("n_ids"), F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    manifest.join(shard_roots(stored), "shard").withColumnRenamed("tree", "root").coalesce(1).write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
 
@@ -269,7 +279,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     for row in starts:
         offsets.append((row.shard, total, row.n_ids, row.n_docs, row.root))
         total += row.n_ids
-    before = F.broadcast(spark.createDataFrame(offsets, "shard int, shard_start long, shard_ids long, shard_docs long, shard_root long"))
+    before = F.broadcast(spark.createDataFrame(offsets, "shard int, shard_start long, shard_ids long, shard_docs long, shard_root string"))
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,10 +290,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     found = recipes.select("doc_id", "pos", "n", "shard", "body", "root").mapInArrow(rooted, "doc_id long, pos long, n long, shard int, root binary, same boolean")
     shard = Window.partitionBy("shard").orderBy("pos")
     every, order = shard.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), shard.rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("leaf", shard_leaf()).drop("root").withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    found = found.withColumn("all_leaves", F.sum("leaf").over(every)).withColumn("all_ids", F.sum("n").over(every)).withColumn("all_docs", F.count("*").over(every))
-    placed = found.join(before, "shard", "left").join(docs, "pos", "left")
-    whole = (F.col("all_leaves") == F.col("shard_root")) & (F.col("all_ids") == F.col("shard_ids")) & (F.col("all_docs") == F.col("shard_docs"))
+    trees = shard_roots(found)
+    found = found.drop("root").withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    found = found.withColumn("all_ids", F.sum("n").over(every)).withColumn("all_docs", F.count("*").over(every))
+    placed = found.join(before, "shard", "left").join(trees, "shard", "left").join(docs, "pos", "left")
+    whole = (F.col("tree") == F.col("shard_root")) & (F.col("all_ids") == F.col("shard_ids")) & (F.col("all_docs") == F.col("shard_docs"))
     verified = F.coalesce(F.col("good") & F.col("same") & whole & (F.col("n") == F.col("n_tokens")), F.lit(False))
     return placed.select("doc_id", (F.col("shard_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", verified.alias("verified"), "n_chunks")
 

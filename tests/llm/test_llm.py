@@ -8,6 +8,7 @@ import struct
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from siltstone.llm import bpe, components, idstore, jpeg, mixing, neardup, quality, rules, substrings, toxicity, unigram
+from siltstone.llm import bpe, components, idstore, jpeg, mixing, neardup, quality, queries, rules, substrings, toxicity, unigram
 
 PASSAGE = "".join(random.Random(9).choice("abcdefghij klmnop qrst") for _ in range(700))
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_shingles string, component_id int, row string, rate double, items string, h string, id string"
@@ -368,11 +369,29 @@ def test_store_roots(spark, odd, tmp_path):
     swapped.write.mode("overwrite").parquet(f"file://{path}-swapped/recipes")
     assert not by_id(idstore.read_store(spark, f"file://{path}-swapped"))[9].verified
     shutil.copytree(path, f"{path}-root")
-    spark.read.parquet(f"file://{path}/manifest").withColumn("root", F.col("root") + 1).write.mode("overwrite").parquet(f"file://{path}-root/manifest")
+    spark.read.parquet(f"file://{path}/manifest").withColumn("root", F.reverse("root")).write.mode("overwrite").parquet(f"file://{path}-root/manifest")
     rows = idstore.read_store(spark, f"file://{path}-root").collect()
     assert len(rows) == len(odd_rows()) and not any(r.verified for r in rows)
 
 
+def test_shard_roots(spark):
+    """The tree against a loop over levels; the order of documents counts."""
+    sizes = {0: 1, 1: 512, 2: 513, 3: 1300}
+    leaves = {s: [hashlib.sha256(f"{s}.{i}".encode()).hexdigest().upper() for i in range(n)] for s, n in sizes.items()}
+    rows = [(s, (s << 33) + i, bytes.fromhex(x)) for s, xs in leaves.items() for i, x in enumerate(xs)]
+    random.Random(4).shuffle(rows)
+    df = spark.createDataFrame(rows, "shard int, pos long, root binary").repartition(5)
+
+    def tree(level):
+        for _ in range(idstore.LEVELS):
+            level = [hashlib.sha256("".join(level[i : i + 512]).encode()).hexdigest() for i in range(0, len(level), 512)]
+        return level
+
+    assert sorted((r.shard, [r.tree]) for r in idstore.shard_roots(df).collect()) == [(s, tree(x)) for s, x in leaves.items()]
+    swapped = df.withColumn("pos", F.expr("if(shard = 3 and pos & 8589934591 < 2, pos ^ 1, pos)"))
+    assert {r.shard: r.tree for r in idstore.shard_roots(swapped).collect()}[3] != tree(leaves[3])[0]
+
+
 def test_chunks_and_crc():
     rng = np.random.default_rng(1)
     a, b, c = rng.integers(0, 50_000, 20_000), rng.integers(0, 50_000, 777), rng.integers(0, 50_000, 333)
@@ -534,3 +553,13 @@ def test_pipeline_runs(spark, sf):
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_matches_sql(spark, sf, name):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLE[name]).df()
+    cols = sorted(want.columns)
+    assert sorted(got.columns) == cols
+    assert sorted(map(tuple, got[cols].values.tolist()), key=str) == sorted(map(tuple, want[cols].values.tolist()), key=str)
