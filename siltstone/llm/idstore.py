@@ -63,18 +63,22 @@ class LibraryIds(Ids):
         self._library = Tokenizer(Tokenizer.from_str(tokenizer_json.decode()).model)
         self._library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._bytes = np.array([len(s) for s in vocabulary.strings], np.int64)
-        self._chars = str.maketrans(dict(enumerate(byte_chars())))
+        self._chars = np.array([ord(c) for c in byte_chars()], "<u4")
         super().__init__(limit, vocabulary.special)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for at in range(0, len(words), 2000):
-            raw = [w.encode("utf-8", "replace") for w in words[at : at + 2000]]
-            text = " ".join([r.decode("latin-1").translate(self._chars) for r in raw])
+        ids, lengths, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], len(words)
+        data = np.frombuffer("".join(words).encode("utf-8", "replace"), np.uint8)
+        first = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))  # of each character
+        ends = np.concatenate([[0], first[np.cumsum(np.fromiter(map(len, words), np.int64, n))]])  # of the words, in bytes
+        spaced = np.full(len(data) + n, 32, "<u4")
+        spaced[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(ends))] = self._chars[data]
+        for at in range(0, n, 2000):
+            to = min(at + 2000, n)
+            text = spaced[ends[at] + at : ends[to] + to - 1].tobytes().decode("utf-32-le")
             found = np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self._bytes[found]), np.cumsum([len(r) for r in raw])) + 1
             ids.append(found)
-            lengths.append(np.diff(ends, prepend=0))
+            lengths.append(np.diff(np.searchsorted(np.cumsum(self._bytes[found]), ends[at + 1 : to + 1] - ends[at]) + 1, prepend=0))
         return np.concatenate(ids), np.concatenate(lengths)
 
 

@@ -9,8 +9,9 @@ What is known of entries is kept for the next block, and by a worker for its nex
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
-from itertools import repeat
+from itertools import compress, count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ class Entries:
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words: defaultdict[str, int] = defaultdict()
         self.units: dict[str, int] = {}
         self.openings: dict[str, int] = {"": 0}
         self.size = 1
@@ -68,15 +69,16 @@ class Entries:
         raise NotImplementedError
 
     def number(self, words: Sequence[str]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self.words]
-        if new:
-            self.add_words(new)
-            self.words.update(zip(new, range(self.size, self.size + len(new)), strict=True))
+        known = len(self.words)
+        self.words.default_factory = count(self.size).__next__  # numbers new words as they are looked up
+        out = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        if new := list(islice(reversed(self.words), len(self.words) - known)):
+            self.add_words(new[::-1])
             self.size += len(new)
-        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        return out
 
-    def _number_runs(self, table: dict[str, int], keys: list[str], words: list[str], lengths: np.ndarray) -> None:
-        """Entries of ``keys``, each of so many of the words; a run of one word is that word's entry."""
+    def _number_runs(self, table: dict[str, int], keys: list[str], words: list[str], lengths: np.ndarray) -> np.ndarray:
+        """Adds and returns the entries of ``keys``, each of so many of the words; a run of one word is that word's entry."""
         entries = self.number(words)
         first = np.cumsum(lengths) - lengths
         many = lengths != 1
@@ -86,20 +88,25 @@ class Entries:
         self.add_runs(entries[ragged(first[many], lengths[many])], lengths[many])
         self.size += int(many.sum())
         table.update(zip(keys, out.tolist(), strict=True))
+        return out
 
-    def learn_units(self, units: list[str]) -> None:
+    def learn_units(self, units: list[str]) -> np.ndarray:
+        """Adds and returns the entries of units, each once, that are not known."""
         # joined by spaces, many are cut at once: a unit begins where a pre-token begins with a space
-        joined = [u for u in units if u and len(u.strip()) == len(u)]
+        out, full = np.zeros(len(units), np.int64), np.fromiter(map(len, units), np.int64, len(units))
+        tidy = (full > 0) & (np.fromiter(map(len, map(str.strip, units)), np.int64, len(units)) == full)
+        joined = list(compress(units, tidy))
         words = PATTERN.findall(" " + " ".join(joined)) if joined else []
-        begins = np.flatnonzero(np.fromiter((w[0] == " " for w in words), bool, len(words)))
+        begins = np.flatnonzero(np.fromiter(map(str.startswith, words, repeat(" ")), bool, len(words)))
         if len(begins) != len(joined):
-            joined, words, begins = [], [], np.zeros(0, np.int64)
-        if joined:
-            self._number_runs(self.units, joined, words, np.diff(np.append(begins, len(words))))
-        rest = [u for u in units if u not in self.units]
+            tidy[:] = False
+        elif joined:
+            out[tidy] = self._number_runs(self.units, joined, words, np.diff(np.append(begins, len(words))))
+        rest = list(compress(units, ~tidy))
         cut = [PATTERN.findall(" " + u) for u in rest]
         if rest:
-            self._number_runs(self.units, rest, [w for c in cut for w in c], np.array([len(c) for c in cut], np.int64))
+            out[~tidy] = self._number_runs(self.units, rest, [w for c in cut for w in c], np.array([len(c) for c in cut], np.int64))
+        return out
 
     def learn_openings(self, openings: list[str]) -> None:
         new = [u for u in dict.fromkeys(openings) if u not in self.openings]
@@ -118,7 +125,7 @@ class Entries:
             elif has_run(t):
                 odd[k] = PATTERN.findall(t)
         plain = [k for k in range(len(texts)) if k not in odd]
-        count = np.zeros(len(texts), np.int64)
+        each = np.zeros(len(texts), np.int64)
         entries = np.zeros(0, np.int64)
         if plain:
             lists = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
@@ -131,23 +138,21 @@ class Entries:
             names = coded.dictionary.to_numpy(zero_copy_only=False)
             place = np.fromiter(map(self.units.get, names.tolist(), repeat(-1)), np.int64, len(names))
             new = np.flatnonzero((place < 0) & (np.bincount(codes[inner], minlength=len(names)) > 0))
-            units = names[new].tolist()
-            self.learn_units(units)
-            place[new] = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+            place[new] = self.learn_units(names[new].tolist())
             entries = place[codes]
             first = lists.values.take(pa.array(opening)).to_pylist()
             self.learn_openings(first)
             entries[opening] = [self.openings[u] for u in first]
-            count[plain] = np.diff(offsets)
+            each[plain] = np.diff(offsets)
         for k, words in odd.items():
-            count[k] = len(words)
-        start = np.cumsum(count) - count
-        out = np.zeros(int(count.sum()), np.int64)
+            each[k] = len(words)
+        start = np.cumsum(each) - each
+        out = np.zeros(int(each.sum()), np.int64)
         if plain:
-            out[ragged(start[plain], count[plain])] = entries
+            out[ragged(start[plain], each[plain])] = entries
         for k, words in odd.items():
-            out[start[k] : start[k] + count[k]] = self.number(words)
-        return out, count
+            out[start[k] : start[k] + each[k]] = self.number(words)
+        return out, each
 
 
 class Ids(Entries):
