@@ -86,18 +86,23 @@ def library_of(tokenizer_json: bytes) -> LibraryIds:
     return held("library", tokenizer_json, LibraryIds)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream; they depend on the last WINDOW ids and on LEAST and MOST."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """The ends at which a rolling hash of the last WINDOW ids meets the mask."""
+    if len(ids) < WINDOW:
+        return np.zeros(0, np.int64)
     h = mix(ids.astype(np.uint64) + np.uint64(1))
-    total = np.zeros(n + 1, np.uint64)
+    total = np.zeros(len(ids) + 1, np.uint64)
     np.cumsum(h, out=total[1:])
     rolling = mix(total[WINDOW:] - total[:-WINDOW] + h[WINDOW - 1 :] * np.uint64(3))
-    marks = np.flatnonzero(rolling & np.uint64((1 << MASK_BITS) - 1) == 0) + WINDOW
+    return np.flatnonzero(rolling & np.uint64((1 << MASK_BITS) - 1) == 0) + WINDOW
+
+
+def cuts(marks: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a stream of ``n`` ids with these marks, which depend on LEAST and MOST too."""
+    if n <= LEAST:
+        return [n]
     out, last = [], 0
-    for m in marks.tolist():
+    for m in marks:
         while m - last > MOST:
             last += MOST
             out.append(last)
@@ -153,16 +158,20 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     shared = spark.sparkContext.broadcast(tokenizer_bytes(tokenizer))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, seen = library_of(shared.value), np.array([end_id], np.uint32), set()
+        encoder, seen = library_of(shared.value), set()
         for batch in batches:
             for part, texts in blocks(batch):
                 flat, ends = encoder.encode(texts)
+                flat, ends = np.insert(flat, ends[1:], end_id), ends + np.arange(len(ends))
+                marks = marks_of(flat)  # those of a document are the marks whose last WINDOW ids are its own
+                mine = zip(np.searchsorted(marks, ends[:-1] + WINDOW).tolist(), np.searchsorted(marks, ends[1:], side="right").tolist(), strict=True)
+                narrow = flat.astype("<u2").tobytes() if flat.max(initial=0) < 65536 else None
                 kind, key, doc, n, address, body = [], [], [], [], [], []
-                for row, (doc_id, first, last) in enumerate(zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                    ids = np.concatenate([flat[first:last], end])
-                    start, recipe = 0, []
-                    for stop in cuts(ids):
-                        packed = pack(ids[start:stop])
+                for row, (doc_id, first, last, (m, to)) in enumerate(zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), mine, strict=True)):
+                    start, recipe = first, []
+                    for cut in cuts((marks[m:to] - first).tolist(), last - first):
+                        stop = first + cut
+                        packed = pack(flat[start:stop]) if narrow is None else b"\x02" + narrow[2 * start : 2 * stop]
                         sha = hashlib.sha256(packed).digest()
                         recipe.append(sha + (stop - start).to_bytes(4, "little"))
                         if sha not in seen:
@@ -173,7 +182,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
                             n.append(stop - start), address.append(sha), body.append(packed)
                         start = stop
                     kind.append("recipe"), key.append(hash((doc_id, row)) & 0x7FFFFFFFFFFFFFFF), doc.append(doc_id)
-                    n.append(len(ids)), address.append(None), body.append(b"".join(recipe))
+                    n.append(last - first), address.append(None), body.append(b"".join(recipe))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(kind, pa.string()), pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(address, pa.binary()), pa.array(body, pa.binary())],
                     ["kind", "key", "doc_id", "n", "address", "body"],
@@ -287,15 +296,14 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
     def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            root = [recipe_root(r) for r in batch.column(4).to_pylist()]
-            same = [x == y for x, y in zip(root, batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(root, pa.binary()), pa.array(same, pa.bool_())], ["doc_id", "pos", "n", "shard", "root", "same"])
+            same = [recipe_root(r) == root for r, root in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], ["doc_id", "pos", "n", "shard", "same"])
 
-    found = recipes.select("doc_id", "pos", "n", "shard", "body", "root").mapInArrow(rooted, "doc_id long, pos long, n long, shard int, root binary, same boolean")
+    found = recipes.select("doc_id", "pos", "n", "shard", "body", "root").mapInArrow(rooted, "doc_id long, pos long, n long, shard int, same boolean")
     shard = Window.partitionBy("shard").orderBy("pos")
     every, order = shard.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), shard.rowsBetween(Window.unboundedPreceding, -1)
-    trees = shard_roots(found)
-    found = found.drop("root").withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0)))
+    trees = shard_roots(recipes)  # of the stored roots; each document's is checked against its recipe
+    found = found.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0)))
     found = found.withColumn("all_ids", F.sum("n").over(every)).withColumn("all_docs", F.count("*").over(every))
     placed = found.join(before, "shard", "left").join(trees, "shard", "left").join(docs, "pos", "left")
     whole = (F.col("tree") == F.col("shard_root")) & (F.col("all_ids") == F.col("shard_ids")) & (F.col("all_docs") == F.col("shard_docs"))
