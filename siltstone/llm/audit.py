@@ -158,8 +158,8 @@ def part_counters(masks: DataFrame, labels: DataFrame) -> DataFrame:
     """
     said = labels.where("doc_id is not null and (quality = 1 or toxic = 1)")
     said = said.groupBy("doc_id").agg(F.max((F.coalesce("quality", F.lit(0)) == 1).cast("long")).alias("good"), F.max((F.coalesce("toxic", F.lit(0)) == 1).cast("long")).alias("toxic"))
-    every = masks.groupBy("part", "mask").agg(F.count("*").alias("n")).withColumns({"good": F.lit(0).cast("long"), "toxic": F.lit(0).cast("long")})
-    marked = masks.join(said, "doc_id").groupBy("part", "mask").agg(F.sum("good").alias("good"), F.sum("toxic").alias("toxic")).withColumn("n", F.lit(0).cast("long"))
+    every = masks.select("part", "mask", F.lit(1).cast("long").alias("n"), *(F.lit(0).cast("long").alias(c) for c in ("good", "toxic")))
+    marked = masks.join(said, "doc_id").select("part", "mask", F.lit(0).cast("long").alias("n"), "good", "toxic")
     return every.unionByName(marked).groupBy("part", "mask").agg(*(F.sum(c).alias(c) for c in ("n", "good", "toxic")))
 
 
