@@ -106,13 +106,13 @@ def not_in_taxonomy(values: DataFrame, facet: str, taxonomy: DataFrame) -> DataF
     return values.select(F.col(facet).alias("value")).distinct().join(allowed, "value", "left_anti")
 
 
-def text_hits(df: DataFrame, key: str, words: list[str], where: Column, limit: int = 10, snippet: int = 500) -> DataFrame:
-    """The first rows by key that have all the words and meet ``where``: key, snippet of summary or text, score 0 where there is none."""
-    terms = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
-    hit = F.forall(F.array(*(F.lit(w.lower()) for w in words)), lambda w: F.array_contains(terms, w))
+def text_hits(df: DataFrame, key: str, found: DataFrame, where: Column, limit: int = 10, snippet: int = 500) -> DataFrame:
+    """The first rows by key that were ``found`` (chunk_id, as ``PostingIndex.holding`` gives them) and meet ``where``: key, snippet of
+    summary or text, score 0 where there is none."""
     body = F.coalesce(F.nullif("summary", F.lit("")), "text") if "summary" in df.columns else F.col("text")
     score = F.coalesce("score", F.lit(0.0)) if "score" in df.columns else F.lit(0.0)
-    return df.where(where & hit).orderBy(key).limit(limit).select(key, F.substring(body, 1, snippet).alias("snippet"), score.alias("score"))
+    rows = df.where(where).join(found.select(F.col("chunk_id").alias(key)), key, "left_semi")
+    return rows.orderBy(key).limit(limit).select(key, F.substring(body, 1, snippet).alias("snippet"), score.alias("score"))
 
 
 def having(df: DataFrame, other: DataFrame, key: str) -> DataFrame:

@@ -1,228 +1,29 @@
 """Ranking of chunks for many queries at once: dense and sparse legs, fusion, boosts, parents.
 
-Queries are taken in blocks of bounded size, whose vectors and term weights go to every task; each task scores its
-chunks with a matrix product and keeps k of them for each query, so a leg shuffles k rows per query and task.
-Scores are rounded before ranking and ties go to the smaller id, so ranks do not depend on the plan.
+Both legs search an index (``vectorindex``, ``postings``) that is built once and may be kept; where none is given, one is
+made for the call.  Scores are rounded before ranking and ties go to the smaller id, so ranks do not depend on the plan.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Callable, Iterator
-from datetime import date
-from functools import reduce
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.vectors import matrix, query_blocks
-
-DIGITS = 9
-#: Numbers of a block's table of term weights (terms x queries), at most, unless one query alone has more terms.
-WEIGHTS = 1 << 24
-DATES = ("failure_date", "founding_date", "failure_unknown", "founding_unknown")
-_RANKS = "query_id {}, chunk_id {}, score double"
-
-
-def topk(df: DataFrame, by: str | list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows of each group, with their rank from 1."""
-    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
-
-
-def _days(column: pa.Array) -> np.ndarray:
-    """Dates as day numbers; null is before all others."""
-    return np.asarray(column.cast(pa.int32()).fill_null(-(2**31))).astype(np.int64)
-
-
-class _Admitted:
-    """Which chunks each query's cut-off admits: failed since, or with an unknown end founded since, or both unknown."""
-
-    def __init__(self, block: list[Row]):
-        self.asked = "cutoff" in block[0].__fields__ if block else False
-        cutoffs = [r["cutoff"] if self.asked else None for r in block]
-        self.cutoff = np.array([-(2**40) if c is None else (c - date(1970, 1, 1)).days for c in cutoffs])
-
-    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
-        """(queries x chunks)"""
-        n = batch.num_rows
-        if not self.asked:
-            return np.ones((len(self.cutoff), n), bool)
-        failure, founding = (_days(batch.column(c))[None, :] for c in DATES[:2])
-        no_failure, no_founding = (np.asarray(batch.column(c).fill_null(False))[None, :] for c in DATES[2:])
-        c = self.cutoff[:, None]
-        return (c < -(2**32)) | (~no_failure & (failure >= c)) | (no_failure & ~no_founding & (founding >= c)) | (no_failure & no_founding)
-
-
-class _Best:
-    """The k best chunks of each query so far: higher score, then smaller id."""
-
-    def __init__(self, queries: list, k: int):
-        self.queries, self.k = queries, k
-        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
-
-    def add(self, ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray) -> None:
-        """``scores`` and ``allowed`` are (queries x chunks)."""
-        for q, (score, chunk) in enumerate(self.held):
-            ok = allowed[q]
-            if len(score) == self.k:
-                ok = ok & (scores[q] >= score[-1])
-            if not ok.any():
-                continue
-            s, c = np.concatenate([score, scores[q, ok]]), np.concatenate([chunk, ids[ok]])
-            order = np.lexsort((c, -s))[: self.k]
-            self.held[q] = s[order], c[order]
-
-    def rows(self, kinds: list[pa.DataType]) -> pa.RecordBatch:
-        count = [len(s) for s, _ in self.held]
-        query = pa.array(self.queries, kinds[0]).take(pa.array(np.repeat(np.arange(len(count)), count)))
-        score, chunk = (np.concatenate([h[i] for h in self.held]) if self.held else np.zeros(0) for i in (0, 1))
-        return pa.RecordBatch.from_arrays([query, pa.array(chunk.astype(np.int64), kinds[1]), pa.array(score.astype(np.float64))], ["query_id", "chunk_id", "score"])
-
-
-def _leg(points: DataFrame, queries: DataFrame, blocks: Iterator[list[Row]], columns: list[str], scorer: Callable[[list[Row]], Callable | None], k: int) -> DataFrame:
-    """The k best chunks of each query; ``scorer(block)`` gives batch -> (scores, which of them count), both (queries x chunks)."""
-    kinds = dict(points.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
-    schema = _RANKS.format(kinds["query_id"], kinds["chunk_id"])
-    arrow = [pa.int32() if kinds[c] == "int" else pa.int64() for c in ("query_id", "chunk_id")]
-
-    def of_block(block: list[Row]) -> DataFrame | None:
-        score = scorer(block)
-        if score is None:
-            return None
-        ids, admitted = [r["query_id"] for r in block], _Admitted(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(ids, k)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
-                    scores, counts = score(part)
-                    best.add(np.asarray(part.column(0)).astype(np.int64), np.round(scores, DIGITS), counts & admitted(part))
-            yield best.rows(arrow)
-
-        used = ["chunk_id", *columns, *(DATES if admitted.asked else ())]
-        return points.select(*used).mapInArrow(run, schema)
+from siltstone.operators import postings, vectorindex
+from siltstone.operators.hits import DIGITS, topk
 
-    parts = [p for block in blocks if (p := of_block(block)) is not None]
-    found = reduce(DataFrame.unionByName, parts) if parts else points.sparkSession.createDataFrame([], schema)
-    return topk(found, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
 
-
-def dense_leg(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def dense_leg(points: DataFrame, queries: DataFrame, k: int, index: vectorindex.VectorIndex | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank): the ``k`` nearest chunks by cosine for each query, of those that its cut-off admits.
 
-    Exact, over all chunks that have a vector of the query's length; queries without a vector have no rows.
-    """
-
-    def scorer(block: list[Row]) -> Callable | None:
-        width = max((len(r["embedding"]) for r in block if r["embedding"] is not None), default=0)
-        at, q = matrix([r["embedding"] for r in block], width)
-        if not len(at):
-            return None
-
-        def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            i, m = matrix(batch.column(1), width)
-            scores, counts = np.zeros((len(block), batch.num_rows)), np.zeros((len(block), batch.num_rows), bool)
-            scores[np.ix_(at, i)] = q @ m.T
-            counts[np.ix_(at, i)] = True
-            return scores, counts
-
-        return score
-
-    asked = [c for c in ("cutoff",) if c in queries.columns]
-    return _leg(points.where("embedding is not null"), queries, query_blocks(queries.select("query_id", "embedding", *asked)), ["embedding"], scorer, k)
-
-
-_TERM = re.compile(r"[a-z0-9]+")
-
-
-def words(text: str | None) -> list[str]:
-    """Lower-case runs of letters a-z and digits."""
-    return _TERM.findall((text or "").lower())
-
-
-def _term_blocks(queries: DataFrame) -> Iterator[list[Row]]:
-    """Blocks of queries whose table of term weights has WEIGHTS numbers at most."""
-    block, terms = [], set()
-    for row in queries.toLocalIterator():
-        more = terms | set(words(row["text"]))
-        if block and len(more) * (len(block) + 1) > WEIGHTS:
-            yield block
-            block, more = [], set(words(row["text"]))
-        block.append(row)
-        terms = more
-    if block:
-        yield block
-
-
-def sparse_leg(points: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, chunk_id, score, rank) by BM25, both sides weighted; chunks without a shared term are not in it.
-
-    A first pass counts chunks, words and the document frequencies of the block's terms (sums per task), a second
-    one scores: each task multiplies its chunks' term weights with the block's table of term weights.  Statistics
-    are those of all chunks, whatever a query's cut-off admits.
+    Exact, over all chunks that have a vector of the index's width; queries without one have no rows.
     """
-    spark = points.sparkSession
-
-    def statistics(index: dict[str, int]) -> tuple[int, int, int, np.ndarray]:
-        shared = spark.sparkContext.broadcast(index)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            df, every, n, total = np.zeros(len(index), np.int64), 0, 0, 0
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    found = words(text)
-                    every, n, total = every + 1, n + (len(found) > 0), total + len(found)
-                    df[[index[w] for w in set(found) if w in index]] += 1
-            some = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-3, -2, -1], some])), pa.array(np.concatenate([[every, n, total], df[some]]))], ["term", "n"])
-
-        sums = points.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per term of the block
-        found = {r.term: r.n for r in sums}
-        df = np.zeros(len(index), np.int64)
-        for term, n in found.items():
-            if term >= 0:
-                df[term] = n
-        return found.get(-3, 0), found.get(-2, 0), found.get(-1, 0), df
-
-    def scorer(block: list[Row]) -> Callable | None:
-        asked = [Counter(words(r["text"])) for r in block]
-        index = {t: i for i, t in enumerate(sorted(set().union(*asked)))}
-        if not index:
-            return None
-        n, with_words, total, df = statistics(index)
-        mean = total / max(with_words, 1)
-        idf = np.log((n - df + 0.5) / (df + 0.5) + 1)
-        table = np.zeros((len(index), len(block)))
-        for j, terms in enumerate(asked):
-            length = sum(terms.values())
-            for t, tf in terms.items():
-                table[index[t], j] = idf[index[t]] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)) if mean else 0.0
-        shared = spark.sparkContext.broadcast((index, table))
-
-        def score(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-            index, table = shared.value
-            scores, counts = np.zeros((table.shape[1], batch.num_rows)), np.zeros((table.shape[1], batch.num_rows), bool)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                found = words(text)
-                terms = [(index[t], tf) for t, tf in Counter(found).items() if t in index]
-                if terms:
-                    at, tf = np.array([t[0] for t in terms]), np.array([t[1] for t in terms], np.float64)
-                    weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(found) / mean))
-                    of = table[at]
-                    scores[:, i] = weight @ of
-                    counts[:, i] = (of > 0).any(axis=0)
-            return np.round(scores, 6), counts
+    return (index or vectorindex.temporary(points)).search(queries, k)
 
-        return score
 
-    asked = [c for c in ("cutoff",) if c in queries.columns]
-    return _leg(points, queries, _term_blocks(queries.select("query_id", "text", *asked)), ["text"], scorer, k)
+def sparse_leg(points: DataFrame, queries: DataFrame, k: int, index: postings.PostingIndex | None = None, k1: float = postings.K1, b: float = postings.B) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by BM25, both sides weighted; chunks without a shared term are not in it."""
+    return (index or postings.temporary(points)).search(queries, k, k1, b)
 
 
 def rrf(legs: list[DataFrame], k: int, rrf_k: int = 60, rank_base: int = 1) -> DataFrame:
@@ -251,13 +52,13 @@ def parent_collapse(hits: DataFrame, score: str = "score") -> DataFrame:
     return topk(rows, ["query_id", "canonical_id"], [F.desc(score), F.asc("chunk_idx")], 1).drop("rank")
 
 
-def hybrid(points: DataFrame, queries: DataFrame, k: int = 10, facets: tuple[str, ...] = ("sector", "geography"), facet_boost: float = 0.01, rrf_k: int = 60, rank_base: int = 1) -> DataFrame:
+def hybrid(points: DataFrame, queries: DataFrame, k: int = 10, facets: tuple[str, ...] = ("sector", "geography"), facet_boost: float = 0.01, rrf_k: int = 60, rank_base: int = 1, dense: vectorindex.VectorIndex | None = None, sparse: postings.PostingIndex | None = None) -> DataFrame:
     """Filter, two legs of 2k, fusion to 2k, facet boost, best chunk of each parent, first k.
 
     ``points``: chunk_id, canonical_id, chunk_idx, text, embedding, facets and dates; ``queries``: query_id,
-    text, embedding, facets, cutoff.  Payloads join after ranking.
+    text, embedding, facets, cutoff; ``dense`` and ``sparse``: the indexes of ``points``.  Payloads join after ranking.
     """
-    fused = rrf([dense_leg(points, queries, 2 * k), sparse_leg(points, queries, 2 * k)], 2 * k, rrf_k, rank_base).drop("rank")
+    fused = rrf([dense_leg(points, queries, 2 * k, dense), sparse_leg(points, queries, 2 * k, sparse)], 2 * k, rrf_k, rank_base).drop("rank")
     hits = boosted(fused, points, queries, facets, facet_boost)
     best = parent_collapse(hits)
     return topk(best, "query_id", [F.desc("score"), F.asc("canonical_id"), F.asc("chunk_idx")], k).select("query_id", "canonical_id", "chunk_idx", "score", "rank")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.dates import cutoff_date
+from siltstone.operators import postings, vectorindex
 
 AS_OF = "2024-02-29"
 
@@ -44,6 +45,17 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_BUILT: dict[tuple[str, str], tuple[vectorindex.VectorIndex, postings.PostingIndex]] = {}
+
+
+def indexes(spark: SparkSession, d: str) -> tuple[vectorindex.VectorIndex, postings.PostingIndex]:
+    """The indexes of ``points``, as an ingest leaves them: built by the first query of an application that asks, then read."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _BUILT:
+        _BUILT[key] = vectorindex.temporary(points(spark, d)), postings.temporary(points(spark, d))
+    return _BUILT[key]
+
+
 POINTS_SQL = f"""points AS (
   SELECT doc_id AS chunk_id, doc_id // 4 AS canonical_id, doc_id % 4 AS chunk_idx, text, embedding::DOUBLE[] AS embedding,
     CASE WHEN source = 'src19' THEN 'other' ELSE source END AS sector, lang AS geography, {DATED_SQL}

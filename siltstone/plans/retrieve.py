@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 
 from siltstone.config import Config
-from siltstone.operators import corpus, graph, models, reports, retrieval
-from siltstone.plans.bindings import POINTS_SQL, pitches, pitches_sql, points, table
+from siltstone.operators import corpus, graph, models, reports, retrieval, vectorindex
+from siltstone.plans.bindings import POINTS_SQL, indexes, pitches, pitches_sql, points, table
 
 QUERIES, ORACLE = {}, {}
 K = 30
@@ -41,12 +41,12 @@ _RECENT = """(cutoff IS NULL OR (NOT failure_unknown AND failure_date >= cutoff)
 
 @query(f"{_HEAD}, {_DENSE_ALL.format(where='')}, {_RANKED.format(to='r', of='dense', k=2 * K)} SELECT query_id, chunk_id, score, rank FROM r")
 def dense_topk(spark, d):
-    return retrieval.dense_leg(points(spark, d), pitches(spark, d), 2 * K)
+    return retrieval.dense_leg(points(spark, d), pitches(spark, d), 2 * K, indexes(spark, d)[0])
 
 
 @query(f"{_HEAD}, {_SPARSE}, {_RANKED.format(to='r', of='sparse', k=2 * K)} SELECT query_id, chunk_id, score, rank FROM r")
 def bm25_topk(spark, d):
-    return retrieval.sparse_leg(points(spark, d), pitches(spark, d), 2 * K)
+    return retrieval.sparse_leg(points(spark, d), pitches(spark, d), 2 * K, indexes(spark, d)[1])
 
 
 _FUSED = f"""{_RANKED.format(to="dr", of="dense", k=2 * K)}, {_RANKED.format(to="sr", of="sparse", k=2 * K)},
@@ -56,8 +56,8 @@ fused AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS
 
 @query(f"{_HEAD}, {_DENSE_ALL.format(where='')}, {_SPARSE}, {_FUSED} SELECT query_id, chunk_id, score, rank FROM fr")
 def rrf_fusion(spark, d):
-    p, q = points(spark, d), pitches(spark, d)
-    return retrieval.rrf([retrieval.dense_leg(p, q, 2 * K), retrieval.sparse_leg(p, q, 2 * K)], 2 * K)
+    p, q, (dense, sparse) = points(spark, d), pitches(spark, d), indexes(spark, d)
+    return retrieval.rrf([retrieval.dense_leg(p, q, 2 * K, dense), retrieval.sparse_leg(p, q, 2 * K, sparse)], 2 * K)
 
 
 _MATCH = "((q.sector <> 'other' OR q.geography <> 'other') AND (q.sector = 'other' OR q.sector = p.sector) AND (q.geography = 'other' OR q.geography = p.geography))"
@@ -68,7 +68,7 @@ SELECT r.query_id, chunk_id, CASE WHEN {_MATCH} THEN 0.01 ELSE 0.0 END::DOUBLE A
 def facet_boost(spark, d):
     """The boost of each hit of the dense leg: all of the query's facets, or nothing."""
     p, q = points(spark, d), pitches(spark, d)
-    return retrieval.boosted(retrieval.dense_leg(p, q, 2 * K), p, q).select("query_id", "chunk_id", "boost")
+    return retrieval.boosted(retrieval.dense_leg(p, q, 2 * K, indexes(spark, d)[0]), p, q).select("query_id", "chunk_id", "boost")
 
 
 def _hybrid_sql(cutoff: bool) -> str:
@@ -85,7 +85,8 @@ ranked AS (SELECT query_id, canonical_id, chunk_idx, score, row_number() OVER (P
 
 @query(_hybrid_sql(True) + f" SELECT * FROM ranked WHERE rank <= {K}")
 def hybrid_retrieve(spark, d):
-    return retrieval.hybrid(points(spark, d), pitches(spark, d, cutoff=True), K)
+    dense, sparse = indexes(spark, d)
+    return retrieval.hybrid(points(spark, d), pitches(spark, d, cutoff=True), K, dense=dense, sparse=sparse)
 
 
 @query("""SELECT conv_id % 7 AS query_id, conv_id AS canonical_id, turn AS chunk_idx, score FROM (
@@ -119,7 +120,8 @@ placed AS (SELECT query_id, component, canonical_id, score, row_number() OVER (P
 SELECT query_id, max(canonical_id) FILTER (rn = 1) AS canonical_id, max(score) AS score, coalesce(string_agg(CAST(canonical_id AS VARCHAR), ',' ORDER BY rn) FILTER (rn > 1), '') AS aliases FROM placed GROUP BY query_id, component""")
 def alias_collapse(spark, d):
     p = points(spark, d)
-    top = retrieval.hybrid(p, pitches(spark, d), K).withColumn("alias_canonicals", F.array().cast("array<bigint>"))
+    dense, sparse = indexes(spark, d)
+    top = retrieval.hybrid(p, pitches(spark, d), K, dense=dense, sparse=sparse).withColumn("alias_canonicals", F.array().cast("array<bigint>"))
     ids = p.select("canonical_id").distinct()
     edges = ids.where("canonical_id % 3 = 0").select("canonical_id", (F.col("canonical_id") + 1).alias("target"))
     edges = edges.unionByName(ids.where("canonical_id % 5 = 1").select("canonical_id", (F.col("canonical_id") * 2).alias("target")))
@@ -130,7 +132,9 @@ def alias_collapse(spark, d):
 @query("""SELECT doc_id, substr(text, 1, 500) AS snippet FROM (
   SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE lang = 'en' AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'the') AND list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'of')) WHERE rn <= 10""")
 def text_search(spark, d):
-    return corpus.text_hits(table(spark, d, "documents"), "doc_id", ["the", "of"], F.col("lang") == "en").select("doc_id", "snippet")
+    docs = table(spark, d, "documents")
+    found = indexes(spark, d)[1].holding(["the", "of"])  # a chunk of the points is a document
+    return corpus.text_hits(docs, "doc_id", found, F.col("lang") == "en").select("doc_id", "snippet")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -172,9 +176,8 @@ def query_pipeline(spark, d):
     return rows.select("query_id", F.coalesce("candidates", F.lit("")).alias("candidates"), F.col("filtered_pre").cast("long"), F.col("filtered_post").cast("long"), F.coalesce("n_raised", F.lit(0)).cast("long").alias("n_raised"), sections.cast("long").alias("sections"), banner.alias("banner"))
 
 
-@query("SELECT vec_id FROM embeddings WHERE len(embedding) <> 64 OR embedding IS NULL")
+@query("SELECT doc_id AS chunk_id, CASE WHEN vec_id IS NULL THEN 'missing' ELSE 'width ' || (CASE WHEN vec_id % 13 = 0 THEN 63 ELSE 64 END) END AS fault FROM documents LEFT JOIN embeddings ON doc_id = vec_id WHERE vec_id IS NULL OR vec_id % 13 = 0")
 def dim_check(spark, d):
-    return table(spark, d, "embeddings").where((F.size("embedding") != 64) | F.col("embedding").isNull()).select("vec_id")
-
-
-
+    """Chunks without a vector, and those whose vector was cut short: a table of 64 numbers does not take them."""
+    cut = F.when(F.col("chunk_id") % 13 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return vectorindex.faults(points(spark, d).withColumn("embedding", cut), 64)
