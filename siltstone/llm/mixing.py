@@ -77,20 +77,24 @@ def posteriors(stats: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str
     return out.drop("logs", "e"), [r.domain for r in fitted]
 
 
-def _rate(steps: list[list[float]], k: int) -> Column:
+def _rate(steps: list[list[float]], k: int, most: float | None = None) -> Column:
     if not steps:
         return F.lit(1.0)
     history = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in steps))
 
     def next_rate(r: Column, step: Column) -> Column:
         move = sum((F.col("p")[i] * step[i] for i in range(1, k)), F.col("p")[0] * step[0])
-        return F.greatest(F.lit(0.0), r - move)
+        return F.greatest(F.lit(0.0), r - move if most is None else F.least(r - move, F.lit(float(most))))
 
     return F.aggregate(history, F.lit(1.0), next_rate)
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, keep: str | None) -> tuple[DataFrame, list[str], list[list[float]], np.ndarray, np.ndarray]:
-    """Documents with posteriors, the domains, the steps, and the domains' totals of tokens after them: reached and wanted."""
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, keep: str | None, most: float | None = None) -> tuple[DataFrame, list[str], list[list[float]], np.ndarray, np.ndarray]:
+    """Documents with posteriors, the domains, the steps, and the domains' totals of tokens after them: reached and wanted.
+
+    With ``most`` rates are projected to 0 .. ``most``, and steps go in the metric of the Gram matrix's diagonal: a domain that
+    the bound keeps short of its target pulls its own documents to the bound, and takes nothing from those of the others.
+    """
     targets = targets or TARGETS
     stats, names = posteriors(written(spark, statistics(docs), "statistics"), labels)
     table = written(spark, stats.select("doc_id", "n_tokens", "p"), "posteriors")
@@ -100,7 +104,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
 
     def totals(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
         """The domains' totals, and the Gram matrix of the documents with a rate."""
-        rated = table.select("n_tokens", "p", _rate(steps, k).alias("r"))
+        rated = table.select("n_tokens", "p", _rate(steps, k, most).alias("r"))
         tokens = F.when(F.col("r") > 0, F.col("n_tokens")).otherwise(0)
         sums = [F.sum(F.col("r") * F.col("n_tokens") * F.col("p")[i]).alias(f"s{i}") for i in range(k)]
         row = rated.agg(*sums, *(F.sum(tokens * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k))).first()
@@ -115,6 +119,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     want = w * total
     least = TOLERANCE * max(total, 1.0)
     far = lambda x: np.abs(x - want).max(initial=0.0)
+    if most is not None:
+        return table, names, *_bounded(totals, have, want, np.maximum(np.diag(gram), 1e-9), least), want
     for _ in range(STEPS):
         if far(have) <= least:
             break
@@ -139,32 +145,46 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     return table, names, steps, have, want
 
 
-def mixing_rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
+def _bounded(totals, have: np.ndarray, want: np.ndarray, scale: np.ndarray, least: float) -> tuple[list[list[float]], np.ndarray]:
+    """(steps, totals after them) of projected gradients under a bound, until the misses end or no step lowers them by a hundredth."""
+    steps: list[list[float]] = []
+    size = lambda x: float(((x - want) ** 2 / scale).sum())
+    while np.abs(have - want).max(initial=0.0) > least:
+        step = ((have - want) / scale).tolist()
+        after, _ = totals([*steps, step])
+        if size(after) > 0.99 * size(have):
+            break
+        steps.append(step)
+        have = after
+    return steps, have
+
+
+def mixing_rates(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None, most: float | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, domain (likeliest), posterior (its share), rate (9 digits).
 
     The targets are shares of the documents' own total of tokens; with ``keep`` of that total at which the
-    domain ``keep`` holds what it has.  Empty texts have no tokens and follow their posterior.  Repeated rows
+    domain ``keep`` holds what it has.  No rate is over ``most``; what that leaves short of a target is in ``misses``.  Empty texts have no tokens and follow their posterior.  Repeated rows
     count each; other columns are ignored; an empty table gives none.
     """
-    table, names, steps, _, _ = fit(spark, docs, labels, targets, keep)
+    table, names, steps, _, _ = fit(spark, docs, labels, targets, keep, most)
     best = F.array_max("p")
     domain = F.element_at(F.array(*(F.lit(n) for n in names)), F.array_position("p", best).cast("int"))
-    return table.select("doc_id", "n_tokens", domain.alias("domain"), F.round(best, 9).alias("posterior"), F.round(_rate(steps, len(names)), 9).alias("rate"))
+    return table.select("doc_id", "n_tokens", domain.alias("domain"), F.round(best, 9).alias("posterior"), F.round(_rate(steps, len(names), most), 9).alias("rate"))
 
 
-def misses(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
+def misses(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None, most: float | None = None) -> DataFrame:
     """(domain, want, have): the tokens that each domain should hold, and those that it holds at the rates."""
-    _, names, _, have, want = fit(spark, docs, labels, targets, keep)
+    _, names, _, have, want = fit(spark, docs, labels, targets, keep, most)
     return spark.createDataFrame([(n, float(x), float(y)) for n, x, y in zip(names, want, have, strict=True)], "domain string, want double, have double")
 
 
-def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None) -> DataFrame:
+def mixed(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: str | None = None, most: float | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says: the whole part, and once more by a hash of doc_id for the rest.
 
     Rows that repeat a doc_id (null is one) take its largest rate each; empty texts follow their posterior; all columns
     are kept; an empty table gives none.
     """
-    rates = mixing_rates(spark, docs, labels, targets, keep).groupBy(F.col("doc_id").alias("id")).agg(F.max("rate").alias("rate"))
+    rates = mixing_rates(spark, docs, labels, targets, keep, most).groupBy(F.col("doc_id").alias("id")).agg(F.max("rate").alias("rate"))
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     joined = rows.join(rates.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("id")))
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)

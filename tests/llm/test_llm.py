@@ -180,6 +180,25 @@ def test_mixing_rare_domain(spark):
     assert set(got) == {"1"} and abs(got["1"].have - got["1"].want) <= 1e-5 * got["1"].want
 
 
+def test_mixing_under_a_bound(spark):
+    """A domain that is too large is lowered to its target; one that is too small stays whole, and takes nothing from the others."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    for dirty in (20, 400):  # of 1,000; the target is 3 %
+        rows = [(i, " ".join("###$$$" if i < dirty else word() for _ in range(rng.randrange(30, 90)))) for i in range(1000)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        lab = spark.createDataFrame([(i, int(i >= dirty)) for i in range(0, 1000, 5)], "doc_id long, quality int")
+        rates = {r.doc_id: r.rate for r in mixing.mixing_rates(spark, docs, lab, keep="1", most=1.0).collect()}
+        got = [r.doc_id for r in mixing.mixed(spark, docs, lab, keep="1", most=1.0).collect()]
+        missed = {r.domain: (r.want, r.have) for r in mixing.misses(spark, docs, lab, keep="1", most=1.0).collect()}
+        assert max(rates.values()) <= 1 and len(got) == len(set(got)) and set(range(dirty, 1000)) <= set(got)
+        want, have = missed["0"]
+        if dirty == 20:
+            assert set(rates.values()) == {1.0} and len(got) == 1000 and have < want
+        else:
+            assert abs(have - want) < 0.01 * want and len(set(got) & set(range(dirty))) < 0.3 * dirty
+
+
 def test_mixing_odd(spark, odd, empty, labels):
     rates = mixing.mixing_rates(spark, odd, labels)
     assert rates.count() == odd.count() and rates.where("rate is null or rate < 0").count() == 0
@@ -525,6 +544,16 @@ def test_pipeline_odd(spark, odd, empty, labels, tmp_path):
             assert docs is odd or not rows
     deduped = [r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, d).collect()]
     assert len(deduped) == len(set(deduped)) and 10 in deduped and 12 not in deduped
+    mixed = [r.doc_id for r in corpus_pipeline.mixing(spark, odd.where("doc_id is not null").dropDuplicates(["doc_id"]), d).collect()]
+    assert len(mixed) == len(set(mixed))
+
+
+def test_pipeline_row_of_a_clashing_id(spark):
+    """Always the same one: the smallest text, then the smallest rest."""
+    rows = [(7, "b b b b b b", "en", 1), (7, "a a a a a a", "de", 2), (7, "a a a a a a", "de", 1), (8, "c", None, 0), (8, None, "en", 3)]
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(order, "doc_id long, text string, lang string, n_chars long").repartition(3), "")
+        assert sorted(map(tuple, got.collect())) == [(7, "a a a a a a", "de", 1), (8, None, "en", 3)]
 
 
 def test_pipeline_substrings(spark):
@@ -548,7 +577,10 @@ def test_pipeline_runs(spark, sf):
     kept = {r.doc_id for r in corpus_pipeline.rules(spark, docs, sf).collect()}
     clean = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").join(docs, "doc_id").where("size(split(text, ' ')) > 20").collect()}
     assert len(clean - kept) <= 0.02 * len(clean)
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert rows and len({r.doc_id for r in rows}) == len(rows)  # no document stands twice
+    deduped = corpus_pipeline.near_dedup(spark, corpus_pipeline.rules(spark, docs, sf), sf)
+    assert len(rows) >= 0.97 * deduped.count()
 
 
 def test_every_operator_is_registered():
