@@ -2,7 +2,7 @@
 
 Every stage takes and returns the columns of its input, whatever they are (the last returns ids and digests).
 Repeated rows: the rules, the substrings and the mixing treat each row by itself; of rows that repeat a doc_id
-near-dedup keeps one.  Rows with a null doc_id have no identity and end at near-dedup.  Empty tables give
+near-dedup keeps one, by a stated order.  Rows with a null doc_id have no identity and end at near-dedup.  Empty tables give
 empty tables.
 """
 
@@ -18,6 +18,9 @@ from siltstone.llm.neardup import near_duplicates
 from siltstone.llm.rules import kept_documents
 from siltstone.llm.substrings import PASSAGE, repeated_substrings
 
+#: Copies of a document that mixing may make, at most.
+MOST = 1.0
+
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy keeps."""
@@ -25,10 +28,15 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8)."""
+    """One document, that of the smallest id, of each group of near-duplicates (five words, 0.8).
+
+    Of rows that repeat a doc_id stays the one with the smallest text (none before all others), then the smallest rest of the row as JSON.
+    """
     kept = near_duplicates(spark, docs).where("kept").select("doc_id").distinct()
     # always by a shuffle: the ids grow with the documents
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    rows = docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    rest = F.to_json(F.struct(*(c for c in docs.columns if c not in ("doc_id", "text"))))
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text", rest.alias("rest"))).alias("one")).select("one.*")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +46,11 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates say that bring the domains to their target weights; clean text keeps its size."""
-    return mixed(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep="1")
+    """Documents that the rates keep which bring the domains to their target weights; clean text keeps its size.
+
+    No document comes twice: a domain that is too large is lowered, one that is too small stays as it is.
+    """
+    return mixed(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep="1", most=MOST)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
