@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,35 +96,74 @@ def entity_ids(entries: DataFrame, overrides: DataFrame | None = None) -> DataFr
     return every.withColumn("canonical_id", F.when(F.col("tier") == 0, F.col("alias_hint")).when(F.col("tier") == 1, F.col("domain")).otherwise(tier2_id(F.col("name"), F.col("sector"))))
 
 
-def decided_pairs(pairs: DataFrame, memo: DataFrame, answers: DataFrame | None = None, low: float = LOW, high: float = HIGH) -> tuple[DataFrame, DataFrame]:
-    """(decisions, review): ``pairs`` (a, b, similarity) by band, memo (pair_key, decision) and answers (pair_key, decision).
+def decided(rows: DataFrame, memo: DataFrame, answers: DataFrame | None = None, model: str = "", template: str = "", low: float = LOW, high: float = HIGH) -> DataFrame:
+    """``rows`` (a, b, similarity) with pair_key, decision, and ``fresh``: the pair is in the band and a new answer decided it.
 
-    The memo goes before the answers, and without either a pair in the band is different; every pair in the band is
-    mirrored to the review list.
+    ``memo`` (pair_key, model, template_sha, decision) holds for its own model and template only and goes before ``answers``
+    (pair_key, decision); a pair of the band without either is different.
     """
-    rows = pairs.withColumn("pair_key", pair_key(F.col("a"), F.col("b"))).join(memo.select("pair_key", F.col("decision").alias("_m")), "pair_key", "left")
-    rows = rows.join(answers.select("pair_key", F.col("decision").alias("_a")), "pair_key", "left") if answers is not None else rows.withColumn("_a", F.lit(None).cast("string"))
+    mine = memo.where((F.col("model") == model) & (F.col("template_sha") == template)).groupBy("pair_key").agg(F.min("decision").alias("_m"))
+    out = rows.withColumn("pair_key", pair_key(F.col("a"), F.col("b"))).join(mine, "pair_key", "left")
+    new = answers.groupBy("pair_key").agg(F.min("decision").alias("_a")) if answers is not None else None
+    out = out.join(new, "pair_key", "left") if new is not None else out.withColumn("_a", F.lit(None).cast("string"))
     within = (F.col("similarity") > low) & (F.col("similarity") < high)
-    out = rows.withColumn("decision", band(F.col("similarity"), F.coalesce("_m", "_a"), low, high)).withColumn("reviewed", within).drop("_m", "_a")
-    return out.drop("reviewed"), out.where("reviewed").drop("reviewed").select("pair_key", "similarity", "decision")
+    fresh = F.coalesce(within & F.col("_m").isNull() & F.col("_a").isNotNull(), F.lit(False))
+    return out.withColumn("decision", band(F.col("similarity"), F.coalesce("_m", "_a"), low, high)).withColumn("fresh", fresh).drop("_m", "_a")
 
 
-def resolve_entities(entries: DataFrame, prior: DataFrame, memo: DataFrame, similarity, answers: DataFrame | None = None, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(outcomes, review) of a batch: ids, tier-3 collapse of tier-2 ids onto a sibling of their sector, flips, create or merge.
+def sibling_states(entries: DataFrame, present: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(sector, since, m1, m2): the two smallest ids present in a sector after the entry ``since``, until the next row's.
 
-    ``similarity(pairs)`` adds a similarity to (a, b), pairs of ids of one sector; the ids of a sector that are in the
-    batch or in ``prior`` are compared with their smallest two, so pairs grow with the ids and not with their square.
+    ``entries``: seq, sector, id, adds (whether the id is present from then on), and what ``decide`` needs; ``present``: sector, id before all entries.
+    ``decide`` adds ``decision`` to rows with ``a`` (the entry's id) and ``b``, its sibling.
+
+    An entry is compared with the smallest other id present; unless they are the same its own id is added.  So only
+    an entry whose id is below the two smallest changes what later ones see.  Each round finds, for all sectors at once and
+    by a partial minimum, the first such entry after the last change: no sector is ever in one task, and rounds are as
+    many as the changes of the sector that has most (for ids in random order the logarithm of their number).
+    """
+    m1 = present.groupBy("sector").agg(F.min("id").alias("m1"))
+    m2 = present.join(m1, "sector").where("id <> m1").groupBy("sector").agg(F.min("id").alias("m2"))
+    state = entries.select("sector").distinct().join(m1, "sector", "left").join(m2, "sector", "left").select("sector", F.lit(-(2**63)).cast("long").alias("since"), "m1", "m2")
+    found = [state := written(state, "states")]
+    able = entries.where("adds")
+    while True:
+        below = (F.col("seq") > F.col("since")) & (F.col("m2").isNull() | (F.col("id") < F.col("m2"))) & (F.col("m1").isNull() | (F.col("id") != F.col("m1")))
+        open_ = able.join(state, "sector").where(below)
+        alone = open_.where("m1 is null").select("sector", "seq", "id", "m1", "m2")
+        judged = decide(open_.where("m1 is not null").withColumn("a", F.col("id")).withColumn("b", F.col("m1"))).where("decision <> 'same'")
+        first = alone.unionByName(judged.select("sector", "seq", "id", "m1", "m2")).groupBy("sector").agg(F.min(F.struct("seq", "id", "m1", "m2")).alias("e"))
+        after = F.when(F.col("e.m1").isNull(), None).when(F.col("e.id") < F.col("e.m1"), F.col("e.m1")).otherwise(F.least("e.id", "e.m2"))
+        state = written(first.select("sector", F.col("e.seq").alias("since"), F.least("e.m1", "e.id").alias("m1"), after.alias("m2")), "states")
+        if state.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(state)
+
+
+def with_sibling(entries: DataFrame, states: DataFrame) -> DataFrame:
+    """``entries`` with ``sibling``, the smallest other id present when they came: an as-of join with a sector's few states."""
+    history = states.groupBy("sector").agg(F.sort_array(F.collect_list(F.struct("since", "m1", "m2"))).alias("_h"))
+    rows = entries.join(history, "sector", "left")
+    then = F.element_at(F.filter("_h", lambda s: s["since"] < F.col("seq")), -1)
+    return rows.withColumn("_s", then).withColumn("sibling", F.when(F.col("_s.m1") != F.col("id"), F.col("_s.m1")).otherwise(F.col("_s.m2"))).drop("_h", "_s")
+
+
+def resolve_entities(entries: DataFrame, prior: DataFrame, memo: DataFrame, similarity: Callable[[DataFrame], DataFrame], answers: DataFrame | None = None, overrides: DataFrame | None = None, model: str = "", template: str = "") -> tuple[DataFrame, DataFrame]:
+    """(outcomes, review) of a batch in arrival order: ids, tier-3 collapse of tier-2 ids, flips, create or merge.
+
+    ``entries``: as for ``entity_ids``, with source and source_id.  ``prior`` (source, source_id, canonical_id, merge_state): the journal; ids
+    of pending and complete rows are present as siblings, ids of any state are known to a merge.  ``similarity(rows)`` adds a
+    similarity to rows of entries with ``a``, the entry's id, and ``b``, its sibling.  An entry that flips adds no
+    sibling.  ``review`` (pair_key, similarity, decision): pairs of the band that a new answer decided, the first entry's similarity.
     """
-    ids = written(entity_ids(entries, overrides), "resolution")
-    tier2 = ids.where("tier = 2").select(F.lower("sector").alias("sector"), F.col("canonical_id").alias("id"))
-    known = prior.where(F.contains("canonical_id", F.lit("::"))).select(F.element_at(F.split("canonical_id", "::"), -1).alias("sector"), F.col("canonical_id").alias("id"))
-    present = written(tier2.unionByName(known).distinct(), "present")
-    first = present.groupBy("sector").agg(F.min("id").alias("m1"))
-    second = present.join(first, "sector").where("id <> m1").groupBy("sector").agg(F.min("id").alias("m2"))
-    low = first.join(second, "sector", "left").select("sector", F.explode(F.array("m1", "m2")).alias("b")).where("b is not null")
-    pairs = present.withColumnRenamed("id", "a").join(low, "sector").where("a <> b").select("a", "b")
-    decisions, review = decided_pairs(similarity(pairs), memo, answers)
-    taken = decisions.where("decision = 'same' and b < a").groupBy("a").agg(F.min("b").alias("sibling"))
-    out = ids.join(taken.withColumnRenamed("a", "canonical_id"), "canonical_id", "left").withColumn("canonical_id", F.coalesce("sibling", "canonical_id")).drop("sibling")
-    out = written(out, "resolved")
-    return outcomes(out, prior).join(out.select("seq", "reason"), "seq"), review
+    before = prior.groupBy("source", "source_id").agg(F.min("canonical_id").alias("_prior"))
+    ids = written(entity_ids(entries, overrides).join(before, ["source", "source_id"], "left"), "resolution")
+    tier2 = ids.where("tier = 2").withColumn("sector", F.lower("sector")).withColumnRenamed("canonical_id", "id").withColumn("adds", F.coalesce(F.col("_prior") == F.col("id"), F.lit(True)))
+    there = prior.where("merge_state in ('pending', 'complete') and contains(canonical_id, '::')").select(F.element_at(F.split("canonical_id", "::"), -1).alias("sector"), F.col("canonical_id").alias("id")).distinct()
+    decide = lambda rows: decided(similarity(rows), memo, answers, model, template)
+    compared = with_sibling(tier2, sibling_states(tier2, there, decide)).where("sibling is not null")
+    judged = written(decide(compared.withColumn("a", F.col("id")).withColumn("b", F.col("sibling"))), "siblings")
+    taken = judged.where("decision = 'same'").select("seq", "sibling")
+    out = written(ids.join(taken, "seq", "left").withColumn("canonical_id", F.coalesce("sibling", "canonical_id")).drop("sibling", "_prior"), "resolved")
+    first = judged.where("fresh").groupBy("pair_key").agg(F.min(F.struct("seq", "similarity", "decision")).alias("f"))
+    return outcomes(out, prior).join(out.select("seq", "reason"), "seq"), first.select("pair_key", "f.similarity", "f.decision")

@@ -36,21 +36,51 @@ def _entries(spark, d):
     return rows.withColumn("platform", urls.is_platform(F.col("domain")))
 
 
-@query(f"""WITH {_ENTRIES},
+#: In the band between the same (0.9) and the different (0.5) are pairs of similarity 0.7; a memo of another template says the opposite.
+_SAME = "CASE (3 * {a} + 7 * {b}) % 10 WHEN 0 THEN true WHEN 1 THEN true WHEN 3 THEN CASE WHEN ({a} + {b}) % 2 = 0 THEN {a} % 4 = 0 ELSE {a} % 3 = 0 END ELSE false END"
+
+
+@query(f"""WITH RECURSIVE {_ENTRIES},
 f AS (SELECT domain, min(seq) AS first_seq FROM entries WHERE NOT platform AND domain <> '' AND seq % 17 <> 0 GROUP BY 1),
 a AS (SELECT domain, min(seq) AS aseq, arg_min(year, seq) AS ayear FROM entries JOIN f USING (domain) WHERE NOT platform AND year IS NOT NULL AND seq % 17 <> 0 AND (seq = first_seq OR NOT suffixed) GROUP BY 1),
 t AS (SELECT seq, user_id, domain, CASE WHEN platform OR domain = '' THEN 'platform' WHEN aseq < seq AND abs(year - ayear) > 10 THEN 'recycled' WHEN suffixed AND seq > first_seq THEN 'subsidiary' ELSE 'domain' END AS reason FROM every LEFT JOIN f USING (domain) LEFT JOIN a USING (domain)),
-c AS (SELECT seq, user_id, CASE WHEN seq % 17 = 0 THEN 'hint' || seq % 2 WHEN reason = 'domain' THEN domain ELSE 'acme::s' || user_id % 5 END AS canonical_id, CASE WHEN seq % 17 = 0 THEN 'alias_hint' ELSE reason END AS reason FROM t),
-p AS (SELECT seq, CASE WHEN seq % 14 = 0 THEN 'other' ELSE canonical_id END AS prior FROM c WHERE seq % 7 = 0)
-SELECT seq, canonical_id, reason, CASE WHEN prior <> canonical_id THEN 'flip' WHEN canonical_id IN (SELECT prior FROM p) OR seq > min(seq) OVER (PARTITION BY canonical_id) THEN 'merge' ELSE 'create' END AS action FROM c LEFT JOIN p USING (seq)""")
+c AS (SELECT seq, seq * 7919 % 40 AS k, 's' || user_id % 5 AS sector, CASE WHEN seq % 17 = 0 THEN 'hint' || seq % 2 WHEN reason = 'domain' THEN domain ELSE 'n' || lpad(CAST(seq * 7919 % 40 AS VARCHAR), 2, '0') || '::s' || user_id % 5 END AS id,
+  CASE WHEN seq % 17 = 0 THEN 'alias_hint' ELSE reason END AS reason FROM t),
+p AS (SELECT seq, CASE WHEN seq % 14 = 0 THEN 'other' ELSE id END AS prior, seq % 3 = 0 AS blocked FROM c WHERE seq % 7 = 0 AND k >= 30),
+o AS (SELECT c.*, coalesce(prior = id, true) AS adds, row_number() OVER (PARTITION BY sector ORDER BY seq) AS n FROM c LEFT JOIN p USING (seq) WHERE contains(id, '::')),
+there AS (SELECT split_part(prior, '::', 2) AS sector, prior AS id FROM p WHERE contains(prior, '::') AND NOT blocked GROUP BY ALL),
+fold AS (
+  SELECT sector, 0::BIGINT AS n, (SELECT min(id) FROM there x WHERE x.sector = s.sector) AS m1, (SELECT min(id) FROM there x WHERE x.sector = s.sector AND id > (SELECT min(id) FROM there y WHERE y.sector = s.sector)) AS m2, NULL::BIGINT AS seq, NULL::VARCHAR AS resolved
+  FROM (SELECT DISTINCT sector FROM o) s
+  UNION ALL
+  SELECT sector, n, CASE WHEN added THEN least(m1, id) ELSE m1 END, CASE WHEN NOT added OR id = m1 THEN m2 WHEN m1 IS NULL THEN NULL WHEN id < m1 THEN m1 ELSE least(m2, id) END, seq, resolved
+  FROM (SELECT *, adds AND resolved = id AS added FROM (
+    SELECT *, CASE WHEN sib IS NOT NULL AND {_SAME.format(a="k", b="CAST(substr(sib, 2, 2) AS BIGINT)")} THEN sib ELSE id END AS resolved FROM (
+      SELECT o.sector, o.n, o.seq, o.id, o.k, o.adds, m1, m2, CASE WHEN o.id <> m1 THEN m1 ELSE m2 END AS sib FROM fold JOIN o ON o.sector = fold.sector AND o.n = fold.n + 1)))),
+r AS (SELECT c.seq, coalesce(resolved, id) AS canonical_id, reason, prior FROM c LEFT JOIN fold ON fold.seq = c.seq LEFT JOIN p ON p.seq = c.seq)
+SELECT seq, canonical_id, reason, CASE WHEN prior <> canonical_id THEN 'flip' WHEN canonical_id IN (SELECT prior FROM p) OR seq > min(seq) OVER (PARTITION BY canonical_id) THEN 'merge' ELSE 'create' END AS action FROM r""")
 def resolve_entities(spark, d):
-    """Hints, domains, demotions and tier-2 ids of all events, against a journal that knows some of them, some under other ids."""
-    entries = _entries(spark, d).withColumn("name", F.lit("Acme")).withColumn("sector", F.concat(F.lit("s"), F.col("user_id") % 5))
+    """Hints, domains, demotions, tier-2 ids folded onto siblings in arrival order, against a journal that knows some, some blocked, some under other ids."""
+    number = F.col("seq") * 7919 % 40
+    entries = _entries(spark, d).withColumn("name", F.concat(F.lit("n"), F.lpad(number.cast("string"), 2, "0"))).withColumn("sector", F.concat(F.lit("S"), F.col("user_id") % 5))
     entries = entries.withColumn("alias_hint", F.when(F.col("seq") % 17 == 0, F.concat(F.lit("hint"), F.col("seq") % 2))).withColumn("source", F.lit("events")).withColumn("source_id", F.col("seq").cast("string"))
-    ids = graph.written(resolve.entity_ids(entries), "resolution")
-    known = ids.where("seq % 7 = 0")
-    prior = known.select("source", "source_id", F.when(F.col("seq") % 14 == 0, "other").otherwise(F.col("canonical_id")).alias("canonical_id"))
-    return resolve.outcomes(ids, prior).join(ids.select("seq", "reason"), "seq")
+    ids = graph.written(resolve.entity_ids(entries).select("seq", "source", "source_id", "sector", "canonical_id"), "resolution")
+    state = F.when(F.col("seq") % 3 == 0, "alias_blocked").when(F.col("seq") % 2 == 0, "pending").otherwise("complete").alias("merge_state")
+    prior = ids.where((F.col("seq") % 7 == 0) & (number >= 30)).select("source", "source_id", F.when(F.col("seq") % 14 == 0, "other").otherwise(F.col("canonical_id")).alias("canonical_id"), state)
+    # what was decided before and what is answered now, of each name with the five smallest of its sector
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    pairs = ids.select((number).alias("a"), F.lower("sector").alias("s")).distinct().select("a", "s", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("b")).where("a <> b")
+    key = hashing.pair_key(F.concat(F.lit("n"), two(F.col("a")), F.lit("::"), F.col("s")), F.concat(F.lit("n"), two(F.col("b")), F.lit("::"), F.col("s")))
+    said = lambda yes: F.when(yes, "same").otherwise("different").alias("decision")
+    asked = pairs.where("(3 * a + 7 * b) % 10 = 3").withColumn("pair_key", key)
+    even = asked.where("(a + b) % 2 = 0")
+    memo = even.select("pair_key", F.lit("m").alias("model"), F.lit("t1").alias("template_sha"), said(F.col("a") % 4 == 0))
+    memo = memo.unionByName(asked.select("pair_key", F.lit("m").alias("model"), F.lit("t0").alias("template_sha"), said(F.col("a") % 4 != 0)))
+    answers = asked.where("(a + b) % 2 = 1").select("pair_key", said(F.col("a") % 3 == 0))
+    k = lambda c: F.substring(c, 2, 2).cast("long")
+    x = (3 * k("a") + 7 * k("b")) % 10
+    similarity = lambda rows: rows.withColumn("similarity", F.when(x < 2, 0.9).when(x == 3, 0.7).otherwise(0.5))
+    return resolve.resolve_entities(entries, prior, memo, similarity, answers, model="m", template="t1")[0]
 
 
 @query("""SELECT s_suppkey, (SELECT min(x.s_name) FROM supplier x WHERE x.s_nationkey = s.s_nationkey AND x.s_name <> s.s_name) AS sibling FROM supplier s""")

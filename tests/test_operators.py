@@ -190,17 +190,53 @@ def test_full_resolution(spark):
     rows = [(1, "hn", "1", "Acme Inc.", "Fin", "medium.com", True, 2010, True, None), (2, "hn", "2", "Acmee", "fin", "", False, None, False, None), (3, "hn", "3", "Zed", "fin", "medium.com", True, None, False, None),
             (4, "hn", "4", "B", "fin", "b.example", False, 2001, False, None), (5, "hn", "5", "B", "fin", "b.example", False, 2015, False, None), (6, "hn", "6", "C", "fin", "c.example", False, 2001, False, "b.example"), (7, "hn", "7", "D", "fin", "d.example", False, 2001, False, None)]
     entries = spark.createDataFrame(rows, schema)
-    prior = spark.createDataFrame([("hn", "7", "old.example"), ("csv", "9", "b.example"), ("csv", "8", "aaa::fin")], "source string, source_id string, canonical_id string")
-    near = {("acmee::fin", "acme::fin"): 0.9, ("zed::fin", "acme::fin"): 0.7, ("b::fin", "aaa::fin"): 0.7, ("b::fin", "acme::fin"): 0.8}
+    prior = spark.createDataFrame([("hn", "7", "old.example", "complete"), ("csv", "9", "b.example", "complete"), ("csv", "8", "aaa::fin", "complete"), ("csv", "5", "aa::fin", "alias_blocked")], "source string, source_id string, canonical_id string, merge_state string")
+    near = {("acme::fin", "aaa::fin"): 0.1, ("acmee::fin", "aaa::fin"): 0.9, ("zed::fin", "aaa::fin"): 0.7, ("b::fin", "aaa::fin"): 0.7}
     table = spark.createDataFrame([(*k, v) for k, v in near.items()], "a string, b string, similarity double")
     similarity = lambda pairs: pairs.join(table, ["a", "b"], "left").fillna(0.1, ["similarity"])
-    memo = spark.createDataFrame([("aaa::fin\x01b::fin", "different")], "pair_key string, decision string")
-    answers = spark.createDataFrame([("acme::fin\x01b::fin", "same"), ("aaa::fin\x01b::fin", "same")], "pair_key string, decision string")
-    out, review = resolve.resolve_entities(entries, prior, memo, similarity, answers)
+    memo = spark.createDataFrame([("aaa::fin\x01b::fin", "m", "t1", "same"), ("aaa::fin\x01b::fin", "m", "t0", "different")], "pair_key string, model string, template_sha string, decision string")
+    answers = spark.createDataFrame([("aaa::fin\x01zed::fin", "same"), ("aaa::fin\x01b::fin", "different")], "pair_key string, decision string")
+    out, review = resolve.resolve_entities(entries, prior, memo, similarity, answers, model="m", template="t1")
     got = {r.seq: (r.canonical_id, r.reason, r.action) for r in out.collect()}
-    assert got[1] == ("acme::fin", "platform", "create") and got[2] == ("acme::fin", "platform", "merge") and got[3][0] == "zed::fin"
-    assert got[4] == ("b.example", "domain", "merge") and got[5] == ("acme::fin", "recycled", "merge") and got[6] == ("b.example", "alias_hint", "merge") and got[7] == ("d.example", "domain", "flip")
-    assert {(r.pair_key, r.decision) for r in review.collect()} == {("acme::fin\x01zed::fin", "different"), ("aaa::fin\x01b::fin", "different"), ("acme::fin\x01b::fin", "same")}
+    assert got[1] == ("acme::fin", "platform", "create") and got[2] == ("aaa::fin", "platform", "merge") and got[3] == ("aaa::fin", "platform", "merge")
+    assert got[4] == ("b.example", "domain", "merge") and got[5] == ("aaa::fin", "recycled", "merge") and got[6] == ("b.example", "alias_hint", "merge") and got[7] == ("d.example", "domain", "flip")
+    assert {(r.pair_key, r.decision) for r in review.collect()} == {("aaa::fin\x01zed::fin", "same")}  # the memo's answer is not new
+    _, review = resolve.resolve_entities(entries, prior, memo, similarity, answers, model="m", template="t2")
+    assert {(r.pair_key, r.decision) for r in review.collect()} == {("aaa::fin\x01zed::fin", "same"), ("aaa::fin\x01b::fin", "different")}
+
+
+def test_siblings_in_arrival_order(spark):
+    """Random sectors, one of which holds most entries, against the fold one by one; the first entry is never folded onto a later one."""
+    rng = random.Random(21)
+    words = [a + b for a in "abcdefgh" for b in "xyz"]
+    rows = []
+    for i in range(700):
+        rows.append((i, "hot" if rng.random() < 0.6 else f"s{rng.randrange(6)}", rng.choice(words), rng.random() < 0.1))
+    there = [("hot", "gy::hot", "complete"), ("hot", "ax::hot", "alias_blocked"), ("s1", "bx::s1", "pending")]
+    score = lambda a, b: 0.9 if (ord(a[0]) + ord(a[1]) * 3 + ord(b[0]) * 5 + ord(b[1])) % 4 == 0 else 0.3
+    state, want = {}, {}
+    for sector, cid, merge in there:
+        if merge != "alias_blocked":
+            state.setdefault(sector, set()).add(cid)
+    for seq, sector, name, flips in rows:
+        cid = f"{name}::{sector}"
+        sibling = min((x for x in state.get(sector, ()) if x != cid), default=None)
+        if sibling is not None and score(cid, sibling) >= 0.85:
+            want[seq] = sibling
+        else:
+            want[seq] = cid
+            if not flips:
+                state.setdefault(sector, set()).add(cid)
+    entries = spark.createDataFrame([(i, "src", str(i), n, s, "", True, None, False, None) for i, s, n, _ in rows], "seq long, source string, source_id string, name string, sector string, domain string, platform boolean, year int, suffixed boolean, alias_hint string")
+    prior = spark.createDataFrame([("old", str(k), c, m) for k, (_, c, m) in enumerate(there)] + [("src", str(i), "gone", "complete") for i, _, _, f in rows if f], "source string, source_id string, canonical_id string, merge_state string")
+    at = lambda c, k: F.ascii(F.substring(c, k, 1))
+    similarity = lambda r: r.withColumn("similarity", F.when((at("a", 1) + at("a", 2) * 3 + at("b", 1) * 5 + at("b", 2)) % 4 == 0, 0.9).otherwise(0.3))
+    memo = spark.createDataFrame([], "pair_key string, model string, template_sha string, decision string")
+    out, review = resolve.resolve_entities(entries, prior, memo, similarity)
+    assert {r.seq: r.canonical_id for r in out.collect()} == want and review.count() == 0
+    two = spark.createDataFrame([(1, "x", "1", "b", "fin", "", True, None, False, None), (2, "x", "2", "a", "fin", "", True, None, False, None)], entries.schema)
+    out, _ = resolve.resolve_entities(two, prior.limit(0), memo, lambda r: r.withColumn("similarity", F.lit(0.9)))
+    assert {r.seq: r.canonical_id for r in out.collect()} == {1: "b::fin", 2: "b::fin"}
 
 
 def test_zipped_and_moves(spark):
