@@ -80,6 +80,7 @@ def resolve_entities(spark, d):
     k = lambda c: F.substring(c, 2, 2).cast("long")
     x = (3 * k("a") + 7 * k("b")) % 10
     similarity = lambda rows: rows.withColumn("similarity", F.when(x < 2, 0.9).when(x == 3, 0.7).otherwise(0.5))
+    memo, answers = graph.written(memo, "memo"), graph.written(answers, "answers")
     return resolve.resolve_entities(entries, prior, memo, similarity, answers, model="m", template="t1")[0]
 
 
