@@ -1,9 +1,10 @@
 """Ingest of a batch of entries: gate, journal, resolve, merge, chunk, complete.
 
 The journal and the other tables are append-only change logs in one folder; a table's state is the last change of
-each key.  A batch writes in a fixed order (pending, raw, canonical, chunks, complete) and completes last, so a run
-that is lost half-way leaves pending rows, which the next run, or a repair, takes up again; ids are functions
-of the content, so writing twice changes nothing.  Batch n writes the journal as changes 2n (pending) and 2n + 1.
+each key.  A batch commits twice (see ``commits``): its intent, pending rows of the journal, and then raw texts, canonical
+texts, chunks, quarantine and completed rows all at once.  A run that is lost half-way leaves pending rows and nothing else,
+and the next run, or a repair, takes them up again; ids are functions of the content, so writing twice changes nothing.
+Batch n writes the journal as changes 2n (pending) and 2n + 1.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from siltstone.functions.hashing import joined_key, sha256
 from siltstone.operators import corpus, tables
+from siltstone.operators.commits import Commits
 from siltstone.operators.models import Classifier, Embedder
 
 TABLES = {
@@ -29,6 +31,8 @@ TABLES = {
     "aliases": ("canonical_id string, alias_kind string, target string, evidence string, confidence double, seq long", ["canonical_id", "alias_kind", "target"]),
     "review": ("pair_key string, similarity double, decision string, seq long", ["pair_key"]),
 }
+#: Tables of which every change counts, not only a key's last.
+LOGS = ("review",)
 OUTCOMES = ("processed", "skipped", "skipped_empty", "quarantined", "failed")
 
 
@@ -46,29 +50,59 @@ class Corpus:
     """The tables of a corpus in a shared folder, for reading (queries) and writing (ingest)."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root, self.commits = spark, root, Commits(spark, root)
 
-    def changes(self, name: str, before: int | None = None) -> DataFrame:
-        """All changes, or those of batches before a number (files of later ones are not read)."""
+    def _read(self, name: str, folders: list[str]) -> DataFrame:
         schema = TABLES[name][0]
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(f"{schema}, batch long").parquet(f"{self.root}/{name}")
-        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{f}" for f in folders))
 
-    def table(self, name: str, before: int | None = None) -> DataFrame:
-        """The state: the last change of each key; deleted keys are gone."""
+    def changes(self, name: str, before: int | None = None, staged: dict[str, list[str]] | None = None) -> DataFrame:
+        """All changes that are still held (compaction leaves the last of each key), or those of batches before a number.
+
+        ``staged``: folders of a batch at work, which are not published yet, beside them.
+        """
+        base, found = self.commits.snapshot(before)
+        return self._read(name, [*(base.files.get(name, []) if base else []), *(f for m in found for f in m.files.get(name, [])), *(staged or {}).get(name, [])])
+
+    def table(self, name: str, before: int | None = None, staged: dict[str, list[str]] | None = None) -> DataFrame:
+        """The state: the last change of each key; deleted keys are gone.  Of the base, keys without a later change are read as they are."""
         schema, key = TABLES[name]
-        return tables.latest(self.changes(name, before), key, "seq", F.col("deleted") if "deleted boolean" in schema else None)
+        deleted = F.coalesce("deleted", F.lit(False)) if "deleted boolean" in schema else F.lit(False)
+        base, found = self.commits.snapshot(before)
+        old = base.files.get(name, []) if base else []
+        late = [*(f for m in found for f in m.files.get(name, [])), *(staged or {}).get(name, [])]
+        newest = tables.latest(self._read(name, late if old and name not in LOGS else [*old, *late]), key, "seq")
+        if not old or name in LOGS:
+            return newest.where(~deleted)
+        if not late:
+            return self._read(name, old)
+        return tables.delete_keys(self._read(name, old), newest, key).unionByName(newest.where(~deleted))
+
+    def stage(self, name: str, rows: DataFrame, seq: int) -> dict[str, list[str]]:
+        """Writes changes that nobody sees before they are published."""
+        fields = T.StructType.fromDDL(TABLES[name][0]).fields
+        have = rows.withColumn("seq", F.lit(seq).cast("long"))
+        out = have.select(*((F.col(f.name) if f.name in have.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields))
+        return {name: [self.commits.stage(name, out)]}
 
     def append(self, name: str, rows: DataFrame, seq: int) -> None:
-        """Adds changes; a batch number that is written again replaces its own files."""
-        fields = [f.name for f in T.StructType.fromDDL(TABLES[name][0]).fields]
-        kinds = {f.name: f.dataType for f in T.StructType.fromDDL(TABLES[name][0]).fields}
-        have = rows.withColumn("seq", F.lit(seq).cast("long"))
-        out = have.select(*(F.col(c).cast(kinds[c]).alias(c) if c in have.columns else F.lit(None).cast(kinds[c]).alias(c) for c in fields))
-        out.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={seq}")
+        """Adds changes to one table; the same batch number again replaces its own."""
+        self.commits.publish(seq, f"append-{name}", self.stage(name, rows, seq))
+
+    def compact(self) -> None:
+        """Rewrites each table as the last change of each key, sorted by key.  Logs, of which every change counts, are taken over as they are."""
+        base, found = self.commits.snapshot()
+        if not found:
+            return
+        files = {}
+        for name, (_, key) in TABLES.items():
+            if name in LOGS:
+                files[name] = [*(base.files.get(name, []) if base else []), *(f for m in found for f in m.files.get(name, []))]
+            else:
+                files[name] = [self.commits.stage(name, self.table(name).repartitionByRange(*key).sortWithinPartitions(*key))]
+        self.commits.rebase(files, found, max(m.seq for m in found))
 
     # reading
 
@@ -101,14 +135,12 @@ class Corpus:
         self.append("chunks", gone.withColumn("deleted", F.lit(True)), seq)
 
     def block_alias(self, rows: DataFrame, seq: int) -> None:
-        """Alias-blocked rows: the edge first, then the journal; edges of a batch count once its journal rows are there."""
-        self.append("aliases", rows, seq)
-        self.append("journal", rows.withColumn("merge_state", F.lit("alias_blocked")), 2 * seq + 1)
+        """Alias-blocked rows: the edge and the journal in one commit, so both are there, or neither is."""
+        blocked = rows.withColumn("merge_state", F.lit("alias_blocked"))
+        self.commits.publish(seq, "alias", self.stage("aliases", rows, seq) | self.stage("journal", blocked, 2 * seq))
 
     def aliases(self) -> DataFrame:
-        """Edges whose batch has reached the journal: both are there, or neither is."""
-        written = self.changes("journal").select(F.floor(F.col("seq") / 2).alias("seq")).distinct()
-        return tables.latest(self.changes("aliases").join(written, "seq", "left_semi"), TABLES["aliases"][1], "seq")
+        return self.table("aliases")
 
 
 def skip_key(entry: list[Column]) -> Column:
@@ -144,7 +176,7 @@ def ingest(store: Corpus, entries: DataFrame, classifier: Classifier, embedder:
     rows = entries.withColumn("_key", F.concat_ws("\x1f", "source", "source_id")).dropDuplicates(["source", "source_id"])
     gated = corpus.slop_scores(rows, classifier.score(rows, "_key"), "_key", list(vetted), threshold)
     kept = resolve(gated.where("outcome = 'kept'")).withColumn("skip_key", skip_key([F.col("canonical_id"), F.col("source"), F.col("source_id"), sha256(F.col("text"))]))
-    done = store.table("journal", before=2 * seq).where("merge_state = 'complete'")
+    done = store.table("journal", before=seq).where("merge_state = 'complete'")
     known = ["canonical_id", "source", "source_id", "skip_key"]
     fresh = kept.where("canonical_id is not null")
     fresh = fresh if force else tables.incremental(fresh, done, known)
@@ -159,22 +191,23 @@ def ingest(store: Corpus, entries: DataFrame, classifier: Classifier, embedder:
     work = f"{store.root}/work/batch={seq}"
     fresh.select("canonical_id", *key, "text", "skip_key").write.mode("overwrite").parquet(work)
     fresh = spark.read.parquet(work)
-    store.append("quarantine", gated.where("outcome = 'quarantined'").withColumn("deleted", F.lit(False)), seq)
-    store.append("journal", fresh.withColumn("merge_state", F.lit("pending")), 2 * seq)
-    store.append("raw", fresh, seq)
+    store.commits.publish(seq, "ingest-intent", store.stage("journal", fresh.withColumn("merge_state", F.lit("pending")), 2 * seq))
+    staged = store.stage("quarantine", gated.where("outcome = 'quarantined'").withColumn("deleted", F.lit(False)), seq)
+    staged |= store.stage("raw", fresh, seq)
     # all sections of the entities that this batch touches, old and new
     ids = store.table("journal").where("merge_state in ('pending', 'complete')").select("canonical_id", *key)
     touched = ids.join(fresh.select("canonical_id").distinct(), "canonical_id", "left_semi")
-    merged = corpus.merged_sections(touched.join(store.table("raw"), key).select("canonical_id", *key, "text"), "canonical_id", ranks or {})
-    store.append("canonical", merged, seq)
-    texts = store.table("canonical").join(fresh.select("canonical_id").distinct(), "canonical_id", "left_semi")
+    merged = corpus.merged_sections(touched.join(store.table("raw", staged=staged), key).select("canonical_id", *key, "text"), "canonical_id", ranks or {})
+    staged |= store.stage("canonical", merged, seq)
+    texts = spark.read.parquet(*(f"{store.root}/{f}" for f in staged["canonical"]))
     pieces = chunked(texts)
     pieces = embedder.embed(pieces, "text", "embedding").withColumn("point_id", point_id(F.col("canonical_id"), F.col("chunk_idx"))).withColumn("deleted", F.lit(False))
     old = store.table("chunks", before=seq).join(fresh.select("canonical_id").distinct(), "canonical_id", "left_semi").select("canonical_id", "chunk_idx")
     stale = old.join(pieces.select("canonical_id", "chunk_idx"), ["canonical_id", "chunk_idx"], "left_anti").withColumn("deleted", F.lit(True))
-    store.append("chunks", pieces.unionByName(stale, allowMissingColumns=True), seq)
-    hashed = fresh.join(store.table("canonical").select("canonical_id", "content_hash"), "canonical_id", "left")
-    store.append("journal", hashed.withColumn("merge_state", F.lit("complete")).withColumn("merged_at", F.lit(merged_at)), 2 * seq + 1)
+    staged |= store.stage("chunks", pieces.unionByName(stale, allowMissingColumns=True), seq)
+    hashed = fresh.join(texts.select("canonical_id", "content_hash"), "canonical_id", "left")
+    staged |= store.stage("journal", hashed.withColumn("merge_state", F.lit("complete")).withColumn("merged_at", F.lit(merged_at)), 2 * seq + 1)
+    store.commits.publish(seq, "ingest", staged)
     return spark.read.parquet(path)
 
 

@@ -13,7 +13,8 @@ from siltstone.functions import prompts
 from siltstone.functions.hashing import response_key
 from siltstone.operators import evaluate, models, reports
 from siltstone.operators.budget import Budget, BudgetExceeded, backoff, ledger, reserve_ceiling, retry_class
-from siltstone.operators.ingest import Corpus, MemoryCorpus, ingest, ingest_counts, observed, summarized
+from siltstone.operators.commits import Commits
+from siltstone.operators.ingest import TABLES, Corpus, MemoryCorpus, ingest, ingest_counts, observed, summarized
 from siltstone.sources import files
 
 CONFIG = Config(k_retrieve=6, n_synthesize=2, min_similarity=4.0, taxonomy={"sector": ("fin", "food")}, models={"facet": "f", "rerank": "r", "synthesize": "s", "consolidate": "c"})
@@ -150,11 +151,29 @@ def test_ingest(spark, tmp_path):
     store.delete_chunks(spark.createDataFrame([("a.example",), ("z",)], "canonical_id string"), 5)
     assert {r.canonical_id for r in store.table("chunks").collect()} == {"d.example"} and store.quarantined().count() == 1
     store.block_alias(spark.createDataFrame([("e.example", "hn", "9", "parent", "a.example", "x", 0.5)], "canonical_id string, source string, source_id string, alias_kind string, target string, evidence string, confidence double"), 6)
-    store.append("aliases", spark.createDataFrame([("f", "parent", "g")], "canonical_id string, alias_kind string, target string"), 7)  # its journal rows never came
+    store.stage("aliases", spark.createDataFrame([("f", "parent", "g")], "canonical_id string, alias_kind string, target string"), 7)  # its commit never came
     assert [r.target for r in store.aliases().collect()] == ["a.example"] and store.by_key("hn", "9").first().merge_state == "alias_blocked"
     for seq, pair in ((8, "b"), (9, "a"), (10, "b")):
         store.append("review", spark.createDataFrame([(pair, 0.7, "different")], "pair_key string, similarity double, decision string"), seq)
     assert [r.pair_key for r in store.pending_review().collect()] == ["b", "a"]
+    # a batch of another writer with a number that ingest has used stands beside it
+    before = {r.canonical_id: r.merge_state for r in store.table("journal").collect()}
+    store.block_alias(spark.createDataFrame([("x.example", "hn", "10", "parent", "y.example", "x", 0.5)], "canonical_id string, source string, source_id string, alias_kind string, target string, evidence string, confidence double"), 4)
+    after = {r.canonical_id: r.merge_state for r in store.table("journal").collect()}
+    assert after == before | {"x.example": "alias_blocked"} and before["a.example"] == "complete"
+    # compaction changes no table, and later batches go on from it
+    state = lambda: {n: sorted(map(str, store.table(n).collect())) for n in TABLES}
+    whole = state()
+    store.compact()
+    store.compact()
+    assert state() == whole and [r.pair_key for r in store.pending_review().collect()] == ["b", "a"] and store.commits.snapshot()[1] == []
+    with pytest.raises(ValueError, match="last one in the base"):
+        store.append("review", spark.createDataFrame([("z", 0.7, "different")], "pair_key string, similarity double, decision string"), 4)
+    assert run(shorter, 11)[("csv", "2")] == "skipped" and run(entries, 12)[("csv", "2")] == "processed" and store.table("chunks").where("canonical_id = 'a.example'").count() == 2
+    store.delete_chunks(spark.createDataFrame([("a.example",)], "canonical_id string"), 13)
+    whole = state()
+    store.compact()
+    assert state() == whole and {r.canonical_id for r in store.table("chunks").collect()} == {"d.example"}
     rows, watch = observed(spark.createDataFrame([("failed",), ("processed",)], "outcome string"), "n")
     rows.collect()
     assert watch.get["seen"] == 2 and watch.get["failed"] == 1 and ingest_counts(rows).first().processed == 1
@@ -167,6 +186,42 @@ def test_ingest(spark, tmp_path):
     assert not memory.has_chunks("a") and memory.has_chunks("b") and memory.table().count() == 1
 
 
+def test_ingest_stopped_anywhere(spark, tmp_path, monkeypatch):
+    """After each write of a batch the tables are those before it, but for pending rows; run again, it is whole."""
+    schema = "source string, source_id string, text string, canonical_id string"
+    one = spark.createDataFrame([("hn", "1", "first text", "a.example")], schema)
+    two = spark.createDataFrame([("hn", "1", "another text", "a.example"), ("csv", "2", "more", "a.example"), ("hn", "9", "spam", "c.example")], schema)
+    judged = spark.createDataFrame([("hn\x1f9", 0.9)], "_key string, judged double")
+    store = Corpus(spark, f"file://{tmp_path}/corpus")
+    run = lambda e, seq: ingest(store, e, models.LabelClassifier(judged, "judged"), models.HashEmbedder(4), lambda d: d, seq, "2024")
+    run(one, 1)
+    state = lambda names: {n: sorted(map(str, store.table(n).collect())) for n in names}
+    rest = [n for n in TABLES if n != "journal"]
+    before, writes = state(rest), []
+    original = Commits.stage
+
+    class Stop(Exception):
+        pass
+
+    def stage(self, table, rows):
+        out = original(self, table, rows)
+        writes.append(table)
+        if len(writes) == limit:
+            raise Stop
+        return out
+
+    monkeypatch.setattr(Commits, "stage", stage)
+    for limit in range(1, 7):
+        writes.clear()
+        with pytest.raises(Stop):
+            run(two, 2)
+        assert state(rest) == before and store.pending().count() == (0 if limit == 1 else 2)
+    limit = 99
+    run(two, 2)
+    assert store.pending().count() == 0 and store.table("raw").count() == 2 and store.quarantined().count() == 1
+    assert store.table("canonical").first().merged == "## hn:1\n\nanother text\n\n---\n\n## csv:2\n\nmore"
+
+
 def test_evaluation(spark, tmp_path, capsys):
     syn = spark.createDataFrame([("r", "1", "there", "had 10 users", ["x"], 5, ["https://ok.example/1"]), ("r", "2", " \t", "had 99 users", [], -1, ["bad"]), ("r", "3", "x", None, None, None, [])], "row_id string, candidate_id string, where_diverged string, why_similar string, rationales array<string>, lifespan_months int, sources array<string>")
     bodies = spark.createDataFrame([("1", "it had 10 users"), ("2", "it had 10 users")], "candidate_id string, body string")
