@@ -12,6 +12,15 @@ def tiebreak_decision(c: Column) -> Column:
     return F.when(d.isin("same", "different"), d).otherwise("different")
 
 
+#: Characters of a text that a slop judge sees.
+JUDGED = 6000
+
+
+def judged_head(text: Column) -> Column:
+    """What a slop judge is given of a text."""
+    return F.substring(text, 1, JUDGED)
+
+
 def slop_score(c: Column) -> Column:
     """0 for text that is no JSON; 1 for JSON that is no object or does not say ``true``; 0 where it does."""
     v = F.try_parse_json(c)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.dates import year_start
 from siltstone.functions.hashing import short_sha256
 from siltstone.functions.text import normalize_name
+from siltstone.functions.urls import host
 
 #: Rank of sections of sources that have no rank.
 UNRANKED = 9
@@ -115,6 +116,14 @@ def text_hits(df: DataFrame, key: str, found: DataFrame, where: Column, limit: i
     return rows.orderBy(key).limit(limit).select(key, F.substring(body, 1, snippet).alias("snippet"), score.alias("score"))
 
 
+def cited_hosts_allowed(rows: DataFrame, key: str, urls: str, allowed: DataFrame) -> DataFrame:
+    """(key, allowed): whether the host of every URL of a row is in the allow-list (host), which may be of any size; true without URLs, false where one has no host."""
+    cited = rows.select(key, F.explode(urls).alias("_url")).select(key, host(F.col("_url")).alias("host"))
+    known = allowed.select("host").where("host <> ''").distinct().withColumn("_known", F.lit(True))
+    bad = cited.join(known, "host", "left").where("_known is null").select(key).distinct().withColumn("_bad", F.lit(True))
+    return rows.select(key).join(bad, key, "left").select(key, F.col("_bad").isNull().alias("allowed"))
+
+
 def having(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key ``other`` has."""
     return df.join(other.select(key).distinct(), key, "left_semi")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions.hashing import joined_key, sha256
+from siltstone.functions.jsonx import judged_head
 from siltstone.operators import corpus, tables
 from siltstone.operators.commits import Commits
 from siltstone.operators.models import Classifier, Embedder
@@ -174,7 +175,7 @@ def ingest(store: Corpus, entries: DataFrame, classifier: Classifier, embedder:
     """
     spark = store.spark
     rows = entries.withColumn("_key", F.concat_ws("\x1f", "source", "source_id")).dropDuplicates(["source", "source_id"])
-    gated = corpus.slop_scores(rows, classifier.score(rows, "_key"), "_key", list(vetted), threshold)
+    gated = corpus.slop_scores(rows, classifier.score(rows.withColumn("text", judged_head(F.col("text"))), "_key"), "_key", list(vetted), threshold)
     kept = resolve(gated.where("outcome = 'kept'")).withColumn("skip_key", skip_key([F.col("canonical_id"), F.col("source"), F.col("source_id"), sha256(F.col("text"))]))
     done = store.table("journal", before=seq).where("merge_state = 'complete'")
     known = ["canonical_id", "source", "source_id", "skip_key"]

@@ -35,7 +35,7 @@ def extract_facets(pitches: DataFrame, facets: tuple[str, ...], completer: Compl
 def rerank(retrieved: DataFrame, pitches: DataFrame, completer: Completer, config: Config) -> DataFrame:
     """(query_id, candidate_id, pos, mean, scores): one call for a query's candidates (query_id, candidate_id, summary, pos).
 
-    A query's list is its k candidates at most.  A ranking must have min(n, candidates) entries or more, else the
+    A query's list is its k candidates at most.  A ranking must have min(n, candidates) entries, no more and no less, else the
     query ends with an error; ids that were not retrieved go.
     """
     line = F.struct("pos", F.concat("candidate_id", F.lit(": "), F.coalesce("summary", F.lit(""))).alias("s"))
@@ -44,7 +44,7 @@ def rerank(retrieved: DataFrame, pitches: DataFrame, completer: Completer, confi
     rows = pitches.join(lists, "query_id")
     rows = asked(rows, "llm_rerank", {"description": F.coalesce("description", F.lit("")), "facets": facets, "candidates": F.col("candidates")}, RERANKED, completer, config.models["rerank"])
     want = F.least(F.col("_n"), F.lit(config.n_synthesize))
-    whole = F.when(F.size("answer.ranked") >= want, True).otherwise(F.raise_error(F.format_string("query %s: ranking of %d for %d", F.col("query_id").cast("string"), F.coalesce(F.size("answer.ranked"), F.lit(-1)), want)).cast("boolean"))
+    whole = F.when(F.size("answer.ranked") == want, True).otherwise(F.raise_error(F.format_string("query %s: ranking of %d for %d", F.col("query_id").cast("string"), F.coalesce(F.size("answer.ranked"), F.lit(-1)), want)).cast("boolean"))
     found = rows.where(whole).select("query_id", F.col("cost_usd").alias("rerank_cost"), F.posexplode("answer.ranked").alias("pos", "r"))
     mean = rank.mean_score(*(f"r.{p}.score" for p in PERSPECTIVES))
     found = found.select("query_id", "rerank_cost", F.col("r.candidate_id").alias("candidate_id"), F.col("pos").cast("long"), mean.alias("mean"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import hashing
 from siltstone.operators import corpus as ops
-from siltstone.operators import ingest, tables
+from siltstone.operators import graph, ingest, tables
 from siltstone.plans.bindings import table
 from siltstone.plans.scalars import visible_sql
 
@@ -222,7 +222,7 @@ def error_cap(spark, d):
     return ops.first_events(rows, "user_id", "event_id").select("user_id", F.array_join(F.col("shown").cast("array<string>"), ",").alias("shown"), "more")
 
 
-@query()
+@query("SELECT source, CAST(doc_id AS VARCHAR) AS source_id, sha256(doc_id || '|' || coalesce(sha256(text), '')) AS skip_key, n_chars, 0::BIGINT AS seq FROM documents")
 def stream_ingest(spark, d):
     """The documents table as a stream, merged batch by batch into a keyed table; skip keys make a second run a no-op."""
     from siltstone.streaming.ingest import ingest_documents
@@ -242,3 +242,37 @@ def src_curated(spark, d):
     robots = F.when(F.col("page_id") % 7 == 1, "User-agent: *\nDisallow: /").when(F.col("page_id") % 7 == 2, "User-agent: other\nDisallow: /")
     fetched = pages.select("url", "html", F.when(F.col("page_id") % 11 == 0, 404).otherwise(200).alias("status"), robots.alias("robots"))
     return curated_rows(items, fetched).select("source_id", "url")
+
+
+@query("""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, doc_id % 10 > 7 AND source <> 'src0' AS slop, doc_id % 5 <> 0 AS later, coalesce(text, '') || CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN ' again' ELSE '' END AS t2 FROM documents),
+o AS (SELECT *, NOT slop AND (t <> '' OR later AND t2 <> '') AS there, CASE WHEN NOT later THEN 'absent' WHEN t2 = '' THEN 'skipped_empty' WHEN slop THEN 'quarantined' WHEN t2 <> t THEN 'processed' ELSE 'skipped' END AS outcome FROM d)
+SELECT 'c' || (doc_id // 4)::VARCHAR AS canonical_id, substr(sha256(string_agg('## ' || source || ':' || doc_id || chr(10) || chr(10) || t2, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id::VARCHAR) FILTER (there)), 1, 16) AS content_hash,
+  count(*) FILTER (there)::BIGINT AS n_sections, count(*) FILTER (outcome = 'processed')::BIGINT AS processed, count(*) FILTER (outcome = 'skipped')::BIGINT AS skipped, count(*) FILTER (outcome = 'quarantined')::BIGINT AS quarantined
+FROM o GROUP BY doc_id // 4 HAVING count(*) FILTER (there) > 0""")
+def ingest_batches(spark, d):
+    """Two batches of all documents, the second without a fifth of them and with a third of the rest changed; then the compacted tables."""
+    from siltstone.operators.models import HashEmbedder, LabelClassifier
+
+    docs = table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("c"), F.floor(F.col("doc_id") / 4).cast("string")).alias("canonical_id"), "doc_id")
+    judged = docs.select(F.concat_ws("\x1f", "source", "source_id").alias("_key"), (F.col("doc_id") % 10 / 10).alias("judged"))
+    changed = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" again"))).otherwise(F.col("text"))
+    store = ingest.Corpus(spark, graph.shared_dir(spark, "corpus"))
+    for seq, batch in ((1, docs), (2, docs.where("doc_id % 5 <> 0").withColumn("text", changed))):
+        outcomes = ingest.ingest(store, batch.drop("doc_id"), LabelClassifier(judged, "judged"), HashEmbedder(8), lambda rows: rows, seq, "2024", ("src0",))
+    store.compact()
+    key = ["source", "source_id"]
+    sections = store.table("journal").where("merge_state = 'complete'").groupBy("canonical_id").agg(F.count("*").alias("n_sections"))
+    counted = outcomes.select(*key, "outcome").join(docs.select(*key, "canonical_id"), key).groupBy("canonical_id").agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("processed", "skipped", "quarantined")))
+    rows = store.table("canonical").select("canonical_id", "content_hash").join(sections, "canonical_id").join(counted, "canonical_id", "left")
+    return rows.select("canonical_id", "content_hash", "n_sections", *(F.coalesce(o, F.lit(0)).alias(o) for o in ("processed", "skipped", "quarantined")))
+
+
+@query("""WITH e AS (SELECT event_id AS seq, CASE WHEN user_id % 11 = 0 THEN '' ELSE 'd' || user_id || '.example' END AS domain, user_id % 9 = 0 AS platform, CASE WHEN event_id % 4 <> 0 THEN 1995 + event_id * 7 % 25 END AS year, event_id % 3 = 0 AS suffixed FROM events),
+f AS (SELECT domain, min(seq) AS first_seq FROM e WHERE NOT platform AND domain <> '' GROUP BY 1),
+a AS (SELECT domain, min(seq) AS aseq, arg_min(year, seq) AS ayear FROM e JOIN f USING (domain) WHERE NOT platform AND year IS NOT NULL AND (seq = first_seq OR NOT suffixed) GROUP BY 1)
+SELECT seq, CASE WHEN platform OR domain = '' THEN 'platform' WHEN aseq < seq AND abs(year - ayear) > 10 THEN 'recycled' WHEN suffixed AND seq > first_seq THEN 'subsidiary' ELSE 'domain' END AS reason FROM e LEFT JOIN f USING (domain) LEFT JOIN a USING (domain)""")
+def stream_domains(spark, d):
+    """All events as a stream in which each domain keeps its anchor: what resolution in batch says of them."""
+    from siltstone.streaming.resolve import resolved_events
+
+    return resolved_events(spark, d)

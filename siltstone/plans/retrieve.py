@@ -142,7 +142,7 @@ def semi_exists(spark, d):
     return corpus.having(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
-@query(_hybrid_sql(True) + f""", sc AS (SELECT query_id, canonical_id AS id, rank, ((canonical_id % 11) + (canonical_id % 7) + (canonical_id % 5) + 4) / 4.0 AS mean FROM ranked WHERE rank <= {K}),
+@query(_hybrid_sql(True) + f""", sc AS (SELECT query_id, canonical_id AS id, rank, ((canonical_id % 11) + (canonical_id % 7) + (canonical_id % 5) + 4) / 4.0 AS mean FROM ranked WHERE rank <= 5),
 ch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM sc WHERE mean >= 4.0),
 n AS (SELECT query_id, count(*) AS chosen, count(*) FILTER (mean - id % 2 >= 4.0) AS kept, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (mean - id % 2 >= 4.0) AS candidates FROM ch WHERE rn <= 5 GROUP BY 1)
 SELECT q.query_id, coalesce(candidates, '') AS candidates, 5 - coalesce(chosen, 0)::BIGINT AS filtered_pre, coalesce(chosen - kept, 0)::BIGINT AS filtered_post, coalesce(kept, 0)::BIGINT AS n_raised,
@@ -161,7 +161,7 @@ def query_pipeline(spark, d):
 
     ids = F.regexp_extract_all("prompt", F.lit(r"(?m)^(\d+): "), F.lit(1))
     one = F.regexp_extract("prompt", r"Company (\d+),", 1)
-    ranking = F.to_json(F.struct(F.transform(ids, lambda i: F.struct(i.alias("candidate_id"), *scores(i))).alias("ranked")))
+    ranking = F.to_json(F.struct(F.transform(F.slice(ids, 1, 5), lambda i: F.struct(i.alias("candidate_id"), *scores(i))).alias("ranked")))
     texts = [F.lit(x).alias(k) for k, x in (("one_liner", "o"), ("why_similar", "w"), ("where_diverged", "d"))]
     lists = [F.array(F.lit(x)).alias(k) for k, x in (("failure_causes", "f"), ("lessons", "l"))]
     synthesis = F.to_json(F.struct(F.concat(F.lit("c"), one).alias("name"), F.struct(*scores(one, 1)).alias("similarity"), *texts, *lists))

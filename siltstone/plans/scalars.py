@@ -99,12 +99,35 @@ def url_policy_filter(spark, d):
     return table(spark, d, "pages").select("page_id", F.expr(_URL).alias("url")).where(urls.url_allowed(F.col("url")))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN true WHEN page_id % 4 = 3 THEN false ELSE page_id % 4 = 1 OR regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) IN (SELECT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) FROM pages WHERE page_id < 50) END AS allowed FROM pages""")
+@query("""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages), many AS (SELECT host FROM h GROUP BY 1 HAVING count(*) > 1)
+SELECT page_id, CASE WHEN page_id % 4 = 0 THEN true WHEN page_id % 4 = 3 THEN false WHEN page_id % 4 = 1 THEN true ELSE host IN (SELECT host FROM many) END AS allowed FROM h WHERE page_id % 4 <> 1 OR host IN (SELECT host FROM many)""")
 def host_allowlist(spark, d):
-    pages = table(spark, d, "pages")
-    allowed = pages.where("page_id < 50").agg(F.collect_set(urls.host(F.col("url"))).alias("allowed"))
-    cited = F.when(F.col("page_id") % 4 == 0, F.array().cast("array<string>")).when(F.col("page_id") % 4 == 3, F.array(F.lit("no host"))).when(F.col("page_id") % 4 == 1, F.array(F.concat(F.lit("https://"), F.col("allowed")[0], F.lit("/x")))).otherwise(F.array("url"))
-    return pages.crossJoin(F.broadcast(allowed)).select("page_id", urls.hosts_allowed(cited, F.col("allowed")).alias("allowed"))
+    """Citations against the hosts of two pages or more: none, one without a host, one twice of an allowed host, the page's own."""
+    pages = table(spark, d, "pages").withColumn("host", urls.host(F.col("url")))
+    allowed = pages.groupBy("host").agg(F.count("*").alias("n")).where("n > 1")
+    kind = F.col("page_id") % 4
+    cited = F.when(kind == 0, F.array().cast("array<string>")).when(kind == 3, F.array("url", F.lit("no host"))).when(kind == 1, F.array("url", F.concat(F.lit("https://"), F.col("host"), F.lit("/x")))).otherwise(F.array("url"))
+    rows = pages.withColumn("cited", cited)
+    out = ops.cited_hosts_allowed(rows, "page_id", "cited", allowed)
+    return out.where((F.col("page_id") % 4 != 1) | F.col("allowed"))
+
+
+_SUFFIXED = """CASE page_id % 9 WHEN 0 THEN url WHEN 1 THEN 'https://www.ck/a' WHEN 2 THEN 'https://x.y' || page_id || '.ck/' WHEN 3 THEN 'https://a.city.kawasaki.jp/' WHEN 4 THEN 'https://a.b' || page_id || '.Co.uk/x'
+  WHEN 5 THEN 'https://co.uk/' WHEN 6 THEN 'http://10.0.0.' || (page_id % 250) || '/' WHEN 7 THEN 'https://u.foo' || page_id || '.kawasaki.jp:80/' ELSE 'https://w.x.example' || page_id || '.zz/' END"""
+_RULES = ", ".join(f"('{r}')" for r in urls.SUFFIX_RULES)
+
+
+@query(f"""WITH p AS (SELECT page_id, lower(regexp_extract({_SUFFIXED}, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages),
+rule AS (SELECT regexp_replace(r, '^(\\*\\.|!)', '') AS key, r LIKE '!%' AS exception, len(string_split(regexp_replace(r, '^(\\*\\.|!)', ''), '.')) + CASE WHEN r LIKE '!%' THEN -1 WHEN r LIKE '*.%' THEN 1 ELSE 0 END AS n FROM (VALUES {_RULES}) v(r)),
+cut AS (SELECT DISTINCT host, len(string_split(host, '.')) AS labels, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM p),
+met AS (SELECT host, exception, n FROM cut JOIN rule ON key = array_to_string(string_split(host, '.')[labels - k + 1 :], '.') WHERE n <= labels),
+best AS (SELECT host, n FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY exception DESC, n DESC) AS rn FROM met) WHERE rn = 1)
+SELECT page_id, CASE WHEN regexp_matches(host, '^[0-9.]+$') OR len(string_split(host, '.')) <= coalesce(n, 1) + 1 THEN host ELSE array_to_string(string_split(host, '.')[-(coalesce(n, 1) + 1) :], '.') END AS domain FROM p LEFT JOIN best USING (host)""")
+def suffix_rules(spark, d):
+    """Registered names under rules, wildcards and exceptions."""
+    rules = spark.createDataFrame([(r,) for r in urls.SUFFIX_RULES], "rule string")
+    pages = table(spark, d, "pages").select("page_id", F.expr(_SUFFIXED).alias("url"))
+    return urls.registrable_domains(pages, "url", rules).select("page_id", "domain")
 
 
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS text_id, sha256(text) AS content_sha256, sha256(doc_id || '|' || lang || '||' || n_chars) AS skip_key FROM documents")

@@ -60,3 +60,27 @@ def test_cosines(spark, monkeypatch):
     got = {(r.a, r.b): round(r.cosine, 9) for r in vectors.cosines(rows.where("id % 100 = 0"), rows, "id", "v").collect()}
     assert got == {(0, 1): 0.6, (0, 2): 0, (0, 3): 0, (0, 100): 0, (0, 4): 0, (100, 0): 0, (100, 1): 0.8, (100, 2): 0, (100, 3): 0, (100, 4): 0}
     assert vectors.cosines(rows.where("id < 0"), rows, "id", "v").count() == 0
+
+
+def test_urls_that_parsers_read_differently(spark):
+    allowed = {"HTTP://ok.com/": True, "HttpS://ok.com": True, "http://10.0.0.1\\@x.com/": False, "http://x.com\\@10.0.0.1/": False, "http://x.com/a b": False, "http://x.com/\t": False, "http://x.com/\x07": False, "ftp://x.com": False, "http://x.com/é": True}
+    df = spark.createDataFrame([(u,) for u in allowed], "u string")
+    assert {r.u: r.ok for r in df.select("u", urls.url_allowed(F.col("u")).alias("ok")).collect()} == allowed
+
+
+def test_suffix_rules(spark):
+    rules = spark.createDataFrame([("com",), ("uk",), ("co.uk",), ("*.ck",), ("!www.ck",), ("*.kawasaki.jp",), ("!city.kawasaki.jp",), ("jp",), ("github.io",), ("io",)], "rule string")
+    want = {
+        "https://a.b.example.com/": "example.com", "https://x.co.uk/": "x.co.uk", "https://a.x.co.uk": "x.co.uk", "https://co.uk": "co.uk", "https://b.c.ck/": "b.c.ck", "https://a.b.c.ck/": "b.c.ck", "https://c.ck": "c.ck",
+        "https://www.ck/": "www.ck", "https://a.www.ck/": "www.ck", "https://city.kawasaki.jp": "city.kawasaki.jp", "https://a.city.kawasaki.jp": "city.kawasaki.jp", "https://x.y.z.kawasaki.jp": "y.z.kawasaki.jp",
+        "https://me.github.io/": "me.github.io", "https://a.me.github.io/": "me.github.io", "https://a.b.unlisted/": "b.unlisted", "https://localhost/": "localhost", "http://10.1.2.3/": "10.1.2.3", "http://[2606:4700::1]/": "2606:4700::1", "none": "",
+    }
+    rows = spark.createDataFrame([(u, 1) for u in want], "url string, domain int").drop("domain")
+    assert {r.url: r.domain for r in urls.registrable_domains(rows, "url", rules).collect()} == want
+    assert urls.registrable_domains(rows.limit(0), "url", rules).count() == 0
+
+
+def test_judged_head(spark):
+    from siltstone.functions.jsonx import judged_head
+
+    assert spark.range(1).select(judged_head(F.lit("é" * 7000)).alias("x")).first().x == "é" * 6000
