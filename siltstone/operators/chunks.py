@@ -19,27 +19,27 @@ def windows(df: DataFrame, key: str, text: str = "text", window: int = WINDOW, o
     return rows.select(key, F.col("chunk_idx").cast("long"), F.col("start").cast("long"), F.least(F.col("start") + window, F.col("n")).cast("long").alias("stop"))
 
 
-def heading_windows(df: DataFrame, key: str, text: str = "text", window: int = WINDOW, overlap: int = OVERLAP, snap: int = SNAP) -> DataFrame:
-    """The same with later windows moved forward to the first heading (a line that starts with #) within ``snap`` tokens.
+def spans(body: str | None, window: int = WINDOW, overlap: int = OVERLAP, snap: int = SNAP) -> Iterator[tuple[int, int, int]]:
+    """(chunk_idx, start, stop) of one text: where one window starts depends on where the one before ended, so a text is walked in order."""
+    tokens = body.split(" ") if body else []
+    heads = [i // STRIDE * STRIDE for i, t in enumerate(tokens) if "\n#" in t]
+    start, idx = 0, 0
+    while tokens:
+        stop = min(start + window, len(tokens))
+        yield idx, start, stop
+        if stop >= len(tokens):
+            break
+        following = start + window - overlap
+        ahead = next((h for h in heads if following < h <= following + snap and h < len(tokens)), None)
+        start, idx = following if ahead is None else ahead, idx + 1
+
 
-    Where one window starts depends on where the one before ended, so each document is walked in order.
-    """
+def heading_windows(df: DataFrame, key: str, text: str = "text", window: int = WINDOW, overlap: int = OVERLAP, snap: int = SNAP) -> DataFrame:
+    """The same with later windows moved forward to the first heading (a line that starts with #) within ``snap`` tokens."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for k, body in zip(batch[key], batch[text], strict=True):
-                tokens = (body or "").split(" ") if body else []
-                heads = [i // STRIDE * STRIDE for i, t in enumerate(tokens) if "\n#" in t]
-                start, idx = 0, 0
-                while tokens:
-                    stop = min(start + window, len(tokens))
-                    out.append((k, idx, start, stop))
-                    if stop >= len(tokens):
-                        break
-                    following = start + window - overlap
-                    ahead = [h for h in heads if following < h <= following + snap and h < len(tokens)]
-                    start, idx = (ahead[0] if ahead else following), idx + 1
+            out = [(k, *span) for k, body in zip(batch[key], batch[text], strict=True) for span in spans(body, window, overlap, snap)]
             yield pd.DataFrame(out, columns=[key, "chunk_idx", "start", "stop"])
 
     kind = dict(df.dtypes)[key]

@@ -195,23 +195,26 @@ def ingest(store: Corpus, entries: DataFrame, classifier: Classifier, embedder:
     store.commits.publish(seq, "ingest-intent", store.stage("journal", fresh.withColumn("merge_state", F.lit("pending")), 2 * seq))
     staged = store.stage("quarantine", gated.where("outcome = 'quarantined'").withColumn("deleted", F.lit(False)), seq)
     staged |= store.stage("raw", fresh, seq)
-    # all sections of the entities that this batch touches, old and new
-    ids = store.table("journal").where("merge_state in ('pending', 'complete')").select("canonical_id", *key)
-    touched = ids.join(fresh.select("canonical_id").distinct(), "canonical_id", "left_semi")
-    merged = corpus.merged_sections(touched.join(store.table("raw", staged=staged), key).select("canonical_id", *key, "text"), "canonical_id", ranks or {})
-    staged |= store.stage("canonical", merged, seq)
-    texts = spark.read.parquet(*(f"{store.root}/{f}" for f in staged["canonical"]))
-    pieces = chunked(texts)
-    pieces = embedder.embed(pieces, "text", "embedding").withColumn("point_id", point_id(F.col("canonical_id"), F.col("chunk_idx"))).withColumn("deleted", F.lit(False))
-    old = store.table("chunks", before=seq).join(fresh.select("canonical_id").distinct(), "canonical_id", "left_semi").select("canonical_id", "chunk_idx")
-    stale = old.join(pieces.select("canonical_id", "chunk_idx"), ["canonical_id", "chunk_idx"], "left_anti").withColumn("deleted", F.lit(True))
-    staged |= store.stage("chunks", pieces.unionByName(stale, allowMissingColumns=True), seq)
+    staged, texts = rebuilt(store, fresh.select("canonical_id").distinct(), seq, staged, embedder, ranks)
     hashed = fresh.join(texts.select("canonical_id", "content_hash"), "canonical_id", "left")
     staged |= store.stage("journal", hashed.withColumn("merge_state", F.lit("complete")).withColumn("merged_at", F.lit(merged_at)), 2 * seq + 1)
     store.commits.publish(seq, "ingest", staged)
     return spark.read.parquet(path)
 
 
+def rebuilt(store: Corpus, ids: DataFrame, seq: int, staged: dict[str, list[str]], embedder: Embedder, ranks: dict[str, int] | None = None) -> tuple[dict[str, list[str]], DataFrame]:
+    """(staged folders, texts): the canonical texts of ``ids`` merged anew from all their raw sections, old and staged, and their chunks; chunks that are no more are marked as deleted."""
+    key = ["source", "source_id"]
+    sections = store.table("journal").where("merge_state in ('pending', 'complete')").select("canonical_id", *key).join(ids, "canonical_id", "left_semi")
+    merged = corpus.merged_sections(sections.join(store.table("raw", staged=staged), key).select("canonical_id", *key, "text"), "canonical_id", ranks or {})
+    staged = staged | store.stage("canonical", merged, seq)
+    texts = store.spark.read.parquet(*(f"{store.root}/{f}" for f in staged["canonical"]))
+    pieces = embedder.embed(chunked(texts), "text", "embedding").withColumn("point_id", point_id(F.col("canonical_id"), F.col("chunk_idx"))).withColumn("deleted", F.lit(False))
+    old = store.table("chunks", before=seq).join(ids, "canonical_id", "left_semi").select("canonical_id", "chunk_idx")
+    stale = old.join(pieces.select("canonical_id", "chunk_idx"), ["canonical_id", "chunk_idx"], "left_anti").withColumn("deleted", F.lit(True))
+    return staged | store.stage("chunks", pieces.unionByName(stale, allowMissingColumns=True), seq), texts
+
+
 def chunked(texts: DataFrame, window: int = 768, overlap: int = 128) -> DataFrame:
     """(canonical_id, chunk_idx, text) of (canonical_id, merged)."""
     from siltstone.operators.chunks import heading_windows

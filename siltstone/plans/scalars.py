@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import dates, hashing, html, jsonx, text, urls, vectors
-from siltstone.operators import budget
+from siltstone.operators import budget, tools
 from siltstone.operators import corpus as ops
 from siltstone.operators.chunks import heading_windows, windows
 from siltstone.plans.bindings import AS_OF, DATED_SQL, dated, table
@@ -291,11 +291,36 @@ def chunk_windows(spark, d):
     return windows(table(spark, d, "documents"), "doc_id")
 
 
-@query("""WITH RECURSIVE tok AS (SELECT doc_id, string_split(regexp_replace(text, '\\n', chr(10) || '# ', 'g'), ' ') AS t FROM documents WHERE text <> ''),
+_HEADINGS = """WITH RECURSIVE tok AS (SELECT doc_id, string_split(regexp_replace(text, '\\n', chr(10) || '# ', 'g'), ' ') AS t FROM documents WHERE text <> ''),
 n AS (SELECT doc_id, len(t)::BIGINT AS n, [i // 32 * 32 FOR i IN range(0, len(t)) IF contains(t[i + 1], chr(10) || '#')] AS heads FROM tok),
 w AS (SELECT doc_id, n, heads, 0::BIGINT AS chunk_idx, 0::BIGINT AS start FROM n
   UNION ALL SELECT doc_id, n, heads, chunk_idx + 1, coalesce(list_min([h FOR h IN heads IF h > start + 640 AND h <= start + 736 AND h < n]), start + 640) FROM w WHERE start + 768 < n)
-SELECT doc_id, chunk_idx, start, least(start + 768, n) AS stop FROM w""")
+SELECT doc_id, chunk_idx, start, least(start + 768, n) AS stop FROM w"""
+
+
+@query(_HEADINGS)
 def chunk_headings(spark, d):
     docs = table(spark, d, "documents")
     return heading_windows(docs.withColumn("text", F.regexp_replace("text", "\n", "\n# ")), "doc_id")
+
+
+@query(_HEADINGS)
+def lateral_chunks(spark, d):
+    """The same windows by a table function in SQL."""
+    docs = table(spark, d, "documents")
+    tools.register(spark, docs.select(F.col("doc_id").cast("string").alias("canonical_id"), F.col("text").alias("body")))
+    docs.withColumn("text", F.regexp_replace("text", "\n", "\n# ")).createOrReplaceTempView("lateral_documents")
+    return spark.sql("SELECT doc_id, c.chunk_idx, c.start, c.stop FROM lateral_documents, LATERAL heading_windows(text) c")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'search_corpus' WHEN turn % 7 = 3 THEN 'other_tool' ELSE 'get_post_mortem' END AS tool, conv_id * 13 + turn AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN n > 4 THEN 'refused' WHEN tool = 'other_tool' THEN 'unknown' WHEN tool = 'search_corpus' OR doc_id IS NOT NULL THEN 'answered' ELSE 'not_found' END AS outcome,
+  CASE WHEN n > 4 OR tool = 'other_tool' THEN NULL WHEN tool = 'search_corpus' THEN '[]' WHEN length(text) > 8000 THEN sha256(substr(text, 1, 8000) || chr(10) || chr(10) || '[...truncated; full body is ' || length(text) || ' chars...]') ELSE sha256(text) END AS result
+FROM c LEFT JOIN documents ON doc_id = doc AND tool = 'get_post_mortem' AND n <= 4""")
+def tool_quota(spark, d):
+    """Each turn is a call; a conversation's calls share a quota of four."""
+    tool = F.when(F.col("turn") % 3 == 2, "search_corpus").when(F.col("turn") % 7 == 3, "other_tool").otherwise("get_post_mortem")
+    calls = table(spark, d, "conversations").select(F.col("conv_id").alias("synthesis_id"), F.col("turn").alias("seq"), tool.alias("tool"), (F.col("conv_id") * 13 + F.col("turn")).cast("string").alias("argument"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("canonical_id"), F.col("text").alias("body"))
+    out = tools.answered(calls, docs, quota=4)
+    return out.select(F.col("synthesis_id").alias("conv_id"), F.col("seq").alias("turn"), "outcome", F.when(F.col("result") == "[]", "[]").otherwise(F.sha2("result", 256)).alias("result"))
