@@ -85,7 +85,7 @@ class Fake:
 def _fake(spark, least=0):
     def rank(prompt):
         ids = [x.split(":")[0] for x in prompt.split("Candidates:\n")[1].split("\n")]
-        return json.dumps({"ranked": [{"candidate_id": i, **_score(5 if "shop\n" in prompt and int(i) > least else 1)} for i in [*ids, "77"]]})
+        return json.dumps({"ranked": [{"candidate_id": i, **_score(5 if "shop\n" in prompt and int(i) > least else 1)} for i in ids[:2]]})
 
     def synth(prompt):
         i = prompt.split("Company ")[1].split(",")[0]
@@ -119,6 +119,12 @@ def test_pipeline_errors(spark):
     short.by_model["r"] = lambda p: json.dumps({"ranked": []})
     with pytest.raises(Exception, match="ranking of 0 for 2"):
         reports.run_queries(pitches, points, documents, short, CONFIG, "x")["syntheses"].collect()
+    short.by_model["r"] = lambda p: json.dumps({"ranked": [{"candidate_id": i, **_score(5)} for i in ("1", "2", "3")]})
+    with pytest.raises(Exception, match="ranking of 3 for 2"):  # no more than that, either
+        reports.run_queries(pitches, points, documents, short, CONFIG, "x")["syntheses"].collect()
+    foreign = _fake(spark)
+    foreign.by_model["r"] = lambda p: json.dumps({"ranked": [{"candidate_id": i, **_score(5)} for i in ("77", "2")]})
+    assert {r.candidate_id for r in reports.run_queries(pitches, points, documents, foreign, CONFIG, "x")["syntheses"].collect()} <= {"2", 2}
     facets = reports.extract_facets(pitches, ("sector", "geography"), _fake(spark), CONFIG).collect()
     assert {(r.sector, r.geography) for r in facets} == {("food", "other")}
     injected = _fake(spark)
