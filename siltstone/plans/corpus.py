@@ -113,8 +113,11 @@ def incremental_skip(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN o_orderstatus = 'F' THEN 'same' ELSE 'different' END AS decision, o_orderstatus = 'F' AS hit FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def memo_join(spark, d):
-    memo = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("same").alias("decision"))
-    return tables.memoized(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), memo, ["l_orderkey"], "decision", F.lit("different"))
+    """The memo is asked by pair, model and template: what was decided under an older template does not hit."""
+    asked = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("m").alias("model"), F.lit("t1").alias("template_sha"))
+    template = F.when(F.col("o_orderstatus") == "F", "t1").otherwise("t0")
+    memo = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.lit("m").alias("model"), template.alias("template_sha"), F.lit("same").alias("decision"))
+    return tables.memoized(asked, memo, ["l_orderkey", "model", "template_sha"], "decision", F.lit("different")).drop("model", "template_sha")
 
 
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderkey) AS rn FROM orders) WHERE rn = 1""")

@@ -281,6 +281,36 @@ def baseline_diff(spark, d):
     return ranked.baseline_diff(was, now, ["l_orderkey", "l_linenumber"], "ok")
 
 
+_SCORED = "SELECT CAST(l_orderkey AS VARCHAR) AS row_id, CAST(l_linenumber AS VARCHAR) AS candidate_id, '{name}' AS assertion, {ok} AS ok FROM lineitem WHERE {where}"
+
+
+def _scored(name: str, ok: str, where: str) -> str:
+    return _SCORED.format(name=name, ok=ok, where=where)
+
+
+_WAS = " UNION ALL ".join([_scored("big", "l_quantity > 10", "l_orderkey % 5 <> 0"), _scored("taxed", "l_tax > 0.04", "l_orderkey % 5 <> 0")])
+_NOW = " UNION ALL ".join([_scored("big", "l_quantity > 12", "l_orderkey % 7 <> 0"), _scored("taxed", "l_tax > 0.05", "l_orderkey % 7 <> 0"), _scored("extra", "true", "l_orderkey % 7 <> 0 AND l_linenumber = 2")])
+
+
+@query(f"""WITH was AS ({_WAS}), now AS ({_NOW}), w AS (SELECT row_id, candidate_id, bool_or(ok) AS any_true FROM was GROUP BY 1, 2), n AS (SELECT DISTINCT row_id, candidate_id FROM now),
+one AS (SELECT row_id, candidate_id, assertion, was.ok AS b, now.ok AS c FROM was FULL JOIN now USING (row_id, candidate_id, assertion))
+SELECT row_id, candidate_id, NULL::VARCHAR AS assertion, 'regression' AS change FROM w ANTI JOIN n USING (row_id, candidate_id) WHERE any_true
+UNION ALL SELECT row_id, candidate_id, NULL, 'warning' FROM n ANTI JOIN w USING (row_id, candidate_id)
+UNION ALL SELECT * FROM (SELECT row_id, candidate_id, assertion, CASE WHEN b AND NOT coalesce(c, false) THEN 'regression' WHEN b IS NULL THEN 'warning' WHEN NOT b AND c THEN 'improvement' END AS change
+  FROM one SEMI JOIN w USING (row_id, candidate_id) SEMI JOIN n USING (row_id, candidate_id)) WHERE change IS NOT NULL""")
+def baseline_levels(spark, d):
+    """Assertions of candidates against a baseline, and candidates that are gone or new."""
+    li = table(spark, d, "lineitem")
+
+    def scored(rows, name, ok):
+        return rows.select(F.col("l_orderkey").cast("string").alias("row_id"), F.col("l_linenumber").cast("string").alias("candidate_id"), F.lit(name).alias("assertion"), F.expr(ok).alias("ok"))
+
+    before, after = li.where("l_orderkey % 5 <> 0"), li.where("l_orderkey % 7 <> 0")
+    was = scored(before, "big", "l_quantity > 10").unionByName(scored(before, "taxed", "l_tax > 0.04"))
+    now = scored(after, "big", "l_quantity > 12").unionByName(scored(after, "taxed", "l_tax > 0.05")).unionByName(scored(after.where("l_linenumber = 2"), "extra", "true"))
+    return evaluate.diff(was, now)
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts)::VARCHAR AS bucket, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def events_tumbling(spark, d):
     """Hourly counts, as the streaming form's final state (beyond the reference)."""
