@@ -48,10 +48,15 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 _BUILT: dict[tuple[str, str], tuple[vectorindex.VectorIndex, postings.PostingIndex]] = {}
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def indexes(spark: SparkSession, d: str) -> tuple[vectorindex.VectorIndex, postings.PostingIndex]:
-    """The indexes of ``points``, as an ingest leaves them: built by the first query of an application that asks, then read."""
+    """The indexes of ``points``, as an ingest leaves them: built by the first query of an application that asks, then read as long as they are there."""
     key = spark.sparkContext.applicationId, d
-    if key not in _BUILT:
+    if key not in _BUILT or not all(_there(spark, index.path) for index in _BUILT[key]):
         _BUILT[key] = vectorindex.temporary(points(spark, d)), postings.temporary(points(spark, d))
     return _BUILT[key]
 
