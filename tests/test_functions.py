@@ -47,6 +47,14 @@ def test_sanitize(spark):
     assert [r[0] for r in df.select(html.body_of(F.col("m"), F.col("p"))).collect()] == ["", "m", ("w " * 300).strip(), ""]
 
 
+def test_unfinished_references(spark):
+    """A cut title ends in a reference without its end: it is not completed.  A null page stays null."""
+    page = "<title>a&amp;b&amp</title><p hidden>&amp</p><p style='display&#58;none'>no</p><p>&am &ampx; &lt &#39 &quot;\ue000&nosuch;"
+    assert html.sanitize_page(page) == "<title>a&amp;b&amp</title><p>&am &ampx; &lt &#39 &quot;\ue000&nosuch;"
+    df = spark.createDataFrame([(page,), (None,)], "p string")
+    assert [r[0] for r in df.select(html.sanitize(F.col("p"))).collect()] == [html.sanitize_page(page), None]
+
+
 def test_secrets(spark):
     keys = ["sk-ant-api03-" + "a" * 20, "sk-proj-" + "B" * 24, "sk-or-v1-" + "0" * 20, "tvly-" + "x" * 20, "lmnr_" + "y" * 20, ".".join(["eyJ" + "a" * 12, "eyJ" + "b" * 12, "c" * 12]), "AKIA" + "Q" * 16, "ASIA" + "7" * 16, "ya29.abc-DEF_9", "ghp_" + "g" * 36]
     plain = ["sk-short", "skating", "AKIAlower" + "q" * 12, "ghp_short", "a@b.example"]
