@@ -48,11 +48,12 @@ def test_sanitize(spark):
 
 
 def test_unfinished_references(spark):
-    """A cut title ends in a reference without its end: it is not completed.  A null page stays null."""
+    """A cut title ends in a reference without its end: neither completed nor decoded.  A null page stays null."""
     page = "<title>a&amp;b&amp</title><p hidden>&amp</p><p style='display&#58;none'>no</p><p>&am &ampx; &lt &#39 &quot;\ue000&nosuch;"
     assert html.sanitize_page(page) == "<title>a&amp;b&amp</title><p>&am &ampx; &lt &#39 &quot;\ue000&nosuch;"
+    assert html.page_text(page) == 'a&b&amp &am &ampx; &lt &#39 "\ue000&nosuch;'
     df = spark.createDataFrame([(page,), (None,)], "p string")
-    assert [r[0] for r in df.select(html.sanitize(F.col("p"))).collect()] == [html.sanitize_page(page), None]
+    assert [tuple(r) for r in df.select(html.sanitize(F.col("p")), html.extract(F.col("p"), 0)).collect()] == [(html.sanitize_page(page), html.page_text(page)), (None, None)]
 
 
 def test_secrets(spark):
