@@ -142,26 +142,35 @@ def semi_exists(spark, d):
     return corpus.having(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
-@query(_hybrid_sql(True) + f""", sc AS (SELECT query_id, canonical_id AS id, rank, ((canonical_id % 11) + (canonical_id % 7) + (canonical_id % 5) + 4) / 4.0 AS mean FROM ranked WHERE rank <= 5),
+@query(_hybrid_sql(True) + f""", sc AS (SELECT query_id, canonical_id AS id, rank, ((canonical_id % 11) + (canonical_id % 7) + (canonical_id % 5) + 4) / 4.0 AS mean FROM ranked WHERE rank <= {K}),
 ch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM sc WHERE mean >= 4.0),
 n AS (SELECT query_id, count(*) AS chosen, count(*) FILTER (mean - id % 2 >= 4.0) AS kept, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (mean - id % 2 >= 4.0) AS candidates FROM ch WHERE rn <= 5 GROUP BY 1)
 SELECT q.query_id, coalesce(candidates, '') AS candidates, 5 - coalesce(chosen, 0)::BIGINT AS filtered_pre, coalesce(chosen - kept, 0)::BIGINT AS filtered_post, coalesce(kept, 0)::BIGINT AS n_raised,
   (coalesce(kept, 0) + CASE WHEN kept > 0 THEN 1 ELSE 0 END)::BIGINT AS sections, coalesce(kept, 0) = 0 AS banner FROM pitches q LEFT JOIN n USING (query_id)""")
 def query_pipeline(spark, d):
-    """Pitches to reports; the answers of the models are column expressions over the prompts, as a stand-in for recorded ones."""
+    """Pitches to reports; the answers of the models are column expressions over the prompts, as a stand-in for recorded ones.
+
+    The ranking is of all K candidates: those at the threshold first, in the prompt's order, so none of them is lost to its length of five.
+    """
     p = points(spark, d)
     asked = pitches(spark, d, cutoff=True).withColumn("name", F.concat(F.lit("p"), "query_id")).withColumn("description", F.lit("a pitch"))
     entity = F.concat(F.lit("c"), "canonical_id")
     documents = p.select("canonical_id").distinct().select("canonical_id", entity.alias("name"), F.lit("s").alias("summary"), F.lit("b").alias("body"), F.lit("2010-01-01").cast("date").alias("founding_date"), F.lit(None).cast("date").alias("failure_date"), F.array(F.lit("https://a.example")).alias("sources"))
 
-    def scores(i, less=0):
+    def values(i, less=0):
         n = i.cast("long")
-        value = {"business_model": n % 11 - less * 4 * (n % 2), "market": n % 7, "gtm": n % 5, "stage_scale": F.lit(4)}
-        return [F.struct(v.cast("double").alias("score"), F.lit("r").alias("rationale")).alias(k) for k, v in value.items()]
+        return {"business_model": n % 11 - less * 4 * (n % 2), "market": n % 7, "gtm": n % 5, "stage_scale": F.lit(4)}
+
+    def scores(i, less=0):
+        return [F.struct(v.cast("double").alias("score"), F.lit("r").alias("rationale")).alias(k) for k, v in values(i, less).items()]
+
+    def alike(i):
+        return sum(values(i).values()) >= 4 * len(reports.PERSPECTIVES)
 
     ids = F.regexp_extract_all("prompt", F.lit(r"(?m)^(\d+): "), F.lit(1))
     one = F.regexp_extract("prompt", r"Company (\d+),", 1)
-    ranking = F.to_json(F.struct(F.transform(F.slice(ids, 1, 5), lambda i: F.struct(i.alias("candidate_id"), *scores(i))).alias("ranked")))
+    order = F.concat(F.filter(ids, alike), F.filter(ids, lambda i: ~alike(i)))
+    ranking = F.to_json(F.struct(F.transform(F.slice(order, 1, 5), lambda i: F.struct(i.alias("candidate_id"), *scores(i))).alias("ranked")))
     texts = [F.lit(x).alias(k) for k, x in (("one_liner", "o"), ("why_similar", "w"), ("where_diverged", "d"))]
     lists = [F.array(F.lit(x)).alias(k) for k, x in (("failure_causes", "f"), ("lessons", "l"))]
     synthesis = F.to_json(F.struct(F.concat(F.lit("c"), one).alias("name"), F.struct(*scores(one, 1)).alias("similarity"), *texts, *lists))
