@@ -31,6 +31,8 @@ from siltstone.operators.hits import DATES, admitted, best_of, dates_of, query_g
 #: Shards of the terms; chunks and words of a block at most (a longer chunk is a block by itself).
 SHARDS, BLOCK, BLOCK_WORDS = 32, 4096, 4_000_000
 K1, B = 1.2, 0.75
+#: Queries whose terms are cut at once.
+QUERIES = 64
 #: Terms of one matrix product, and how sparse a term's part of it may be.
 TERMS, SPARSE = 512, 100
 #: Decimals of a score, and slack of its rounding.
@@ -173,17 +175,20 @@ class PostingIndex:
         rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("query_id")) - 1)
         kept = "group int, place int, query_id " + dict(queries.dtypes)["query_id"] + ", cutoff date"
 
+        names = ["group", "place", "query_id", "cutoff"]
+
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                row, shard, term, qf, ql = [], [], [], [], []
-                for i, text in enumerate(batch.column(4).to_pylist()):
-                    found = words(text)
-                    for t, count in Counter(found).items():
-                        row.append(i), shard.append(shard_of(t)), term.append(t), qf.append(count), ql.append(len(found))
-                own = batch.take(pa.array(row, pa.int64())).columns[:4]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(shard, pa.int32()), pa.array(term, pa.string()), pa.array(qf, pa.int32()), pa.array(ql, pa.int32())], [*batch.schema.names[:4], "shard", "term", "qf", "ql"])
-
-        terms = rows.select("group", "place", "query_id", "cutoff", "text").mapInArrow(split, f"{kept}, shard int, term string, qf int, ql int")
+            for whole in batches:
+                for batch in (whole.slice(i, QUERIES) for i in range(0, whole.num_rows, QUERIES)):
+                    row, shard, term, qf, ql = [], [], [], [], []
+                    for i, text in enumerate(batch.column(4).to_pylist()):
+                        found = words(text)
+                        for t, count in Counter(found).items():
+                            row.append(i), shard.append(shard_of(t)), term.append(t), qf.append(count), ql.append(len(found))
+                    own = batch.select(names).take(pa.array(row, pa.int64())).columns  # not the text: that would be copied for each of its terms
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(shard, pa.int32()), pa.array(term, pa.string()), pa.array(qf, pa.int32()), pa.array(ql, pa.int32())], [*names, "shard", "term", "qf", "ql"])
+
+        terms = rows.select(*names, "text").mapInArrow(split, f"{kept}, shard int, term string, qf int, ql int")
         df = F.col("df").cast("double")
         idf = F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5) + 1)
         weighed = terms.join(self.terms(), ["shard", "term"]).withColumn("w", idf * weight(F.col("qf"), F.col("ql"), F.lit(mean), k1, b))

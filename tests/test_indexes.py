@@ -163,3 +163,11 @@ def test_best_of_strings():
     ids, q = pa.array(["d", "a", "c", "b"]), pa.array([1, 2])
     got = best_of(q, ids, np.array([[1.0, 2.0, 2.0, 1.0], [0.0, 0.0, 0.0, 0.0]]), np.array([[True] * 4, [True, False, True, True]]), 3)
     assert got.to_pylist()[:3] == [{"query_id": 1, "chunk_id": c, "score": s} for c, s in (("a", 2.0), ("c", 2.0), ("b", 1.0))] and {r["chunk_id"] for r in got.to_pylist()[3:]} == {"b", "c", "d"}
+
+
+def test_long_query(spark):
+    """A text is not copied for each of its terms: 40 GB for this one."""
+    words = [f"word{i:06d}" for i in range(60_000)]
+    points = spark.createDataFrame([(0, " ".join(words)), (1, words[7]), (2, "other")], "chunk_id long, text string")
+    found = postings.temporary(points).search(points.where("chunk_id = 0").select(F.col("chunk_id").alias("query_id"), "text"), 3).collect()
+    assert {r.chunk_id for r in found} == {0, 1}
