@@ -13,11 +13,25 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 BASE = "base.json"
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Writes in this block give up their shuffle files as soon as they end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
 
 
 @dataclass(frozen=True)
@@ -77,9 +91,21 @@ class Commits:
     def stage(self, table: str, rows: DataFrame) -> str:
         """Writes rows where no reader looks, and returns their folder."""
         folder = f"{table}/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{folder}")
+        with freed(self.spark):
+            rows.write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
         return folder
 
+    def put(self, name: str, rows: DataFrame) -> DataFrame:
+        """Writes rows to a folder of a batch's own, over those of an earlier run, and reads them from there."""
+        with freed(self.spark):
+            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def drop(self, name: str) -> None:
+        """Removes what ``put`` wrote."""
+        path = self._path(name)
+        self._system(path).delete(path, True)
+
     def publish(self, seq: int, writer: str, files: dict[str, list[str]]) -> None:
         """Makes staged folders a part of their tables, all at once."""
         base, _ = self.snapshot()

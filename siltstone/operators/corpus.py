@@ -78,10 +78,10 @@ def slop_scores(entries: DataFrame, judged: DataFrame, key: str, vetted: list[st
 
     ``judged``: key, judged (null where the classifier failed).
     """
-    rows = entries.join(judged.select(key, "judged"), key, "left")
+    rows = entries.withColumn("_empty", F.coalesce("text", F.lit("")) == "").join(judged.select(key, "judged"), key, "left")
     score = F.when(F.col("source").isin(*vetted), 0.0).otherwise(F.coalesce("judged", F.lit(0.0))).cast("double")
-    outcome = F.when(F.coalesce("text", F.lit("")) == "", "skipped_empty").when(score > threshold, "quarantined").otherwise("kept")
-    return rows.withColumn("score", score).withColumn("outcome", outcome).drop("judged")
+    outcome = F.when(F.col("_empty"), "skipped_empty").when(score > threshold, "quarantined").otherwise("kept")
+    return rows.withColumn("score", score).withColumn("outcome", outcome).drop("judged", "_empty")
 
 
 def reclassified(quarantined: DataFrame, judged: DataFrame, key: str, threshold: float = SLOP_THRESHOLD) -> DataFrame:

@@ -13,8 +13,9 @@ from siltstone.functions import prompts
 from siltstone.functions.hashing import response_key
 from siltstone.operators import evaluate, models, reports
 from siltstone.operators.budget import Budget, BudgetExceeded, backoff, ledger, reserve_ceiling, retry_class
+from siltstone.operators.chunks import spans
 from siltstone.operators.commits import Commits
-from siltstone.operators.ingest import TABLES, Corpus, MemoryCorpus, ingest, ingest_counts, observed, summarized
+from siltstone.operators.ingest import TABLES, Corpus, MemoryCorpus, chunked, ingest, ingest_counts, observed, summarized
 from siltstone.sources import files
 
 CONFIG = Config(k_retrieve=6, n_synthesize=2, min_similarity=4.0, taxonomy={"sector": ("fin", "food")}, models={"facet": "f", "rerank": "r", "synthesize": "s", "consolidate": "c"})
@@ -331,3 +332,21 @@ def test_config():
         with pytest.raises(ValueError):
             Config(**wrong)
     assert response_key(F.lit(None), F.lit("x")) is not None
+
+
+def test_ingest_leaves_no_copies(spark, tmp_path):
+    """The batch's own copy of the texts goes, shuffle files go with the writes, and chunks are cut without a shuffle; the setting is as before."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    entries = spark.createDataFrame([("s", str(i), f"text {i} " * 400, f"c{i // 2}") for i in range(6)], "source string, source_id string, text string, canonical_id string")
+    judged = entries.select(F.concat_ws("\x1f", "source", "source_id").alias("_key"), (F.col("source_id") == "5").cast("double").alias("judged"))
+    store = Corpus(spark, str(tmp_path / "corpus"))
+    out = ingest(store, entries, models.LabelClassifier(judged, "judged"), models.HashEmbedder(4), lambda rows: rows, 1, "2024")
+    assert sorted((r.source_id, r.outcome) for r in out.collect()) == [(str(i), "quarantined" if i == 5 else "processed") for i in range(6)]
+    store.compact()
+    assert not list((tmp_path / "corpus" / "work").glob("*")) and spark.conf.get(setting) == before
+    texts = store.table("canonical")
+    assert "Exchange" not in chunked(texts)._jdf.queryExecution().executedPlan().toString()
+    got = {(r.canonical_id, r.chunk_idx): r.text for r in store.table("chunks").collect()}
+    whole = {r.canonical_id: r.merged.split(" ") for r in texts.collect()}
+    assert got == {(c, i): " ".join(t[start:stop]) for c, t in whole.items() for i, start, stop in spans(" ".join(t))}
