@@ -5,7 +5,7 @@ packed in parts of bounded size, so each part is a thin ring around its centroid
 By the triangle inequality a chunk is at least as far from a query as its ring is, so once a query knows k chunks, every
 ring that lies further than the k-th of them is skipped.  Nothing is approximate: what is skipped cannot be in the answer.
 
-Queries travel as rows: those that ask for a part meet it in groups of bounded size and are scored by a matrix product.
+Queries travel as rows: those that ask for a part follow it in one order and are scored by matrix products of bounded size.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.vectors import matrix
 from siltstone.operators.graph import shared_dir, written
-from siltstone.operators.hits import DATES, DIGITS, admitted, best_of, dates_of, query_group, topk
+from siltstone.operators.hits import DATES, DIGITS, GROUP, admitted, best_of, dates_of, topk
 
 #: Vectors that the centroids are fitted on, those whose ids have the smallest hashes; centroids at most; chunks of a part at most.
 SAMPLE, LISTS, PART = 4096, 256, 4096
 #: Sampled vectors for each centroid, and rounds of fitting.
 SHARE, ROUNDS = 64, 8
+#: Columns of a part, then of a query that asks for it.
+MET = ("ids", "vectors", "dates", "query_id", "cutoff", "theta", "embedding")
 #: Slack of an angle's and of a score's rounding.
 _ANGLE, _SCORE = 1e-7, 1e-8
 
@@ -186,24 +188,33 @@ class VectorIndex:
         rings = self.parts().select("list", "part", "low", "high")
         return pairs.join(rings, "list").where(_gap(F.col("angle"), F.col("low"), F.col("high")) >= F.col("theta") - F.lit(_SCORE)).drop("low", "high")
 
+    def met(self, pairs: DataFrame) -> DataFrame:
+        """Each part, and after it the queries that want it, a row each: a part comes once, however many ask for it."""
+        asked = self.wanted(pairs).select("list", "part", *MET[3:])
+        rows = asked.unionByName(self.parts().select("list", "part", *MET[:3]), allowMissingColumns=True)
+        return rows.repartition("list", "part").sortWithinPartitions("list", "part", F.col("vectors").isNull()).select(*MET)
+
     def _scored(self, pairs: DataFrame, k: int) -> DataFrame:
         """The k best chunks of each part for each query that asks for it, none below the query's ``theta``."""
         kinds = dict(pairs.dtypes) | {"chunk_id": self.parts().schema["ids"].dataType.elementType.simpleString()}
-        asked = self.wanted(pairs).groupBy("list", "part", "group").agg(F.collect_list(F.struct("query_id", "cutoff", "theta", "embedding")).alias("asked"))
-        met = asked.join(self.parts().select("list", "part", "ids", "vectors", "dates"), ["list", "part"]).select("asked", "ids", "vectors", "dates")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids = m = dates = None
             for batch in batches:
-                for i in range(batch.num_rows):
-                    queries = batch.column(0)[i].values
-                    ids = batch.column(1)[i].values
-                    at, q = matrix(queries.field("embedding"), len(queries[0]["embedding"]))
-                    m = np.frombuffer(batch.column(2)[i].as_py()).reshape(len(ids), -1)
-                    scores = np.round(q @ m.T, DIGITS)
-                    allowed = admitted(queries.field("cutoff"), batch.column(3)[i].as_py()) & (scores >= np.asarray(queries.field("theta"))[:, None])
-                    yield best_of(queries.field("query_id"), ids, scores, allowed, k)
-
-        return met.mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+                of = dict(zip(MET, batch.columns, strict=True))
+                parts = np.flatnonzero(np.asarray(of["vectors"].is_valid())).tolist()
+                for start, stop in zip([-1, *parts], [*parts, batch.num_rows], strict=True):
+                    if start >= 0:
+                        ids, dates = pa.array(of["ids"][start].as_py(), of["ids"].type.value_type), of["dates"][start].as_py()
+                        m = np.frombuffer(of["vectors"][start].as_py()).reshape(len(ids), -1)
+                    for i in range(start + 1, stop, GROUP):
+                        queries = {c: of[c].slice(i, min(GROUP, stop - i)) for c in MET[3:]}
+                        _, q = matrix(queries["embedding"], m.shape[1])
+                        scores = np.round(q @ m.T, DIGITS)
+                        allowed = admitted(queries["cutoff"], dates) & (scores >= np.asarray(queries["theta"])[:, None])
+                        yield best_of(queries["query_id"], ids, scores, allowed, k)
+
+        return self.met(pairs).mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, chunk_id, score, rank): the k chunks of the index with the highest cosine for each query (query_id, embedding,
@@ -214,7 +225,7 @@ class VectorIndex:
         width = self.lists[0].shape[1]
         cutoff = F.col("cutoff") if "cutoff" in queries.columns else F.lit(None).cast("date")
         rows = queries.where(F.coalesce(F.size("embedding") == width, F.lit(False))).select("query_id", cutoff.alias("cutoff"), F.col("embedding"))
-        asked = query_group(written(rows, "asked"))
+        asked = written(rows, "asked")
         first = written(topk(self._scored(self._pairs(asked.withColumn("theta", F.lit(-2.0)), k, True), k), "query_id", [F.desc("score"), F.asc("chunk_id")], k), "nearest")
         theta = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
         more = asked.join(theta, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(-2.0)))

@@ -171,3 +171,21 @@ def test_long_query(spark):
     points = spark.createDataFrame([(0, " ".join(words)), (1, words[7]), (2, "other")], "chunk_id long, text string")
     found = postings.temporary(points).search(points.where("chunk_id = 0").select(F.col("chunk_id").alias("query_id"), "text"), 3).collect()
     assert {r.chunk_id for r in found} == {0, 1}
+
+
+def test_a_part_comes_once(spark, vectors, monkeypatch):
+    """However many queries ask for a part, its vectors are in one row, before theirs."""
+    monkeypatch.setattr(vectorindex, "PART", 50)
+    monkeypatch.setattr(vectorindex, "GROUP", 16)
+    points = spark.createDataFrame([r[:2] for r in vectors], "chunk_id long, embedding array<double>").repartition(3)
+    index = vectorindex.temporary(points)
+    queries = points.where("size(embedding) = 16").select(F.col("chunk_id").alias("query_id"), F.lit(None).cast("date").alias("cutoff"), "embedding", F.lit(-2.0).alias("theta"))
+    parts = index.parts().count()
+    rows = [[r.vectors is not None for r in p] for p in index.met(index._pairs(queries, 10**6, True)).rdd.glom().collect()]
+    assert sum(map(sum, rows)) == parts and all(p[0] for p in rows if p) and sum(len(p) - sum(p) for p in rows) > 800 * parts
+    got = {(r.query_id, r.chunk_id, r.rank) for r in index.search(queries.drop("theta"), 3).collect()}
+    unit = {c: np.array(v) / np.linalg.norm(v) for c, v in (r[:2] for r in vectors) if v and None not in v and len(v) == 16 and any(v)}
+    ids = sorted(unit)
+    scores = np.round(np.array([unit[i] for i in ids]) @ np.array([unit[i] for i in ids]).T, 9)
+    want = {(ids[q], ids[c], r) for q in range(len(ids)) for r, c in enumerate(np.lexsort((np.arange(len(ids)), -scores[q]))[:3], 1)}
+    assert len(got) == len(want) and len(got & want) > 0.99 * len(want)
