@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 DIGITS = 9
 DATES = ("failure_date", "founding_date", "failure_unknown", "founding_unknown")
-#: Queries of a group, on average: what a task scores at once.
+#: Queries that a task scores at once.
 GROUP = 512
 _NEVER = -(2**31)
 
@@ -22,9 +22,9 @@ def topk(df: DataFrame, by: str | list[str], order: list, k: int, rank: str = "r
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
-def query_group(queries: DataFrame) -> DataFrame:
-    """Adds ``group``, by a hash of query_id: groups have some GROUP queries each, however many there are."""
-    return queries.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // GROUP)))).cast("int"))
+def query_group(queries: DataFrame, size: int) -> DataFrame:
+    """Adds ``group``, by a hash of query_id: groups have some ``size`` queries each, however many there are."""
+    return queries.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // size)))).cast("int"))
 
 
 def dates_of(rows: pa.RecordBatch, dated: list[str]) -> np.ndarray:

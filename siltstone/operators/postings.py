@@ -21,20 +21,23 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.operators.graph import shared_dir, written
-from siltstone.operators.hits import DATES, admitted, best_of, dates_of, query_group, topk
+from siltstone.operators.hits import DATES, GROUP, admitted, best_of, dates_of, query_group, topk
 
 #: Shards of the terms; chunks and words of a block at most (a longer chunk is a block by itself).
 SHARDS, BLOCK, BLOCK_WORDS = 32, 4096, 4_000_000
 K1, B = 1.2, 0.75
-#: Queries whose terms are cut at once.
+#: Queries whose terms are cut at once, and rows of scores that a product is added to at once.
 QUERIES = 64
-#: Terms of one matrix product, and how sparse a term's part of it may be.
-TERMS, SPARSE = 512, 100
+#: Queries of a group that a block's postings are copied for, on average; they are scored GROUP at once.
+ASKED = 2048
+#: Terms of one matrix product, how sparse a term's part of it may be, and pairs of a query's and a chunk's term that are added at once.
+TERMS, SPARSE, PAIRS = 256, 100, 1 << 18
 #: Decimals of a score, and slack of its rounding.
 DIGITS, _SCORE = 6, 1e-5
 _TERM = re.compile(r"[a-z0-9]+")
@@ -54,6 +57,40 @@ def weight(tf, dl, mean, k1: float, b: float):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
 
 
+def products(row: np.ndarray, term: np.ndarray, w: np.ndarray, begin: np.ndarray, count: np.ndarray, chunk: np.ndarray, impact: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """(queries x chunks) rounded scores: sums over terms, in their order, of a query's ``w`` (of ``row``, ``term``) times a chunk's ``impact``;
+    term i has the ``count[i]`` chunks from ``begin[i]`` on."""
+    scores = np.zeros(shape)
+    asked = np.bincount(term, minlength=len(count))
+    # terms that many queries and many chunks have: as matrix products, TERMS at once; the others pair by pair, PAIRS at once
+    common = asked * count * SPARSE >= scores.size
+    dense = np.flatnonzero(common & (asked > 0))
+    at_of = np.full(len(count), -1, np.int32)
+    for start in range(0, len(dense), TERMS):
+        mine = dense[start : start + TERMS]
+        at_of[mine] = np.arange(len(mine))
+        q, c = (np.zeros((len(mine), n)) for n in shape)
+        q_in = at_of[term] >= 0
+        q[at_of[term[q_in]], row[q_in]] = w[q_in]
+        for i, t in enumerate(mine.tolist()):
+            its = slice(begin[t], begin[t] + count[t])
+            c[i, chunk[its]] = impact[its]
+        for i in range(0, shape[0], QUERIES):
+            scores[i : i + QUERIES] += q[:, i : i + QUERIES].T @ c
+        at_of[mine] = -1
+    alone = np.flatnonzero(~common[term])
+    sizes = count[term[alone]].astype(np.int64)
+    to = np.cumsum(sizes)
+    start = 0
+    while start < len(alone):
+        stop = max(start + 1, int(np.searchsorted(to, to[start] - sizes[start] + PAIRS, side="right")))
+        one, n = alone[start:stop], sizes[start:stop]
+        at = np.arange(n.sum()) + np.repeat(begin[term[one]] - (np.cumsum(n) - n), n)
+        np.add.at(scores.reshape(-1), np.repeat(row[one].astype(np.int64) * shape[1], n) + chunk[at], np.repeat(w[one], n) * impact[at])
+        start = stop
+    return np.round(scores, DIGITS, out=scores)
+
+
 def _schema(kind: str) -> str:
     return f"kind string, shard int, term string, block string, n long, n_words long, most int, least int, at array<int>, tf array<int>, dl array<int>, ids array<{kind}>, dates binary"
 
@@ -171,7 +208,7 @@ class PostingIndex:
     def _asked(self, queries: DataFrame, mean: float, n: int, k1: float, b: float) -> DataFrame:
         """(group, place, query_id, cutoff, shard, term, w): queries numbered within their groups, with the weights of their terms."""
         cutoff = F.col("cutoff") if "cutoff" in queries.columns else F.lit(None).cast("date")
-        rows = query_group(written(queries.select("query_id", cutoff.alias("cutoff"), "text"), "queries"))
+        rows = query_group(written(queries.select("query_id", cutoff.alias("cutoff"), "text"), "queries"), ASKED)
         rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("query_id")) - 1)
         kept = "group int, place int, query_id " + dict(queries.dtypes)["query_id"] + ", cutoff date"
 
@@ -201,52 +238,51 @@ class PostingIndex:
         return each.agg(F.sum(F.col("w") * weight(F.col("most"), F.col("least"), F.lit(mean), k1, b)).alias("bound"))
 
     def _scored(self, pairs: DataFrame, weighed: DataFrame, k: int, mean: float, k1: float, b: float) -> DataFrame:
-        """The k best chunks of each pair (group, place, query_id, cutoff, block, theta) of query and block, none below ``theta``."""
+        """The k best chunks of each pair (group, place, query_id, cutoff, block, theta) of query and block, none below ``theta``.
+
+        If ``weighed`` has a block for each query, its terms meet that block only.
+        """
         asked = pairs.groupBy("group", "block").agg(F.collect_list(F.struct("place", "query_id", "cutoff", "theta")).alias("asked"))
         heads = asked.join(self.blocks().select("block", "ids", "dl", "dates"), "block")
-        packed = weighed.groupBy("group", "shard", "term").agg(F.collect_list(F.struct("place", "w")).alias("terms"))
-        rows = packed.join(self.postings().drop("n", "most", "least"), ["shard", "term"])
-        rows = rows.join(asked.select("group", "block"), ["group", "block"], "left_semi")
+        keys = ["shard", "term", *(c for c in weighed.columns if c == "block")]
+        packed = weighed.groupBy("group", *keys).agg(F.collect_list(F.struct("place", "w")).alias("terms"))
+        # an array of numbers takes a third of an array of structs, and is copied for each block
+        packed = packed.select(*(F.col(c).alias(c) for c in ("group", *keys)), F.col("terms.place").alias("place"), F.col("terms.w").alias("w"))
+        rows = packed.join(self.postings().drop("n", "most", "least"), keys)
+        if "block" not in keys:
+            rows = rows.join(asked.select("group", "block"), ["group", "block"], "left_semi")
         kinds = {"query_id": dict(weighed.dtypes)["query_id"], "chunk_id": self.id_type}
 
         def score(head: pa.Table, found: pa.Table) -> pa.Table:
-            """One block for one group of queries: at most BLOCK chunks, BLOCK_WORDS words and a group's terms."""
-            head, found = (t.combine_chunks().to_batches()[0] if t.num_rows else None for t in (head, found.sort_by("term")))
-            if head is None or found is None:
+            """One block for one group of queries, GROUP of them at once: at most BLOCK chunks, BLOCK_WORDS words and a group's terms."""
+            if not head.num_rows or not found.num_rows:
                 return empty
+            head, found = (t.combine_chunks().to_batches()[0] for t in (head, found))
             of = lambda batch, name: batch.column(batch.schema.get_field_index(name))
             asked, ids = (of(head, c)[0].values for c in ("asked", "ids"))
-            scores = np.zeros((len(asked), len(ids)))
             places = np.asarray(asked.field("place"))
-            row_of = np.full(int(places.max()) + 1, -1)
+            row_of = np.full(int(places.max()) + 1, -1, np.int32)
             row_of[places] = np.arange(len(places))
-            terms, at = of(found, "terms"), of(found, "at")
-            place, w = (np.asarray(terms.values.field(f)) for f in ("place", "w"))
-            tf, chunk, dl = np.asarray(of(found, "tf").values), np.asarray(at.values), np.asarray(of(head, "dl")[0].values)
-            impact = weight(tf, dl[chunk], mean, k1, b)
-            term_of = [np.repeat(np.arange(found.num_rows), np.diff(np.asarray(x.offsets))) for x in (terms, at)]
+            chunk, dl = np.asarray(of(found, "at").values), np.asarray(of(head, "dl")[0].values)
+            impact = weight(np.asarray(of(found, "tf").values), dl[chunk], mean, k1, b)
+            # terms are numbered in their order, so that sums do not depend on that of the rows, which are not copied for it
+            order = np.asarray(pc.sort_indices(of(found, "term")))
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(len(order))
+            ends = np.asarray(of(found, "at").offsets)
+            begin, count = ends[:-1][order], np.diff(ends)[order]
+            place, w = (np.asarray(of(found, c).values) for c in ("place", "w"))
             row = np.where(place < len(row_of), row_of[np.minimum(place, len(row_of) - 1)], -1)
-            # terms that many queries and many chunks have: as matrix products, TERMS at once; the others one by one
-            count = [np.bincount(x, minlength=found.num_rows) for x in term_of]
-            dense = np.flatnonzero(count[0] * count[1] * SPARSE >= scores.size)
-            for start in range(0, len(dense), TERMS):
-                mine = dense[start : start + TERMS]
-                at_of = np.full(found.num_rows, -1)
-                at_of[mine] = np.arange(len(mine))
-                q, c = (np.zeros((len(mine), n)) for n in scores.shape)
-                q_in, c_in = (at_of[term_of[0]] >= 0) & (row >= 0), at_of[term_of[1]] >= 0
-                q[at_of[term_of[0][q_in]], row[q_in]] = w[q_in]
-                c[at_of[term_of[1][c_in]], chunk[c_in]] = impact[c_in]
-                scores += q.T @ c
-            ends = [np.cumsum(x) - x for x in count]
-            for i in np.flatnonzero(count[0] * count[1] * SPARSE < scores.size).tolist():
-                c = slice(ends[1][i], ends[1][i] + count[1][i])
-                for j in range(ends[0][i], ends[0][i] + count[0][i]):
-                    if row[j] >= 0:
-                        scores[row[j], chunk[c]] += w[j] * impact[c]
-            scores = np.round(scores, DIGITS)
-            good = (scores > 0) & (scores >= np.asarray(asked.field("theta"))[:, None]) & admitted(asked.field("cutoff"), of(head, "dates")[0].as_py())
-            return pa.Table.from_batches([best_of(asked.field("query_id"), ids, scores, good, k)])
+            term = np.repeat(number, np.diff(np.asarray(of(found, "place").offsets)))
+            out = []
+            for start in range(0, len(asked), GROUP):
+                mine = np.flatnonzero((row >= start) & (row < start + GROUP))
+                mine = mine[np.argsort(term[mine], kind="stable")]
+                fields = {c: asked.field(c).slice(start, GROUP) for c in ("query_id", "cutoff", "theta")}
+                scores = products(row[mine] - start, term[mine], w[mine], begin, count, chunk, impact, (len(fields["theta"]), len(ids)))
+                good = (scores > 0) & (scores >= np.asarray(fields["theta"])[:, None]) & admitted(fields["cutoff"], of(head, "dates")[0].as_py())
+                out.append(best_of(fields["query_id"], ids, scores, good, k))
+            return pa.Table.from_batches(out)
 
         arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
         empty = pa.table([pa.array([], arrow[kinds["query_id"]]), pa.array([], arrow[kinds["chunk_id"]]), pa.array([], pa.float64())], ["query_id", "chunk_id", "score"])
@@ -263,13 +299,22 @@ class PostingIndex:
         weighed = self._asked(queries, mean, n, k1, b)
         bounds = written(self.bounds(weighed, mean, k1, b), "bounds")
         order = [F.desc("score"), F.asc("chunk_id")]
-        best = topk(bounds, "query_id", [F.desc("bound"), F.asc("block")], 1).withColumn("theta", F.lit(-1.0))
-        first = written(topk(self._scored(best, weighed, k, mean, k1, b), "query_id", order, k), "first-block")
+        best = written(self.homes(bounds), "homes")
+        at_home = weighed.drop("group", "place").join(best.select("query_id", "group", "place", "block"), "query_id")
+        first = written(topk(self._scored(best.withColumn("theta", F.lit(-1.0)), at_home, k, mean, k1, b), "query_id", order, k), "first-block")
         theta = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
         place = Window.partitionBy("query_id").orderBy(F.desc("bound"), F.asc("block"))
         rest = self.remaining(bounds.withColumn("_n", F.row_number().over(place)).where("_n > 1").drop("_n"), theta)
         return topk(first.drop("rank").unionByName(self._scored(rest, weighed, k, mean, k1, b)), "query_id", order, k)
 
+    @staticmethod
+    def homes(bounds: DataFrame) -> DataFrame:
+        """(group, place, query_id, cutoff, block): the block that promises most to each query.  Queries of one block are in groups of their
+        own, so a block's postings are copied for each GROUP of those queries, not for every group that has one of them."""
+        best = topk(bounds, "query_id", [F.desc("bound"), F.asc("block")], 1).drop("rank", "bound", "group", "place")
+        share = F.pmod(F.xxhash64("query_id"), F.ceil(F.count("*").over(Window.partitionBy("block")) / GROUP)).cast("int")
+        return best.withColumn("group", share).withColumn("place", F.row_number().over(Window.partitionBy("block", "group").orderBy("query_id")) - 1)
+
     @staticmethod
     def remaining(bounds: DataFrame, theta: DataFrame) -> DataFrame:
         """Pairs of query and block whose bound reaches the query's ``theta``."""

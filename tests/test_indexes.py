@@ -173,6 +173,51 @@ def test_long_query(spark):
     assert {r.chunk_id for r in found} == {0, 1}
 
 
+def test_posting_groups_and_strips(spark, texts, monkeypatch):
+    """Groups that are scored in several strips, several products and several runs of pairs: the same rows."""
+    for name, value in (("BLOCK", 60), ("ASKED", 25), ("GROUP", 4), ("QUERIES", 3), ("TERMS", 5), ("PAIRS", 40)):
+        monkeypatch.setattr(postings, name, value)
+    points = spark.createDataFrame(texts, "chunk_id long, text string").repartitionByRange(3, "chunk_id")
+    asked = [(i, t, None) for i, t in texts if i % 15 == 0]
+    queries = spark.createDataFrame([x[:2] for x in asked], "query_id int, text string")
+    got = [tuple(r) for r in postings.temporary(points).search(queries, 7).collect()]
+    near = lambda rows: {(q, c, round(s, 4)) for q, c, s, _ in rows}
+    assert near(got) == near(bm25(texts, asked, 7)) and len(got) > 300
+
+
+def test_a_block_meets_its_own_queries_first(spark):
+    """Queries whose first block is the same are in groups of their own: no block goes to every group."""
+    n, blocks = 6000, 40
+    rows = spark.range(n).select(F.lit(0).alias("group"), F.col("id").cast("int").alias("place"), F.col("id").alias("query_id"), F.lit(None).cast("date").alias("cutoff"))
+    block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    bounds = rows.withColumn("block", block).withColumn("bound", -F.pmod(F.col("block") - F.when(F.col("query_id") < 3000, 7).otherwise(F.pmod("query_id", F.lit(blocks))), F.lit(blocks)).cast("double"))
+    homes = postings.PostingIndex.homes(bounds.withColumn("block", F.format_string("b%02d", "block"))).toPandas()
+    assert sorted(homes.query_id) == list(range(n)) and set(homes.block[homes.query_id < 3000]) == {"b07"}
+    sizes = homes.groupby(["group", "block"]).place.agg(["size", "nunique", "max"])
+    assert len(sizes) <= blocks + n // postings.GROUP and (sizes["size"] == sizes["nunique"]).all() and (sizes["max"] + 1 == sizes["size"]).all()
+    assert sizes["size"].max() < 1.5 * postings.GROUP
+
+
+def test_memory_of_scores():
+    """A strip of queries against a full block, with words in common and rare ones: some matrices, however many terms there are."""
+    import tracemalloc
+
+    rng, n, m, terms = np.random.default_rng(3), 512, 4096, 3000
+    count = np.where(np.arange(terms) < 300, 2000, 40)
+    begin, chunk = np.cumsum(count) - count, np.concatenate([rng.choice(m, c, replace=False) for c in count]).astype(np.int32)
+    impact, asks = rng.random(len(chunk)), rng.random((terms, n)) < np.where(np.arange(terms) < 300, 0.3, 0.02)[:, None]
+    term, row = (x.astype(np.int32) for x in np.nonzero(asks))
+    w = rng.random(len(term))
+    tracemalloc.start()
+    got = postings.products(row, term, w, begin, count, chunk, impact, (n, m))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    q, c = np.zeros((terms, n)), np.zeros((terms, m))
+    q[term, row], c[np.repeat(np.arange(terms), count), chunk] = w, impact
+    assert np.abs(got - q.T @ c).max() < 1e-6
+    assert peak < 3 * got.nbytes
+
+
 def test_a_part_comes_once(spark, vectors, monkeypatch):
     """However many queries ask for a part, its vectors are in one row, before theirs."""
     monkeypatch.setattr(vectorindex, "PART", 50)
