@@ -12,7 +12,9 @@ from siltstone.functions.text import injection_flag, strip_links
 from siltstone.operators import ranked as rank
 from siltstone.operators.graph import written as put
 from siltstone.operators.models import Completer, asked
+from siltstone.operators.postings import PostingIndex
 from siltstone.operators.retrieval import hybrid
+from siltstone.operators.vectorindex import VectorIndex
 
 PERSPECTIVES = ("business_model", "market", "gtm", "stage_scale")
 _SCORES = ", ".join(f"{p}: struct<score: double, rationale: string>" for p in PERSPECTIVES)
@@ -141,16 +143,16 @@ def debug_text(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["s"]), "\n").alias("listing"))
 
 
-def run_queries(pitches: DataFrame, points: DataFrame, documents: DataFrame, completer: Completer, config: Config, generated_at: str, facets: tuple[str, ...] = ("sector", "geography"), extracted: bool = False) -> dict[str, DataFrame]:
+def run_queries(pitches: DataFrame, points: DataFrame, documents: DataFrame, completer: Completer, config: Config, generated_at: str, facets: tuple[str, ...] = ("sector", "geography"), extracted: bool = False, dense: VectorIndex | None = None, sparse: PostingIndex | None = None) -> dict[str, DataFrame]:
     """The whole batch: ``syntheses``, ``risks``, ``counts`` and ``reports``.
 
     Hits, rankings, syntheses and risks are written once to the shared folder: several of the results read them, and
     a lost executor does not cost the calls again.  ``pitches``: query_id, name, description, text, embedding, cutoff if wanted, and the facets if ``extracted``;
-    ``points``: see ``retrieval.hybrid``; ``documents``: canonical_id, name, summary, body, founding_date,
+    ``points``, ``dense`` and ``sparse``: see ``retrieval.hybrid``; ``documents``: canonical_id, name, summary, body, founding_date,
     failure_date, sources.  Facets, retrieval, reranking, threshold, synthesis, second threshold, risks, report.
     """
     queries = pitches if extracted else put(extract_facets(pitches, facets, completer, config), "queries")
-    hits = put(hybrid(points, queries, config.k_retrieve, facets, config.facet_boost, config.rrf_k), "hits")
+    hits = put(hybrid(points, queries, config.k_retrieve, facets, config.facet_boost, config.rrf_k, dense=dense, sparse=sparse), "hits")
     known = hits.join(documents.select("canonical_id", "summary"), "canonical_id").select("query_id", F.col("canonical_id").cast("string").alias("candidate_id"), F.col("rank").alias("pos"), "summary")
     order = put(rerank(known, queries, completer, config), "ranking")
     chosen = rank.top_by_similarity(order, config.min_similarity, config.n_synthesize)

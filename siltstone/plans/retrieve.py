@@ -152,7 +152,7 @@ def query_pipeline(spark, d):
 
     The ranking is of all K candidates: those at the threshold first, in the prompt's order, so none of them is lost to its length of five.
     """
-    p = points(spark, d)
+    p, (dense, sparse) = points(spark, d), indexes(spark, d)
     asked = pitches(spark, d, cutoff=True).withColumn("name", F.concat(F.lit("p"), "query_id")).withColumn("description", F.lit("a pitch"))
     entity = F.concat(F.lit("c"), "canonical_id")
     documents = p.select("canonical_id").distinct().select("canonical_id", entity.alias("name"), F.lit("s").alias("summary"), F.lit("b").alias("body"), F.lit("2010-01-01").cast("date").alias("founding_date"), F.lit(None).cast("date").alias("failure_date"), F.array(F.lit("https://a.example")).alias("sources"))
@@ -177,7 +177,7 @@ def query_pipeline(spark, d):
     risk = F.struct(F.lit("s").alias("summary"), F.lit("a").alias("applies_because"), F.concat(ids, F.array(F.lit("-1"))).alias("raised_by"), F.lit("high").alias("severity"))
     risks = F.to_json(F.struct(F.array(risk).alias("risks"), F.lit(False).alias("injection")))
     answer = F.when(F.col("stage") == "llm_rerank", ranking).when(F.col("stage") == "synthesize", synthesis).otherwise(risks)
-    out = reports.run_queries(asked, p, documents, models.Heuristic(lambda: answer), Config(k_retrieve=K, n_synthesize=5, min_similarity=4.0), "2024-01-01", extracted=True)
+    out = reports.run_queries(asked, p, documents, models.Heuristic(lambda: answer), Config(k_retrieve=K, n_synthesize=5, min_similarity=4.0), "2024-01-01", extracted=True, dense=dense, sparse=sparse)
     item = F.struct("pos", "candidate_id")
     kept = out["syntheses"].groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["candidate_id"]), ",").alias("candidates"))
     rows = out["counts"].join(kept, "query_id", "left").join(out["risks"].select("query_id", "n_raised"), "query_id", "left").join(out["reports"], "query_id")
