@@ -151,9 +151,10 @@ def append(points: DataFrame, path: str, name: str = "0") -> PostingIndex:
             yield block()
 
     rows = points.select("chunk_id", "text", *dated).mapInArrow(blocks, schema)
-    # by shard, and each shard to as many tasks as there are partitions for it
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "shard", F.pmod(F.xxhash64("block"), F.lit(max(1, parts // SHARDS)))).sortWithinPartitions("kind", "shard", "term", "block")
+    # each shard to as many tasks as there are partitions for it, none with two shards: hashes of so few keys would meet, and a task sort several
+    each = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+    task = F.greatest("shard", F.lit(0)) * each + F.pmod(F.xxhash64("block"), F.lit(each)).cast("int")
+    dealt = rows.repartitionById(SHARDS * each, task).sortWithinPartitions("kind", "shard", "term", "block")
     dealt.write.mode("overwrite").partitionBy("kind", "shard").parquet(f"{path}/index/name={name}")
     index = PostingIndex(spark, path, dict(points.dtypes)["chunk_id"])
     counted = index.postings().groupBy("shard", "term").agg(F.sum("n").alias("df"))

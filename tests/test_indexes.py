@@ -136,6 +136,14 @@ def test_posting_index(spark, texts, monkeypatch):
     assert index.remaining(bounds, theta).count() < 0.6 * bounds.count()
 
 
+def test_a_task_writes_one_shard(spark, texts):
+    """And sorts no other: what a task holds does not depend on which hashes meet."""
+    index = postings.temporary(spark.createDataFrame(texts, "chunk_id long, text string"))
+    files = spark.read.parquet(f"{index.path}/index").where("kind = 'posting'").select("shard", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task"))
+    assert files.groupBy("task").agg(F.count_distinct("shard").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert files.agg(F.count_distinct("shard")).first()[0] == postings.SHARDS
+
+
 def test_word_search_reads_its_terms_only(spark, texts):
     points = spark.createDataFrame(texts, "chunk_id long, text string")
     index = postings.temporary(points)
