@@ -1,19 +1,20 @@
 """An inverted index: exact BM25 and word search without reading texts.
 
-Chunks are numbered within blocks of bounded size.  A posting is a term's chunks in one block, with their counts and
-what bounds their weight: the largest count and the smallest length.  Postings are partitioned by a
-hash of the term and sorted by term and block, so a search reads the shards of its terms only, and of those the row
-groups that may hold them.  Counts of a term over all blocks, of chunks and of words are sums over blocks, so blocks
-can be added at any time (``append``).
-
-A search first sees the block that bounds promise most from; where that gives k chunks, the k-th score is what
-the bound of any further block has to reach.  A block that cannot reach it is not read.  Queries travel as rows.
+Chunks are numbered within blocks of bounded size, and a block is a row that holds its terms and their chunks as packed
+numbers.  A posting is a term's chunks in one block, with their counts and what bounds their weight: the largest count and
+the smallest length.  Postings are partitioned by a hash of the term and sorted by term and block, so a word search reads
+the shards of its terms only, and of those the row groups that may hold them.  Counts of a term over all blocks, of chunks
+and of words are sums over blocks, so blocks can be added at any time (``append``).
+
+A ranked search sees all blocks, in waves.  Queries are packed as blocks are, in strips; a tray of blocks comes once for each
+group of strips, and a strip once for each tray.  The k-th score of the waves before is what a chunk has to reach, and what the bound
+of a block has to reach to be scored.  Nothing that grows with pairs of queries and blocks is a row.  Queries travel as rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -34,8 +35,10 @@ SHARDS, BLOCK, BLOCK_WORDS = 32, 4096, 4_000_000
 K1, B = 1.2, 0.75
 #: Queries whose terms are cut at once, and rows of scores that a product is added to at once.
 QUERIES = 64
-#: Queries of a group that a block's postings are copied for, on average; they are scored GROUP at once.
-ASKED = 2048
+#: Queries of a group that a block is copied for, on average; they are scored GROUP at once.
+ASKED = 16384
+#: Blocks of a tray that a strip of queries is copied for, on average; blocks of the first wave, and how many times as many have been seen after each further one.
+TRAY, FIRST, MORE = 16, 12, 8
 #: Terms of one matrix product, how sparse a term's part of it may be, and pairs of a query's and a chunk's term that are added at once.
 TERMS, SPARSE, PAIRS = 256, 100, 1 << 18
 #: Decimals of a score, and slack of its rounding.
@@ -62,7 +65,7 @@ def products(row: np.ndarray, term: np.ndarray, w: np.ndarray, begin: np.ndarray
     term i has the ``count[i]`` chunks from ``begin[i]`` on."""
     scores = np.zeros(shape)
     asked = np.bincount(term, minlength=len(count))
-    # terms that many queries and many chunks have: as matrix products, TERMS at once; the others pair by pair, PAIRS at once
+    # terms that many queries and many chunks have: as matrix products, TERMS at once; the others pair by pair
     common = asked * count * SPARSE >= scores.size
     dense = np.flatnonzero(common & (asked > 0))
     at_of = np.full(len(count), -1, np.int32)
@@ -78,21 +81,102 @@ def products(row: np.ndarray, term: np.ndarray, w: np.ndarray, begin: np.ndarray
         for i in range(0, shape[0], QUERIES):
             scores[i : i + QUERIES] += q[:, i : i + QUERIES].T @ c
         at_of[mine] = -1
+    # in the order of the queries, PAIRS at once, so that additions stay in a few rows of scores
     alone = np.flatnonzero(~common[term])
-    sizes = count[term[alone]].astype(np.int64)
-    to = np.cumsum(sizes)
-    start = 0
-    while start < len(alone):
-        stop = max(start + 1, int(np.searchsorted(to, to[start] - sizes[start] + PAIRS, side="right")))
-        one, n = alone[start:stop], sizes[start:stop]
-        at = np.arange(n.sum()) + np.repeat(begin[term[one]] - (np.cumsum(n) - n), n)
-        np.add.at(scores.reshape(-1), np.repeat(row[one].astype(np.int64) * shape[1], n) + chunk[at], np.repeat(w[one], n) * impact[at])
-        start = stop
+    alone = alone[np.argsort(row[alone].astype(np.int16), kind="stable")]
+    edges = np.searchsorted(row[alone], np.arange(0, shape[0] + QUERIES, QUERIES))
+    to = np.append(0, np.cumsum(count[term[alone]], dtype=np.int64))
+    for i, (start, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        rows = scores[i * QUERIES : (i + 1) * QUERIES]
+        while start < end:
+            stop = min(end, max(start + 1, int(np.searchsorted(to, to[start] + PAIRS, side="right")) - 1))
+            one, n = alone[start:stop], np.diff(to[start : stop + 1])
+            at = np.arange(to[stop] - to[start]) + np.repeat(begin[term[one]] - (to[start:stop] - to[start]), n)
+            place = np.repeat((row[one].astype(np.int64) - i * QUERIES) * shape[1], n) + chunk[at]
+            rows += np.bincount(place, np.repeat(w[one], n) * impact[at], rows.size).reshape(rows.shape)
+            start = stop
     return np.round(scores, DIGITS, out=scores)
 
 
-def _schema(kind: str) -> str:
-    return f"kind string, shard int, term string, block string, n long, n_words long, most int, least int, at array<int>, tf array<int>, dl array<int>, ids array<{kind}>, dates binary"
+def narrow(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes each as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def widened(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // n}" if n else "u1")
+
+
+def terms_of(packed: bytes) -> pa.Array:
+    """The terms that a space parts."""
+    return pc.split_pattern(pa.array([packed.decode()]), " ").values if packed else pa.array([], pa.string())
+
+
+#: A term's rows in a block or a strip: the terms, how many rows each has, those rows, and how often they have it.
+_PACKED = "words binary, counts binary, at binary, tf binary"
+
+
+def _block_schema(kind: str) -> str:
+    return f"block string, n long, n_words long, with_words long, ids array<{kind}>, dl array<int>, dates binary, {_PACKED}"
+
+
+PACKED = [c.split()[0] for c in _PACKED.split(", ")]
+_POSTING = "shard int, term string, block string, n long, most int, least int, at array<int>, tf array<int>"
+
+
+class Packed:
+    """A block, or a strip of queries, as numbers: term i has the ``count[i]`` rows ``at`` from ``begin[i]`` on, which have it ``tf`` times and have ``dl`` words."""
+
+    def __init__(self, row: dict[str, pa.Scalar]):
+        words, counts, at, tf = (row[c].as_py() for c in PACKED)
+        self.terms, self.dl = terms_of(words), np.asarray(row["dl"].values)
+        self.count = widened(counts, len(self.terms)).astype(np.int64)
+        pairs = int(self.count.sum())
+        self.at, self.tf, self.begin = widened(at, pairs), widened(tf, pairs), np.cumsum(self.count) - self.count
+
+
+class Strip:
+    """Up to GROUP queries while a task scores blocks for them; ``best`` has the k highest scores that the task found for each."""
+
+    def __init__(self, row: dict[str, pa.Scalar], k: int):
+        self.its, self.idf, self.k = Packed(row), np.frombuffer(row["idf"].as_py()), k
+        self.asked, self.cutoff = (row[c].values for c in ("asked", "cutoff"))
+        self.theta, self.best = np.array(row["theta"].values), np.full((len(self.asked), k), -np.inf)
+        #: Numbers of the terms among those of all strips.
+        self.number: np.ndarray
+
+    def found(self, block: Packed, at: np.ndarray, impact: np.ndarray, upper: np.ndarray, ids: pa.Array, dates: bytes, weigh) -> pa.RecordBatch:
+        """The chunks of ``block`` that may be among the k best of a query; ``at``: the place of each term of the strip in the block, or -1."""
+        its, there = self.its, at >= 0
+        mine, met = np.repeat(there, its.count), at[there]
+        row, count = its.at[mine].astype(np.int32), its.count[there]
+        w, term = np.repeat(self.idf[there], count) * weigh(its.tf[mine], its.dl[row]), np.repeat(np.arange(len(met), dtype=np.int32), count)
+        # queries that the block's bounds rule out are not scored
+        bound = np.bincount(row, w * upper[met][term], minlength=len(self.asked))
+        live = np.flatnonzero((bound > 0) & (bound >= self.theta - _SCORE))
+        if len(live) < len(self.asked):
+            to = np.full(len(self.asked), -1, np.int32)
+            to[live] = np.arange(len(live))
+            kept = to[row] >= 0
+            row, term, w = to[row[kept]], term[kept], w[kept]
+        scores = products(row, term, w, block.begin[met], block.count[met], block.at, impact, (len(live), len(ids)))
+        good = scores >= np.maximum(self.theta[live], 10.0**-DIGITS / 2)[:, None]
+        some = np.flatnonzero(good.any(axis=1))
+        live, scores, good = live[some], scores[some], good[some]
+        good &= admitted(self.cutoff.take(pa.array(live)), dates)
+        out = best_of(pa.array(live), ids, scores, good, self.k)
+        self._learn(np.asarray(out.column(0)), np.asarray(out.column(2)))
+        return pa.RecordBatch.from_arrays([self.asked.take(out.column(0)), *out.columns[1:]], out.schema.names)
+
+    def _learn(self, of: np.ndarray, scores: np.ndarray) -> None:
+        """``theta`` rises to the k-th score found; ``of``: each score's query, in order."""
+        rows, first, count = np.unique(of, return_index=True, return_counts=True)
+        new = np.full((len(rows), self.k), -np.inf)
+        new[np.repeat(np.arange(len(rows)), count), np.arange(len(of)) - np.repeat(first, count)] = scores
+        if len(rows):
+            both = np.concatenate([self.best[rows], new], axis=1)
+            self.best[rows] = np.partition(both, self.k, axis=1)[:, self.k :]
+            self.theta[rows] = np.maximum(self.theta[rows], self.best[rows].min(axis=1))
 
 
 def append(points: DataFrame, path: str, name: str = "0") -> PostingIndex:
@@ -101,62 +185,71 @@ def append(points: DataFrame, path: str, name: str = "0") -> PostingIndex:
     ``name`` tells this addition from others; the same name again replaces it.  Chunks without words are counted, and have no postings.
     """
     spark = points.sparkSession
-    schema = _schema(dict(points.dtypes)["chunk_id"])
+    schema = _block_schema(dict(points.dtypes)["chunk_id"])
     names = [c.split()[0] for c in schema.split(", ")]
     dated = [c for c in DATES if c in points.columns]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, number = TaskContext.get().partitionId(), 0
-        held, codes, lengths, known = [], [], [], defaultdict()
-        known.default_factory = known.__len__  # numbers terms as they are met
+        task, number_of = TaskContext.get().partitionId(), 0
+        held, found, lengths = [], [], []
 
         def block() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            key, dl, m = f"{name}-{task}-{number}", np.array(lengths, np.int32), len(known)
-            # (term, chunk) of each word, in order: a run of equal ones is a posting of so many words
-            pair = np.sort(np.concatenate(codes) * len(dl) + np.repeat(np.arange(len(dl)), dl)) if codes else np.zeros(0, np.int64)
+            dl, coded = np.array(lengths, np.int32), pa.chunked_array(found, pa.string()).combine_chunks().dictionary_encode()
+            # terms in their order, so that sums do not depend on how they were met
+            order = np.asarray(pc.sort_indices(coded.dictionary))
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            # (term, chunk) of each word, in order: a run of equal ones is a chunk that has the term so many times
+            pair = np.sort(number[np.asarray(coded.indices)] * len(dl) + np.repeat(np.arange(len(dl)), dl))
             first = np.flatnonzero(np.diff(pair, prepend=-1))
             term, at = np.divmod(pair[first], max(len(dl), 1))
-            tf, at = np.diff(np.append(first, len(pair))).astype(np.int32), at.astype(np.int32)
-            ends = np.searchsorted(term, np.arange(m + 1))
-            most, least = (f.reduceat(x, ends[:-1]) if m else np.zeros(0, np.int32) for f, x in ((np.maximum, tf), (np.minimum, dl[at])))
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(ends, ends[-1]), pa.int32()), pa.array(x))
-            of_block = lambda values, x, kind: pa.concat_arrays([pa.array(values, kind) if m else pa.array([], kind), pa.array([x], kind)])
-            whole = lambda x: pa.ListArray.from_arrays(pa.array([None] * m + [0, len(dl)], pa.int32()), x)
-            nothing = [None] * m
-            columns = [
-                of_block(["posting"] * m, "block", pa.string()), of_block([*map(shard_of, known)], -1, pa.int32()), of_block([*known], None, pa.string()), of_block([key] * m, key, pa.string()),
-                of_block(np.diff(ends), len(dl), pa.int64()), of_block(nothing, int(dl.sum(dtype=np.int64)), pa.int64()), of_block(most, None, pa.int32()), of_block(least, int((dl > 0).sum()), pa.int32()),
-                lists(at), lists(tf), whole(pa.array(dl)), whole(rows.column(0)), of_block(nothing, dates_of(rows, dated).tobytes(), pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names)
+            packed = [" ".join(coded.dictionary.take(pa.array(order)).to_pylist()).encode(), *map(narrow, (np.bincount(term, minlength=len(order)), at, np.diff(np.append(first, len(pair)))))]
+            values = [f"{name}-{task}-{number_of}", len(dl), int(dl.sum(dtype=np.int64)), int((dl > 0).sum())]
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(dl)], pa.int32()), x) for x in (rows.column(0), pa.array(dl))]
+            return pa.RecordBatch.from_arrays([*(pa.array([v]) for v in values), *lists, *(pa.array([v], pa.binary()) for v in (dates_of(rows, dated).tobytes(), *packed))], names)
 
         for batch in batches:
             begin = 0
             for i, text in enumerate(batch.column(1).to_pylist()):
-                found = words(text)
-                if lengths and (len(lengths) >= BLOCK or sum_words + len(found) > BLOCK_WORDS):
+                its = words(text)
+                if lengths and (len(lengths) >= BLOCK or sum_words + len(its) > BLOCK_WORDS):
                     if i > begin:
                         held.append(batch.slice(begin, i - begin))
                     yield block()
-                    number, begin, held, codes, lengths = number + 1, i, [], [], []
-                    known.clear()
-                sum_words = len(found) + (sum_words if lengths else 0)
-                codes.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
-                lengths.append(len(found))
+                    number_of, begin, held, found, lengths = number_of + 1, i, [], [], []
+                sum_words = len(its) + (sum_words if lengths else 0)
+                found.append(pa.array(its, pa.string()))
+                lengths.append(len(its))
             held.append(batch.slice(begin))
         if lengths:
             yield block()
 
-    rows = points.select("chunk_id", "text", *dated).mapInArrow(blocks, schema)
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The postings of blocks, a block at once."""
+        for batch in batches:
+            for row in (dict(zip(batch.schema.names, c, strict=True)) for c in zip(*batch.columns, strict=True)):
+                its = Packed(row)
+                if not len(its.terms):
+                    continue
+                most, least = np.maximum.reduceat(its.tf, its.begin), np.minimum.reduceat(its.dl[its.at], its.begin)
+                offsets = pa.array(np.append(its.begin, len(its.at)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (its.at, its.tf)]
+                shards = pa.array([*map(shard_of, its.terms.to_pylist())], pa.int32())
+                columns = [shards, its.terms, pa.array([row["block"].as_py()] * len(shards)), pa.array(its.count), *(pa.array(x.astype(np.int32)) for x in (most, least)), *lists]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _POSTING.split(", ")])
+
+    # a block is one row of some MB: small row groups, as readers hold a row group
+    points.select("chunk_id", "text", *dated).mapInArrow(blocks, schema).write.mode("overwrite").option("parquet.block.size", 1 << 24).parquet(f"{path}/blocks/name={name}")
+    index = PostingIndex(spark, path, dict(points.dtypes)["chunk_id"])
+    rows = index._blocks().where(F.col("name") == name).select("block", "dl", *PACKED).mapInArrow(posted, _POSTING)
     # each shard to as many tasks as there are partitions for it, none with two shards: hashes of so few keys would meet, and a task sort several
     each = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
-    task = F.greatest("shard", F.lit(0)) * each + F.pmod(F.xxhash64("block"), F.lit(each)).cast("int")
-    dealt = rows.repartitionById(SHARDS * each, task).sortWithinPartitions("kind", "shard", "term", "block")
-    dealt.write.mode("overwrite").partitionBy("kind", "shard").parquet(f"{path}/index/name={name}")
-    index = PostingIndex(spark, path, dict(points.dtypes)["chunk_id"])
+    task = F.col("shard") * each + F.pmod(F.xxhash64("block"), F.lit(each)).cast("int")
+    dealt = rows.repartitionById(SHARDS * each, task).sortWithinPartitions("shard", "term", "block")
+    dealt.withColumn("kind", F.lit("posting")).write.mode("overwrite").partitionBy("kind", "shard").parquet(f"{path}/index/name={name}")
     counted = index.postings().groupBy("shard", "term").agg(F.sum("n").alias("df"))
     counted.hint("rebalance", "shard").sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/terms")
     return index
@@ -174,16 +267,17 @@ class PostingIndex:
     #: Type of the chunks' ids.
     id_type: str = "bigint"
 
-    def _rows(self, kind: str) -> DataFrame:
-        return self.spark.read.schema(f"{_schema(self.id_type)}, name string").parquet(f"{self.path}/index").where(F.col("kind") == kind)
+    def _blocks(self) -> DataFrame:
+        return self.spark.read.schema(f"{_block_schema(self.id_type)}, name string").parquet(f"{self.path}/blocks")
 
     def postings(self) -> DataFrame:
         """(shard, term, block, n, most, least, at, tf): a term's chunks in a block, by their places in it."""
-        return self._rows("posting").select("shard", "term", "block", "n", "most", "least", "at", "tf")
+        rows = self.spark.read.schema(f"kind string, {_POSTING}, name string").parquet(f"{self.path}/index")
+        return rows.where("kind = 'posting'").select("shard", "term", "block", "n", "most", "least", "at", "tf")
 
     def blocks(self) -> DataFrame:
         """(block, n, n_words, with_words, ids, dl, dates)"""
-        return self._rows("block").select("block", "n", "n_words", F.col("least").alias("with_words"), "ids", "dl", "dates")
+        return self._blocks().select("block", "n", "n_words", "with_words", "ids", "dl", "dates")
 
     def terms(self) -> DataFrame:
         """(shard, term, df)"""
@@ -207,7 +301,7 @@ class PostingIndex:
     # BM25
 
     def _asked(self, queries: DataFrame, mean: float, n: int, k1: float, b: float) -> DataFrame:
-        """(group, place, query_id, cutoff, shard, term, w): queries numbered within their groups, with the weights of their terms."""
+        """(group, place, query_id, cutoff, shard, term, qf, ql, idf, w): queries numbered within their groups, with the weights of their terms."""
         cutoff = F.col("cutoff") if "cutoff" in queries.columns else F.lit(None).cast("date")
         rows = query_group(written(queries.select("query_id", cutoff.alias("cutoff"), "text"), "queries"), ASKED)
         rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("query_id")) - 1)
@@ -229,8 +323,8 @@ class PostingIndex:
         terms = rows.select(*names, "text").mapInArrow(split, f"{kept}, shard int, term string, qf int, ql int")
         df = F.col("df").cast("double")
         idf = F.log((F.lit(float(n)) - df + 0.5) / (df + 0.5) + 1)
-        weighed = terms.join(self.terms(), ["shard", "term"]).withColumn("w", idf * weight(F.col("qf"), F.col("ql"), F.lit(mean), k1, b))
-        return written(weighed.drop("qf", "ql", "df"), "query-terms")
+        weighed = terms.join(self.terms(), ["shard", "term"]).withColumn("idf", idf).withColumn("w", F.col("idf") * weight(F.col("qf"), F.col("ql"), F.lit(mean), k1, b))
+        return written(weighed.drop("df"), "query-terms")
 
     def bounds(self, weighed: DataFrame, mean: float, k1: float = K1, b: float = B) -> DataFrame:
         """(group, place, query_id, cutoff, block, bound): no chunk of the block scores higher for the query.  Reads no posting's chunks."""
@@ -238,75 +332,93 @@ class PostingIndex:
         each = weighed.join(limits, ["shard", "term"]).groupBy("group", "place", "query_id", "cutoff", "block")
         return each.agg(F.sum(F.col("w") * weight(F.col("most"), F.col("least"), F.lit(mean), k1, b)).alias("bound"))
 
-    def _scored(self, pairs: DataFrame, weighed: DataFrame, k: int, mean: float, k1: float, b: float) -> DataFrame:
-        """The k best chunks of each pair (group, place, query_id, cutoff, block, theta) of query and block, none below ``theta``.
+    @staticmethod
+    def _strips(weighed: DataFrame) -> DataFrame:
+        """(group, strip, asked, cutoff, dl, words, counts, at, tf, idf): up to GROUP queries of a group, packed as a block is, with their terms' weights."""
+        query_id = dict(weighed.dtypes)["query_id"]
+        schema = f"group int, strip int, asked array<{query_id}>, cutoff array<date>, dl array<int>, {_PACKED}, idf binary"
+        size = GROUP
+
+        def pack(found: pa.Table) -> pa.Table:
+            found = found.sort_by([("term", "ascending"), ("place", "ascending")]).combine_chunks()
+            places, first, at = np.unique(np.asarray(found["place"].combine_chunks()), return_index=True, return_inverse=True)
+            of = lambda name: found[name].combine_chunks()
+            coded = of("term").dictionary_encode()
+            count = np.bincount(np.asarray(coded.indices), minlength=len(coded.dictionary))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            lists = [one(of(c).take(pa.array(first))) for c in ("query_id", "cutoff", "ql")]
+            packed = [" ".join(coded.dictionary.to_pylist()).encode(), narrow(count), narrow(at), narrow(np.asarray(of("qf"))), np.asarray(of("idf"))[np.cumsum(count) - count].tobytes()]
+            group = int(found["group"][0].as_py())
+            return pa.Table.from_arrays([pa.array([group], pa.int32()), pa.array([int(places[0]) // size], pa.int32()), *lists, *(pa.array([x], pa.binary()) for x in packed)], [c.split()[0] for c in schema.split(", ")])
+
+        strip = F.floor(F.col("place") / size).cast("int")
+        rows = weighed.select("group", strip.alias("strip"), "place", "query_id", "cutoff", "term", "qf", "ql", "idf")
+        return written(rows.groupBy("group", "strip").applyInArrow(pack, schema), "strips")
 
-        If ``weighed`` has a block for each query, its terms meet that block only.
-        """
-        asked = pairs.groupBy("group", "block").agg(F.collect_list(F.struct("place", "query_id", "cutoff", "theta")).alias("asked"))
-        heads = asked.join(self.blocks().select("block", "ids", "dl", "dates"), "block")
-        keys = ["shard", "term", *(c for c in weighed.columns if c == "block")]
-        packed = weighed.groupBy("group", *keys).agg(F.collect_list(F.struct("place", "w")).alias("terms"))
-        # an array of numbers takes a third of an array of structs, and is copied for each block
-        packed = packed.select(*(F.col(c).alias(c) for c in ("group", *keys)), F.col("terms.place").alias("place"), F.col("terms.w").alias("w"))
-        rows = packed.join(self.postings().drop("n", "most", "least"), keys)
-        if "block" not in keys:
-            rows = rows.join(asked.select("group", "block"), ["group", "block"], "left_semi")
-        kinds = {"query_id": dict(weighed.dtypes)["query_id"], "chunk_id": self.id_type}
-
-        def score(head: pa.Table, found: pa.Table) -> pa.Table:
-            """One block for one group of queries, GROUP of them at once: at most BLOCK chunks, BLOCK_WORDS words and a group's terms."""
-            if not head.num_rows or not found.num_rows:
-                return empty
-            head, found = (t.combine_chunks().to_batches()[0] for t in (head, found))
-            of = lambda batch, name: batch.column(batch.schema.get_field_index(name))
-            asked, ids = (of(head, c)[0].values for c in ("asked", "ids"))
-            places = np.asarray(asked.field("place"))
-            row_of = np.full(int(places.max()) + 1, -1, np.int32)
-            row_of[places] = np.arange(len(places))
-            chunk, dl = np.asarray(of(found, "at").values), np.asarray(of(head, "dl")[0].values)
-            impact = weight(np.asarray(of(found, "tf").values), dl[chunk], mean, k1, b)
-            # terms are numbered in their order, so that sums do not depend on that of the rows, which are not copied for it
-            order = np.asarray(pc.sort_indices(of(found, "term")))
-            number = np.empty(len(order), np.int32)
-            number[order] = np.arange(len(order))
-            ends = np.asarray(of(found, "at").offsets)
-            begin, count = ends[:-1][order], np.diff(ends)[order]
-            place, w = (np.asarray(of(found, c).values) for c in ("place", "w"))
-            row = np.where(place < len(row_of), row_of[np.minimum(place, len(row_of) - 1)], -1)
-            term = np.repeat(number, np.diff(np.asarray(of(found, "place").offsets)))
-            out = []
-            for start in range(0, len(asked), GROUP):
-                mine = np.flatnonzero((row >= start) & (row < start + GROUP))
-                mine = mine[np.argsort(term[mine], kind="stable")]
-                fields = {c: asked.field(c).slice(start, GROUP) for c in ("query_id", "cutoff", "theta")}
-                scores = products(row[mine] - start, term[mine], w[mine], begin, count, chunk, impact, (len(fields["theta"]), len(ids)))
-                good = (scores > 0) & (scores >= np.asarray(fields["theta"])[:, None]) & admitted(fields["cutoff"], of(head, "dates")[0].as_py())
-                out.append(best_of(fields["query_id"], ids, scores, good, k))
-            return pa.Table.from_batches(out)
-
-        arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
-        empty = pa.table([pa.array([], arrow[kinds["query_id"]]), pa.array([], arrow[kinds["chunk_id"]]), pa.array([], pa.float64())], ["query_id", "chunk_id", "score"])
-        both = [df.groupBy("group", "block") for df in (heads, rows.drop("shard"))]
-        return both[0].cogroup(both[1]).applyInArrow(score, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+    @staticmethod
+    def met(strips: DataFrame, blocks: DataFrame, groups: int, trays: int) -> DataFrame:
+        """What tasks see, one tray of ``blocks`` for one group each: the strips of the group, then the blocks.  A strip comes once for each tray, a block once for each group."""
+        numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        rows = strips.withColumn("tray", numbers(trays)).unionByName(blocks.drop("n", "n_words", "with_words").withColumn("group", numbers(groups)), allowMissingColumns=True)
+        task = (F.col("group") * trays + F.col("tray")).cast("int")
+        return rows.withColumn("task", task).repartitionById(groups * trays, F.col("task")).sortWithinPartitions("task", F.col("block").isNotNull()).drop("group", "tray", "task", "strip")
+
+    def _scored(self, strips: DataFrame, blocks: DataFrame, groups: int, trays: int, k: int, mean: float, k1: float, b: float) -> DataFrame:
+        """(query_id, chunk_id, score): the chunks of ``blocks`` (with the tray of each) that may be among the k best of a query, none below its ``theta``."""
+        kinds = {"query_id": dict(strips.dtypes)["asked"][6:-1], "chunk_id": self.id_type}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, asked = [], None
+            for batch in batches:
+                for row in (dict(zip(batch.schema.names, c, strict=True)) for c in zip(*batch.columns, strict=True)):
+                    if not row["block"].is_valid:
+                        held, asked = [*(held if asked is None else []), Strip(row, k)], None
+                        continue
+                    if asked is None:  # the terms of all strips, numbered
+                        coded = pa.chunked_array([s.its.terms for s in held], pa.string()).combine_chunks().dictionary_encode()
+                        asked, codes = coded.dictionary, np.split(np.asarray(coded.indices), np.cumsum([len(s.its.terms) for s in held])[:-1]) if held else []
+                        for s, number in zip(held, codes, strict=True):
+                            s.number, s.its.terms = number, None
+                    block, ids, dates = Packed(row), row["ids"].values, row["dates"].as_py()
+                    if not len(block.terms):
+                        continue
+                    at = np.asarray(pc.index_in(asked, block.terms).fill_null(-1))
+                    impact = weight(block.tf, block.dl[block.at], mean, k1, b)
+                    upper = weight(np.maximum.reduceat(block.tf, block.begin), np.minimum.reduceat(block.dl[block.at], block.begin), mean, k1, b)
+                    for s in held:
+                        yield s.found(block, at[s.number], impact, upper, ids, dates, lambda tf, dl: weight(tf, dl, mean, k1, b))
+
+        return self.met(strips, blocks, groups, trays).mapInArrow(run, f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
 
     def search(self, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, chunk_id, score, rank) by BM25, both sides weighted: the ``k`` best chunks for each query (query_id, text, cutoff), of those
         that its cut-off admits; ties go to the smaller id, chunks without a shared term are not in it.
 
-        Statistics are those of all chunks, whatever a query's cut-off admits.
+        Statistics are those of all chunks, whatever a query's cut-off admits.  Blocks are seen in waves by a hash of their names: FIRST of them, then so many that MORE
+        times as many have been seen, and so on; what a wave has found tells the next one what a chunk has to reach.
         """
         n, mean = self.statistics
-        weighed = self._asked(queries, mean, n, k1, b)
-        bounds = written(self.bounds(weighed, mean, k1, b), "bounds")
-        order = [F.desc("score"), F.asc("chunk_id")]
-        best = written(self.homes(bounds), "homes")
-        at_home = weighed.drop("group", "place").join(best.select("query_id", "group", "place", "block"), "query_id")
-        first = written(topk(self._scored(best.withColumn("theta", F.lit(-1.0)), at_home, k, mean, k1, b), "query_id", order, k), "first-block")
-        theta = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
-        place = Window.partitionBy("query_id").orderBy(F.desc("bound"), F.asc("block"))
-        rest = self.remaining(bounds.withColumn("_n", F.row_number().over(place)).where("_n > 1").drop("_n"), theta)
-        return topk(first.drop("rank").unionByName(self._scored(rest, weighed, k, mean, k1, b)), "query_id", order, k)
+        strips = self._strips(self._asked(queries, mean, n, k1, b))
+        groups = (strips.agg(F.max("group")).first()[0] or 0) + 1
+        member = strips.select("group", "strip", F.posexplode("asked").alias("at", "query_id"))
+        total, order = self.blocks().count(), [F.desc("score"), F.asc("chunk_id")]
+        hashed = self._blocks().drop("name").withColumn("h", F.xxhash64("block"))
+        best, low, high = None, 0.0, min(1.0, FIRST / max(total, 1))
+        while low < 1.0:
+            high = high if high <= 0.5 else 1.0
+            mine = max(1, round(total * (high - low)))
+            trays = max(-(-mine // TRAY), min(mine, 4 * self.spark.sparkContext.defaultParallelism))
+            place = F.pmod("h", F.lit(1 << 20)) / (1 << 20)
+            blocks = hashed.where((place >= low) & (place < high)).withColumn("tray", F.pmod(F.shiftright("h", 20), F.lit(trays)).cast("int")).drop("h")
+            known = member.withColumn("theta", F.lit(-1.0))
+            if best is not None:
+                reached = best.where(F.col("rank") == k).select("query_id", F.col("score").alias("theta"))
+                known = member.join(reached, "query_id", "left").withColumn("theta", F.coalesce("theta", F.lit(-1.0)))
+            theta = known.groupBy("group", "strip").agg(F.array_sort(F.collect_list(F.struct("at", "theta"))).alias("t")).select("group", "strip", F.col("t.theta").alias("theta"))
+            found = self._scored(strips.join(theta, ["group", "strip"]), blocks, groups, trays, k, mean, k1, b)
+            rows = topk(found if best is None else best.drop("rank").unionByName(found), "query_id", order, k)
+            best, low, high = written(rows, "best"), high, min(1.0, high * MORE)
+        return best
 
     @staticmethod
     def homes(bounds: DataFrame) -> DataFrame:

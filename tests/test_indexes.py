@@ -242,3 +242,50 @@ def test_a_part_comes_once(spark, vectors, monkeypatch):
     scores = np.round(np.array([unit[i] for i in ids]) @ np.array([unit[i] for i in ids]).T, 9)
     want = {(ids[q], ids[c], r) for q in range(len(ids)) for r, c in enumerate(np.lexsort((np.arange(len(ids)), -scores[q]))[:3], 1)}
     assert len(got) == len(want) and len(got & want) > 0.99 * len(want)
+
+
+def test_no_row_is_a_pair_of_a_query_and_a_block(spark, texts, monkeypatch):
+    """A search makes no table of bounds by query and block; a strip comes once for each tray, a block once for each group."""
+    for name, value in (("BLOCK", 10), ("ASKED", 30), ("GROUP", 8), ("TRAY", 4), ("FIRST", 5), ("MORE", 3)):
+        monkeypatch.setattr(postings, name, value)
+    points = spark.createDataFrame(texts, "chunk_id long, text string").repartitionByRange(3, "chunk_id")
+    asked = [(i, t, None) for i, t in texts if i % 8 == 0]
+    queries = spark.createDataFrame([x[:2] for x in asked], "query_id int, text string")
+    seen = []
+
+    def pair_by_pair(*_):
+        raise AssertionError("a row for each query and block")
+
+    def met(strips, blocks, groups, trays, made=postings.PostingIndex.met):
+        rows = made(strips, blocks, groups, trays)
+        parts = [[r.block for r in p] for p in rows.select("block").rdd.glom().collect()]
+        n = blocks.count()
+        seen.append(n)
+        assert sum(map(len, parts)) == strips.count() * trays + n * groups and groups > 1
+        assert all(p == sorted(p, key=lambda b: b is not None) for p in parts)
+        return rows
+
+    monkeypatch.setattr(postings.PostingIndex, "bounds", pair_by_pair)
+    monkeypatch.setattr(postings.PostingIndex, "met", staticmethod(met))
+    index = postings.temporary(points)
+    got = [tuple(r) for r in index.search(queries, 7).collect()]
+    near = lambda rows: {(q, c, round(s, 4)) for q, c, s, _ in rows}
+    assert near(got) == near(bm25(texts, asked, 7)) and len(got) > 500
+    assert len(seen) > 2 and sum(seen) == index.blocks().count() >= 70  # all blocks, each in one wave
+
+
+def test_scores_in_the_order_of_queries():
+    """Pairs are added query by query, whatever runs and strips they fall in."""
+    rng, n, m, terms = np.random.default_rng(4), 130, 90, 400
+    count = rng.integers(1, 30, terms)
+    begin, chunk = np.cumsum(count) - count, np.concatenate([rng.choice(m, c, replace=False) for c in count]).astype(np.uint16)
+    impact, asks = rng.random(len(chunk)), rng.random((terms, n)) < 0.05
+    term, row = (x.astype(np.int32) for x in np.nonzero(asks))
+    w = rng.random(len(term))
+    q, c = np.zeros((terms, n)), np.zeros((terms, m))
+    q[term, row], c[np.repeat(np.arange(terms), count), chunk] = w, impact
+    for pairs, sparse in ((50, 0), (10**6, 0), (1000, 100)):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(postings, "PAIRS", pairs)
+            patch.setattr(postings, "SPARSE", sparse)
+            assert np.abs(postings.products(row, term, w, begin, count, chunk, impact, (n, m)) - q.T @ c).max() < 1e-6
