@@ -179,9 +179,11 @@ class Strip:
             self.theta[rows] = np.maximum(self.theta[rows], self.best[rows].min(axis=1))
 
 
-def append(points: DataFrame, path: str, name: str = "0") -> PostingIndex:
+def append(points: DataFrame, path: str, name: str = "0", sharded: bool = True) -> PostingIndex:
     """Adds the chunks of ``points`` (chunk_id, text, DATES if cut-offs are to be asked for) to the index as blocks of their own.
 
+    ``sharded``: also writes the postings by term, which word searches read and ranked ones do not; else the first word search does.
+
     ``name`` tells this addition from others; the same name again replaces it.  Chunks without words are counted, and have no postings.
     """
     spark = points.sparkSession
@@ -227,37 +229,28 @@ def append(points: DataFrame, path: str, name: str = "0") -> PostingIndex:
         if lengths:
             yield block()
 
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The postings of blocks, a block at once."""
-        for batch in batches:
-            for row in (dict(zip(batch.schema.names, c, strict=True)) for c in zip(*batch.columns, strict=True)):
-                its = Packed(row)
-                if not len(its.terms):
-                    continue
-                most, least = np.maximum.reduceat(its.tf, its.begin), np.minimum.reduceat(its.dl[its.at], its.begin)
-                offsets = pa.array(np.append(its.begin, len(its.at)), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (its.at, its.tf)]
-                shards = pa.array([*map(shard_of, its.terms.to_pylist())], pa.int32())
-                columns = [shards, its.terms, pa.array([row["block"].as_py()] * len(shards)), pa.array(its.count), *(pa.array(x.astype(np.int32)) for x in (most, least)), *lists]
-                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _POSTING.split(", ")])
-
     # a block is one row of some MB: small row groups, as readers hold a row group
     points.select("chunk_id", "text", *dated).mapInArrow(blocks, schema).write.mode("overwrite").option("parquet.block.size", 1 << 24).parquet(f"{path}/blocks/name={name}")
     index = PostingIndex(spark, path, dict(points.dtypes)["chunk_id"])
-    rows = index._blocks().where(F.col("name") == name).select("block", "dl", *PACKED).mapInArrow(posted, _POSTING)
-    # each shard to as many tasks as there are partitions for it, none with two shards: hashes of so few keys would meet, and a task sort several
-    each = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
-    task = F.col("shard") * each + F.pmod(F.xxhash64("block"), F.lit(each)).cast("int")
-    dealt = rows.repartitionById(SHARDS * each, task).sortWithinPartitions("shard", "term", "block")
-    dealt.withColumn("kind", F.lit("posting")).write.mode("overwrite").partitionBy("kind", "shard").parquet(f"{path}/index/name={name}")
-    counted = index.postings().groupBy("shard", "term").agg(F.sum("n").alias("df"))
+    if sharded:
+        index.shard(name)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                terms = terms_of(held)
+                yield pa.RecordBatch.from_arrays([pa.array([*map(shard_of, terms.to_pylist())], pa.int32()), terms, pa.array(widened(n, len(terms)).astype(np.int64))], ["shard", "term", "n"])
+
+    each = index._blocks().select("words", "counts").mapInArrow(counts, "shard int, term string, n long")
+    counted = each.groupBy("shard", "term").agg(F.sum("n").alias("df"))
     counted.hint("rebalance", "shard").sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/terms")
+    index.sharded = sharded
     return index
 
 
-def temporary(points: DataFrame) -> PostingIndex:
+def temporary(points: DataFrame, sharded: bool = True) -> PostingIndex:
     """An index in the shared folder, for one job."""
-    return append(points, shared_dir(points.sparkSession, "postings"))
+    return append(points, shared_dir(points.sparkSession, "postings"), sharded=sharded)
 
 
 @dataclass
@@ -266,12 +259,42 @@ class PostingIndex:
     path: str
     #: Type of the chunks' ids.
     id_type: str = "bigint"
+    #: Whether the postings are also there by term.
+    sharded: bool = True
 
     def _blocks(self) -> DataFrame:
         return self.spark.read.schema(f"{_block_schema(self.id_type)}, name string").parquet(f"{self.path}/blocks")
 
+    def shard(self, name: str) -> None:
+        """Writes the postings of an addition by term."""
+
+        def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The postings of blocks, a block at once."""
+            for batch in batches:
+                for row in (dict(zip(batch.schema.names, c, strict=True)) for c in zip(*batch.columns, strict=True)):
+                    its = Packed(row)
+                    if not len(its.terms):
+                        continue
+                    most, least = np.maximum.reduceat(its.tf, its.begin), np.minimum.reduceat(its.dl[its.at], its.begin)
+                    offsets = pa.array(np.append(its.begin, len(its.at)), pa.int32())
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (its.at, its.tf)]
+                    shards = pa.array([*map(shard_of, its.terms.to_pylist())], pa.int32())
+                    columns = [shards, its.terms, pa.array([row["block"].as_py()] * len(shards)), pa.array(its.count), *(pa.array(x.astype(np.int32)) for x in (most, least)), *lists]
+                    yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _POSTING.split(", ")])
+
+        rows = self._blocks().where(F.col("name") == name).select("block", "dl", *PACKED).mapInArrow(posted, _POSTING)
+        # each shard to as many tasks as there are partitions for it, none with two shards: hashes of so few keys would meet, and a task sort several
+        each = -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // SHARDS)
+        task = F.col("shard") * each + F.pmod(F.xxhash64("block"), F.lit(each)).cast("int")
+        dealt = rows.repartitionById(SHARDS * each, task).sortWithinPartitions("shard", "term", "block")
+        dealt.withColumn("kind", F.lit("posting")).write.mode("overwrite").partitionBy("kind", "shard").parquet(f"{self.path}/index/name={name}")
+
     def postings(self) -> DataFrame:
         """(shard, term, block, n, most, least, at, tf): a term's chunks in a block, by their places in it."""
+        if not self.sharded:
+            for r in self._blocks().select("name").distinct().collect():
+                self.shard(r.name)
+            self.sharded = True
         rows = self.spark.read.schema(f"kind string, {_POSTING}, name string").parquet(f"{self.path}/index")
         return rows.where("kind = 'posting'").select("shard", "term", "block", "n", "most", "least", "at", "tf")
 

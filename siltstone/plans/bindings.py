@@ -57,7 +57,7 @@ def indexes(spark: SparkSession, d: str) -> tuple[vectorindex.VectorIndex, posti
     """The indexes of ``points``, as an ingest leaves them: built by the first query of an application that asks, then read as long as they are there."""
     key = spark.sparkContext.applicationId, d
     if key not in _BUILT or not all(_there(spark, index.path) for index in _BUILT[key]):
-        _BUILT[key] = vectorindex.temporary(points(spark, d)), postings.temporary(points(spark, d))
+        _BUILT[key] = vectorindex.temporary(points(spark, d)), postings.temporary(points(spark, d), sharded=False)
     return _BUILT[key]
 
 

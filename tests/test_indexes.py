@@ -289,3 +289,19 @@ def test_scores_in_the_order_of_queries():
             patch.setattr(postings, "PAIRS", pairs)
             patch.setattr(postings, "SPARSE", sparse)
             assert np.abs(postings.products(row, term, w, begin, count, chunk, impact, (n, m)) - q.T @ c).max() < 1e-6
+
+
+def test_a_ranked_search_needs_no_postings_by_term(spark, texts):
+    """They are written for the first word search, of all additions."""
+    import os
+
+    points = spark.createDataFrame(texts, "chunk_id long, text string")
+    root = f"{spark.conf.get('spark.checkpoint.dir')}/postings-lazy-{random.random()}"
+    postings.append(points.where("chunk_id < 300"), root, "a", sharded=False)
+    index = postings.append(points.where("chunk_id >= 300"), root, "b", sharded=False)
+    asked = [(i, t, None) for i, t in texts if i % 50 == 0]
+    got = [tuple(r) for r in index.search(spark.createDataFrame([x[:2] for x in asked], "query_id int, text string"), 5).collect()]
+    assert {x[:2] for x in got} == {x[:2] for x in bm25(texts, asked, 5)}
+    assert not os.path.exists(f"{root.removeprefix('file://')}/index")
+    for words in (["the"], ["t3x1", "t4x1"], ["t9x2", "the"]):
+        assert sorted(r.chunk_id for r in index.holding(words).collect()) == [i for i, t in texts if set(words) <= set(postings.words(t))]
