@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.dates import cutoff_date
 from siltstone.operators import postings, vectorindex
+from siltstone.operators.hits import DATES
 
 AS_OF = "2024-02-29"
 
@@ -45,6 +46,14 @@ def points(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """``points`` without vectors and facets, for the index of words.  The join with the vectors would shuffle every text; it only matters if an id of theirs repeats."""
+    columns = ["chunk_id", "text", *DATES]
+    if not table(spark, d, "embeddings").groupBy("vec_id").count().where("count > 1").isEmpty():
+        return points(spark, d).select(*columns)
+    return dated(table(spark, d, "documents")).withColumnRenamed("doc_id", "chunk_id").select(*columns)
+
+
 _BUILT: dict[tuple[str, str], tuple[vectorindex.VectorIndex, postings.PostingIndex]] = {}
 
 
@@ -57,7 +66,7 @@ def indexes(spark: SparkSession, d: str) -> tuple[vectorindex.VectorIndex, posti
     """The indexes of ``points``, as an ingest leaves them: built by the first query of an application that asks, then read as long as they are there."""
     key = spark.sparkContext.applicationId, d
     if key not in _BUILT or not all(_there(spark, index.path) for index in _BUILT[key]):
-        _BUILT[key] = vectorindex.temporary(points(spark, d)), postings.temporary(points(spark, d), sharded=False)
+        _BUILT[key] = vectorindex.temporary(points(spark, d)), postings.temporary(texts(spark, d), sharded=False)
     return _BUILT[key]
 
 

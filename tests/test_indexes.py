@@ -305,3 +305,17 @@ def test_a_ranked_search_needs_no_postings_by_term(spark, texts):
     assert not os.path.exists(f"{root.removeprefix('file://')}/index")
     for words in (["the"], ["t3x1", "t4x1"], ["t9x2", "the"]):
         assert sorted(r.chunk_id for r in index.holding(words).collect()) == [i for i, t in texts if set(words) <= set(postings.words(t))]
+
+
+def test_texts_are_not_shuffled_for_their_index(spark, sf, tmp_path):
+    """No join with the vectors, unless one of their ids repeats: then a text counts as often as it does in ``points``."""
+    from siltstone.plans import bindings
+
+    rows = bindings.texts(spark, sf)
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    of = lambda df, c: sorted(map(tuple, df.select(*c).collect()), key=str)
+    assert of(rows, rows.columns) == of(bindings.points(spark, sf), rows.columns)
+    vectors = bindings.table(spark, sf, "embeddings")
+    vectors.unionByName(vectors.where("vec_id = 3")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    bindings.table(spark, sf, "documents").write.parquet(f"{tmp_path}/documents.parquet")
+    assert bindings.texts(spark, str(tmp_path)).where("chunk_id = 3").count() == 2
